@@ -207,14 +207,17 @@ def turnover_and_peak(ledger: DataFrame) -> DataFrame:
     return ledger_totals(ledger, ["company_id"]).select("company_id", "banking_turnover", "largest_debit")
 
 
+def _coverage() -> list[Column]:
+    return [
+        F.round(F.col("average_monthly_balance") / floor_one(F.coalesce("annual_revenue", F.lit(0.0))), 4).alias("abb_to_revenue"),
+        F.round(F.col("banking_turnover") / floor_one(F.coalesce("tax_turnover", F.lit(0.0))), 4).alias("banking_to_gst_ratio"),
+    ]
+
+
 def coverage_ratios(totals: DataFrame, revenue: DataFrame, tax_turnover: DataFrame) -> DataFrame:
     """Balance over declared revenue, bank turnover over tax turnover. Sides are (company_id, amount)."""
     joined = totals.join(revenue, "company_id", "left").join(tax_turnover, "company_id", "left")
-    return joined.select(
-        "company_id",
-        F.round(F.col("average_monthly_balance") / floor_one(F.coalesce("annual_revenue", F.lit(0.0))), 4).alias("abb_to_revenue"),
-        F.round(F.col("banking_turnover") / floor_one(F.coalesce("tax_turnover", F.lit(0.0))), 4).alias("banking_to_gst_ratio"),
-    )
+    return joined.select("company_id", *_coverage())
 
 
 def cash_pattern(ledger: DataFrame) -> DataFrame:
@@ -248,14 +251,15 @@ def bank_profile(companies: DataFrame, ledger: DataFrame, revenue: DataFrame, ta
     """One row per company; a company without a ledger gets zeros and has_ledger = false."""
     totals = ledger_totals(ledger, ["company_id"])
     pairs, emi, rounds = circular_pairs(ledger), emi_payments(ledger), round_transfers(ledger)
-    ratios = coverage_ratios(totals, revenue, tax_turnover)
     counted = rounds.groupBy("company_id").agg(F.count("*").alias("shell_count"))
     joined = (
         companies.select("company_id")
         .join(totals, "company_id", "left")
         .join(pair_totals(pairs, emi), "company_id", "left")
         .join(counted, "company_id", "left")
-        .join(ratios, "company_id", "left")
+        .join(revenue, "company_id", "left")
+        .join(tax_turnover, "company_id", "left")
+        .select("*", *_coverage())
     )
     zeroed = ["average_monthly_balance", "banking_turnover", "largest_debit", "pair_value", "emi_total", "abb_to_revenue", "banking_to_gst_ratio"]
     counts = ["pair_count", "emi_count", "shell_count"]

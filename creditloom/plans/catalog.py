@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.sources.tables import Tables
 
-MODULES = ["ledger_queries"]
+MODULES = ["ledger_queries", "workbook_queries", "reconcile_queries", "text_queries"]
 
 
 def _bind(job) -> Callable[[SparkSession, str], DataFrame]:

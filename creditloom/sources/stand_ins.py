@@ -89,8 +89,8 @@ def _amount(expr: str) -> str:
     return f"cast(cast(cast(floor(({in_double}) * 100) as decimal(20,0)) / 100 as decimal(18,2)) as string)"
 
 
-def _cells_sql() -> str:
-    """Long workbook cells per company, four sheets, from the company totals."""
+def cell_grid() -> list[tuple[str, int, int, str, str]]:
+    """Workbook cells per company as (sheet, row, column, text, condition) over the company totals."""
     put: list[tuple[str, int, int, str, str]] = []
 
     def row(sheet: str, r: int, label: str, older: str, newer: str, when: str = "true") -> None:
@@ -144,15 +144,18 @@ def _cells_sql() -> str:
             (holding, 3, 1, "'Promoter Group'", "true"), (holding, 3, 2, "'99'", "true"),
             (holding, 4, 1, "'Promoter Trust'", "company_id % 6 = 0"), (holding, 4, 2, "'101'", "company_id % 6 = 0"),
             (holding, 4, 3, "'55'", "company_id % 6 = 0")]
-    # One scan of the totals, cells as rows of a small constant grid.
+    return put
+
+
+def _cells_sql() -> str:
+    put = cell_grid()
     grid = " UNION ALL ".join(f"SELECT {i} AS cell_no" for i in range(len(put)))
     pick = lambda k, quote: "CASE cell_no " + " ".join(
         f"WHEN {i} THEN " + (f"'{p[k]}'" if quote else str(p[k])) for i, p in enumerate(put)) + " END"
-    keep = "CASE cell_no " + " ".join(f"WHEN {i} THEN {p[4]}" for i, p in enumerate(put)) + " END"
     return (
         f"SELECT company_id, concat('co', cast(company_id as string), '_book.xlsx') AS file_name, {pick(0, True)} AS sheet, "
         f"{pick(1, False)} AS row_idx, {pick(2, False)} AS col_idx, {pick(3, False)} AS cell_text "
-        f"FROM c_totals CROSS JOIN ({grid}) g WHERE {keep}"
+        f"FROM c_totals CROSS JOIN ({grid}) g WHERE {pick(4, False)}"
     )
 
 
@@ -208,7 +211,7 @@ FROM lineitem GROUP BY l_suppkey, cast(date_trunc('month', l_shipdate) as date)"
 SELECT company_id, period, cast(outward as double) AS outward_supplies, cast(claimed as double) AS itc_claimed,
   cast(paid as double) AS tax_paid FROM c_month""",
     "c_gstr2a": """
-SELECT company_id, period, cast(vendor_a as double) + cast(vendor_n as double) + cast(vendor_r as double) AS available_itc,
+SELECT company_id, period, cast(vendor_a + vendor_n + vendor_r as double) AS available_itc,
   cast(vendor_a as double) AS vendor_a, cast(vendor_n as double) AS vendor_n, cast(vendor_r as double) AS vendor_r FROM c_month""",
     "c_gstr1": """
 SELECT company_id, period, cast(sales as double) AS invoice_sales_total FROM c_month WHERE company_id % 10 <> 9""",
@@ -266,6 +269,11 @@ SELECT d.doc_id, cast(substr(d.source, 4) as bigint) AS company_id,
   CASE WHEN toxic = 1 THEN 'SHAREHOLDING_PATTERN' ELSE NULL END AS human_override,
   CASE WHEN quality IS NULL THEN NULL ELSE quality = 1 END AS human_approved
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "c_scans": """
+SELECT conv_id AS doc_id, turn AS page_no, CASE WHEN role = 'user' THEN text ELSE '' END AS native_text,
+  CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN text ELSE '' END AS table_text, text AS ocr_text,
+  cast(length(text) % 70 as double) / 100 + cast(0.3 as double) AS ocr_confidence
+FROM conversations""",
     "c_files": """
 SELECT doc_id, cast(substr(source, 4) as bigint) AS company_id, n_chars * 30000 AS size_bytes,
   concat(CASE doc_id % 10 WHEN 0 THEN 'ALM-liquidity' WHEN 1 THEN 'Share Pattern Q' WHEN 2 THEN 'debt schedule' WHEN 3 THEN 'Annual.Report'

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from creditloom.sources.stand_ins import RAW, STAND_INS, with_clause
+from creditloom.session import scratch_path
+from creditloom.sources.stand_ins import RAW, STAND_INS, cell_grid, with_clause
 
 
 class Tables:
@@ -15,10 +18,35 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._stages: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A step written once to the shared folder and read back by all later steps.
+
+        Keeps long chains from being planned and run again per use, and a lost executor
+        from reaching back beyond the last written step.
+        """
+        if name not in self._stages:
+            path = scratch_path(self.spark, name)
+            build().write.parquet(path)
+            self._stages[name] = self.spark.read.parquet(path)
+        return self._stages[name]
+
+    @property
+    def cells(self) -> DataFrame:
+        """Same rows as the `c_cells` text, written as one explode per company row."""
+        grid = F.array(*[
+            F.when(F.expr(keep), F.struct(
+                F.lit(sheet).alias("sheet"), F.lit(row).alias("row_idx"), F.lit(col).alias("col_idx"), F.expr(text).alias("cell_text")
+            ))
+            for sheet, row, col, text, keep in cell_grid()
+        ])
+        file_name = F.concat(F.lit("co"), F.col("company_id").cast("string"), F.lit("_book.xlsx"))
+        return self.totals.select("company_id", file_name.alias("file_name"), F.inline(F.array_compact(grid)))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or f"c_{name}" not in STAND_INS:
             raise AttributeError(name)
