@@ -127,7 +127,10 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 def company_name(text: Column) -> Column:
-    return squeeze(F.coalesce(rlike_first(text, NAME_SUFFIX), rlike_first(text, NAME_LABEL)))
+    # The suffix pattern tries every letter as a start; texts without a suffix skip it.
+    by_suffix = F.when(text.rlike("(?i)Ltd|Limited|LLP"), rlike_first(text, NAME_SUFFIX))
+    by_label = F.when(text.rlike("(?i)name of the company"), rlike_first(text, NAME_LABEL))
+    return squeeze(F.coalesce(by_suffix, by_label))
 
 
 def total_debt(text: Column) -> Column:
@@ -146,6 +149,7 @@ def rating_facts(docs: DataFrame) -> DataFrame:
 
 
 def bank_limits(text: Column, cap: int = 10) -> Column:
+    text = F.when(text.rlike("(?i)bank"), text).otherwise("")
     names, amounts = (F.regexp_extract_all(text, F.lit(BANK_LIMIT), F.lit(g)) for g in (1, 2))
     rows = F.transform(F.arrays_zip(names.alias("n"), amounts.alias("a")), lambda x: F.struct(squeeze(x["n"]).alias("lender"), number_text(x["a"]).alias("limit_amount")))
     return F.slice(F.filter(rows, lambda x: x["limit_amount"].isNotNull()), 1, cap)

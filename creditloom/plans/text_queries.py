@@ -19,7 +19,7 @@ RESPONSE_FIELDS = [
 
 
 def _pages(t: Tables) -> DataFrame:
-    return t.raw("pages").select(
+    return t.web_pages.select(
         "page_id", "url", X.page_text(F.col("html")).alias("content"), F.concat(F.lit("query for page "), F.col("page_id").cast("string")).alias("query"))
 
 

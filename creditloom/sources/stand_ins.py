@@ -77,6 +77,12 @@ _NOTE_LINES = [
     "'\nmanagement_cooperation: evasive and worker unrest, compliance gap'",
 ]
 
+_PAGE_LINES = [
+    "'<p>ED raid on promoters and NCLT hearing; RBI and court orders follow</p>'", "'<p>Loan default and cheque bounce reported</p>'",
+    "'<p>Insolvency plea filed</p>'", "'<p>Strong demand and expansion</p>'", "'<p>SEBI regulatory note</p>'",
+    "'<div>arbitration award</div>'", "'<aside>fake invoice</aside>'", "'<p>Steady quarter</p>'", "'<!-- cbi -->'",
+]
+
 _HOSTS = [
     "'www.thehindu.com'", "'economictimes.indiatimes.com'", "'ecourts.gov.in'", "'www.mca.gov.in'",
     "'rbi.org.in'", "'m.reuters.com'", "'www.youtube.com'", "'blog.example.org'",
@@ -269,6 +275,11 @@ SELECT d.doc_id, cast(substr(d.source, 4) as bigint) AS company_id,
   CASE WHEN toxic = 1 THEN 'SHAREHOLDING_PATTERN' ELSE NULL END AS human_override,
   CASE WHEN quality IS NULL THEN NULL ELSE quality = 1 END AS human_approved
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "c_web_pages": f"""
+SELECT page_id, url, concat(html, {_case('page_id % 9', _PAGE_LINES)}) AS html FROM pages""",
+    "c_registry": """
+SELECT s_suppkey AS company_id, CASE WHEN s_nationkey % 5 = 0 THEN concat('Gone', cast(s_suppkey as string), ' Traders, Closed Mills') ELSE NULL END AS struck_off,
+  cast(cast(60 + s_nationkey as decimal(6,1)) as double) AS compliance_score FROM supplier""",
     "c_scans": """
 SELECT conv_id AS doc_id, turn AS page_no, CASE WHEN role = 'user' THEN text ELSE '' END AS native_text,
   CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN text ELSE '' END AS table_text, text AS ocr_text,

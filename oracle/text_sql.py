@@ -85,9 +85,9 @@ _html = f"regexp_replace({_html}, '<[^>]*>', chr(10), 'g')"
 for _a, _b in X.ENTITIES.items():
     _html = f"replace({_html}, '{_a}', '{q(_b)}')"
 CTES["c_pagetext"] = f"""SELECT page_id, url, concat('query for page ', page_id) AS query,
-  array_to_string(list_filter(list_transform(string_split({_html}, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> ''), chr(10)) AS content FROM pages"""
+  array_to_string(list_filter(list_transform(string_split({_html}, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> ''), chr(10)) AS content FROM c_web_pages"""
 CTES["c_headline"] = """SELECT page_id, content, coalesce(list_filter(string_split(content, chr(10)), lambda s: length(s) BETWEEN 15 AND 180)[1], query) AS headline,
-  concat(upper(substr(lab, 1, 1)), lower(substr(lab, 2))) AS source_name FROM (SELECT *, split_part(replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), 'www.', ''), '.', 1) AS lab FROM c_pagetext) x"""
+  array_to_string(list_transform(string_split(lab, '-'), lambda s: concat(upper(substr(s, 1, 1)), lower(substr(s, 2)))), '-') AS source_name FROM (SELECT *, split_part(replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), 'www.', ''), '.', 1) AS lab FROM c_pagetext) x"""
 CTES["c_pagefind"] = "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, finding_type, severity, score_impact, headline, trim(replace(substr(content, 1, 400), chr(10), ' ')) AS summary, source_name, substr(content, 1, 1200) AS raw_snippet FROM (" + " UNION ALL ".join(
     f"SELECT page_id, content, headline, source_name, {i} AS k, '{t}' AS finding_type, '{s}' AS severity, CAST({v} AS DOUBLE) AS score_impact FROM c_headline WHERE length(content) >= 120 AND regexp_matches(lower(content), '{p}')"
     for i, (p, t, s, v) in enumerate(X.PAGE_RULES)) + ") x QUALIFY pos < 3"
@@ -164,9 +164,9 @@ SQL.update({
     "txt_26_enriched_notes": "SELECT * FROM c_enriched",
     "txt_27_chosen_holding": """SELECT doc_id, CASE WHEN ok THEN CAST(doc_id % 70 AS DOUBLE) ELSE promoter_holding_pct END AS promoter_holding_pct, CASE WHEN ok THEN mc ELSE confidence END AS confidence, NOT ok AS fallback_used
 FROM (SELECT *, doc_id % 4 >= 2 OR coalesce(mc >= 0.6, false) AS ok FROM (SELECT *, CASE WHEN doc_id % 10 < 8 THEN CAST(doc_id % 10 AS DOUBLE) / 10 END AS mc FROM c_holding_facts) a) b""",
-    "txt_28_chosen_text": f"""SELECT doc_id, CASE WHEN length(native) >= 120 THEN native WHEN length(both) >= 120 THEN both ELSE every END AS text, CASE WHEN length(native) >= 120 THEN 'native' WHEN length(both) >= 120 THEN 'native+tables' ELSE 'ocr' END AS method,
-  CAST(CASE WHEN length(native) >= 120 THEN 0.9 WHEN length(both) >= 120 THEN 0.78 WHEN length(every) = 0 THEN 0.3 WHEN length(every) < 120 THEN least(c, 0.45) ELSE c END AS DOUBLE) AS confidence
-FROM (SELECT *, trim(concat(both, chr(10), ocr)) AS every FROM (SELECT *, trim(concat(native, chr(10), tables)) AS both FROM (SELECT doc_id, trim({_scan.replace('COL', 'native_text')}) AS native, trim({_scan.replace('COL', 'table_text')}) AS tables, trim({_scan.replace('COL', 'ocr_text')}) AS ocr,
+    "txt_28_chosen_text": f"""SELECT doc_id, CASE WHEN length(native) >= 120 THEN native WHEN length(pair) >= 120 THEN pair ELSE every END AS text, CASE WHEN length(native) >= 120 THEN 'native' WHEN length(pair) >= 120 THEN 'native+tables' ELSE 'ocr' END AS method,
+  CAST(CASE WHEN length(native) >= 120 THEN 0.9 WHEN length(pair) >= 120 THEN 0.78 WHEN length(every) = 0 THEN 0.3 WHEN length(every) < 120 THEN least(c, 0.45) ELSE c END AS DOUBLE) AS confidence
+FROM (SELECT *, trim(concat(pair, chr(10), ocr)) AS every FROM (SELECT *, trim(concat(native, chr(10), tables)) AS pair FROM (SELECT doc_id, trim({_scan.replace('COL', 'native_text')}) AS native, trim({_scan.replace('COL', 'table_text')}) AS tables, trim({_scan.replace('COL', 'ocr_text')}) AS ocr,
   least(greatest({r('avg(ocr_confidence)', 6)}, 0.35), 0.98) AS c FROM c_scans GROUP BY 1) a) b) d""",
     "txt_29_response_findings": """SELECT page_id, pos, concat('Headline ', page_id) AS headline, url AS summary, CASE WHEN page_id % 2 = 0 THEN 'LITIGATION' ELSE 'INFORMATIONAL' END AS finding_type, CASE WHEN page_id % 4 < 2 THEN 'HIGH' ELSE 'INFORMATIONAL' END AS severity,
   CAST(CASE WHEN page_id % 2 = 0 THEN -3.5 ELSE 0 END AS DOUBLE) AS score_impact, CASE WHEN page_id % 3 = 1 THEN DATE '2024-03-05' ELSE DATE '2023-11-07' END AS source_date, 'model' AS origin
