@@ -6,11 +6,12 @@ summary, raw_snippet, confidence, score_impact; seq orders the findings of a com
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import has_any, lookup, present, severity_rank
-from creditloom.operators.intake import ends_with_any
+from creditloom.functions.values import ends_with_any, has_any, lookup, present, severity_rank
 from creditloom.operators.ledger import first_n
 from creditloom.operators.payloads import report_type, severity_or_info
 
@@ -23,10 +24,10 @@ BLOCKED_EXTENSIONS = [
 ]
 NEWS = ["economictimes.indiatimes.com", "thehindu.com", "business-standard.com", "livemint.com", "moneycontrol.com", "reuters.com"]
 LEGAL, REGISTRY, REGULATORS = ["ecourts.gov.in"], ["mca.gov.in"], ["rbi.org.in", "sebi.gov.in", "fssai.gov.in"]
-ALLOWED = {
-    "LITIGATION": LEGAL, "MCA_FILING": REGISTRY, "REGULATORY_ACTION": REGULATORS,
-    "SECTOR_NEWS": NEWS, "COMPANY_NEWS": NEWS, "FRAUD_ALERT": NEWS, "PROMOTER_BACKGROUND": NEWS,
-}
+ALLOWED = [
+    (["LITIGATION"], LEGAL), (["MCA_FILING"], REGISTRY), (["REGULATORY_ACTION"], REGULATORS),
+    (["SECTOR_NEWS", "COMPANY_NEWS", "FRAUD_ALERT", "PROMOTER_BACKGROUND"], NEWS),
+]
 RED_FLAG_WORDS = [
     "benami", "hawala", "round-tripping", "shell company", "struck off", "cirp", "liquidation", "attachment order",
     "lookout notice", "money laundering", "pmla",
@@ -95,9 +96,9 @@ def is_excluded(url: Column) -> Column:
 def is_allowed(url: Column, query_type: Column) -> Column:
     """Host equals or lies below a domain listed for the query type; other types may use every list."""
     host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.", "")
-    within = lambda domains: F.greatest(*[(host == d) | F.endswith(host, F.lit("." + d)) for d in domains], F.lit(False))
-    verdict = F.coalesce(*[F.when(F.upper(query_type) == k, within(v)) for k, v in ALLOWED.items()], within(NEWS + LEGAL + REGISTRY + REGULATORS))
-    return (host != "") & verdict
+    within = lambda domains: host.rlike(r"(?:^|\.)(?:" + "|".join(re.escape(d) for d in domains) + r")\z")
+    listed = [F.when(F.upper(query_type).isin(kinds), within(domains)) for kinds, domains in ALLOWED]
+    return F.coalesce(*listed, within(NEWS + LEGAL + REGISTRY + REGULATORS))
 
 
 def usable_results(landed: DataFrame) -> DataFrame:
@@ -330,8 +331,8 @@ def search_plan(companies: DataFrame, year: int) -> DataFrame:
 def ordered_plan(plan: DataFrame, depth: str = "deep") -> DataFrame:
     """Searches up to the depth's priority, most important first, otherwise in plan order."""
     limit = DEPTH.get(depth.lower(), 3)
-    return first_n(plan.filter(F.col("priority") <= limit), ["company_id"], [F.col("priority"), F.col("seq")], 10_000, "position").select(
-        "company_id", F.col("position").cast("bigint").alias("position"), "query", "query_type", "priority")
+    position = F.row_number().over(Window.partitionBy("company_id").orderBy("priority", "seq")).cast("bigint")
+    return plan.filter(F.col("priority") <= limit).select("company_id", position.alias("position"), "query", "query_type", "priority")
 
 
 def flag_list(anomalies: DataFrame, indicators: DataFrame, research_alerts: DataFrame) -> DataFrame:

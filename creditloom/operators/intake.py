@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import has_any
+from creditloom.functions.values import ends_with_any, has_any
 
 # File-name words per class (in order of precedence), upload lists, sheet words.
 NAME_RULES = [
@@ -48,13 +48,6 @@ def _first_rule(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
     return F.coalesce(*[F.when(has_any(text, words), F.lit(name)) for name, words in rules])
 
 
-def ends_with_any(text: Column, endings: list[str]) -> Column:
-    found = F.lit(False)
-    for e in endings:
-        found = found | F.endswith(text, F.lit(e))
-    return found
-
-
 def name_class(files: DataFrame) -> DataFrame:
     """Class from the file name; spaces, dashes and dots count as underscores."""
     normal = F.regexp_replace(F.lower("file_name"), r"[\s\-\.]", "_")

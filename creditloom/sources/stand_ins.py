@@ -83,10 +83,8 @@ _PAGE_LINES = [
     "'<div>arbitration award</div>'", "'<aside>fake invoice</aside>'", "'<p>Steady quarter</p>'", "'<!-- cbi -->'",
 ]
 
-_HOSTS = [
-    "'www.thehindu.com'", "'economictimes.indiatimes.com'", "'ecourts.gov.in'", "'www.mca.gov.in'",
-    "'rbi.org.in'", "'m.reuters.com'", "'www.youtube.com'", "'blog.example.org'",
-]
+_HOSTS = "www.thehindu.com economictimes.indiatimes.com ecourts.gov.in www.mca.gov.in rbi.org.in m.reuters.com www.youtube.com blog.example.org"
+_HOST = f"split_part('{_HOSTS}', ' ', cast(event_id % 8 + 1 as int))"
 
 
 def _amount(expr: str) -> str:
@@ -246,8 +244,8 @@ SELECT user_id AS company_id, event_id AS seq, cast(ts as date) AS finding_date,
     WHEN 'view' THEN 'REGULATORY' ELSE 'COMPANY_NEWS' END AS finding_type,
   CASE WHEN value >= 150 THEN 'CRITICAL' WHEN value >= 70 THEN 'HIGH' WHEN value >= 35 THEN 'MEDIUM'
     WHEN value >= 15 THEN 'LOW' ELSE 'INFORMATIONAL' END AS severity,
-  concat('https://', {_case('event_id % 8', _HOSTS)}, '/Item/', cast(event_id % 97 as string)) AS source_url,
-  {_case('event_id % 8', _HOSTS)} AS source_name,
+  concat('https://', {_HOST}, '/Item/', cast(event_id % 97 as string)) AS source_url,
+  {_HOST} AS source_name,
   {_case('event_id % 13', _FINDING_SUMMARIES)} AS summary,
   concat('raw ', props, ' ', event_type) AS raw_snippet,
   cast(cast(0.5 + (event_id % 50) / 100.0 as decimal(4,2)) as double) AS confidence,
@@ -258,9 +256,9 @@ FROM events""",
 SELECT user_id AS company_id, event_id AS seq,
   concat(CASE event_id % 4 WHEN 0 THEN 'Fraud Check ' WHEN 1 THEN 'fraud check ' ELSE 'news ' END, cast(event_id % 11 as string)) AS query,
   CASE event_id % 5 WHEN 0 THEN 'LITIGATION' WHEN 1 THEN 'MCA_FILING' WHEN 2 THEN 'REGULATORY_ACTION' WHEN 3 THEN 'COMPANY_NEWS' ELSE 'OTHER' END AS query_type,
-  CASE WHEN event_id % 3 = 0 THEN concat('https://', {_case('event_id % 8', _HOSTS)}, '/a', cast(event_id % 23 as string),
+  CASE WHEN event_id % 3 = 0 THEN concat('https://', {_HOST}, '/a', cast(event_id % 23 as string),
     CASE WHEN event_id % 9 = 0 THEN '.png?x=1' ELSE '' END) ELSE '' END AS url,
-  CASE WHEN event_id % 3 = 1 THEN concat('https://', {_case('event_id % 8', _HOSTS)}, '/b', cast(event_id % 19 as string)) ELSE NULL END AS source_url,
+  CASE WHEN event_id % 3 = 1 THEN concat('https://', {_HOST}, '/b', cast(event_id % 19 as string)) ELSE NULL END AS source_url,
   CASE WHEN event_id % 2 = 0 THEN concat('desc ', event_type) ELSE '' END AS description,
   CASE WHEN event_id % 2 = 1 THEN concat('snip ', event_type) ELSE NULL END AS snippet,
   CASE WHEN event_id % 5 = 0 THEN concat('# page ', event_type) ELSE '' END AS markdown,

@@ -37,7 +37,10 @@ class Tables:
 
     @property
     def cells(self) -> DataFrame:
-        """Same rows as the `c_cells` text, written as one explode per company row."""
+        """Stored workbook cells; same rows as the `c_cells` text, written as one explode per company row."""
+        return self.staged("cells", self._make_cells)
+
+    def _make_cells(self) -> DataFrame:
         grid = F.array(*[
             F.when(F.expr(keep), F.struct(
                 F.lit(sheet).alias("sheet"), F.lit(row).alias("row_idx"), F.lit(col).alias("col_idx"), F.expr(text).alias("cell_text")

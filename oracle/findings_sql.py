@@ -13,7 +13,7 @@ def _in(domains) -> str:
     return "(" + " OR ".join(f"{_HOST} = '{d}' OR ends_with({_HOST}, '.{d}')" for d in domains) + ")"
 
 
-_ALLOW = "CASE query_type " + " ".join(f"WHEN '{k}' THEN {_in(v)}" for k, v in N.ALLOWED.items()) + f" ELSE {_in(N.NEWS + N.LEGAL + N.REGISTRY + N.REGULATORS)} END"
+_ALLOW = "CASE query_type " + " ".join(f"WHEN '{k}' THEN {_in(v)}" for ks, v in N.ALLOWED for k in ks) + f" ELSE {_in(N.NEWS + N.LEGAL + N.REGISTRY + N.REGULATORS)} END"
 CTES["c_usable"] = f"SELECT *, NOT {_EXC} AND {_ALLOW} AS usable FROM c_results"
 CTES["c_owners"] = "SELECT company_id, url, min(seq) AS seq, arg_min(query, seq) AS query FROM c_usable WHERE usable GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY min(seq)) <= 8"
 CTES["c_alerts"] = """SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY seq) AS rank_no, seq, 'External Critical Red Flag' AS title, summary, severity, source_name, source_url, true AS advisory_only
