@@ -109,7 +109,7 @@ def cell_grid() -> list[tuple[str, int, int, str, str]]:
     row("Financial Ratios", 4, "Debt Equity Ratio", "'1.5'", _amount("(n_rows % 40) / 10.0"))
     row("Financial Ratios", 5, "Current Ratio (times)", "'1.2'", _amount("0.8 + (n_rows % 15) / 10.0"))
     row("Financial Ratios", 6, "EBITDA Margin %", "'11%'", "concat(" + _amount("n_rows % 30") + ", '%')")
-    row("P&L", 2, "Revenue from Operations", "'100'", "concat('₹', " + _amount("gross / 1000000.0") + ")")
+    row("P&L", 2, "Revenue from Operations", "'100'", "concat('₹', " + _amount("gross / 1000000.0") + ")", "company_id % 7 <> 3")
     row("P&L", 3, "EBITDA", "'12'", _amount("gross / 9000000.0"))
     row("P&L", 4, "Finance Cost", "'4'", _amount("gross / 40000000.0"))
     row("P&L", 5, "Profit for the year", "'3'", _amount("gross / 30000000.0"))
