@@ -46,6 +46,11 @@ def floor_one(c: Column) -> Column:
     return F.greatest(c, F.lit(1.0))
 
 
+def round_to(c, decimals: int) -> Column:
+    """Half-up rounding that ignores binary noise behind the tenth decimal (0.169574999... is 0.169575)."""
+    return F.round(F.round(c, 10), decimals)
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
 
@@ -62,7 +67,7 @@ def flag(c: Column) -> Column:
 
 def short_number(c: Column, decimals: int) -> Column:
     """Shortest text of a rounded number that keeps one decimal place: 2 -> 2.0, 1.50 -> 1.5."""
-    fixed = F.round(c, decimals).cast(f"decimal(30,{max(decimals, 1)})").cast("string")
+    fixed = round_to(c, decimals).cast(f"decimal(30,{max(decimals, 1)})").cast("string")
     return F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
 
 
@@ -79,7 +84,7 @@ def percent_text(c: Column) -> Column:
 
 
 def crore_text(c: Column) -> Column:
-    return _or_absent(c, F.concat(F.lit("₹"), F.format_number(F.round(c, 2), 2), F.lit(" Cr")))
+    return _or_absent(c, F.concat(F.lit("₹"), F.format_number(round_to(c, 2), 2), F.lit(" Cr")))
 
 
 def squeeze(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import clip, percent_text, ratio_text, short_number, zero_as_missing
+from creditloom.functions.values import clip, percent_text, ratio_text, round_to, short_number, zero_as_missing
 from creditloom.operators.features import completeness
 from creditloom.operators.ledger import first_n
 from creditloom.operators.scoring import ALL_FEATURES
@@ -42,7 +42,7 @@ def approximations(profiles: DataFrame) -> DataFrame:
         "bounced_cheques_12m": zero("bounced_cheques") * 0.03,
         "sector_risk_index": F.lit(0.02),
     }
-    wide = profiles.select("company_id", *[F.round(v, 4).alias(k) for k, v in values.items()])
+    wide = profiles.select("company_id", *[round_to(v, 4).alias(k) for k, v in values.items()])
     return _ranked(wide.unpivot(["company_id"], list(values), "feature", "contribution"))
 
 
@@ -54,7 +54,7 @@ def _ranked(long: DataFrame) -> DataFrame:
 def contributions(vector: DataFrame) -> DataFrame:
     """One hundredth of each feature value, the default where no tree explanation is at hand."""
     long = vector.unpivot(["company_id"], ALL_FEATURES, "feature", "feature_value")
-    return long.select("company_id", "feature", "feature_value", F.round(F.col("feature_value") * 0.01, 6).alias("contribution"))
+    return long.select("company_id", "feature", "feature_value", round_to(F.col("feature_value") * 0.01, 6).alias("contribution"))
 
 
 def _sentence() -> Column:
@@ -101,4 +101,4 @@ def narratives(vector: DataFrame, n: int = 3) -> DataFrame:
         F.lit(" Primary constraints considered: "), F.coalesce("bad", F.lit("no material adverse trigger.")),
         F.lit(" Recommendation and pricing are therefore calibrated to these quantified signals."))
     return vector.join(sides, "company_id", "left").select(
-        "company_id", text.alias("narrative"), F.round(clip(F.round(completeness(ALL_FEATURES), 6), 0.5, 0.95), 2).alias("confidence"))
+        "company_id", text.alias("narrative"), round_to(clip(round_to(completeness(ALL_FEATURES), 6), 0.5, 0.95), 2).alias("confidence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import flag, lookup, zero_as_missing
+from creditloom.functions.values import flag, lookup, round_to, zero_as_missing
 
 # Sector weights and the order of the features.
 SECTOR_MULTIPLIER = {
@@ -61,7 +61,7 @@ def growth(yearly: DataFrame) -> DataFrame:
 def filing_consistency(summary: DataFrame) -> DataFrame:
     """Filed months out of the months between the first and the last return."""
     return summary.groupBy("company_id").agg(
-        F.round(F.count_distinct("period") / (F.round(F.months_between(F.max("period"), F.min("period")), 0) + 1) * 100, 2).alias("filing_consistency_pct"))
+        round_to(F.count_distinct("period") / (round_to(F.months_between(F.max("period"), F.min("period")), 0) + 1) * 100, 2).alias("filing_consistency_pct"))
 
 
 def tax_block(mismatch: DataFrame, recon: DataFrame) -> DataFrame:

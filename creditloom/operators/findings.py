@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import ends_with_any, has_any, lookup, present, severity_rank
+from creditloom.functions.values import ends_with_any, has_any, lookup, present, round_to, severity_rank
 from creditloom.operators.ledger import first_n
 from creditloom.operators.payloads import report_type, severity_or_info
 
@@ -166,7 +166,7 @@ def keyword_alerts(findings: DataFrame, cap: int = 15) -> DataFrame:
         F.concat(F.col("source_name"), F.lit(" (Keyword Classifier)")).alias("source_name"),
         F.concat(F.lit("Potential red-flag term(s) detected: "), F.array_join(F.slice("hits", 1, 3), ", "), F.lit(".")).alias("summary"),
         F.substring("raw_snippet", 1, 600).alias("raw_snippet"),
-        F.round(F.least(F.lit(0.95), F.col("confidence") + 0.1), 4).alias("confidence"), F.lit(-8.0).alias("score_impact"))
+        round_to(F.least(F.lit(0.95), F.col("confidence") + 0.1), 4).alias("confidence"), F.lit(-8.0).alias("score_impact"))
 
 
 def registry_findings(registry: DataFrame, as_of: Column) -> DataFrame:
@@ -179,7 +179,7 @@ def registry_findings(registry: DataFrame, as_of: Column) -> DataFrame:
         F.when(linked, "Director linkage with struck-off entities detected from MCA records.")
         .otherwise("MCA records show compliant filing history with no struck-off associations.").alias("summary"),
         F.when(linked, F.col("struck_off")).otherwise(
-            F.concat(F.lit("Filing compliance score: "), F.format_string("%.1f", F.round("compliance_score", 1)), F.lit("%"))).alias("raw_snippet"),
+            F.concat(F.lit("Filing compliance score: "), F.format_string("%.1f", round_to("compliance_score", 1)), F.lit("%"))).alias("raw_snippet"),
         F.when(linked, 0.9).otherwise(0.75).alias("confidence"), F.when(linked, -10.0).otherwise(0.0).alias("score_impact"))
 
 
@@ -216,7 +216,7 @@ def research_summary(findings: DataFrame) -> DataFrame:
         nclt.alias("has_nclt"),
         F.when((hits >= 2) | nclt, "HIGH_RISK").when((hits >= 1) | (suits >= 2), "MEDIUM_RISK").otherwise("LOW_RISK").alias("research_verdict"),
         F.count("*").alias("total_findings"),
-        F.round(F.sum(F.col("score_impact").cast("decimal(18,4)")).cast("double"), 1).alias("total_score_impact"))
+        round_to(F.sum(F.col("score_impact").cast("decimal(18,4)")).cast("double"), 1).alias("total_score_impact"))
 
 
 def by_severity(findings: DataFrame, urgent: int = 6, other: int = 4) -> DataFrame:
@@ -337,7 +337,7 @@ def ordered_plan(plan: DataFrame, depth: str = "deep") -> DataFrame:
 
 def flag_list(anomalies: DataFrame, indicators: DataFrame, research_alerts: DataFrame) -> DataFrame:
     """Anomalies, fraud indicators and research alerts in one shape."""
-    percent = F.round(F.col("confidence") * 100, 0).cast("bigint").cast("string")
+    percent = round_to(F.col("confidence") * 100, 0).cast("bigint").cast("string")
     a = anomalies.select("company_id", F.lit("anomaly").alias("origin"), "seq", "title", "details", "severity")
     b = indicators.select(
         "company_id", F.lit("indicator").alias("origin"), "seq", F.col("indicator").alias("title"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import has_any, squeeze
+from creditloom.functions.values import has_any, round_to, squeeze
 from creditloom.operators.ledger import first_n
 
 # Name rules, organisation patterns, agency names, link weights and caps.
@@ -109,12 +109,12 @@ def lenders(companies: DataFrame, limits: DataFrame, cap: int = 10) -> DataFrame
     amount = F.coalesce("limit_amount", F.lit(0.0))
     rows = limits.select(
         "company_id", "doc_id", "pos", F.trim("lender").alias("name"),
-        F.when(amount > 1e5, F.round(amount / 1e7, 2)).otherwise(F.round(amount, 2)).alias("amount_cr")).join(_names(companies), "company_id")
+        F.when(amount > 1e5, round_to(amount / 1e7, 2)).otherwise(round_to(amount, 2)).alias("amount_cr")).join(_names(companies), "company_id")
     return _first_per_name(rows.filter(valid_entity(F.col("name"), F.col("company_name"))), ["doc_id", "pos"], ["amount_cr"], cap)
 
 
 def _members(promoter_rows: DataFrame, subsidiary_rows: DataFrame, lender_rows: DataFrame, partner_rows: DataFrame, agency_rows: DataFrame) -> DataFrame:
-    one = lambda c, n: F.format_string(f"%.{n}f", F.round(c, n))
+    one = lambda c, n: F.format_string(f"%.{n}f", round_to(c, n))
     shape = lambda df, prefix, weight, risk, label: df.select(
         "company_id", F.concat(F.lit(prefix + "_"), (F.col("rank_no") - 1).cast("string")).alias("node_id"), "name",
         risk.alias("risk"), F.lit(weight).cast("bigint").alias("weight"), label.alias("label"))

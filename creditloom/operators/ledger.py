@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import floor_one
+from creditloom.functions.values import floor_one, round_to
 
 CENTS = "decimal(18,2)"
 
@@ -51,7 +51,7 @@ def emi_payments(ledger: DataFrame, cap: int = 100) -> DataFrame:
         "txn_id",
         "txn_date",
         F.nullif("party", F.lit("")).alias("lender"),
-        F.round(F.col("debit").cast("double"), 2).alias("amount"),
+        round_to(F.col("debit").cast("double"), 2).alias("amount"),
         F.lit(EMI_CONFIDENCE).alias("confidence"),
     )
 
@@ -157,7 +157,7 @@ def circular_pairs(ledger: DataFrame, tolerance: str = "0.02", days: int = 3, ca
         F.col("first.hit.txn_id").alias("credit_txn_id"),
         F.col("first.day").alias("txn_date"),
         F.col("first.hit.party").alias("party"),
-        F.round(F.col("first.hit.amount").cast("double"), 2).alias("amount"),
+        round_to(F.col("first.hit.amount").cast("double"), 2).alias("amount"),
         F.substring(F.coalesce(F.col("first.hit.narration"), F.lit("")), 1, 160).alias("narration"),
     )
 
@@ -187,9 +187,9 @@ def ledger_totals(ledger: DataFrame, keys: list[str]) -> DataFrame:
     early, late = F.coalesce(F.sum("march_early"), zero), F.coalesce(F.sum("march_late"), zero)
     cash_share = F.try_divide(F.sum("cash_debits").cast("double"), F.sum("debit_sum").cast("double"))
     return monthly_sums(ledger, keys).groupBy(*keys).agg(
-        F.coalesce(F.round(F.avg(F.try_divide("balance_sum", "balance_rows")), 2), F.lit(0.0)).alias("average_monthly_balance"),
-        F.round(F.sum("credit_sum").cast("double"), 2).alias("banking_turnover"),
-        F.round(F.max("debit_max").cast("double"), 2).alias("largest_debit"),
+        F.coalesce(round_to(F.avg(F.try_divide("balance_sum", "balance_rows")), 2), F.lit(0.0)).alias("average_monthly_balance"),
+        round_to(F.sum("credit_sum").cast("double"), 2).alias("banking_turnover"),
+        round_to(F.max("debit_max").cast("double"), 2).alias("largest_debit"),
         F.when(cash_share > 0.35, "ALARMING").when(cash_share > 0.2, "SUSPICIOUS").otherwise("NORMAL").alias("cash_pattern"),
         F.when(early <= 0, late > 0).otherwise(late > early * 3).alias("year_end_window_dressing"),
         F.sum("debit_sum").cast("double").alias("total_debits"),
@@ -209,8 +209,8 @@ def turnover_and_peak(ledger: DataFrame) -> DataFrame:
 
 def _coverage() -> list[Column]:
     return [
-        F.round(F.col("average_monthly_balance") / floor_one(F.coalesce("annual_revenue", F.lit(0.0))), 4).alias("abb_to_revenue"),
-        F.round(F.col("banking_turnover") / floor_one(F.coalesce("tax_turnover", F.lit(0.0))), 4).alias("banking_to_gst_ratio"),
+        round_to(F.col("average_monthly_balance") / floor_one(F.coalesce("annual_revenue", F.lit(0.0))), 4).alias("abb_to_revenue"),
+        round_to(F.col("banking_turnover") / floor_one(F.coalesce("tax_turnover", F.lit(0.0))), 4).alias("banking_to_gst_ratio"),
     ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import crore_text, percent_text, present, ratio_text
+from creditloom.functions.values import crore_text, percent_text, present, ratio_text, round_to
 
 # Texts and limits of the memo.
 INVESTMENT_GRADES = ["AAA", "AA+", "AA", "AA-", "A+", "A"]
@@ -57,9 +57,9 @@ def swot_input(blocks: DataFrame) -> DataFrame:
     return blocks.select(
         "company_id", "company_name", F.col("promoter_pledge_pct").alias("pledge"), F.coalesce("rating_action", F.lit("")).alias("rating_action"),
         F.coalesce("rating_grade", F.lit("")).alias("rating"), zero("ebitda_margin").alias("ebitda_margin"), zero("interest_coverage").alias("interest_coverage"),
-        F.col("debt_equity_ratio").alias("de_ratio"), F.round(zero("revenue_cagr_3yr") * 100, 4).alias("cagr_pct"),
+        F.col("debt_equity_ratio").alias("de_ratio"), round_to(zero("revenue_cagr_3yr") * 100, 4).alias("cagr_pct"),
         F.coalesce("itc_gap_pct", F.lit(100.0)).alias("gst_mismatch"), zero("concentration_pct").alias("concentration"), zero("current_ratio").alias("current_ratio"),
-        F.round(F.coalesce(F.try_divide("profit_after_tax", "revenue"), F.lit(0.0)) * 100, 4).alias("pat_margin"),
+        round_to(F.coalesce(F.try_divide("profit_after_tax", "revenue"), F.lit(0.0)) * 100, 4).alias("pat_margin"),
         F.lit(0.0).alias("loi_cr"), F.lit(0.0).alias("export_growth"), F.lit(0.0).alias("expansion_irr"), F.coalesce("partner", F.lit("")).alias("partner"),
         zero("contingent").alias("litigation_cr"), F.coalesce(F.nullif("net_worth", F.lit(0.0)), F.lit(1.0)).alias("net_worth"),
         F.coalesce("sector_headwinds", F.lit(False)).alias("commodity_risk"), F.lit(False).alias("parent_risk"))
@@ -69,7 +69,7 @@ def swot(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """Four lists and a thesis per company. `decisions`: company_id, risk_grade, normalized_score."""
     c = F.col
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    score = F.round("normalized_score", 0).cast("bigint").cast("string")
+    score = round_to("normalized_score", 0).cast("bigint").cast("string")
     upgraded = (c("rating_action") == "UPGRADED") & (c("rating") != "")
     big_suit = c("litigation_cr") > c("net_worth") * 0.5
     strengths = present([
@@ -163,7 +163,7 @@ def executive_lines(decisions: DataFrame) -> DataFrame:
     amount = crore_text(F.col("recommended_limit_cr"))
     rejected = F.concat(F.lit("Recommendation: REJECT | Limit: Not Sanctioned (Requested: "), amount, F.lit(") | Rate: N/A"))
     accepted = F.concat(F.lit("Recommendation: "), F.col("recommendation"), F.lit(" | Amount: "), amount, F.lit(" | Rate: "),
-                        F.format_string("%.2f", F.round("interest_rate", 2)), F.lit("% p.a."))
+                        F.format_string("%.2f", round_to("interest_rate", 2)), F.lit("% p.a."))
     return decisions.select(
         "company_id", F.when(F.col("recommendation") == "REJECT", rejected).otherwise(accepted).alias("line"),
         F.when((F.col("recommendation") == "REJECT") & (F.col("rule_hits") != ""), F.concat(F.lit("Rejection reasons: "), F.regexp_replace("rule_hits", ",", ", "))).alias("reasons"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import clip, lookup, present
+from creditloom.functions.values import clip, lookup, present, round_to
 
 # Flag limits, normalised names, accepted confidences.
 SHORT_TERM_LIMIT, GNPA_LIMIT, COLLECTION_FLOOR, STAGE3_LIMIT = 40, 5, 90, 5
@@ -62,7 +62,7 @@ def borrowing_summary(facilities: DataFrame) -> DataFrame:
         F.bool_or("overdue").alias("any_overdue"),
     )
     d = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    near_pct = F.round(F.try_divide(d("near"), d("total")) * 100, 4)
+    near_pct = round_to(F.try_divide(d("near"), d("total")) * 100, 4)
     flags = present([
         (F.col("any_overdue"), F.lit("Overdue facility")),
         (near_pct > SHORT_TERM_LIMIT, F.lit("More than 40% due within one year")),
@@ -70,7 +70,7 @@ def borrowing_summary(facilities: DataFrame) -> DataFrame:
     ])
     return sums.select(
         "company_id", d("total").alias("total_outstanding"), d("secured").alias("secured"), (d("total") - d("secured")).alias("unsecured"),
-        near_pct.alias("within_1yr_pct"), F.round(F.try_divide(d("cost"), d("total")), 4).alias("weighted_cost_pct"),
+        near_pct.alias("within_1yr_pct"), round_to(F.try_divide(d("cost"), d("total")), 4).alias("weighted_cost_pct"),
         F.col("any_overdue"), F.array_join(flags, " | ").alias("red_flags"))
 
 
@@ -110,7 +110,7 @@ def choose_text(pages: DataFrame) -> DataFrame:
         F.avg("ocr_confidence").alias("mean_confidence"))
     combined = F.trim(F.concat("native", F.lit("\n"), "tables"))
     everything = F.trim(F.concat(combined, F.lit("\n"), F.col("ocr")))
-    ocr = clip(F.round("mean_confidence", 6), 0.35, 0.98)
+    ocr = clip(round_to("mean_confidence", 6), 0.35, 0.98)
     last = F.when(F.char_length(everything) == 0, 0.3).otherwise(ocr)
     native_ok, combined_ok = F.char_length("native") >= MIN_TEXT, F.char_length(combined) >= MIN_TEXT
     return docs.select(

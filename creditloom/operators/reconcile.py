@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import clip, floor_one, percent_gap, present
+from creditloom.functions.values import clip, floor_one, percent_gap, present, round_to
 
 # Mismatch thresholds and reconciliation defaults.
 ITC_CRITICAL, ITC_FRAUD, ITC_MEDIUM, SALES_RATIO = 0.15, 0.05, 0.02, 1.3
@@ -28,10 +28,10 @@ def tax_mismatch(sides: DataFrame, keys: list[str]) -> DataFrame:
     ratio = F.when(F.col("bank_credits") > 0, F.col("invoice_sales_total") / F.col("bank_credits"))
     inflated = F.coalesce(ratio > SALES_RATIO, F.lit(False))
     circular = (inflation > ITC_FRAUD) & inflated
-    money = lambda c: F.format_number(F.round(F.col(c), 2), 2)
+    money = lambda c: F.format_number(round_to(F.col(c), 2), 2)
     return sides.select(
         *keys,
-        F.round(inflation * 100, 2).alias("itc_inflation_pct"),
+        round_to(inflation * 100, 2).alias("itc_inflation_pct"),
         inflated.alias("revenue_inflation_flag"),
         circular.alias("suspected_circular"),
         F.when(inflation >= ITC_CRITICAL, "CRITICAL")
@@ -53,7 +53,7 @@ def turnover_by_month(summary: DataFrame, credits: DataFrame) -> DataFrame:
     joined = summary.select("company_id", "period", "outward_supplies").join(credits, ["company_id", "period"], "full")
     tax, bank = F.coalesce("outward_supplies", F.lit(0.0)), F.coalesce("bank_credits", F.lit(0.0))
     return joined.select(
-        "company_id", "period", tax.alias("tax_turnover"), bank.alias("bank_credits"), F.round(percent_gap(tax, bank), 2).alias("gap_pct")
+        "company_id", "period", tax.alias("tax_turnover"), bank.alias("bank_credits"), round_to(percent_gap(tax, bank), 2).alias("gap_pct")
     )
 
 
@@ -107,7 +107,7 @@ def itr_gap() -> Column:
 
 def gaps(assembled: DataFrame) -> DataFrame:
     return assembled.select(
-        "company_id", F.round(bank_gap(), 2).alias("gst_vs_bank_gap"), F.round(itr_gap(), 2).alias("itr_vs_gst_gap")
+        "company_id", round_to(bank_gap(), 2).alias("gst_vs_bank_gap"), round_to(itr_gap(), 2).alias("itr_vs_gst_gap")
     )
 
 
@@ -116,11 +116,11 @@ def _note(title: str, details: Column, severity: Column) -> Column:
 
 
 def _fixed(c: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", F.round(c, decimals))
+    return F.format_string(f"%.{decimals}f", round_to(c, decimals))
 
 
 def _whole(c: Column) -> Column:
-    return F.format_number(F.round(c, 0), 0)
+    return F.format_number(round_to(c, 0), 0)
 
 
 def anomaly_list() -> Column:
@@ -177,7 +177,7 @@ def consistency() -> Column:
         + F.least(F.lit(20.0), F.col("pair_count") * 2.0)
         + F.when(F.col("tax_risk").isin("CRITICAL", "HIGH"), 15.0).otherwise(0.0)
     )
-    return F.greatest(F.lit(0.0), F.round(F.lit(100.0) - penalty, 2))
+    return F.greatest(F.lit(0.0), round_to(F.lit(100.0) - penalty, 2))
 
 
 def advice_list(score: Column) -> Column:
@@ -197,15 +197,15 @@ def service_cover() -> Column:
         F.col("net_cash_flow"),
         F.when(F.col("bank_turnover") > 0, F.col("bank_turnover") * 0.1).otherwise(F.greatest(F.col("tax_turnover"), F.lit(0.0)) * 0.08),
     )
-    return F.round(cash / floor_one(F.col("obligation")), 3)
+    return round_to(cash / floor_one(F.col("obligation")), 3)
 
 
 def reconcile(assembled: DataFrame) -> DataFrame:
     """The full report: gaps, cover, score, and the three lists."""
     return assembled.select(
         "company_id",
-        F.round(bank_gap(), 2).alias("gst_vs_bank_gap"),
-        F.round(itr_gap(), 2).alias("itr_vs_gst_gap"),
+        round_to(bank_gap(), 2).alias("gst_vs_bank_gap"),
+        round_to(itr_gap(), 2).alias("itr_vs_gst_gap"),
         service_cover().alias("dscr"),
         F.lit(RECEIVABLE_DAYS + INVENTORY_DAYS - PAYABLE_DAYS).cast("bigint").alias("cycle_days"),
         consistency().alias("consistency_score"),
@@ -245,8 +245,8 @@ def annual_tax_rows(monthly: DataFrame, mismatch: DataFrame, ingested_at: Column
         F.col("claimed").alias("total_itc_claimed"),
         F.col("available").alias("total_itc_available_2a"),
         F.greatest(F.lit(0.0), F.col("claimed") - F.col("available")).alias("itc_overclaim_amount"),
-        F.round(F.greatest(F.lit(0.0), (F.col("claimed") - base) / base) * 100, 2).alias("overall_itc_gap_pct"),
-        F.round(F.col("filed") / 12.0 * 100, 2).alias("filing_compliance_pct"),
+        round_to(F.greatest(F.lit(0.0), (F.col("claimed") - base) / base) * 100, 2).alias("overall_itc_gap_pct"),
+        round_to(F.col("filed") / 12.0 * 100, 2).alias("filing_compliance_pct"),
         F.col("critical_months").alias("critical_flag_months"),
         F.coalesce("circular", F.lit(False)).alias("has_circular_trading"),
         ingested_at.alias("ingested_at"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import clip, lookup, present, zero_as_missing
+from creditloom.functions.values import clip, lookup, present, round_to, zero_as_missing
 from creditloom.operators.features import CREDIT_FEATURES, EXTRA_FEATURES, completeness
 
 # Weights, bands, grades, prices, limit shares, Five C benchmark, scenarios.
@@ -101,7 +101,7 @@ def band(score: Column) -> Column:
 
 def blend(scores: DataFrame) -> DataFrame:
     """`scores`: company_id, rule_score, stress_probability, critical_hit."""
-    final = clip(F.round(F.col("rule_score") * RULE_WEIGHT + (F.lit(1.0) - F.col("stress_probability")) * 100 * MODEL_WEIGHT, 1), 0, 100)
+    final = clip(round_to(F.col("rule_score") * RULE_WEIGHT + (F.lit(1.0) - F.col("stress_probability")) * 100 * MODEL_WEIGHT, 1), 0, 100)
     out = scores.withColumn("final_score", final).withColumn("risk_category", band(F.col("final_score")))
     decision = F.when(F.col("critical_hit") | (F.col("risk_category") == "CRITICAL"), "REJECT").when(F.col("risk_category") == "LOW", "APPROVE").otherwise("CONDITIONAL_APPROVE")
     return out.withColumn("decision", decision).withColumn("premium_bps", F.try_element_at(_bps(PREMIUM_BY_BAND), F.col("risk_category")))
@@ -114,7 +114,7 @@ def _bps(table: dict) -> Column:
 def working_capital_limit(blended: DataFrame, figures: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     gap = F.greatest(F.coalesce("current_assets", zero) - F.coalesce("current_liabilities", zero), zero)
-    limit = F.when(F.col("final_score") < 35, zero).otherwise(F.round(gap * 0.75 * (F.col("final_score") / 100), 1))
+    limit = F.when(F.col("final_score") < 35, zero).otherwise(round_to(gap * 0.75 * (F.col("final_score") / 100), 1))
     return blended.select("company_id", "final_score").join(figures.select("company_id", "current_assets", "current_liabilities"), "company_id", "left").select(
         "company_id", limit.alias("limit_cr"))
 
@@ -129,12 +129,12 @@ def premium(grade_name: Column) -> Column:
 
 
 def interest_rate(grade_name: Column) -> Column:
-    return F.round(F.lit(BASE_RATE) + premium(grade_name) / 100.0, 2)
+    return round_to(F.lit(BASE_RATE) + premium(grade_name) / 100.0, 2)
 
 
 def approved_limit(requested: Column, revenue: Column, grade_name: Column) -> Column:
     cap = F.greatest(F.coalesce(revenue, F.lit(0.0)), F.lit(0.0)) * REVENUE_SHARE
-    return F.round(F.least(F.greatest(F.coalesce(requested, F.lit(0.0)), F.lit(0.0)), cap) * lookup(LIMIT_BY_GRADE, grade_name, OTHER_LIMIT), 2)
+    return round_to(F.least(F.greatest(F.coalesce(requested, F.lit(0.0)), F.lit(0.0)), cap) * lookup(LIMIT_BY_GRADE, grade_name, OTHER_LIMIT), 2)
 
 
 def decide(inputs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def decide(inputs: DataFrame) -> DataFrame:
     impact = F.col("due_diligence_risk_adjustment") * 3.0
     raw = clip(F.col("model_score") - F.col("stress_probability") * 220.0 + impact, 0, 900)
     step = inputs.withColumn("rule_hits", hits).withColumn("raw_score", raw)
-    step = step.withColumn("raw_normalized", F.round(F.col("raw_score") / 900.0 * 100, 1))
+    step = step.withColumn("raw_normalized", round_to(F.col("raw_score") / 900.0 * 100, 1))
     over = F.col("is_fallback") & (F.col("raw_normalized") > 70)
     step = step.withColumns({
         "credit_score": F.when(rejected, 450.0).when(over, F.least(F.col("raw_score"), F.lit(630.0))).otherwise(F.col("raw_score")),
@@ -162,7 +162,7 @@ def decide(inputs: DataFrame) -> DataFrame:
     whole = lambda c: F.floor(c).cast("string")
     return step.select(
         "company_id",
-        F.round("credit_score", 2).alias("credit_score"),
+        round_to("credit_score", 2).alias("credit_score"),
         "normalized_score",
         F.when(rejected, "300-599").otherwise(F.concat(whole(F.greatest(F.lit(0.0), n - 5)), F.lit("-"), whole(F.least(F.lit(100.0), n + 5)))).alias("score_band"),
         "risk_grade",
@@ -170,9 +170,9 @@ def decide(inputs: DataFrame) -> DataFrame:
         approved_limit(F.col("requested_cr"), F.col("revenue_used_cr"), F.col("risk_grade")).alias("recommended_limit_cr"),
         interest_rate(F.col("risk_grade")).alias("interest_rate"),
         premium(F.col("risk_grade")).alias("premium_bps"),
-        F.when(rejected, 420.0).otherwise(F.round(F.greatest(F.lit(0.0), F.col("credit_score") - half), 2)).alias("confidence_low"),
-        F.when(rejected, 480.0).otherwise(F.round(F.least(F.lit(900.0), F.col("credit_score") + half), 2)).alias("confidence_high"),
-        F.when(rejected, 0.0).otherwise(F.round(impact, 2)).alias("human_input_points"),
+        F.when(rejected, 420.0).otherwise(round_to(F.greatest(F.lit(0.0), F.col("credit_score") - half), 2)).alias("confidence_low"),
+        F.when(rejected, 480.0).otherwise(round_to(F.least(F.lit(900.0), F.col("credit_score") + half), 2)).alias("confidence_high"),
+        F.when(rejected, 0.0).otherwise(round_to(impact, 2)).alias("human_input_points"),
         F.array_join("rule_hits", ",").alias("rule_hits"),
         F.when(F.col("is_fallback"), FALLBACK_WARNING).otherwise("").alias("warnings"),
     )
@@ -181,7 +181,7 @@ def decide(inputs: DataFrame) -> DataFrame:
 def derived_scores(decisions: DataFrame) -> DataFrame:
     s = F.col("credit_score")
     return decisions.select(
-        "company_id", F.round(clip((F.lit(900.0) - s) / 600.0, 0, 1), 6).alias("stress_share"), F.round(clip((s - 300.0) / 6.0, 0, 100), 6).alias("swot_score"))
+        "company_id", round_to(clip((F.lit(900.0) - s) / 600.0, 0, 1), 6).alias("stress_share"), round_to(clip((s - 300.0) / 6.0, 0, 100), 6).alias("swot_score"))
 
 
 def five_cs(vector: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def five_cs(vector: DataFrame) -> DataFrame:
     collateral = c("collateral_coverage_ratio") * 3.5 + c("collateral_type_score") / 2.5
     conditions = F.lit(8.0) - (c("has_sector_headwinds") * 2.5 + c("has_revenue_inflation_signals") * 2.0 + c("has_nclt_proceedings") * 1.5 + c("has_circular_trading_signals") * 1.5)
     axes = {"character": character, "capacity": clip(capacity, 1, 10), "capital": clip(capital, 1, 10), "collateral": clip(collateral, 1, 10), "conditions": clip(conditions, 1, 10)}
-    return vector.select("company_id", *[F.round(v, 2).alias(k) for k, v in axes.items()])
+    return vector.select("company_id", *[round_to(v, 2).alias(k) for k, v in axes.items()])
 
 
 def _axes_long(wide: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def five_c_levels(wide: DataFrame) -> DataFrame:
 
 def five_c_benchmark(wide: DataFrame) -> DataFrame:
     mark = lookup(BENCHMARK, F.col("axis"), None)
-    return _axes_long(wide).select("company_id", "axis", "score", mark.alias("benchmark"), F.round(F.col("score") - mark, 2).alias("difference"))
+    return _axes_long(wide).select("company_id", "axis", "score", mark.alias("benchmark"), round_to(F.col("score") - mark, 2).alias("difference"))
 
 
 def five_cs_short(vector: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def five_cs_short(vector: DataFrame) -> DataFrame:
         "collateral": z("collateral_coverage_ratio", 1.1) * 4 + z("collateral_type_score", 5.0) / 2,
         "conditions": F.lit(8.0) - F.col("has_sector_headwinds") * 2.5 - F.col("has_revenue_inflation_signals") * 2,
     }
-    return vector.select("company_id", *[F.round(clip(v, 1, 10), 4).alias(k) for k, v in axes.items()])
+    return vector.select("company_id", *[round_to(clip(v, 1, 10), 4).alias(k) for k, v in axes.items()])
 
 
 def stress_grid(scores: DataFrame, drops: list[int] = SCENARIOS) -> DataFrame:
@@ -233,11 +233,11 @@ def stress_grid(scores: DataFrame, drops: list[int] = SCENARIOS) -> DataFrame:
     stressed = clip(F.col("final_score") - drop / 10.0 * 8, 0, 100)
     return scores.select("company_id", "final_score", F.explode(F.array(*[F.lit(d).cast("bigint") for d in drops])).alias("drop_pct")).select(
         "company_id", "drop_pct",
-        F.round(stressed, 0).alias("stressed_score"),
+        round_to(stressed, 0).alias("stressed_score"),
         F.when(stressed >= 75, "APPROVE").when(stressed >= 50, "CONDITIONAL APPROVE").otherwise("REJECT").alias("stressed_decision"),
-        F.round(drop / 10.0 * 8, 0).alias("score_reduction"),
-        F.round(drop * 0.8, 4).alias("ebitda_impact_pct"),
-        F.round(drop * 0.6, 4).alias("dscr_impact_pct"))
+        round_to(drop / 10.0 * 8, 0).alias("score_reduction"),
+        round_to(drop * 0.8, 4).alias("ebitda_impact_pct"),
+        round_to(drop * 0.6, 4).alias("dscr_impact_pct"))
 
 
 def label_score(vector: DataFrame) -> DataFrame:
@@ -251,8 +251,8 @@ def label_score(vector: DataFrame) -> DataFrame:
         F.lit(780.0) + c("dscr") * 40 + c("interest_coverage_ratio") * 25 + c("management_integrity_score") * 8 - c("gstr3b_vs_2a_itc_gap") * 3
         - c("has_litigation") * 35 - c("has_promoter_fraud_news") * 60 + c("due_diligence_risk_adjustment") * 1.5)
     return vector.select(
-        "company_id", F.round(signal, 4).alias("stress_signal"), (F.round(signal, 4) > 0.9).cast("int").cast("double").alias("stress_label"),
-        F.round(clip(score, 300, 900), 6).alias("target_score"))
+        "company_id", round_to(signal, 4).alias("stress_signal"), (round_to(signal, 4) > 0.9).cast("int").cast("double").alias("stress_label"),
+        round_to(clip(score, 300, 900), 6).alias("target_score"))
 
 
 def stress_rule(calibrator: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -266,4 +266,4 @@ ALL_FEATURES = CREDIT_FEATURES + EXTRA_FEATURES
 
 
 def feature_completeness(vector: DataFrame) -> DataFrame:
-    return vector.select("company_id", F.round(completeness(ALL_FEATURES), 6).alias("completeness"))
+    return vector.select("company_id", round_to(completeness(ALL_FEATURES), 6).alias("completeness"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.text import clipped, first_item, lines_of, number_text, sentences_with
-from creditloom.functions.values import clip, has_any, present, rlike_first, squeeze
+from creditloom.functions.values import clip, has_any, present, rlike_first, round_to, squeeze
 
 # Patterns, words, limits and confidences.
 NUM = r"([\d,]+(?:\.\d+)?)"
@@ -109,7 +109,7 @@ def money_series(text: Column, patterns: list[str], per_pattern: int = 5) -> Col
         numbers, units = (F.regexp_extract_all(text, F.lit(p), F.lit(g)) for g in (1, 2))
         pairs = F.slice(F.arrays_zip(numbers.alias("n"), units.alias("u")), 1, per_pattern)
         found.append(F.transform(pairs, lambda x, i: F.struct(
-            F.round(crore_value(x["n"], x["u"]), 2).alias("amount"), F.concat(F.lit("annual_"), (i + 1).cast("string")).alias("period"))))
+            round_to(crore_value(x["n"], x["u"]), 2).alias("amount"), F.concat(F.lit("annual_"), (i + 1).cast("string")).alias("period"))))
     return F.filter(F.concat(*found), lambda x: x["amount"] > 0)
 
 
@@ -214,11 +214,11 @@ def facts(docs: DataFrame, source_confidence: Column | float = 0.9) -> DataFrame
     )
     has_revenue = F.coalesce(F.col("revenue_cr") > 0, F.lit(False)) | (F.size("revenue_series") > 0)
     step = lambda cond, v: F.when(cond, v).otherwise(0.0)
-    own = F.round(F.least(
+    own = round_to(F.least(
         F.lit(0.55) + step(F.col("cin").isNotNull(), 0.05) + step(F.col("pan").isNotNull(), 0.05) + step(has_revenue, 0.1)
         + step(F.size("profit_series") > 0, 0.1) + step(F.col("content_type") != "UNKNOWN", 0.1), F.lit(0.95)), 3)
     confidence = clip((own + F.col("source_confidence")) / 2, 0.1, 1.0)
-    return base.withColumn("confidence", F.round(confidence, 6)).withColumn("needs_review", F.col("confidence") < 0.7)
+    return base.withColumn("confidence", round_to(confidence, 6)).withColumn("needs_review", F.col("confidence") < 0.7)
 
 
 def confidence_rows(docs: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def holders(docs: DataFrame) -> DataFrame:
     rows = at.select("doc_id", "company_id", "pos", name.alias("name"), rlike_first(F.col("line"), PERCENT).try_cast("double").alias("pct"))
     kept = rows.filter((F.col("pct") > 0) & (F.char_length("name") >= 3) & ~has_any(F.lower("name"), NOT_HOLDERS))
     return kept.groupBy("doc_id", "company_id", F.lower("name").alias("name_key")).agg(
-        F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"), F.round(F.min_by("pct", "pos"), 2).alias("pct")
+        F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"), round_to(F.min_by("pct", "pos"), 2).alias("pct")
     )
 
 
@@ -253,7 +253,7 @@ def top_holders(docs: DataFrame, n: int = 12) -> DataFrame:
 
 def _line_percent(lines: Column, word: str) -> Column:
     hits = F.filter(lines, lambda s: F.contains(F.lower(s), F.lit(word)) & s.rlike(PERCENT))
-    return F.round(rlike_first(first_item(hits), PERCENT).try_cast("double"), 2)
+    return round_to(rlike_first(first_item(hits), PERCENT).try_cast("double"), 2)
 
 
 def holding_facts(docs: DataFrame) -> DataFrame:

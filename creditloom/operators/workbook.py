@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import cell_number, has_any, rlike_first
+from creditloom.functions.values import cell_number, has_any, rlike_first, round_to
 
 SHEET = ["company_id", "file_name", "sheet"]
 
@@ -144,9 +144,9 @@ def leverage(figures: DataFrame) -> DataFrame:
     known = raw.isNotNull()
     return figures.select(
         "*",
-        F.when(known, F.round(equity, 3)).otherwise(F.col("stated_equity")).alias("net_worth"),
-        F.when(known, F.round(debt, 3)).otherwise(F.col("stated_debt")).alias("total_debt"),
-        F.when(known, F.when(raw <= 20, F.round(raw, 3))).otherwise(F.col("stated_de")).alias("debt_equity_ratio"),
+        F.when(known, round_to(equity, 3)).otherwise(F.col("stated_equity")).alias("net_worth"),
+        F.when(known, round_to(debt, 3)).otherwise(F.col("stated_debt")).alias("total_debt"),
+        F.when(known, F.when(raw <= 20, round_to(raw, 3))).otherwise(F.col("stated_de")).alias("debt_equity_ratio"),
     )
 
 
@@ -155,7 +155,7 @@ def debt_service(figures: DataFrame) -> DataFrame:
     stated = F.nullif("stated_dscr", F.lit(0.0))
     proxy = F.when(F.col("interest_coverage") > 0, F.col("interest_coverage"))
     service = F.col("finance_cost") + F.greatest(F.coalesce("current_maturities", F.lit(0.0)), F.lit(0.0))
-    computed = F.when(F.col("finance_cost") > 0, F.round(F.col("ebitda") / service, 3))
+    computed = F.when(F.col("finance_cost") > 0, round_to(F.col("ebitda") / service, 3))
     return figures.select(
         "*",
         F.coalesce(stated, proxy, computed, F.col("stated_dscr")).alias("dscr"),
@@ -198,7 +198,7 @@ def credit_reconciliation(cells: DataFrame) -> DataFrame:
     )
     zero = F.lit(0.0)
     available, excess = F.coalesce("itc_available", zero), F.coalesce("itc_excess", zero)
-    computed = F.when(available > 0, F.round(excess / available * 100, 2)).otherwise(zero)
+    computed = F.when(available > 0, round_to(excess / available * 100, 2)).otherwise(zero)
     gap = F.coalesce(F.col("stated_mismatch"), computed)
     return years.join(wide, ["company_id", "file_name"], "left").select(
         "company_id",

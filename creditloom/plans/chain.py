@@ -58,7 +58,12 @@ def figures(t: Tables) -> DataFrame:
 
 
 def assembled(t: Tables) -> DataFrame:
-    return t.staged("assembled", lambda: R.assemble(
+    return t.staged("assembled", lambda: _assembled(t))
+
+
+def _assembled(t: Tables) -> DataFrame:
+    t.together(lambda: bank(t), lambda: mismatch(t), lambda: recon(t), lambda: holding(t), lambda: figures(t))
+    return (R.assemble(
         t.company, bank(t), tax_turnover_of(t), itr_total(t), mismatch(t), recon(t), holding(t), figures(t)
     ))
 

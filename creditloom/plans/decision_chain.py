@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.functions.values import round_to
 from creditloom.operators import diligence as D
 from creditloom.operators import features as E
 from creditloom.operators import findings as N
@@ -47,13 +48,14 @@ def blocks(t: Tables) -> DataFrame:
 
 
 def _blocks(t: Tables) -> DataFrame:
+    t.together(lambda: chain.assembled(t), lambda: doc_facts(t))
     figures = chain.figures(t).select(
         "company_id", "interest_coverage", "current_ratio", "ebitda_margin", "revenue", "profit_after_tax", "current_assets", "current_liabilities",
         "contingent", "net_worth", "total_debt", "debt_equity_ratio", "dscr")
     report = chain.report(t).select("company_id", "gst_vs_bank_gap", "itr_vs_gst_gap", F.col("dscr").alias("reconciled_dscr"), "consistency_score")
     bank = chain.bank(t).filter("has_ledger").select("company_id", "banking_to_gst_ratio", "abb_to_revenue", F.col("shell_count").alias("bounced_cheques"))
     borrowing = P.borrowing_summary(t.facilities).select(
-        "company_id", "within_1yr_pct", "weighted_cost_pct", F.round(F.col("total_outstanding") / 1e7, 4).alias("existing_debt_cr"))
+        "company_id", "within_1yr_pct", "weighted_cost_pct", round_to(F.col("total_outstanding") / 1e7, 4).alias("existing_debt_cr"))
     registry = t.registry.select(
         "company_id", F.col("struck_off").isNotNull().alias("struck_off"), "compliance_score",
         (F.col("struck_off").isNotNull() & (F.col("compliance_score") < 70)).alias("director_disqualified"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.functions.values import round_to
 from creditloom.operators import diligence as D
 from creditloom.operators import intake as I
 from creditloom.operators import payloads as P
@@ -45,7 +46,7 @@ def _liquidity(t: Tables) -> DataFrame:
 
 
 def _portfolio(t: Tables) -> DataFrame:
-    share = lambda cond: F.round(F.coalesce(F.sum(F.when(cond, F.col("outstanding"))), F.lit(0)).cast("double") / F.sum("outstanding").cast("double") * 100, 4)
+    share = lambda cond: round_to(F.coalesce(F.sum(F.when(cond, F.col("outstanding"))), F.lit(0)).cast("double") / F.sum("outstanding").cast("double") * 100, 4)
     late, secured = F.col("overdue"), F.col("security").isNotNull()
     rows = t.facilities.groupBy("company_id").agg(
         share(late & ~secured).alias("gnpa_pct"), (F.lit(100.0) - share(late)).alias("collection_efficiency_pct"), share(late & secured).alias("stage_3_pct"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 from creditloom.session import scratch_path
 from creditloom.sources.stand_ins import RAW, STAND_INS, cell_grid, with_clause
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+_LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
 
 class Tables:
     """Lazy tables of one data folder; `t.ledger` is the domain table `c_ledger`."""
@@ -18,7 +24,6 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self._stages: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -27,13 +32,29 @@ class Tables:
         """A step written once to the shared folder and read back by all later steps.
 
         Keeps long chains from being planned and run again per use, and a lost executor
-        from reaching back beyond the last written step.
+        from reaching back beyond the last written step. Queries of one session over the
+        same folder share the written steps.
         """
-        if name not in self._stages:
-            path = scratch_path(self.spark, name)
-            build().write.parquet(path)
-            self._stages[name] = self.spark.read.parquet(path)
-        return self._stages[name]
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        with _LOCKS_GUARD:
+            lock = _LOCKS.setdefault(key, threading.Lock())
+        with lock:
+            path = _STAGED.get(key)
+            if path is None or not self._exists(path):
+                path = scratch_path(self.spark, name)
+                build().write.parquet(path)
+                _STAGED[key] = path
+        return self.spark.read.parquet(path)
+
+    def together(self, *steps: Callable[[], DataFrame]) -> None:
+        """Runs independent staged steps side by side."""
+        with ThreadPoolExecutor(len(steps)) as pool:
+            for done in [pool.submit(s) for s in steps]:
+                done.result()
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     @property
     def cells(self) -> DataFrame:
