@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from creditloom.sources.tables import Tables
 
-MODULES = ["ledger_queries", "workbook_queries", "reconcile_queries", "text_queries", "findings_queries", "decision_queries", "retrieval_queries"]
+MODULES = ["ledger_queries", "workbook_queries", "reconcile_queries", "text_queries", "findings_queries", "decision_queries", "retrieval_queries", "ml_queries"]
 
 
 def _bind(job) -> Callable[[SparkSession, str], DataFrame]:
