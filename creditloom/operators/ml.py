@@ -114,7 +114,8 @@ def metrics(scored: DataFrame, label: str = "label", score: str = "score", cut:
     wide = counts.select(
         "*", share(c("tp") + c("tn"), c("tp") + c("tn") + c("fp") + c("fn")).alias("accuracy"), share(c("tp"), c("tp") + c("fp")).alias("precision"),
         share(c("tp"), c("tp") + c("fn")).alias("recall"), share(c("tp") * 2, c("tp") * 2 + c("fp") + c("fn")).alias("f1"))
-    return wide.crossJoin(auc(scored, label, score))  # one row with one row
+    one_row = F.lit(1).alias("k")
+    return wide.select(one_row, "*").join(auc(scored, label, score).select(one_row, "auc"), "k").drop("k")
 
 
 def class_report(scored: DataFrame, label: str = "label", score: str = "score", cut: float = 0.5) -> DataFrame:

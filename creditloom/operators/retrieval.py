@@ -44,8 +44,13 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame
         "query_id", "company_id", F.col("rank_no").cast("bigint").alias("rank_no"), "chunk_id", "score")
 
 
-def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Share of a question's words found in a chunk of its company, best k.
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """Distinct words per chunk. Worth writing once: the search below reads it several times."""
+    return chunks.select("company_id", "chunk_id", words(F.col("chunk_text")).alias("c_words"))
+
+
+def lexical_topk(questions: DataFrame, own: DataFrame, k: int = 5, rare_rows: int = 50, rare_share: float = 0.05) -> DataFrame:
+    """Share of a question's words found in a chunk of its company, best k. `own` comes from `chunk_words`.
 
     Exact in two passes. Words are split per company at a document frequency: chunks sharing a
     rare word with a question are its candidates and are scored in full. A chunk without any rare
@@ -53,14 +58,13 @@ def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFra
     candidate beats that bound is finished. Only the others look through the frequent words too.
     """
     asked = questions.select("question_id", "company_id", words(F.col("question")).alias("q_words")).withColumn("n_words", F.size("q_words"))
-    own = chunks.select("company_id", "chunk_id", words(F.col("chunk_text")).alias("c_words"))
     wanted = asked.select("question_id", "company_id", F.explode("q_words").alias("word"))
     needed = wanted.select("company_id", "word").distinct()
     # Only words some question of the company asks for leave the scan side.
     postings = own.select("company_id", "chunk_id", F.explode("c_words").alias("word")).join(needed, ["company_id", "word"], "left_semi")
     size = own.groupBy("company_id").agg(F.count("*").alias("n_chunks"))
     frequency = postings.groupBy("company_id", "word").agg(F.count("*").alias("n"))
-    is_rare = (F.col("n") <= F.lit(50)) | (F.col("n") * 20 <= F.col("n_chunks"))
+    is_rare = (F.col("n") <= rare_rows) | (F.col("n") <= F.col("n_chunks") * rare_share)
     rare = frequency.join(size, "company_id").select("company_id", "word", is_rare.alias("is_rare"))
     classed = wanted.join(rare, ["company_id", "word"])
 

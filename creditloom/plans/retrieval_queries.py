@@ -11,7 +11,8 @@ from creditloom.sources.tables import Tables
 
 
 def hits(t: Tables) -> DataFrame:
-    return t.staged("lexical_hits", lambda: V.lexical_topk(t.questions, t.chunks))
+    own = t.staged("chunk_words", lambda: V.chunk_words(t.chunks))
+    return t.staged("lexical_hits", lambda: V.lexical_topk(t.questions, own))
 
 
 def _contexts(t: Tables) -> DataFrame:
