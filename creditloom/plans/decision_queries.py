@@ -15,7 +15,7 @@ from creditloom.operators import scoring as S
 from creditloom.operators import textjobs as X
 from creditloom.plans import chain
 from creditloom.plans import decision_chain as C
-from creditloom.plans.findings_queries import AS_OF
+from creditloom.plans.findings_queries import as_of
 from creditloom.sources.tables import Tables
 
 
@@ -126,7 +126,7 @@ QUERIES = {
     "mem_2_covenants": lambda t: M.covenants(C.vector(t), chain.report(t)),
     "mem_5_profile_rows": lambda t: M.profile_rows(
         t.company, D.latest_record(t.versions, ["created_at", "version_id"], ["version_id", "status", "amount"]),
-        C.staged_decisions(t).select("company_id", "credit_score", "normalized_score", "risk_grade", "recommendation"), AS_OF),
+        C.staged_decisions(t).select("company_id", "credit_score", "normalized_score", "risk_grade", "recommendation"), as_of()),
     "mem_6_metric_rows": lambda t: M.metric_rows(C.vector(t), chain.report(t)),
     "mem_6_executive_lines": lambda t: M.executive_lines(C.staged_decisions(t)),
 }

@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from creditloom.operators import findings as N
 from creditloom.operators import reconcile as R
 from creditloom.plans import chain
-from creditloom.plans.reconcile_queries import STAMP, _stored
+from creditloom.plans.reconcile_queries import _stored, stamp
 from creditloom.sources.tables import Tables
 
-AS_OF = F.lit("2025-01-01").cast("date")
 YEAR = 2025
 
 
+def as_of():
+    """Report date; fixed, so results repeat."""
+    return F.lit(f"{YEAR}-01-01").cast("date")
+
+
 def _companies(t: Tables) -> DataFrame:
     return t.company.withColumn("promoters", F.array_compact(F.array("promoter_a", "promoter_b")))
 
 
 def gathered(t: Tables) -> DataFrame:
-    return N.all_findings(t.company, t.registry, t.findings, AS_OF)
+    return N.all_findings(t.company, t.registry, t.findings, as_of())
 
 
 def summary(t: Tables) -> DataFrame:
@@ -56,11 +60,11 @@ QUERIES = {
     "agg_8_research_summary": summary,
     "agg_15_run_metrics": lambda t: N.run_metrics(t.landed, t.findings),
     "mem_3_narrative": lambda t: N.narrative(t.company, t.findings),
-    "mem_7_registry_findings": lambda t: N.registry_findings(t.registry, AS_OF),
-    "mem_8_sector_findings": lambda t: N.sector_findings(t.company, AS_OF),
+    "mem_7_registry_findings": lambda t: N.registry_findings(t.registry, as_of()),
+    "mem_8_sector_findings": lambda t: N.sector_findings(t.company, as_of()),
     "top_7_by_severity": lambda t: N.by_severity(t.findings),
     "top_8_ordered_plan": lambda t: N.ordered_plan(_plan(t), "medium"),
     "top_9_latest_findings": lambda t: N.latest(t.findings),
-    "src_16_finding_table": lambda t: _stored(t, N.finding_rows(t.findings, "run-1", STAMP), "research_findings"),
-    "src_17_narrative_table": lambda t: _stored(t, N.narrative_rows(N.narrative(t.company, t.findings), "run-1", STAMP), "cam_research"),
+    "src_16_finding_table": lambda t: _stored(t, N.finding_rows(t.findings, "run-1", stamp()), "research_findings"),
+    "src_17_narrative_table": lambda t: _stored(t, N.narrative_rows(N.narrative(t.company, t.findings), "run-1", stamp()), "cam_research"),
 }

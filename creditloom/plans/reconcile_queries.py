@@ -13,7 +13,11 @@ from creditloom.sources import returns as S
 from creditloom.sources.lake import Lake
 from creditloom.sources.tables import Tables
 
-STAMP = F.to_timestamp(F.lit("2025-01-01 00:00:00"))
+
+def stamp():
+    """Load time of the written rows; fixed, so results repeat."""
+    return F.to_timestamp(F.lit("2025-01-01 00:00:00"))
+
 
 
 def _landed_returns(t: Tables) -> DataFrame:
@@ -138,12 +142,12 @@ def _stored(t: Tables, rows: DataFrame, table: str) -> DataFrame:
 
 def _annual_tax(t: Tables) -> DataFrame:
     monthly = t.gstr3b.join(t.gstr2a.select("company_id", "period", "available_itc"), ["company_id", "period"])
-    stored = _stored(t, R.annual_tax_rows(monthly, chain.monthly_mismatch(t), STAMP), "gst_annual_summary")
+    stored = _stored(t, R.annual_tax_rows(monthly, chain.monthly_mismatch(t), stamp()), "gst_annual_summary")
     return stored.withColumn("critical_flag_months", F.array_join("critical_flag_months", ","))
 
 
 def _report_table(t: Tables) -> DataFrame:
-    stored = _stored(t, R.report_rows(chain.report(t), STAMP), "cross_validation")
+    stored = _stored(t, R.report_rows(chain.report(t), stamp()), "cross_validation")
     return stored.withColumn("fraud_indicators", F.array_join("fraud_indicators", "; "))
 
 
@@ -174,7 +178,7 @@ QUERIES = {
     "src_11_append_overwrite": _append_overwrite,
     "src_12_upsert": _upsert,
     "src_13_annual_tax_table": _annual_tax,
-    "src_14_bank_table": lambda t: _stored(t, R.bank_rows(bank_profile_of(t), STAMP), "bank_analytics"),
+    "src_14_bank_table": lambda t: _stored(t, R.bank_rows(bank_profile_of(t), stamp()), "bank_analytics"),
     "src_15_report_table": _report_table,
     "src_18_cell_lines": lambda t: S.cell_lines(t.cells),
     "agg_10_vendor_total": _vendor_totals,

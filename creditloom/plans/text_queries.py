@@ -12,7 +12,7 @@ from creditloom.operators import payloads as P
 from creditloom.operators import textjobs as X
 from creditloom.sources.tables import Tables
 
-TEXT = F.col("doc_text")
+TEXT = "doc_text"
 RESPONSE_FIELDS = [
     {"name": "total_outstanding_cr", "type": "number"}, {"name": "facility_count", "type": "integer"},
     {"name": "lender", "type": "string"}, {"name": "overdue", "type": "boolean"},
@@ -85,7 +85,7 @@ def _any_dates(t: Tables) -> DataFrame:
 
 
 def _doc_identifiers(t: Tables) -> DataFrame:
-    return t.doc_text.select("doc_id", "company_id", X.rlike_first(TEXT, X.CIN).alias("cin"))
+    return t.doc_text.select("doc_id", "company_id", X.rlike_first(F.col(TEXT), X.CIN).alias("cin"))
 
 
 def _book_types(t: Tables) -> DataFrame:
@@ -98,15 +98,15 @@ QUERIES = {
     "txt_2_unit_values": lambda t: X.unit_values(t.doc_text),
     "txt_3_money_series": lambda t: X.money_rows(t.doc_text),
     "txt_4_identifiers": lambda t: X.identifiers(t.doc_text),
-    "txt_5_company_name": lambda t: t.doc_text.select("doc_id", X.company_name(TEXT).alias("company_name")),
-    "txt_6_total_debt": lambda t: t.doc_text.select("doc_id", X.total_debt(TEXT).alias("total_debt")),
+    "txt_5_company_name": lambda t: t.doc_text.select("doc_id", X.company_name(F.col(TEXT)).alias("company_name")),
+    "txt_6_total_debt": lambda t: t.doc_text.select("doc_id", X.total_debt(F.col(TEXT)).alias("total_debt")),
     "txt_7_rating_facts": lambda t: X.rating_facts(t.doc_text),
     "txt_8_bank_limits": lambda t: X.bank_limit_rows(t.doc_text),
-    "txt_9_disputes": lambda t: X.exploded(t.doc_text, X.disputes(TEXT), "title"),
-    "txt_10_related_parties": lambda t: X.exploded(t.doc_text, X.related_parties(TEXT), "sentence"),
-    "txt_11_auditor_notes": lambda t: X.exploded(t.doc_text, X.auditor_notes(TEXT), "sentence"),
-    "txt_12_collateral": lambda t: X.exploded(t.doc_text, X.collateral_lines(TEXT), "line"),
-    "txt_13_going_concern": lambda t: t.doc_text.select("doc_id", X.going_concern(TEXT).alias("going_concern")),
+    "txt_9_disputes": lambda t: X.exploded(t.doc_text, X.disputes(F.col(TEXT)), "title"),
+    "txt_10_related_parties": lambda t: X.exploded(t.doc_text, X.related_parties(F.col(TEXT)), "sentence"),
+    "txt_11_auditor_notes": lambda t: X.exploded(t.doc_text, X.auditor_notes(F.col(TEXT)), "sentence"),
+    "txt_12_collateral": lambda t: X.exploded(t.doc_text, X.collateral_lines(F.col(TEXT)), "line"),
+    "txt_13_going_concern": lambda t: t.doc_text.select("doc_id", X.going_concern(F.col(TEXT)).alias("going_concern")),
     "txt_14_confidence": lambda t: X.confidence_rows(t.doc_text),
     "txt_15_holders": lambda t: X.top_holders(t.doc_text),
     "txt_16_holding_facts": holding_facts,
@@ -123,12 +123,12 @@ QUERIES = {
     "txt_27_chosen_holding": _chosen_holding,
     "txt_28_chosen_text": lambda t: P.choose_text(t.scans),
     "txt_29_response_findings": lambda t: P.findings_or_rules(P.response_findings(_responses(t), X.any_date), X.page_findings(_pages(t))),
-    "txt_30_holding_company": lambda t: t.doc_text.select("doc_id", X.holding_company_name(TEXT).alias("company_name")),
+    "txt_30_holding_company": lambda t: t.doc_text.select("doc_id", X.holding_company_name(F.col(TEXT)).alias("company_name")),
     "prj_4_routes": lambda t: I.route(t.files, t.reviews),
     "prj_5_right_company": lambda t: I.right_company(_doc_identifiers(t), t.company),
     "prj_6_name_class": lambda t: I.name_class(t.files),
     "prj_7_book_type": _book_types,
-    "prj_8_content_type": lambda t: t.doc_text.select("doc_id", X.content_type(TEXT).alias("content_type")),
+    "prj_8_content_type": lambda t: t.doc_text.select("doc_id", X.content_type(F.col(TEXT)).alias("content_type")),
     "prj_9_effective_class": lambda t: I.effective_class(t.reviews).select("doc_id", "auto_type", "human_override", "effective_type"),
     "prj_18_upload_check": lambda t: I.upload_check(t.files),
     "join_6_listed_documents": lambda t: I.listed_documents(t.files, t.reviews),
