@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from creditloom.functions.values import has_any, squeeze
+from creditloom.functions.values import mentions, squeeze
 
 
 def lines_of(text: Column) -> Column:
@@ -17,16 +17,21 @@ def lines_of(text: Column) -> Column:
 
 
 def sentences_with(text: Column, words: Sequence[str] | None = None, pattern: str | None = None) -> Column:
-    """Squeezed sentences (cut at full stops and line ends) holding a word, or matching a pattern."""
-    keep: Callable[[Column], Column]
-    if pattern is not None:
-        keep = lambda s: s.rlike(pattern)
-    else:
-        keep = lambda s: has_any(F.lower(s), words or [])
-    hits = F.filter(F.split(text, r"[.\n]"), keep)
+    """Squeezed sentences (cut at full stops and line ends) holding a word, or matching a pattern.
+
+    A text without any hit is not cut up at all.
+    """
+    keep: Callable[[Column], Column] = (lambda s: s.rlike(pattern)) if pattern is not None else (lambda s: mentions(s, words or []))
+    hits = F.filter(F.split(F.when(keep(text), text).otherwise(""), r"[.\n]"), keep)
     return F.transform(hits, squeeze)
 
 
+def all_matches(text: Column, pattern: str, n: int) -> Column:
+    """Groups 1 and 2 of the first n matches; the text is searched once, the groups are read off each match."""
+    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, n)
+    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("first"), F.regexp_extract(m, pattern, 2).alias("second")))
+
+
 def clipped(items: Column, chars: int, n: int) -> Column:
     """First n items, each cut to a number of characters."""
     return F.slice(F.transform(items, lambda s: F.substring(s, 1, chars)), 1, n)

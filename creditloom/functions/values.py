@@ -97,6 +97,11 @@ def has_any(c: Column, words: Sequence[str]) -> Column:
     return c.rlike("|".join(re.escape(w) for w in words))
 
 
+def mentions(c: Column, words: Sequence[str]) -> Column:
+    """True when the text holds one of the words in any case; spares lower-casing long texts."""
+    return c.rlike("(?i)" + "|".join(re.escape(w) for w in words))
+
+
 def ends_with_any(c: Column, endings: Sequence[str]) -> Column:
     return c.rlike("(?:" + "|".join(re.escape(e) for e in endings) + r")\z")
 

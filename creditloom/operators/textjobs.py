@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.text import clipped, first_item, lines_of, number_text, sentences_with
-from creditloom.functions.values import clip, has_any, present, rlike_first, round_to, squeeze
+from creditloom.functions.text import all_matches, clipped, first_item, lines_of, number_text, sentences_with
+from creditloom.functions.values import clip, has_any, mentions, present, rlike_first, round_to, squeeze
 
 # Patterns, words, limits and confidences.
 NUM = r"([\d,]+(?:\.\d+)?)"
@@ -106,10 +106,8 @@ def money_series(text: Column, patterns: list[str], per_pattern: int = 5) -> Col
     """Up to five amounts per pattern, labelled by their place; zero amounts drop out."""
     found = []
     for p in patterns:
-        numbers, units = (F.regexp_extract_all(text, F.lit(p), F.lit(g)) for g in (1, 2))
-        pairs = F.slice(F.arrays_zip(numbers.alias("n"), units.alias("u")), 1, per_pattern)
-        found.append(F.transform(pairs, lambda x, i: F.struct(
-            round_to(crore_value(x["n"], x["u"]), 2).alias("amount"), F.concat(F.lit("annual_"), (i + 1).cast("string")).alias("period"))))
+        found.append(F.transform(all_matches(text, p, per_pattern), lambda x, i: F.struct(
+            round_to(crore_value(x["first"], x["second"]), 2).alias("amount"), F.concat(F.lit("annual_"), (i + 1).cast("string")).alias("period"))))
     return F.filter(F.concat(*found), lambda x: x["amount"] > 0)
 
 
@@ -127,8 +125,17 @@ def identifiers(docs: DataFrame) -> DataFrame:
 
 
 def company_name(text: Column) -> Column:
-    # The suffix pattern tries every letter as a start; texts without a suffix skip it.
-    by_suffix = F.when(text.rlike("(?i)Ltd|Limited|LLP"), rlike_first(text, NAME_SUFFIX))
+    """Name before the first legal suffix, else after its label.
+
+    The suffix pattern tries every letter of a text as a start. A name is at most 81 characters
+    before its suffix, so the pattern is tried around the first suffix, and on the whole text
+    only when that one carries no name.
+    """
+    at = F.regexp_instr(text, F.lit("(?i)Pvt|Limited|LLP"))
+    ahead = F.least(at - 1, F.lit(81))
+    near = F.substring(text, at - ahead, ahead + 200)
+    around = F.nullif(F.regexp_extract(near, r"(?i)^[\s\S]{0,77}?" + NAME_SUFFIX[4:], 1), F.lit(""))
+    by_suffix = F.when(at > 0, F.coalesce(around, rlike_first(text, NAME_SUFFIX)))
     by_label = F.when(text.rlike("(?i)name of the company"), rlike_first(text, NAME_LABEL))
     return squeeze(F.coalesce(by_suffix, by_label))
 
@@ -149,10 +156,11 @@ def rating_facts(docs: DataFrame) -> DataFrame:
 
 
 def bank_limits(text: Column, cap: int = 10) -> Column:
-    text = F.when(text.rlike("(?i)bank"), text).otherwise("")
-    names, amounts = (F.regexp_extract_all(text, F.lit(BANK_LIMIT), F.lit(g)) for g in (1, 2))
-    rows = F.transform(F.arrays_zip(names.alias("n"), amounts.alias("a")), lambda x: F.struct(squeeze(x["n"]).alias("lender"), number_text(x["a"]).alias("limit_amount")))
-    return F.slice(F.filter(rows, lambda x: x["limit_amount"].isNotNull()), 1, cap)
+    held = F.when(text.rlike("(?i)bank"), text).otherwise("")
+    # every match counts towards the cap only once its number is readable, so all are read
+    pairs = F.transform(F.regexp_extract_all(held, F.lit(BANK_LIMIT), F.lit(0)), lambda m: F.struct(
+        squeeze(F.regexp_extract(m, BANK_LIMIT, 1)).alias("lender"), number_text(F.regexp_extract(m, BANK_LIMIT, 2)).alias("limit_amount")))
+    return F.slice(F.filter(pairs, lambda x: x["limit_amount"].isNotNull()), 1, cap)
 
 
 def bank_limit_rows(docs: DataFrame) -> DataFrame:
@@ -174,7 +182,8 @@ def auditor_notes(text: Column) -> Column:
 
 
 def collateral_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda s: has_any(F.lower(s), COLLATERAL_WORDS))
+    held = F.when(mentions(text, COLLATERAL_WORDS), text).otherwise("")
+    lines = F.filter(F.split(held, "\n"), lambda s: mentions(s, COLLATERAL_WORDS))
     return clipped(F.filter(F.transform(lines, squeeze), lambda s: F.char_length(s) > 12), 200, 8)
 
 
