@@ -1,0 +1 @@
+"""Corporate credit appraisal of many companies at once, as Spark jobs."""

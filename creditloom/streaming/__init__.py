@@ -1,0 +1 @@
+"""Empty on purpose: all inputs of this library are batch tables, there is no stream to process."""
