@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.decontaminate import find_contamination
 from creditloom.llm.language import identify
+from creditloom.llm.near_duplicates import group_near_duplicates
 from creditloom.llm.shared import Steps, documents
 from creditloom.llm.token_counts import count_tokens
 from creditloom.llm.token_files import read_token_files, write_token_files
@@ -27,6 +28,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return group_near_duplicates(documents(spark, folder))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(documents(spark, folder), documents(spark, folder, "labels"), fold(5, 0))
 
@@ -44,6 +49,7 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_language": op2_language,
     "op3_token_counts": op3_token_counts,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_toxicity": op5_toxicity,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
