@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from creditloom.llm.decontaminate import find_contamination
 from creditloom.llm.language import identify
+from creditloom.llm.mixing import mix_sources
 from creditloom.llm.near_duplicates import group_near_duplicates
+from creditloom.llm.quality import judge_quality
 from creditloom.llm.shared import Steps, documents
 from creditloom.llm.token_counts import count_tokens
 from creditloom.llm.token_files import read_token_files, write_token_files
@@ -36,6 +38,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(documents(spark, folder), documents(spark, folder, "labels"), fold(5, 0))
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(documents(spark, folder))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = Steps(spark, "token-files").folder
     write_token_files(documents(spark, folder), target, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -46,12 +52,18 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_contamination(documents(spark, folder), documents(spark, folder, "benchmark")).drop("items")
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(documents(spark, folder)).withColumn("failed", F.concat_ws(",", "failed"))
+
+
 QUERIES = {
     "op2_language": op2_language,
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}
