@@ -10,7 +10,9 @@ from creditloom.llm.decontaminate import find_contamination
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix_sources
 from creditloom.llm.near_duplicates import group_near_duplicates
+from creditloom.llm.pii import find_personal_data
 from creditloom.llm.quality import judge_quality
+from creditloom.llm.secret_links import find_secrets
 from creditloom.llm.shared import Steps, documents
 from creditloom.llm.token_counts import count_tokens
 from creditloom.llm.token_files import read_token_files, write_token_files
@@ -22,6 +24,10 @@ def fold(n: int, of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n == of
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(documents(spark, folder))
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(documents(spark, folder), fold(4, 2))
 
@@ -42,6 +48,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(documents(spark, folder))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return find_secrets(documents(spark, folder))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = Steps(spark, "token-files").folder
     write_token_files(documents(spark, folder), target, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -57,11 +67,13 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_language": op2_language,
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
