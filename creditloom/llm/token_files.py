@@ -12,6 +12,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +23,28 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from creditloom.llm.shared import arrow_map
-from creditloom.llm.words import NOT_BLANK, pieces, span_hashes, text_bytes, word_bounds
+from creditloom.llm.words import NOT_BLANK, lower, pieces, span_hashes, text_bytes, word_bounds
 
 MAGIC = b"FRQ1"
 IDS_PER_FILE = 1 << 21
 BYTES_PER_SHARD = 32 << 20
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 800_000
+_KIND = np.zeros(256, np.int8)  # 1 ASCII letters, 2 digits, 3 ASCII marks, 0 blanks and all else
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 #: Lengths of the four codes that a control byte describes, lowest two bits first.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
 
 def encode_file(shard: int, chunk: int, doc_ids: np.ndarray, no_id: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One file: header, document ids, null marks, counts, id table, control bytes, code bytes."""
-    used, where, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank_of = np.empty(len(used), np.int64)
-    rank_of[order] = np.arange(len(used))
-    ranks = rank_of[where]
+    often = np.bincount(ids)  # as long as the vocabulary at most
+    used = np.flatnonzero(often)
+    used = used[np.argsort(-often[used], kind="stable")]
+    rank_of = np.zeros(len(often), np.int64)
+    rank_of[used] = np.arange(len(used))
+    ranks = rank_of[ids]
     sizes = 1 + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     quads = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     quads[: len(ids)] = sizes - 1
@@ -50,7 +56,7 @@ def encode_file(shard: int, chunk: int, doc_ids: np.ndarray, no_id: np.ndarray,
         codes[at[longer] + k] = (ranks[longer] >> (8 * k)) & 255
     head = np.array([shard, chunk, len(doc_ids), len(ids), len(used)], "<i8")
     return b"".join([MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), no_id.astype(np.uint8).tobytes(), counts.astype("<i8").tobytes(),
-                     used[order].astype("<u4").tobytes(), control.tobytes(), codes.tobytes()])
+                     used.astype("<u4").tobytes(), control.tobytes(), codes.tobytes()])
 
 
 def decode_file(content: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,52 +83,85 @@ def decode_file(content: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.nd
     return shard, chunk, doc_ids, no_id, counts, used[ranks]
 
 
+def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row positions of chunks that the vocabulary's pattern never joins.
+
+    The pattern separates at the blanks 9 to 13 and 32, and between letters, digits and marks; the latter is used where both sides are
+    ASCII or a letter of the block that UTF-8 starts with C3. Stretches with an apostrophe (contractions) or "<" (special tokens) stay whole.
+    """
+    starts, ends, bounds = word_bounds(data, offsets, NOT_BLANK)
+    kind = _KIND[data]
+    letter = np.zeros(len(data) + 1, bool)  # second bytes of C3 letters
+    letter[1:-1] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    sure = np.where(letter[:-1] | letter[1:], 1, kind)
+    cuts = np.flatnonzero((sure[1:] != sure[:-1]) & (sure[1:] > 0) & (sure[:-1] > 0)) + 1
+    whole = np.cumsum(np.concatenate([[0], (data == 0x27) | (data == 0x3C)]))
+    at = np.searchsorted(starts, cuts, side="right") - 1
+    cuts = cuts[(whole[ends[at]] == whole[starts[at]]) & (cuts > starts[at]) & (cuts < ends[at])]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 class ChunkEncoder:
-    """Ids of whole texts from the ids of their blank-free chunks, each distinct chunk of a piece encoded once.
+    """Ids of whole texts from the ids of their chunks, each distinct chunk of a piece encoded once.
 
-    The vocabulary's normaliser and pattern treat the blanks 9 to 13 and 32 as separators that give no id, so a text's ids are
-    those of its chunks in order. Chunks are told apart by a 64-bit hash; ids of short ones are kept, up to a fixed number.
+    Chunks are told apart by a 64-bit hash of their bytes in lower case, as the vocabulary reads them; the ids of the chunks that were
+    seen most are kept, up to a fixed number.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.forget()
+        self.clear()
 
-    def forget(self) -> None:
+    def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
+        self.uses = np.zeros(0, np.int64)
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         """Adds chunks with ascending hashes that are not known yet."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        sizes = np.array([len(e) for e in encoded], np.int64)
-        flat = np.array([i for e in encoded for i in e], np.uint32)
-        all_hashes = np.concatenate([self.hashes, hashes])
-        all_sizes = np.concatenate([np.diff(self.bounds), sizes])
-        starts = np.concatenate([self.bounds[:-1], len(self.ids) + np.cumsum(sizes) - sizes])
-        order = np.argsort(all_hashes, kind="stable")
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        places = np.searchsorted(self.hashes, hashes)
+        starts = np.insert(self.bounds[:-1], places, len(self.ids) + np.cumsum(sizes) - sizes)
+        sizes = np.insert(np.diff(self.bounds), places, sizes)
         pool = np.concatenate([self.ids, flat])
-        self.hashes, sizes = all_hashes[order], all_sizes[order]
+        self.hashes, self.uses = np.insert(self.hashes, places, hashes), np.insert(self.uses, places, 0)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids = pool[_spread(starts, sizes)]
+
+    def forget(self) -> None:
+        """Keeps the chunks that were seen most, half as many as may be kept."""
+        kept = np.sort(np.argpartition(-self.uses, KEPT_CHUNKS // 2)[: KEPT_CHUNKS // 2])
+        sizes = np.diff(self.bounds)[kept]
+        self.ids = self.ids[_spread(self.bounds[kept], sizes)]
+        self.hashes, self.uses = self.hashes[kept], self.uses[kept] // 2
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.ids = pool[_spread(starts[order], sizes)]
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, the end id after each, and the number of ids per row."""
         data, offsets = text_bytes(column)
-        starts, ends, bounds = word_bounds(data, offsets, NOT_BLANK)
+        if not (data == 0x3C).any():  # special tokens are told apart by case
+            data = lower(data)
+        starts, ends, bounds = chunk_bounds(data, offsets)
         hashes = span_hashes(data, starts, ends)
         if len(self.hashes) > KEPT_CHUNKS:
             self.forget()
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        known = np.isin(distinct, self.hashes, assume_unique=True)
+        distinct, first, which, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        slot = np.searchsorted(self.hashes, distinct)
+        known = np.append(self.hashes, np.uint64(0))[slot] == distinct
+        known &= slot < len(self.hashes)
         if not known.all():
             raw = data.tobytes()
             at = first[~known]
             self.learn(distinct[~known], [raw[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        slot = np.searchsorted(self.hashes, distinct)[which]
+            slot = np.searchsorted(self.hashes, distinct)
+        self.uses[slot] += often
+        slot = slot[which]
         sizes = np.diff(self.bounds)[slot]
         flat = self.ids[_spread(self.bounds[slot], sizes)]
         upto = np.concatenate([[0], np.cumsum(sizes)])[bounds]
