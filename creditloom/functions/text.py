@@ -26,17 +26,12 @@ def sentences_with(text: Column, words: Sequence[str] | None = None, pattern: st
     return F.transform(hits, squeeze)
 
 
-def all_matches(text: Column, pattern: str, n: int) -> Column:
-    """Groups 1 and 2 of the first n matches; the text is searched once, the groups are read off each match."""
-    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, n)
+def all_matches(text: Column, pattern: str) -> Column:
+    """Groups 1 and 2 of all matches; the text is searched once, the groups are read off each match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.transform(found, lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("first"), F.regexp_extract(m, pattern, 2).alias("second")))
 
 
-def clipped(items: Column, chars: int, n: int) -> Column:
-    """First n items, each cut to a number of characters."""
-    return F.slice(F.transform(items, lambda s: F.substring(s, 1, chars)), 1, n)
-
-
 def first_item(items: Column) -> Column:
     return F.get(items, 0)
 

@@ -70,7 +70,7 @@ def _sentence() -> Column:
     )
 
 
-def factors(vector: DataFrame, n: int = 3) -> DataFrame:
+def factors(vector: DataFrame, n: int | None = 3) -> DataFrame:
     """Leading positive and negative factors per company as sentences."""
     positive = (F.col("feature").isin(RISK_FEATURES) & (F.col("feature_value") == 0)) | (F.col("feature").isin(STRENGTH_FEATURES) & (F.col("contribution") > 0))
     long = contributions(vector).withColumn("side", F.when(positive, "positive").otherwise("negative"))

@@ -65,14 +65,15 @@ def filing_consistency(summary: DataFrame) -> DataFrame:
 
 
 def tax_block(mismatch: DataFrame, recon: DataFrame) -> DataFrame:
-    """Return-based mismatch, replaced by the workbook's gap where that is positive; flags are joined with or."""
-    joined = mismatch.join(recon.select("company_id", "itc_mismatch_pct", "has_circular_signals"), "company_id", "full")
+    """Return-based mismatch, replaced by the workbook's gap where that is positive; flags are joined with or, and a
+    mismatch that the workbook shows counts as revenue inflation."""
+    joined = mismatch.join(recon.select("company_id", "itc_mismatch_pct", "has_itc_mismatch", "has_circular_signals"), "company_id", "full")
     off = F.lit(False)
     return joined.select(
         "company_id",
         F.when(F.col("itc_mismatch_pct") > 0, F.col("itc_mismatch_pct")).otherwise(F.coalesce("itc_inflation_pct", F.lit(0.0))).alias("itc_gap_pct"),
         (F.coalesce("suspected_circular", off) | F.coalesce("has_circular_signals", off)).alias("circular_signals"),
-        F.coalesce("revenue_inflation_flag", off).alias("revenue_inflation"))
+        (F.coalesce("revenue_inflation_flag", off) | F.coalesce(F.col("has_itc_mismatch") & (F.col("itc_mismatch_pct") > 0), off)).alias("revenue_inflation"))
 
 
 def assemble_blocks(companies: DataFrame, blocks: list[DataFrame]) -> DataFrame:

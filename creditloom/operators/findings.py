@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.values import ends_with_any, has_any, lookup, present, round_to, severity_rank
-from creditloom.operators.ledger import first_n
+from creditloom.operators.ledger import at_most, first_n
 from creditloom.operators.payloads import report_type, severity_or_info
 
 # Source lists, red-flag words, impacts, search templates.
@@ -75,6 +75,7 @@ NEWS_SEARCH = [('"{c}" latest news {y}', "COMPANY_NEWS", 3), ('"{s}" India growt
 DEPTH = {"shallow": 1, "medium": 2, "deep": 3}
 REGISTRY_URL = "https://www.mca.gov.in/content/mca/global/en/mca/master-data.html"
 REGULATOR_URL = "https://www.rbi.org.in/"
+KEY_FIELDS = ["company_id", "finding_type", "severity", "source_url", "source_name", "summary", "finding_date", "raw_snippet"]
 FINDING = ["company_id", "seq", "finding_date", "finding_type", "severity", "source_url", "source_name", "summary", "raw_snippet", "confidence", "score_impact"]
 
 
@@ -105,16 +106,16 @@ def usable_results(landed: DataFrame) -> DataFrame:
     return normal_results(landed).withColumn("usable", ~is_excluded(F.col("url")) & is_allowed(F.col("url"), F.col("query_type")))
 
 
-def distinct_queries(landed: DataFrame, cap: int = 12) -> DataFrame:
-    """First spelling of each query per company, in order, capped."""
+def distinct_queries(landed: DataFrame, cap: int | None = None) -> DataFrame:
+    """First spelling of each query per company."""
     firsts = landed.groupBy("company_id", F.lower(F.trim("query")).alias("query_key")).agg(F.min("seq").alias("seq"), F.min_by("query", "seq").alias("query"))
-    return first_n(firsts, ["company_id"], [F.col("seq")], cap).select("company_id", "seq", "query")
+    return at_most(firsts, ["company_id"], [F.col("seq")], cap).select("company_id", "seq", "query")
 
 
-def url_owners(landed: DataFrame, cap: int = 8) -> DataFrame:
-    """The first query that reached a url owns it; the first urls per company are taken."""
+def url_owners(landed: DataFrame, cap: int | None = None) -> DataFrame:
+    """The first query that reached a url owns it."""
     owners = usable_results(landed).filter("usable").groupBy("company_id", "url").agg(F.min("seq").alias("seq"), F.min_by("query", "seq").alias("query"))
-    return first_n(owners, ["company_id"], [F.col("seq")], cap).select("company_id", "url", "seq", "query")
+    return at_most(owners, ["company_id"], [F.col("seq")], cap).select("company_id", "url", "seq", "query")
 
 
 def best_content(owners: DataFrame, primary: DataFrame, secondary: DataFrame, snippets: DataFrame) -> DataFrame:
@@ -138,10 +139,10 @@ def normal_findings(findings: DataFrame) -> DataFrame:
 
 
 def deduplicated(findings: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """First finding per company, url and summary start. Copies fold before the shuffle."""
+    """First finding per company, url and summary, in any case. Copies fold before the shuffle."""
     at = F.struct(*(order or ["seq"]))
     rest = [c for c in findings.columns if c != "company_id"]
-    key = lambda c: F.lower(F.substring(c, 1, 120))
+    key = F.lower
     return (
         findings.groupBy("company_id", key("source_url").alias("url_key"), key("summary").alias("summary_key"))
         .agg(F.min_by(F.struct(*rest), at).alias("f"))
@@ -149,23 +150,23 @@ def deduplicated(findings: DataFrame, order: list[str] | None = None) -> DataFra
     )
 
 
-def alerts(findings: DataFrame, cap: int = 8) -> DataFrame:
+def alerts(findings: DataFrame, cap: int | None = None) -> DataFrame:
     hits = findings.filter(F.col("severity").isin("CRITICAL", "HIGH") & F.col("finding_type").isin(ALERT_TYPES))
     return first_n(hits, ["company_id"], [F.col("seq")], cap).select(
         "company_id", F.col("rank_no").cast("bigint").alias("rank_no"), "seq",
         F.lit("External Critical Red Flag").alias("title"), "summary", "severity", "source_name", "source_url", F.lit(True).alias("advisory_only"))
 
 
-def keyword_alerts(findings: DataFrame, cap: int = 15) -> DataFrame:
+def keyword_alerts(findings: DataFrame, cap: int | None = None) -> DataFrame:
     """One alert per finding that holds a red-flag word."""
     low = F.lower(F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("raw_snippet", F.lit(""))))
     hits = present([(F.contains(low, F.lit(w)), F.lit(w)) for w in RED_FLAG_WORDS])
     scanned = findings.withColumn("hits", hits).filter(F.size("hits") > 0)
-    return first_n(scanned, ["company_id"], [F.col("seq")], cap).select(
+    return at_most(scanned, ["company_id"], [F.col("seq")], cap).select(
         "company_id", "seq", "finding_date", F.lit("FRAUD_ALERT").alias("finding_type"), F.lit("HIGH").alias("severity"), "source_url",
         F.concat(F.col("source_name"), F.lit(" (Keyword Classifier)")).alias("source_name"),
-        F.concat(F.lit("Potential red-flag term(s) detected: "), F.array_join(F.slice("hits", 1, 3), ", "), F.lit(".")).alias("summary"),
-        F.substring("raw_snippet", 1, 600).alias("raw_snippet"),
+        F.concat(F.lit("Potential red-flag term(s) detected: "), F.array_join("hits", ", "), F.lit(".")).alias("summary"),
+        "raw_snippet",
         round_to(F.least(F.lit(0.95), F.col("confidence") + 0.1), 4).alias("confidence"), F.lit(-8.0).alias("score_impact"))
 
 
@@ -195,14 +196,20 @@ def sector_findings(companies: DataFrame, as_of: Column) -> DataFrame:
         F.lit(0.68).alias("confidence"), F.when(hard, -5.0).otherwise(-1.0).alias("score_impact"))
 
 
-def all_findings(companies: DataFrame, registry: DataFrame, web: DataFrame, as_of: Column) -> DataFrame:
-    """Union of the sources in their order, without repeats: registry, web, regulatory, keyword alerts."""
-    parts = [registry_findings(registry, as_of), web, sector_findings(companies, as_of), keyword_alerts(web)]
+def gathered_findings(companies: DataFrame, registry: DataFrame, web: DataFrame, as_of: Column) -> DataFrame:
+    """Registry, web and regulatory findings with the place of their source; what the keyword scan reads."""
     union = None
-    for i, part in enumerate(parts):
+    for i, part in enumerate([registry_findings(registry, as_of), web, sector_findings(companies, as_of)]):
         tagged = part.select(*FINDING).withColumn("source_order", F.lit(i).cast("bigint"))
         union = tagged if union is None else union.unionByName(tagged)
-    return deduplicated(union, ["source_order", "seq"])
+    return union
+
+
+def all_findings(companies: DataFrame, registry: DataFrame, web: DataFrame, as_of: Column) -> DataFrame:
+    """Union of the sources in their order, without repeats: registry, web, regulatory, keyword alerts."""
+    found = gathered_findings(companies, registry, web, as_of)
+    alerts_found = keyword_alerts(found).select(*FINDING).withColumn("source_order", F.lit(3).cast("bigint"))
+    return deduplicated(found.unionByName(alerts_found), ["source_order", "seq"])
 
 
 def research_summary(findings: DataFrame) -> DataFrame:
@@ -233,9 +240,9 @@ def latest(findings: DataFrame, n: int = 5) -> DataFrame:
 
 
 def narrative(companies: DataFrame, findings: DataFrame) -> DataFrame:
-    """Deterministic research paragraph: count, top four adverse, top two positive, closing."""
-    adverse = first_n(findings.filter(F.col("severity").isin("CRITICAL", "HIGH")), ["company_id"], [F.col("seq")], 4)
-    good = first_n(findings.filter(F.col("score_impact") > 0), ["company_id"], [F.col("seq")], 2)
+    """Deterministic research paragraph: count, adverse and positive findings, closing."""
+    adverse = first_n(findings.filter(F.col("severity").isin("CRITICAL", "HIGH")), ["company_id"], [F.col("seq")], None)
+    good = first_n(findings.filter(F.col("score_impact") > 0), ["company_id"], [F.col("seq")], None)
     said = F.concat(F.col("source_name"), F.lit(": "), F.coalesce("summary", F.lit("N/A")))
     joined = lambda df, line: df.groupBy("company_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", line.alias("line")))), lambda s: s["line"]), " | ").alias("lines"))
@@ -262,14 +269,15 @@ def narrative(companies: DataFrame, findings: DataFrame) -> DataFrame:
 
 def finding_rows(findings: DataFrame, job_id: str, ingested_at: Column) -> DataFrame:
     """Lake rows keyed by a hash of their content, so a second run replaces and does not repeat."""
-    key = F.sha2(F.concat_ws("|", F.col("company_id").cast("string"), "finding_type", "source_url", "summary"), 256)
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in KEY_FIELDS]
+    key = F.sha2(F.concat_ws("|", *marked), 256)
     rest = [c for c in findings.columns if c != "company_id"]
     unique = findings.groupBy("company_id", key.alias("finding_id")).agg(F.min_by(F.struct(*rest), "seq").alias("f")).select("company_id", "finding_id", "f.*")
-    head = F.substring(F.split("summary", r"\.")[0], 1, 180)
+    head = F.split("summary", r"\.")[0]
     return unique.select(
         "finding_id", F.col("company_id").cast("string").alias("company_id"), "finding_type", "severity",
         F.when(F.coalesce("summary", F.lit("")) != "", head).otherwise(F.col("source_name")).alias("headline"), "summary", "source_url", "source_name",
-        F.col("finding_date").alias("source_date"), F.substring(F.coalesce("raw_snippet", F.lit("")), 1, 2000).alias("raw_content"),
+        F.col("finding_date").alias("source_date"), F.coalesce("raw_snippet", F.lit("")).alias("raw_content"),
         lookup(SEVERITY_IMPACT, F.upper("severity"), 0.0).alias("score_impact"), F.lit("research_summary").alias("cam_section"),
         F.lit(job_id).alias("research_job_id"), ingested_at.alias("ingested_at"))
 
@@ -280,22 +288,21 @@ def narrative_rows(narratives: DataFrame, job_id: str, generated_at: Column) ->
         "total_findings", "total_score_impact", F.col("narrative").alias("cam_narrative"), generated_at.alias("generated_at"))
 
 
-def run_metrics(landed: DataFrame, findings: DataFrame, query_cap: int = 12, url_cap: int = 8, output_cap: int = 20) -> DataFrame:
+def run_metrics(landed: DataFrame, findings: DataFrame) -> DataFrame:
     """Counts along one research run per company."""
     queries = landed.groupBy("company_id", F.lower(F.trim("query")).alias("k")).agg(F.count("*").alias("n")).groupBy("company_id").agg(
-        F.sum("n").alias("results_landed"), F.least(F.count("*"), F.lit(query_cap)).alias("queries_executed"))
+        F.sum("n").alias("results_landed"), F.count("*").alias("queries_executed"))
     results = usable_results(landed)
     dropped = results.groupBy("company_id").agg(F.count_if(~F.col("usable")).alias("filtered_out"))
-    urls = results.filter("usable").select("company_id", "url").distinct().groupBy("company_id").agg(F.least(F.count("*"), F.lit(url_cap)).alias("urls_selected"))
-    found = findings.groupBy("company_id").agg(F.count("*").alias("findings_before_cap"))
+    urls = results.filter("usable").select("company_id", "url").distinct().groupBy("company_id").agg(F.count("*").alias("urls_selected"))
+    found = findings.groupBy("company_id").agg(F.count("*").alias("findings_returned"))
     kept = deduplicated(findings).groupBy("company_id").agg(F.count("*").alias("findings_deduplicated"))
     out = queries
     for side in (dropped, urls, found, kept):
         out = out.join(side, "company_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return out.select(
-        "company_id", n("results_landed"), n("queries_executed"), n("filtered_out"), n("urls_selected"), n("findings_before_cap"),
-        F.least(F.coalesce("findings_before_cap", F.lit(0)), F.lit(output_cap)).cast("bigint").alias("findings_returned"), n("findings_deduplicated"))
+        "company_id", n("results_landed"), n("queries_executed"), n("filtered_out"), n("urls_selected"), n("findings_returned"), n("findings_deduplicated"))
 
 
 def _filled(template: str, year: int, promoter: Column | None = None) -> Column:

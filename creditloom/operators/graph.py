@@ -40,14 +40,14 @@ def _names(companies: DataFrame) -> DataFrame:
     return companies.select("company_id", "company_name")
 
 
-def _first_per_name(rows: DataFrame, order: list[str], keep: list[str], cap: int) -> DataFrame:
-    """First row per company and lower-cased name, then the first so many per company."""
+def _first_per_name(rows: DataFrame, order: list[str], keep: list[str], cap: int | None) -> DataFrame:
+    """First row per company and lower-cased name, numbered in order."""
     at = F.struct(*order)
     unique = rows.groupBy("company_id", F.lower("name").alias("name_key")).agg(F.min(at).alias("at"), F.min_by(F.struct("name", *keep), at).alias("r"))
     return first_n(unique, ["company_id"], [F.col("at")], cap).select("company_id", F.col("rank_no").cast("bigint").alias("rank_no"), "r.*")
 
 
-def promoters(companies: DataFrame, holders: DataFrame, holding: DataFrame, cap: int = 8) -> DataFrame:
+def promoters(companies: DataFrame, holders: DataFrame, holding: DataFrame, cap: int | None = None) -> DataFrame:
     """Listed shareholders; else the promoter group if its holding is known; else the named managers.
 
     `holders`: company_id, doc_id, pos, name, pct; `holding`: company_id, promoter_holding_pct, promoter_pledge_pct;
@@ -83,7 +83,7 @@ def _organisations(companies: DataFrame, sentences: DataFrame, pattern: str) ->
     return named.join(_names(companies), "company_id").filter(valid_entity(F.col("name"), F.col("company_name")))
 
 
-def subsidiaries(companies: DataFrame, sentences: DataFrame, cap: int = 8) -> DataFrame:
+def subsidiaries(companies: DataFrame, sentences: DataFrame, cap: int | None = None) -> DataFrame:
     """Organisations in related-party sentences. `sentences`: company_id, doc_id, pos, sentence."""
     low = F.lower("sentence")
     hits = _organisations(companies, sentences.filter(has_any(low, RELATION_WORDS + ENTITY_HINTS)), ORGANISATION)
@@ -91,12 +91,12 @@ def subsidiaries(companies: DataFrame, sentences: DataFrame, cap: int = 8) -> Da
     return _first_per_name(hits.withColumn("relationship", kind), ["doc_id", "pos", "hit"], ["relationship"], cap)
 
 
-def partners(companies: DataFrame, sentences: DataFrame, cap: int = 6) -> DataFrame:
+def partners(companies: DataFrame, sentences: DataFrame, cap: int | None = None) -> DataFrame:
     hits = _organisations(companies, sentences.filter(has_any(F.lower("sentence"), PARTNER_WORDS)), PARTNER_ORGANISATION)
     return _first_per_name(hits.withColumn("relationship", F.lit("Strategic Partner")), ["doc_id", "pos", "hit"], ["relationship"], cap)
 
 
-def agencies(companies: DataFrame, sentences: DataFrame, cap: int = 4) -> DataFrame:
+def agencies(companies: DataFrame, sentences: DataFrame, cap: int | None = None) -> DataFrame:
     low = F.lower("sentence")
     tokens = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(label)) for w, label in AGENCIES]))
     hits = sentences.select("company_id", "doc_id", "pos", F.posexplode(tokens).alias("hit", "name")).join(_names(companies), "company_id")
@@ -104,7 +104,7 @@ def agencies(companies: DataFrame, sentences: DataFrame, cap: int = 4) -> DataFr
     return _first_per_name(valid, ["doc_id", "pos", "hit"], ["relationship"], cap)
 
 
-def lenders(companies: DataFrame, limits: DataFrame, cap: int = 10) -> DataFrame:
+def lenders(companies: DataFrame, limits: DataFrame, cap: int | None = None) -> DataFrame:
     """`limits`: company_id, doc_id, pos, lender, limit_amount."""
     amount = F.coalesce("limit_amount", F.lit(0.0))
     rows = limits.select(
@@ -123,9 +123,9 @@ def _members(promoter_rows: DataFrame, subsidiary_rows: DataFrame, lender_rows:
     parts = [
         shape(promoter_rows, "promoter", 20, pledge, F.concat(one(F.col("holding_pct"), 1), F.lit("% holding"))),
         shape(subsidiary_rows, "sub", 18, low, F.col("relationship")),
-        shape(lender_rows.filter("rank_no <= 3"), "lender", 16, low, F.concat(F.lit("₹"), one(F.col("amount_cr"), 2), F.lit(" Cr charge"))),
-        shape(partner_rows.filter("rank_no <= 3"), "partner", 14, low, F.col("relationship")),
-        shape(agency_rows.filter("rank_no <= 2"), "rating", 12, low, F.col("relationship")),
+        shape(lender_rows, "lender", 16, low, F.concat(F.lit("₹"), one(F.col("amount_cr"), 2), F.lit(" Cr charge"))),
+        shape(partner_rows, "partner", 14, low, F.col("relationship")),
+        shape(agency_rows, "rating", 12, low, F.col("relationship")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -20,10 +20,25 @@ ROUND_MULTIPLE = 100_000
 EMI_CONFIDENCE = 0.75
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank_no") -> DataFrame:
-    """First n rows per key. The rank filter runs before the shuffle too, so a hot key sends n rows per task."""
+def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int | None, rank: str = "rank_no") -> DataFrame:
+    """First n rows per key, numbered; without n all rows. The rank filter runs before the shuffle too, so a hot key sends n rows per task."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)
+
+
+def at_most(df: DataFrame, keys: list[str], order: list[Column], n: int | None) -> DataFrame:
+    """First n rows per key for a report; without n the rows as they are, unordered and unnumbered."""
+    return df if n is None else first_n(df, keys, order, n)
+
+
+def is_emi() -> Column:
+    return (F.col("debit") > 0) & F.col("narration").rlike(EMI_WORDS)
+
+
+def is_round_transfer(multiple: int = ROUND_MULTIPLE) -> Column:
+    routine = F.coalesce(F.col("party"), F.lit("")).rlike(ROUTINE_PARTIES)
+    return (F.col("debit") > 0) & (F.col("debit") % multiple == 0) & ~routine
 
 
 def clean_ledger(raw: DataFrame) -> DataFrame:
@@ -43,9 +58,8 @@ def clean_ledger(raw: DataFrame) -> DataFrame:
     )
 
 
-def emi_payments(ledger: DataFrame, cap: int = 100) -> DataFrame:
-    hits = ledger.filter((F.col("debit") > 0) & F.col("narration").rlike(EMI_WORDS))
-    kept = first_n(hits, ["company_id"], [F.col("txn_date"), F.col("txn_id")], cap)
+def emi_payments(ledger: DataFrame, cap: int | None = None) -> DataFrame:
+    kept = at_most(ledger.filter(is_emi()), ["company_id"], [F.col("txn_date"), F.col("txn_id")], cap)
     return kept.select(
         "company_id",
         "txn_id",
@@ -56,10 +70,8 @@ def emi_payments(ledger: DataFrame, cap: int = 100) -> DataFrame:
     )
 
 
-def round_transfers(ledger: DataFrame, multiple: int = ROUND_MULTIPLE, cap: int = 20) -> DataFrame:
-    routine = F.coalesce(F.col("party"), F.lit("")).rlike(ROUTINE_PARTIES)
-    hits = ledger.filter((F.col("debit") > 0) & (F.col("debit") % multiple == 0) & ~routine)
-    kept = first_n(hits, ["company_id"], [F.col("txn_date"), F.col("txn_id")], cap)
+def round_transfers(ledger: DataFrame, multiple: int = ROUND_MULTIPLE, cap: int | None = None) -> DataFrame:
+    kept = first_n(ledger.filter(is_round_transfer(multiple)), ["company_id"], [F.col("txn_date"), F.col("txn_id")], cap)
     line = F.concat(
         F.col("txn_date").cast("string"),
         F.lit(": round transfer ₹"),
@@ -148,9 +160,8 @@ def matched_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3) ->
     ).join(best, ["company_id", "party_key", "debit_date", "debit_amount"])
 
 
-def circular_pairs(ledger: DataFrame, tolerance: str = "0.02", days: int = 3, cap: int = 50) -> DataFrame:
-    matched = matched_debits(ledger, tolerance, days)
-    kept = first_n(matched, ["company_id"], [F.col("debit_date"), F.col("debit_txn_id")], cap)
+def circular_pairs(ledger: DataFrame, tolerance: str = "0.02", days: int = 3, cap: int | None = None) -> DataFrame:
+    kept = at_most(matched_debits(ledger, tolerance, days), ["company_id"], [F.col("debit_date"), F.col("debit_txn_id")], cap)
     return kept.select(
         "company_id",
         "debit_txn_id",
@@ -158,7 +169,7 @@ def circular_pairs(ledger: DataFrame, tolerance: str = "0.02", days: int = 3, ca
         F.col("first.day").alias("txn_date"),
         F.col("first.hit.party").alias("party"),
         round_to(F.col("first.hit.amount").cast("double"), 2).alias("amount"),
-        F.substring(F.coalesce(F.col("first.hit.narration"), F.lit("")), 1, 160).alias("narration"),
+        F.coalesce(F.col("first.hit.narration"), F.lit("")).alias("narration"),
     )
 
 
@@ -177,6 +188,9 @@ def monthly_sums(ledger: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("debit").alias("debit_sum"),
         F.max("debit").alias("debit_max"),
         _sum_if((F.col("debit") > 0) & F.col("narration").rlike(CASH_WORDS), "debit").alias("cash_debits"),
+        F.count_if(is_emi()).alias("emi_rows"),
+        _sum_if(is_emi(), "debit").alias("emi_sum"),
+        F.count_if(is_round_transfer()).alias("round_rows"),
         _sum_if(march & early, "credit").alias("march_early"),
         _sum_if(march & ~early, "credit").alias("march_late"),
     )
@@ -194,6 +208,9 @@ def ledger_totals(ledger: DataFrame, keys: list[str]) -> DataFrame:
         F.when(early <= 0, late > 0).otherwise(late > early * 3).alias("year_end_window_dressing"),
         F.sum("debit_sum").cast("double").alias("total_debits"),
         F.coalesce(F.sum("cash_debits"), zero).cast("double").alias("cash_debits"),
+        F.sum("emi_rows").alias("emi_count"),
+        F.coalesce(F.sum("emi_sum"), zero).cast("double").alias("emi_total"),
+        F.sum("round_rows").alias("shell_count"),
         F.min("period").alias("first_month"),
         F.max("period").alias("last_month"),
     )
@@ -228,13 +245,17 @@ def window_dressing(ledger: DataFrame, keys: list[str]) -> DataFrame:
     return ledger_totals(ledger, keys).select(*keys, "year_end_window_dressing")
 
 
-def pair_totals(pairs: DataFrame, emi: DataFrame) -> DataFrame:
-    a = pairs.groupBy("company_id").agg(
+def pair_sums(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("company_id").agg(
         F.count("*").alias("pair_count"),
         F.sum(F.col("amount").cast(CENTS)).cast("double").alias("pair_value"),
         F.min("txn_date").alias("first_pair_date"),
         F.max("txn_date").alias("last_pair_date"),
     )
+
+
+def pair_totals(pairs: DataFrame, emi: DataFrame) -> DataFrame:
+    a = pair_sums(pairs)
     b = emi.groupBy("company_id").agg(F.count("*").alias("emi_count"), F.sum(F.col("amount").cast(CENTS)).cast("double").alias("emi_total"))
     return a.join(b, "company_id", "full").select(
         "company_id",
@@ -248,15 +269,16 @@ def pair_totals(pairs: DataFrame, emi: DataFrame) -> DataFrame:
 
 
 def bank_profile(companies: DataFrame, ledger: DataFrame, revenue: DataFrame, tax_turnover: DataFrame) -> DataFrame:
-    """One row per company; a company without a ledger gets zeros and has_ledger = false."""
+    """One row per company; a company without a ledger gets zeros and has_ledger = false.
+
+    One pass over the ledger gives all sums; the circular pairs take a second one.
+    """
     totals = ledger_totals(ledger, ["company_id"])
-    pairs, emi, rounds = circular_pairs(ledger), emi_payments(ledger), round_transfers(ledger)
-    counted = rounds.groupBy("company_id").agg(F.count("*").alias("shell_count"))
+    pairs = pair_sums(circular_pairs(ledger))
     joined = (
         companies.select("company_id")
         .join(totals, "company_id", "left")
-        .join(pair_totals(pairs, emi), "company_id", "left")
-        .join(counted, "company_id", "left")
+        .join(pairs, "company_id", "left")
         .join(revenue, "company_id", "left")
         .join(tax_turnover, "company_id", "left")
         .select("*", *_coverage())

@@ -122,13 +122,13 @@ def swot_points(lists: DataFrame) -> DataFrame:
 
 
 def risk_matrix(negative_factors: DataFrame, anomalies: DataFrame, indicators: DataFrame) -> DataFrame:
-    """Five factors, six anomalies, four indicators per company with impact and mitigation."""
+    """Negative factors, anomalies and indicators per company with impact and mitigation."""
     row = lambda df, section, rank, risk, impact, mitigation: df.select(
         "company_id", F.lit(section).alias("section"), F.col(rank).alias("rank_no"), risk.alias("risk"), impact.alias("impact"), F.lit(mitigation).alias("mitigation"))
     return (
-        row(negative_factors.filter("rank_no <= 5"), "factor", "rank_no", F.col("sentence"), F.lit("Medium/High"), "Quarterly covenant tracking and early warning triggers.")
-        .unionByName(row(anomalies.filter("seq <= 6"), "anomaly", "seq", F.concat("title", F.lit(": "), "details"), F.col("severity"), "Targeted forensic validation and covenant tightening."))
-        .unionByName(row(indicators.filter("seq <= 4"), "indicator", "seq", F.concat("indicator", F.lit(" (source: "), "source", F.lit(")")), F.col("severity"),
+        row(negative_factors, "factor", "rank_no", F.col("sentence"), F.lit("Medium/High"), "Quarterly covenant tracking and early warning triggers.")
+        .unionByName(row(anomalies, "anomaly", "seq", F.concat("title", F.lit(": "), "details"), F.col("severity"), "Targeted forensic validation and covenant tightening."))
+        .unionByName(row(indicators, "indicator", "seq", F.concat("indicator", F.lit(" (source: "), "source", F.lit(")")), F.col("severity"),
                          "Escalate to enhanced monitoring and transaction-level verification."))
     )
 

@@ -28,7 +28,7 @@ def strip_fences(c: Column) -> Column:
 def extract_declared(responses: DataFrame, fields: Sequence[dict], text: str = "response") -> DataFrame:
     """Responses read with a schema made from a declared field list [{name, type}].
 
-    Absent fields are null; a response that is no JSON keeps its first 300 characters as evidence.
+    Absent fields are null; a response that is no JSON is kept as evidence.
     """
     schema = ", ".join(f"`{f['name']}` {FIELD_TYPES[f['type']]}" for f in fields) + ", _corrupt string"
     parsed = F.from_json(strip_fences(F.col(text)), schema, {"columnNameOfCorruptRecord": "_corrupt"})
@@ -37,7 +37,7 @@ def extract_declared(responses: DataFrame, fields: Sequence[dict], text: str = "
         *[c for c in responses.columns if c != text],
         *[F.when(~failed, F.col(f"p.`{f['name']}`")).alias(f["name"]) for f in fields],
         F.when(failed, "parse_failed").alias("error"),
-        F.when(failed, F.substring(text, 1, 300)).alias("raw_snippet"),
+        F.when(failed, F.col(text)).alias("raw_snippet"),
     )
 
 
@@ -139,8 +139,8 @@ def response_findings(responses: DataFrame, parse_date) -> DataFrame:
     return items.filter(F.coalesce("f.is_relevant", F.lit(True))).select(
         "page_id",
         F.col("pos").cast("bigint").alias("pos"),
-        F.substring(F.coalesce("f.headline", F.lit("")), 1, 180).alias("headline"),
-        F.substring(F.coalesce("f.summary", F.lit("")), 1, 1200).alias("summary"),
+        F.coalesce("f.headline", F.lit("")).alias("headline"),
+        F.coalesce("f.summary", F.lit("")).alias("summary"),
         type_or_info(F.col("f.finding_type")).alias("finding_type"),
         severity_or_info(F.col("f.severity")).alias("severity"),
         parse_date(F.col("f.source_date")).alias("source_date"),

@@ -13,7 +13,6 @@ from creditloom.operators.ledger import first_n
 
 # Word shape, limits of the context and of the line pick.
 WORD = "[a-z0-9]+"
-CHUNK_CHARS, MEMO_CHARS, FINDING_CHARS, CONTEXT_CHARS, LINE_CHARS = 400, 2500, 260, 7000, 220
 
 
 def words(text: Column) -> Column:
@@ -111,9 +110,9 @@ def contexts(questions: DataFrame, hits: DataFrame, chunks: DataFrame, memos: Da
     """
     kind = F.coalesce(F.nullif("doc_type", F.lit("")), F.lit("DOCUMENT"))
     found = hits.join(chunks.select("company_id", "chunk_id", "doc_type", "chunk_text"), ["company_id", "chunk_id"])
-    chunk_part = _joined_lines(found, "question_id", F.concat(F.lit("["), kind, F.lit("] "), F.substring("chunk_text", 1, CHUNK_CHARS)), "chunk_lines")
+    chunk_part = _joined_lines(found, "question_id", F.concat(F.lit("["), kind, F.lit("] "), "chunk_text"), "chunk_lines")
     finding_part = _joined_lines(
-        latest, "company_id", F.concat(F.lit("- ["), "severity", F.lit("] "), "finding_type", F.lit(": "), F.substring("summary", 1, FINDING_CHARS)), "finding_lines")
+        latest, "company_id", F.concat(F.lit("- ["), "severity", F.lit("] "), "finding_type", F.lit(": "), "summary"), "finding_lines")
     risk_part = risks.select("company_id", F.concat(
         F.lit("Latest risk snapshot:\n- Final risk score: "), F.format_string("%.1f", F.col("score")), F.lit("\n- Risk category: "), "category",
         F.lit("\n- Decision: "), "decision").alias("risk_text"))
@@ -123,17 +122,17 @@ def contexts(questions: DataFrame, hits: DataFrame, chunks: DataFrame, memos: Da
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("Retrieved document context:\n"), "chunk_lines"),
-        F.concat(F.lit("Latest CAM narrative:\n"), F.substring("narrative", 1, MEMO_CHARS)),
+        F.concat(F.lit("Latest CAM narrative:\n"), "narrative"),
         F.col("risk_text"),
         F.concat(F.lit("Recent research findings:\n"), "finding_lines"))
-    return rows.select("question_id", "company_id", "question", F.substring(F.trim(text), 1, CONTEXT_CHARS).alias("context"))
+    return rows.select("question_id", "company_id", "question", F.trim(text).alias("context"))
 
 
-def picked_lines(context_rows: DataFrame, n: int = 6) -> DataFrame:
-    """Context lines holding one of the question's first six longer words; without any, the first lines."""
-    keys = F.slice(F.transform(F.filter(F.split("question", r"\s+"), lambda w: F.char_length(w) > 3), lambda w: F.lower(w)), 1, 6)
+def picked_lines(context_rows: DataFrame) -> DataFrame:
+    """Context lines holding one of the question's longer words; without any, all lines."""
+    keys = F.transform(F.filter(F.split("question", r"\s+"), lambda w: F.char_length(w) > 3), lambda w: F.lower(w))
     rows = context_rows.select("question_id", keys.alias("keys"), lines_of(F.col("context")).alias("lines"))
     matched = F.filter("lines", lambda s: F.exists("keys", lambda w: F.contains(F.lower(s), w)))
     chosen = rows.withColumn("matched", matched).select(
-        "question_id", F.posexplode(F.slice(F.when(F.size("matched") > 0, F.col("matched")).otherwise(F.col("lines")), 1, n)).alias("pos", "line"))
-    return chosen.select("question_id", F.col("pos").cast("bigint").alias("pos"), F.substring("line", 1, LINE_CHARS).alias("line"))
+        "question_id", F.posexplode(F.when(F.size("matched") > 0, F.col("matched")).otherwise(F.col("lines"))).alias("pos", "line"))
+    return chosen.select("question_id", F.col("pos").cast("bigint").alias("pos"), "line")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.text import all_matches, clipped, first_item, lines_of, number_text, sentences_with
+from creditloom.functions.text import all_matches, first_item, lines_of, number_text, sentences_with
 from creditloom.functions.values import clip, has_any, mentions, present, rlike_first, round_to, squeeze
 
 # Patterns, words, limits and confidences.
@@ -102,11 +102,11 @@ def unit_values(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", number.alias("raw_number"), unit.alias("unit"), crore_value(number, unit).alias("crore")).filter("raw_number IS NOT NULL")
 
 
-def money_series(text: Column, patterns: list[str], per_pattern: int = 5) -> Column:
-    """Up to five amounts per pattern, labelled by their place; zero amounts drop out."""
+def money_series(text: Column, patterns: list[str]) -> Column:
+    """The amounts of each pattern, labelled by their place; zero amounts drop out."""
     found = []
     for p in patterns:
-        found.append(F.transform(all_matches(text, p, per_pattern), lambda x, i: F.struct(
+        found.append(F.transform(all_matches(text, p), lambda x, i: F.struct(
             round_to(crore_value(x["first"], x["second"]), 2).alias("amount"), F.concat(F.lit("annual_"), (i + 1).cast("string")).alias("period"))))
     return F.filter(F.concat(*found), lambda x: x["amount"] > 0)
 
@@ -155,12 +155,11 @@ def rating_facts(docs: DataFrame) -> DataFrame:
     )
 
 
-def bank_limits(text: Column, cap: int = 10) -> Column:
+def bank_limits(text: Column) -> Column:
     held = F.when(text.rlike("(?i)bank"), text).otherwise("")
-    # every match counts towards the cap only once its number is readable, so all are read
     pairs = F.transform(F.regexp_extract_all(held, F.lit(BANK_LIMIT), F.lit(0)), lambda m: F.struct(
         squeeze(F.regexp_extract(m, BANK_LIMIT, 1)).alias("lender"), number_text(F.regexp_extract(m, BANK_LIMIT, 2)).alias("limit_amount")))
-    return F.slice(F.filter(pairs, lambda x: x["limit_amount"].isNotNull()), 1, cap)
+    return F.filter(pairs, lambda x: x["limit_amount"].isNotNull())
 
 
 def bank_limit_rows(docs: DataFrame) -> DataFrame:
@@ -169,22 +168,22 @@ def bank_limit_rows(docs: DataFrame) -> DataFrame:
 
 
 def disputes(text: Column) -> Column:
-    return clipped(F.filter(sentences_with(text, DISPUTE_WORDS), lambda s: F.char_length(s) >= 20), 180, 8)
+    return F.filter(sentences_with(text, DISPUTE_WORDS), lambda s: F.char_length(s) >= 20)
 
 
 def related_parties(text: Column) -> Column:
     found = F.filter(sentences_with(text, RELATED_WORDS), lambda s: s != "")
-    return F.slice(F.array_distinct(F.transform(found, lambda s: F.substring(s, 1, 240))), 1, 20)
+    return F.array_distinct(found)
 
 
 def auditor_notes(text: Column) -> Column:
-    return clipped(F.filter(sentences_with(text, pattern=AUDITOR_PATTERN), lambda s: s != ""), 220, 8)
+    return F.filter(sentences_with(text, pattern=AUDITOR_PATTERN), lambda s: s != "")
 
 
 def collateral_lines(text: Column) -> Column:
     held = F.when(mentions(text, COLLATERAL_WORDS), text).otherwise("")
     lines = F.filter(F.split(held, "\n"), lambda s: mentions(s, COLLATERAL_WORDS))
-    return clipped(F.filter(F.transform(lines, squeeze), lambda s: F.char_length(s) > 12), 200, 8)
+    return F.filter(F.transform(lines, squeeze), lambda s: F.char_length(s) > 12)
 
 
 def exploded(docs: DataFrame, items: Column, name: str) -> DataFrame:
@@ -241,8 +240,8 @@ def confidence_rows(docs: DataFrame) -> DataFrame:
 
 
 def holders(docs: DataFrame) -> DataFrame:
-    """Shareholders named on short lines with a percentage; the first line per name counts."""
-    lines = F.filter(lines_of(F.col(TEXT)), lambda s: F.contains(s, F.lit("%")) & (F.char_length(s) <= 180))
+    """Shareholders named on lines with a percentage; the first line per name counts."""
+    lines = F.filter(lines_of(F.col(TEXT)), lambda s: F.contains(s, F.lit("%")))
     at = docs.select("doc_id", "company_id", F.posexplode(lines).alias("pos", "line"))
     before = F.regexp_extract("line", "^(.*?)" + PERCENT, 1)
     bare = F.regexp_replace(before, r"^[ \-:|]+|[ \-:|]+$", "")
@@ -254,10 +253,10 @@ def holders(docs: DataFrame) -> DataFrame:
     )
 
 
-def top_holders(docs: DataFrame, n: int = 12) -> DataFrame:
+def top_holders(docs: DataFrame, n: int | None = None) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(F.col("pct").desc(), F.col("pos"))
-    return holders(docs).withColumn("rank_no", F.row_number().over(w).cast("bigint")).filter(F.col("rank_no") <= n).select(
-        "doc_id", "company_id", "rank_no", "name", "pct")
+    ranked = holders(docs).withColumn("rank_no", F.row_number().over(w).cast("bigint")).select("doc_id", "company_id", "rank_no", "name", "pct")
+    return ranked if n is None else ranked.filter(F.col("rank_no") <= n)
 
 
 def _line_percent(lines: Column, word: str) -> Column:
@@ -288,8 +287,7 @@ def holding_facts(docs: DataFrame) -> DataFrame:
 
 
 def holding_company_name(text: Column) -> Column:
-    near = F.slice(lines_of(text), 1, 40)
-    return squeeze(first_item(F.filter(near, lambda s: (F.char_length(s) <= 80) & has_any(F.lower(s), ["limited", "pvt", "llp"]))))
+    return squeeze(first_item(F.filter(lines_of(text), lambda s: (F.char_length(s) <= 80) & has_any(F.lower(s), ["limited", "pvt", "llp"]))))
 
 
 def page_text(html: Column, max_chars: int | None = None) -> Column:
@@ -306,7 +304,7 @@ def page_text(html: Column, max_chars: int | None = None) -> Column:
 
 def headline(content: Column, fallback: Column) -> Column:
     lines = F.filter(lines_of(content), lambda s: F.char_length(s).between(15, 180))
-    return F.coalesce(first_item(lines), F.substring(fallback, 1, 180))
+    return F.coalesce(first_item(lines), fallback)
 
 
 def source_name(url: Column) -> Column:
@@ -317,11 +315,10 @@ def source_name(url: Column) -> Column:
     return F.when(host == "", "Web").otherwise(titled)
 
 
-def rule_findings(content: Column, cap: int = 3) -> Column:
-    """First rules that fire on the page text, as (type, severity, impact)."""
+def rule_findings(content: Column) -> Column:
+    """Rules that fire on the page text, as (type, severity, impact)."""
     low = F.lower(content)
-    hits = present([(low.rlike(p), F.struct(F.lit(t).alias("finding_type"), F.lit(s).alias("severity"), F.lit(i).alias("score_impact"))) for p, t, s, i in PAGE_RULES])
-    return F.when(F.char_length(content) >= 120, F.slice(hits, 1, cap)).otherwise(F.slice(hits, 1, 0))
+    return present([(low.rlike(p), F.struct(F.lit(t).alias("finding_type"), F.lit(s).alias("severity"), F.lit(i).alias("score_impact"))) for p, t, s, i in PAGE_RULES])
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
@@ -333,9 +330,9 @@ def page_findings(pages: DataFrame) -> DataFrame:
         F.col("pos").cast("bigint").alias("pos"),
         "hit.*",
         headline(F.col("content"), F.col("query")).alias("headline"),
-        F.trim(F.replace(F.substring("content", 1, 400), F.lit("\n"), F.lit(" "))).alias("summary"),
+        F.trim(F.replace("content", F.lit("\n"), F.lit(" "))).alias("summary"),
         source_name(F.col("url")).alias("source_name"),
-        F.substring("content", 1, 1200).alias("raw_snippet"),
+        F.col("content").alias("raw_snippet"),
     )
 
 

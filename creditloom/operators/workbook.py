@@ -57,7 +57,7 @@ RECON_LABELS = {
 }
 MONTHLY_SHEETS = ["3b monthly", "gstr-3b", "monthly", "gstr3b"]
 MONTH_HEADERS = ["month", "period", "filing period"]
-MAX_ROWS, MAX_YEAR_COL, LOOK_AHEAD = 200, 14, 4
+LOOK_AHEAD = 4
 
 FIGURES = [m for rules in LABELS.values() for m in rules]
 
@@ -65,20 +65,15 @@ FIGURES = [m for rules in LABELS.values() for m in rules]
 def value_columns(cells: DataFrame) -> DataFrame:
     """Per sheet the column of the newest year in row 1; the leftmost on ties, 2 without a year."""
     year = rlike_first(F.col("cell_text"), r"(?:FY)?(\d{4})").try_cast("int")
-    header = (F.col("row_idx") == 1) & F.col("col_idx").between(2, MAX_YEAR_COL) & (year > 0)
+    header = (F.col("row_idx") == 1) & (F.col("col_idx") >= 2) & (year > 0)
     newest = F.max_by("col_idx", F.when(header, F.struct(year, -F.col("col_idx"))))
     return cells.groupBy(*SHEET).agg(F.coalesce(newest, F.lit(2)).alias("value_col"))
 
 
-def sheet_rows(cells: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """One record per sheet row: its label and its cells right of it, in column order.
-
-    A record is bounded by the columns a lookup can reach, not by the data.
-    """
-    reach = MAX_YEAR_COL + LOOK_AHEAD
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """One record per sheet row: its label and its cells right of it, in column order. A record is as wide as a workbook's row."""
     return (
-        cells.filter((F.col("row_idx") <= max_rows) & (F.col("col_idx") <= reach))
-        .groupBy(*SHEET, "row_idx")
+        cells.groupBy(*SHEET, "row_idx")
         .agg(
             F.max(F.when(F.col("col_idx") == 1, F.lower(F.trim("cell_text")))).alias("label"),
             F.array_sort(
@@ -214,19 +209,16 @@ def credit_reconciliation(cells: DataFrame) -> DataFrame:
 
 
 def monthly_returns(cells: DataFrame) -> DataFrame:
-    """Month rows of the monthly return sheet; header cells are found in its first 10 rows and 15 columns."""
+    """Month rows of the monthly return sheet, below its header cells."""
     sheet = cells.join(_first_sheet(cells, MONTHLY_SHEETS), SHEET, "left_semi")
     text = F.lower(F.trim("cell_text"))
-    corner = (F.col("row_idx") <= 10) & (F.col("col_idx") <= 15)
     at = F.struct("row_idx", "col_idx")
     heads = sheet.groupBy(*SHEET).agg(
-        F.max(F.when(corner & text.isin(MONTH_HEADERS), at)).alias("month_at"),
-        F.max(F.when(corner & (F.contains(text, F.lit("outward")) | F.contains(text, F.lit("taxable supply"))), at)).alias("outward_at"),
-        F.max(F.when(corner & F.contains(text, F.lit("itc")) & F.contains(text, F.lit("claimed")), at)).alias("itc_at"),
-    )
-    body = sheet.join(heads.filter(F.col("month_at").isNotNull()), SHEET).filter(
-        (F.col("row_idx") > F.col("month_at.row_idx")) & (F.col("row_idx") <= 50)
+        F.max(F.when(text.isin(MONTH_HEADERS), at)).alias("month_at"),
+        F.max(F.when((F.contains(text, F.lit("outward")) | F.contains(text, F.lit("taxable supply"))), at)).alias("outward_at"),
+        F.max(F.when(F.contains(text, F.lit("itc")) & F.contains(text, F.lit("claimed")), at)).alias("itc_at"),
     )
+    body = sheet.join(heads.filter(F.col("month_at").isNotNull()), SHEET).filter(F.col("row_idx") > F.col("month_at.row_idx"))
     own = lambda head: F.max(F.when(F.col("col_idx") == F.col(f"{head}.col_idx"), F.col("cell_text")))
     rows = body.groupBy(*SHEET, "row_idx", F.col("outward_at").isNotNull().alias("has_outward"), F.col("itc_at").isNotNull().alias("has_itc")).agg(
         F.trim(own("month_at")).alias("month"), own("outward_at").alias("outward"), own("itc_at").alias("itc")
@@ -243,8 +235,8 @@ def monthly_returns(cells: DataFrame) -> DataFrame:
 
 def promoter_holding(cells: DataFrame) -> DataFrame:
     """Promoter holding and pledge from rows labelled promoter (not group); the last usable cell wins."""
-    rows = sheet_rows(cells, 100).filter(F.contains("label", F.lit("promoter")) & ~F.contains("label", F.lit("group")))
-    heads = cells.filter((F.col("row_idx") == 1) & F.col("col_idx").between(2, 11)).select(
+    rows = sheet_rows(cells).filter(F.contains("label", F.lit("promoter")) & ~F.contains("label", F.lit("group")))
+    heads = cells.filter((F.col("row_idx") == 1) & (F.col("col_idx") >= 2)).select(
         *SHEET, "col_idx", F.lower("cell_text").alias("head")
     )
     spread = rows.select(*SHEET, "row_idx", F.inline("values")).join(heads, [*SHEET, "col_idx"])

@@ -37,9 +37,8 @@ def doc_block(t: Tables) -> DataFrame:
 
 
 def research_block(t: Tables) -> DataFrame:
-    """Summary over the material findings: critical ones, and high ones about the sector."""
-    material = gathered(t).filter("severity = 'CRITICAL' OR (severity = 'HIGH' AND finding_type = 'SECTOR')")
-    return N.research_summary(material).select(
+    """Summary over all findings."""
+    return N.research_summary(gathered(t)).select(
         "company_id", "fraud_hits", "litigation_count", "sector_headwinds", "has_nclt", F.col("has_nclt").alias("recovery_suit"))
 
 

@@ -122,7 +122,7 @@ QUERIES = {
     "swo_1_swot_input": lambda t: M.swot_input(C.blocks(t)),
     "swo_2_swot_points": lambda t: M.swot_points(_swot(t)),
     "mem_1_risk_matrix": lambda t: M.risk_matrix(
-        H.factors(C.vector(t), 5).filter("side = 'negative'"), R.long_list(chain.report(t), "anomalies"), R.long_list(chain.report(t), "indicators")),
+        H.factors(C.vector(t), None).filter("side = 'negative'"), R.long_list(chain.report(t), "anomalies"), R.long_list(chain.report(t), "indicators")),
     "mem_2_covenants": lambda t: M.covenants(C.vector(t), chain.report(t)),
     "mem_5_profile_rows": lambda t: M.profile_rows(
         t.company, D.latest_record(t.versions, ["created_at", "version_id"], ["version_id", "status", "amount"]),

@@ -46,7 +46,7 @@ QUERIES = {
     "prj_12_alerts": lambda t: N.alerts(t.findings),
     "prj_16_normal_findings": lambda t: N.normal_findings(t.findings),
     "prj_17_normal_results": lambda t: N.normal_results(t.landed),
-    "join_8_keyword_alerts": lambda t: N.keyword_alerts(t.findings),
+    "join_8_keyword_alerts": lambda t: N.keyword_alerts(N.gathered_findings(t.company, t.registry, t.findings, as_of())),
     "join_11_best_content": lambda t: N.best_content(
         N.url_owners(t.landed), _content_sides(t, "markdown"), _content_sides(t, "content"), _content_sides(t, "description")),
     "win_3_deduplicated": lambda t: N.deduplicated(t.findings),

@@ -21,7 +21,7 @@ FROM (SELECT company_id, s[1] AS r0, coalesce(s[2], s[-1]) AS r1, coalesce(s[3],
 CTES["c_filing"] = f"SELECT company_id, {r('count(DISTINCT period) / (date_diff(\'month\', min(period), max(period)) + 1) * 100', 2)} AS filing_consistency_pct FROM c_gstr3b GROUP BY 1"
 CTES["c_taxblock"] = """
 SELECT coalesce(m.company_id, x.company_id) AS company_id, CASE WHEN itc_mismatch_pct > 0 THEN itc_mismatch_pct ELSE coalesce(itc_inflation_pct, 0) END AS itc_gap_pct,
-  coalesce(suspected_circular, false) OR coalesce(has_circular_signals, false) AS circular_signals, coalesce(revenue_inflation_flag, false) AS revenue_inflation
+  coalesce(suspected_circular, false) OR coalesce(has_circular_signals, false) AS circular_signals, coalesce(revenue_inflation_flag, false) OR coalesce(has_itc_mismatch AND itc_mismatch_pct > 0, false) AS revenue_inflation
 FROM c_mismatch_all m FULL JOIN c_recon x ON m.company_id = x.company_id"""
 CTES["c_rating"] = f"SELECT doc_id, company_id, TRY_CAST({ex(X.CONCENTRATION)} AS DOUBLE) AS concentration_pct, upper({ex(X.RATING_ACTION)}) AS rating_action, upper({ex(X.RATING_GRADE)}) AS rating_grade, {squeeze(ex(X.PARTNER))} AS partner FROM c_doc_text"
 CTES["c_collateral"] = f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(doc_text, chr(10))) AS s FROM c_doc_text) x WHERE {any_of('lower(s)', X.COLLATERAL_WORDS)} AND length({squeeze('s')}) > 12"
@@ -30,8 +30,7 @@ SELECT f.company_id, bool_or(going_concern) AS going_concern, bool_or(has_audito
   CAST(sum(coalesce(n_limits, 0)) AS BIGINT) AS charge_count, max(concentration_pct) AS concentration_pct, arg_min(rating_action, f.doc_id) FILTER (WHERE rating_action IS NOT NULL) AS rating_action,
   arg_min(rating_grade, f.doc_id) FILTER (WHERE rating_grade IS NOT NULL) AS rating_grade, arg_min(partner, f.doc_id) FILTER (WHERE partner IS NOT NULL) AS partner, bool_or(c.doc_id IS NOT NULL) AS has_collateral
 FROM c_docfacts f JOIN c_rating g ON f.doc_id = g.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n_limits FROM c_limits GROUP BY 1) l ON f.doc_id = l.doc_id LEFT JOIN c_collateral c ON f.doc_id = c.doc_id GROUP BY 1"""
-CTES["c_material"] = "SELECT * FROM c_gathered WHERE severity = 'CRITICAL' OR (severity = 'HIGH' AND finding_type = 'SECTOR')"
-CTES["c_research"] = summary("c_material")
+CTES["c_research"] = summary("c_gathered")
 CTES["c_blocks"] = f"""
 SELECT c.company_id, c.company_name, c.sector, c.declared_turnover_cr, c.requested_cr, interest_coverage, current_ratio, ebitda_margin, revenue, profit_after_tax, current_assets, current_liabilities, contingent, net_worth, total_debt, debt_equity_ratio, w.dscr,
   gst_vs_bank_gap, itr_vs_gst_gap, p.dscr AS reconciled_dscr, consistency_score, CASE WHEN has_ledger THEN banking_to_gst_ratio END AS banking_to_gst_ratio, CASE WHEN has_ledger THEN abb_to_revenue END AS abb_to_revenue, CASE WHEN has_ledger THEN shell_count END AS bounced_cheques,
@@ -187,32 +186,32 @@ CTES["c_sentences"] = "SELECT d.company_id, s.doc_id, s.pos, s.sentence FROM c_r
 CTES["c_colimits"] = "SELECT d.company_id, l.doc_id, l.pos, l.lender, l.limit_amount FROM c_limits l JOIN c_doc_text d ON l.doc_id = d.doc_id"
 
 
-def orgs(pattern: str, words, label: str, cap: int) -> str:
+def orgs(pattern: str, words, label: str) -> str:
     return f"""SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY doc_id, pos, hit) AS rank_no, name, relationship FROM (
 SELECT *, {squeeze('raw')} AS name, {label} AS relationship FROM (SELECT s.company_id, company_name, doc_id, pos, lower(sentence) AS low, unnest(regexp_extract_all(sentence, '{pattern}', 1)) AS raw, generate_subscripts(regexp_extract_all(sentence, '{pattern}', 1), 1) AS hit
   FROM c_sentences s JOIN c_company c ON s.company_id = c.company_id WHERE {any_of('lower(sentence)', words)}) x WHERE {VALID('raw')}
-QUALIFY row_number() OVER (PARTITION BY company_id, lower(name) ORDER BY doc_id, pos, hit) = 1) y QUALIFY rank_no <= {cap}"""
+QUALIFY row_number() OVER (PARTITION BY company_id, lower(name) ORDER BY doc_id, pos, hit) = 1) y"""
 
 
-CTES["c_subs"] = orgs(G.ORGANISATION, G.RELATION_WORDS + G.ENTITY_HINTS, "CASE WHEN contains(low, 'associate') THEN 'Associate' WHEN contains(low, 'joint venture') THEN 'Joint Venture' ELSE 'Subsidiary' END", 8)
-CTES["c_partners"] = orgs(G.PARTNER_ORGANISATION, G.PARTNER_WORDS, "'Strategic Partner'", 6)
+CTES["c_subs"] = orgs(G.ORGANISATION, G.RELATION_WORDS + G.ENTITY_HINTS, "CASE WHEN contains(low, 'associate') THEN 'Associate' WHEN contains(low, 'joint venture') THEN 'Joint Venture' ELSE 'Subsidiary' END")
+CTES["c_partners"] = orgs(G.PARTNER_ORGANISATION, G.PARTNER_WORDS, "'Strategic Partner'")
 CTES["c_agencies"] = "SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY doc_id, pos, hit) AS rank_no, name, 'Rating Agency' AS relationship FROM (SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT company_id, doc_id, pos, {i} AS hit, '{q(label)}' AS name FROM c_sentences WHERE contains(lower(sentence), '{q(w)}')" for i, (w, label) in enumerate(G.AGENCIES)) + """) x
-JOIN (SELECT company_id AS cid FROM c_company) c ON x.company_id = c.cid QUALIFY row_number() OVER (PARTITION BY company_id, lower(name) ORDER BY doc_id, pos, hit) = 1) y QUALIFY rank_no <= 4"""
+JOIN (SELECT company_id AS cid FROM c_company) c ON x.company_id = c.cid QUALIFY row_number() OVER (PARTITION BY company_id, lower(name) ORDER BY doc_id, pos, hit) = 1) y"""
 CTES["c_lenders"] = f"""SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY doc_id, pos) AS rank_no, name, amount_cr FROM (SELECT l.company_id, doc_id, pos, trim(lender) AS name, CASE WHEN limit_amount > 100000 THEN {r('limit_amount / 10000000', 2)} ELSE {r('limit_amount', 2)} END AS amount_cr
-FROM c_colimits l JOIN c_company c ON l.company_id = c.company_id WHERE {VALID('lender')} QUALIFY row_number() OVER (PARTITION BY l.company_id, lower(trim(lender)) ORDER BY doc_id, pos) = 1) x QUALIFY rank_no <= 10"""
+FROM c_colimits l JOIN c_company c ON l.company_id = c.company_id WHERE {VALID('lender')} QUALIFY row_number() OVER (PARTITION BY l.company_id, lower(trim(lender)) ORDER BY doc_id, pos) = 1) x"""
 CTES["c_promoters"] = f"""
 WITH listed AS (SELECT h.company_id, arg_max(name, pct * 1000000000 - doc_id - pos / 100000) AS name, max(pct) AS holding_pct FROM c_holders h JOIN c_company c ON h.company_id = c.company_id WHERE {VALID('name')} GROUP BY h.company_id, lower(name)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY holding_pct DESC, name) AS rank_no FROM listed)
-SELECT l.company_id, rank_no, name, holding_pct, coalesce(promoter_pledge_pct, 0) AS pledge_pct FROM ranked l LEFT JOIN c_holding h ON l.company_id = h.company_id WHERE rank_no <= 8
+SELECT l.company_id, rank_no, name, holding_pct, coalesce(promoter_pledge_pct, 0) AS pledge_pct FROM ranked l LEFT JOIN c_holding h ON l.company_id = h.company_id
 UNION ALL SELECT c.company_id, 1, 'Promoter Group', promoter_holding_pct, promoter_pledge_pct FROM c_company c JOIN c_holding h ON c.company_id = h.company_id WHERE c.company_id NOT IN (SELECT company_id FROM listed)
 UNION ALL SELECT company_id, no, name, 0, 0 FROM (SELECT company_id, 1 AS no, promoter_a AS name FROM c_company UNION ALL SELECT company_id, 2, promoter_b FROM c_company WHERE promoter_b IS NOT NULL) m
   WHERE company_id NOT IN (SELECT company_id FROM listed) AND company_id NOT IN (SELECT company_id FROM c_holding)"""
 one = lambda e, n: f"format('{{:.{n}f}}', {r(e, n)})"
 CTES["c_members"] = f"""
 SELECT company_id, concat('promoter_', rank_no - 1) AS node_id, name, CASE WHEN pledge_pct > 75 THEN 'HIGH' WHEN pledge_pct > 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk, 20 AS weight, concat({one('holding_pct', 1)}, '% holding') AS label FROM c_promoters
-UNION ALL SELECT company_id, concat('sub_', rank_no - 1), name, 'LOW', 18, relationship FROM c_subs UNION ALL SELECT company_id, concat('lender_', rank_no - 1), name, 'LOW', 16, concat('₹', {one('amount_cr', 2)}, ' Cr charge') FROM c_lenders WHERE rank_no <= 3
-UNION ALL SELECT company_id, concat('partner_', rank_no - 1), name, 'LOW', 14, relationship FROM c_partners WHERE rank_no <= 3 UNION ALL SELECT company_id, concat('rating_', rank_no - 1), name, 'LOW', 12, relationship FROM c_agencies WHERE rank_no <= 2"""
+UNION ALL SELECT company_id, concat('sub_', rank_no - 1), name, 'LOW', 18, relationship FROM c_subs UNION ALL SELECT company_id, concat('lender_', rank_no - 1), name, 'LOW', 16, concat('₹', {one('amount_cr', 2)}, ' Cr charge') FROM c_lenders
+UNION ALL SELECT company_id, concat('partner_', rank_no - 1), name, 'LOW', 14, relationship FROM c_partners UNION ALL SELECT company_id, concat('rating_', rank_no - 1), name, 'LOW', 12, relationship FROM c_agencies"""
 _items = " UNION ALL ".join([
     "SELECT doc_id, 'related_parties' AS list_name, sentence AS item, pos FROM c_related", "SELECT doc_id, 'disputes', title, pos FROM c_disputes", "SELECT doc_id, 'auditor_notes', sentence, pos FROM c_auditor",
     "SELECT * FROM (" + text_sql.SQL["txt_12_collateral"].replace("SELECT * FROM (SELECT doc_id, unnest", "SELECT doc_id, 'collateral', line, pos FROM (SELECT doc_id, unnest", 1) + ") z"])
@@ -271,9 +270,9 @@ FROM (SELECT company_id, d, greatest(0, least(100, final_score - d / 10 * 8)) AS
     "agg_14_graph_counts": "SELECT c.company_id, count(node_id) + 1 AS entity_count, count(node_id) AS connection_count FROM c_company c LEFT JOIN c_members m ON c.company_id = m.company_id GROUP BY 1",
     "swo_1_swot_input": "SELECT * FROM c_swotin",
     "swo_2_swot_points": _swot_all,
-    "mem_1_risk_matrix": """SELECT company_id, 'factor' AS section, rank_no, sentence AS risk, 'Medium/High' AS impact, 'Quarterly covenant tracking and early warning triggers.' AS mitigation FROM c_factors WHERE side = 'negative' AND rank_no <= 5
-UNION ALL SELECT company_id, 'anomaly', seq, concat(title, ': ', details), severity, 'Targeted forensic validation and covenant tightening.' FROM c_anomalies WHERE seq <= 6
-UNION ALL SELECT company_id, 'indicator', seq, concat(indicator, ' (source: ', source, ')'), severity, 'Escalate to enhanced monitoring and transaction-level verification.' FROM c_indicators WHERE seq <= 4""",
+    "mem_1_risk_matrix": """SELECT company_id, 'factor' AS section, rank_no, sentence AS risk, 'Medium/High' AS impact, 'Quarterly covenant tracking and early warning triggers.' AS mitigation FROM c_factors WHERE side = 'negative'
+UNION ALL SELECT company_id, 'anomaly', seq, concat(title, ': ', details), severity, 'Targeted forensic validation and covenant tightening.' FROM c_anomalies
+UNION ALL SELECT company_id, 'indicator', seq, concat(indicator, ' (source: ', source, ')'), severity, 'Escalate to enhanced monitoring and transaction-level verification.' FROM c_indicators""",
     "mem_2_covenants": """SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY k) AS seq, covenant FROM (
 SELECT company_id, k, covenant FROM c_vector CROSS JOIN (VALUES (1, 'Monthly stock and receivable statements to lender.'), (2, 'Quarterly GST vs banking reconciliation with management certification.'), (3, 'DSCR floor covenant at 1.20x; breach to trigger corrective action plan.')) g(k, covenant)
 UNION ALL SELECT company_id, 4, 'Monthly GST ITC reconciliation submission until mismatch normalizes below 5%.' FROM c_vector WHERE gstr3b_vs_2a_itc_gap > 5 UNION ALL SELECT company_id, 5, 'No incremental unsecured debt without lender approval.' FROM c_vector WHERE debt_equity_ratio > 1.5

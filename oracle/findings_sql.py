@@ -15,13 +15,13 @@ def _in(domains) -> str:
 
 _ALLOW = "CASE query_type " + " ".join(f"WHEN '{k}' THEN {_in(v)}" for ks, v in N.ALLOWED for k in ks) + f" ELSE {_in(N.NEWS + N.LEGAL + N.REGISTRY + N.REGULATORS)} END"
 CTES["c_usable"] = f"SELECT *, NOT {_EXC} AND {_ALLOW} AS usable FROM c_results"
-CTES["c_owners"] = "SELECT company_id, url, min(seq) AS seq, arg_min(query, seq) AS query FROM c_usable WHERE usable GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY min(seq)) <= 8"
+CTES["c_owners"] = "SELECT company_id, url, min(seq) AS seq, arg_min(query, seq) AS query FROM c_usable WHERE usable GROUP BY 1, 2"
 CTES["c_alerts"] = """SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY seq) AS rank_no, seq, 'External Critical Red Flag' AS title, summary, severity, source_name, source_url, true AS advisory_only
-FROM c_findings WHERE severity IN ('CRITICAL', 'HIGH') AND finding_type IN ('FRAUD_ALERT', 'LITIGATION', 'REGULATORY', 'REGULATORY_ACTION') QUALIFY rank_no <= 8"""
+FROM c_findings WHERE severity IN ('CRITICAL', 'HIGH') AND finding_type IN ('FRAUD_ALERT', 'LITIGATION', 'REGULATORY', 'REGULATORY_ACTION')"""
 _hits = "list_filter([" + ", ".join(f"'{w}'" for w in N.RED_FLAG_WORDS) + "], lambda w: contains(lower(concat(summary, ' ', raw_snippet)), w))"
 CTES["c_keyword"] = f"""SELECT company_id, seq, finding_date, 'FRAUD_ALERT' AS finding_type, 'HIGH' AS severity, source_url, concat(source_name, ' (Keyword Classifier)') AS source_name,
-  concat('Potential red-flag term(s) detected: ', array_to_string(hits[1:3], ', '), '.') AS summary, substr(raw_snippet, 1, 600) AS raw_snippet, {r('least(0.95, confidence + 0.1)', 4)} AS confidence, CAST(-8 AS DOUBLE) AS score_impact
-FROM (SELECT *, {_hits} AS hits FROM c_findings) x WHERE len(hits) > 0 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY seq) <= 15"""
+  concat('Potential red-flag term(s) detected: ', array_to_string(hits, ', '), '.') AS summary, raw_snippet, {r('least(0.95, confidence + 0.1)', 4)} AS confidence, CAST(-8 AS DOUBLE) AS score_impact
+FROM (SELECT *, {_hits} AS hits FROM c_before_alerts) x WHERE len(hits) > 0"""
 CTES["c_registry_findings"] = f"""SELECT company_id, CAST(0 AS BIGINT) AS seq, DATE '2025-01-01' AS finding_date, CASE WHEN struck_off IS NULL THEN 'NEUTRAL' ELSE 'FRAUD_ALERT' END AS finding_type, CASE WHEN struck_off IS NULL THEN 'INFORMATIONAL' ELSE 'HIGH' END AS severity,
   '{N.REGISTRY_URL}' AS source_url, 'MCA' AS source_name, CASE WHEN struck_off IS NULL THEN 'MCA records show compliant filing history with no struck-off associations.' ELSE 'Director linkage with struck-off entities detected from MCA records.' END AS summary,
   coalesce(struck_off, concat('Filing compliance score: ', format('{{:.1f}}', compliance_score), '%')) AS raw_snippet, CAST(CASE WHEN struck_off IS NULL THEN 0.75 ELSE 0.9 END AS DOUBLE) AS confidence, CAST(CASE WHEN struck_off IS NULL THEN 0 ELSE -10 END AS DOUBLE) AS score_impact FROM c_registry"""
@@ -29,7 +29,10 @@ CTES["c_sector_findings"] = f"""SELECT company_id, CAST(0 AS BIGINT) AS seq, DAT
   CASE WHEN sector = 'real_estate' THEN 'Sector-level regulatory tightening observed for real-estate debt underwriting.' ELSE 'No direct RBI/SEBI enforcement action found in sampled sources.' END AS summary,
   concat(company_name, ' screened against RBI/SEBI/FSSAI alerts.') AS raw_snippet, CAST(0.68 AS DOUBLE) AS confidence, CAST(CASE WHEN sector = 'real_estate' THEN -5 ELSE -1 END AS DOUBLE) AS score_impact FROM c_company"""
 _F = ", ".join(N.FINDING)
-_dedupe = "SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY company_id, lower(substr(source_url, 1, 120)), lower(substr(summary, 1, 120)) ORDER BY {1}) = 1"
+_key = "concat_ws('|', " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in ["company_id", "finding_type", "severity", "source_url", "source_name", "summary", "finding_date", "raw_snippet"]) + ")"
+CTES["c_before_alerts"] = " UNION ALL ".join(f"SELECT {_F} FROM {n}" for n in ["c_registry_findings", "c_findings", "c_sector_findings"])
+CTES["c_keyword"] = CTES.pop("c_keyword")  # reads the three above
+_dedupe = "SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY company_id, lower(source_url), lower(summary) ORDER BY {1}) = 1"
 CTES["c_union"] = " UNION ALL ".join(f"SELECT {_F}, CAST({i} AS BIGINT) AS source_order FROM {n}" for i, n in enumerate(["c_registry_findings", "c_findings", "c_sector_findings", "c_keyword"]))
 CTES["c_gathered"] = _dedupe.format("c_union", "source_order, seq")
 
@@ -48,8 +51,8 @@ SELECT c.company_id, company_name, coalesce(research_verdict, 'LOW_RISK') AS res
   CASE WHEN good IS NOT NULL THEN concat('Offsetting comfort signals: ', good, '.') ELSE 'No strong external positive catalyst was identified to offset adverse intelligence.' END,
   ' Research should be treated as an advisory overlay to credit governance: flagged items require analyst verification, covenant calibration, and tighter post-disbursement monitoring.') AS narrative
 FROM c_company c LEFT JOIN ({summary('c_findings')}) s ON c.company_id = s.company_id
-LEFT JOIN (SELECT company_id, string_agg(concat('[', severity, '] ', source_name, ': ', summary), ' | ' ORDER BY seq) AS bad FROM (SELECT * FROM c_findings WHERE severity IN ('CRITICAL', 'HIGH') QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY seq) <= 4) x GROUP BY 1) a ON c.company_id = a.company_id
-LEFT JOIN (SELECT company_id, string_agg(concat(source_name, ': ', summary), ' | ' ORDER BY seq) AS good FROM (SELECT * FROM c_findings WHERE score_impact > 0 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY seq) <= 2) x GROUP BY 1) g ON c.company_id = g.company_id"""
+LEFT JOIN (SELECT company_id, string_agg(concat('[', severity, '] ', source_name, ': ', summary), ' | ' ORDER BY seq) AS bad FROM (SELECT * FROM c_findings WHERE severity IN ('CRITICAL', 'HIGH')) x GROUP BY 1) a ON c.company_id = a.company_id
+LEFT JOIN (SELECT company_id, string_agg(concat(source_name, ': ', summary), ' | ' ORDER BY seq) AS good FROM (SELECT * FROM c_findings WHERE score_impact > 0) x GROUP BY 1) g ON c.company_id = g.company_id"""
 
 # The plan as one row per template, ordered by (block, promoter, line).
 _plan = []
@@ -107,7 +110,7 @@ SQL.update({
     "join_11_best_content": f"""SELECT o.company_id, o.url, coalesce(a.t, b.t, d.t) AS content, CASE WHEN a.t IS NOT NULL THEN 'primary' WHEN b.t IS NOT NULL THEN 'secondary' ELSE 'snippet' END AS origin FROM c_owners o
 LEFT JOIN {side('markdown')} a ON o.company_id = a.company_id AND o.url = a.url LEFT JOIN {side('content')} b ON o.company_id = b.company_id AND o.url = b.url LEFT JOIN {side('description')} d ON o.company_id = d.company_id AND o.url = d.url WHERE coalesce(a.t, b.t, d.t) IS NOT NULL""",
     "win_3_deduplicated": _dedupe.format("c_findings", "seq"),
-    "win_4_distinct_queries": "SELECT company_id, min(seq) AS seq, arg_min(query, seq) AS query FROM c_landed GROUP BY company_id, lower(trim(query)) QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY min(seq)) <= 12",
+    "win_4_distinct_queries": "SELECT company_id, min(seq) AS seq, arg_min(query, seq) AS query FROM c_landed GROUP BY company_id, lower(trim(query))",
     "win_5_url_owners": "SELECT * FROM c_owners",
     "set_1_all_findings": "SELECT * FROM c_gathered",
     "set_2_flag_list": """SELECT company_id, 'anomaly' AS origin, seq, title, details, severity FROM c_anomalies
@@ -116,10 +119,10 @@ UNION ALL SELECT company_id, 'research', rank_no, concat('Research Alert: ', tit
     "set_3_search_plan": "SELECT * FROM c_plan",
     "set_5_source_types": "SELECT DISTINCT company_id, finding_type FROM c_findings",
     "agg_8_research_summary": "SELECT * FROM c_summary",
-    "agg_15_run_metrics": """SELECT q.company_id, results_landed, queries_executed, coalesce(filtered_out, 0) AS filtered_out, coalesce(urls_selected, 0) AS urls_selected, coalesce(fb, 0) AS findings_before_cap, least(coalesce(fb, 0), 20) AS findings_returned, coalesce(fd, 0) AS findings_deduplicated
-FROM (SELECT company_id, count(*) AS results_landed, least(count(DISTINCT lower(trim(query))), 12) AS queries_executed FROM c_landed GROUP BY 1) q
-LEFT JOIN (SELECT company_id, count(*) FILTER (WHERE NOT usable) AS filtered_out, least(count(DISTINCT url) FILTER (WHERE usable), 8) AS urls_selected FROM c_usable GROUP BY 1) u ON q.company_id = u.company_id
-LEFT JOIN (SELECT company_id, count(*) AS fb, count(DISTINCT concat(lower(substr(source_url, 1, 120)), chr(1), lower(substr(summary, 1, 120)))) AS fd FROM c_findings GROUP BY 1) f ON q.company_id = f.company_id""",
+    "agg_15_run_metrics": """SELECT q.company_id, results_landed, queries_executed, coalesce(filtered_out, 0) AS filtered_out, coalesce(urls_selected, 0) AS urls_selected, coalesce(fb, 0) AS findings_returned, coalesce(fd, 0) AS findings_deduplicated
+FROM (SELECT company_id, count(*) AS results_landed, count(DISTINCT lower(trim(query))) AS queries_executed FROM c_landed GROUP BY 1) q
+LEFT JOIN (SELECT company_id, count(*) FILTER (WHERE NOT usable) AS filtered_out, count(DISTINCT url) FILTER (WHERE usable) AS urls_selected FROM c_usable GROUP BY 1) u ON q.company_id = u.company_id
+LEFT JOIN (SELECT company_id, count(*) AS fb, count(DISTINCT concat(lower(source_url), chr(1), lower(summary))) AS fd FROM c_findings GROUP BY 1) f ON q.company_id = f.company_id""",
     "mem_3_narrative": "SELECT * FROM c_narrative",
     "mem_7_registry_findings": "SELECT * FROM c_registry_findings",
     "mem_8_sector_findings": "SELECT * FROM c_sector_findings",
@@ -127,8 +130,8 @@ LEFT JOIN (SELECT company_id, count(*) AS fb, count(DISTINCT concat(lower(substr
   row_number() OVER (PARTITION BY company_id, severity IN ('CRITICAL', 'HIGH') ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, seq) AS rank_no FROM c_findings) x WHERE rank_no <= CASE WHEN urgent THEN 6 ELSE 4 END""",
     "top_8_ordered_plan": "SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY priority, seq) AS position, query, query_type, priority FROM c_plan WHERE priority <= 2",
     "top_9_latest_findings": "SELECT company_id, row_number() OVER (PARTITION BY company_id ORDER BY finding_date DESC, seq DESC) AS rank_no, seq, finding_date, severity, finding_type, summary FROM c_findings QUALIFY rank_no <= 5",
-    "src_16_finding_table": f"""SELECT sha256(concat(company_id, '|', finding_type, '|', source_url, '|', summary)) AS finding_id, CAST(company_id AS VARCHAR) AS company_id, finding_type, severity, CASE WHEN summary <> '' THEN substr(split_part(summary, '.', 1), 1, 180) ELSE source_name END AS headline,
+    "src_16_finding_table": f"""SELECT sha256({_key}) AS finding_id, CAST(company_id AS VARCHAR) AS company_id, finding_type, severity, CASE WHEN summary <> '' THEN split_part(summary, '.', 1) ELSE source_name END AS headline,
   summary, source_url, source_name, finding_date AS source_date, raw_snippet AS raw_content, CAST(CASE severity WHEN 'CRITICAL' THEN -20 WHEN 'HIGH' THEN -12 WHEN 'MEDIUM' THEN -6 WHEN 'LOW' THEN -1 ELSE 0 END AS DOUBLE) AS score_impact, 'research_summary' AS cam_section, 'run-1' AS research_job_id
-FROM c_findings QUALIFY row_number() OVER (PARTITION BY company_id, finding_type, source_url, summary ORDER BY seq) = 1""",
+FROM c_findings QUALIFY row_number() OVER (PARTITION BY {_key} ORDER BY seq) = 1""",
     "src_17_narrative_table": "SELECT CAST(company_id AS VARCHAR) AS company_id, company_name, 'run-1' AS research_job_id, research_verdict, total_findings, total_score_impact, narrative AS cam_narrative FROM c_narrative",
 })

@@ -2,20 +2,19 @@ from oracle.kit import CTES, SQL, r
 
 CTES["c_emi"] = f"""
 SELECT company_id, txn_id, txn_date, party AS lender, {r('debit', 2)} AS amount, CAST(0.75 AS DOUBLE) AS confidence
-FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY txn_date, txn_id) AS k FROM c_ledger
-  WHERE debit > 0 AND regexp_matches(narration, '(?i)emi|ecs|nach|loan')) x WHERE k <= 100"""
+FROM c_ledger WHERE debit > 0 AND regexp_matches(narration, '(?i)emi|ecs|nach|loan')"""
 _ROUND = """
 SELECT company_id, txn_id, rank_no, concat(CAST(txn_date AS VARCHAR), ': round transfer ₹', format('{:,d}', CAST(debit AS BIGINT)), ' to ', coalesce(party, 'Unknown')) AS finding
 FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY txn_date, txn_id) AS rank_no FROM SRC
-  WHERE debit > 0 AND CAST(debit AS DOUBLE) % 100000 = 0 AND NOT regexp_matches(lower(coalesce(party, '')), 'bank|gst|salary|tax')) x WHERE rank_no <= 20"""
+  WHERE debit > 0 AND CAST(debit AS DOUBLE) % 100000 = 0 AND NOT regexp_matches(lower(coalesce(party, '')), 'bank|gst|salary|tax')) x"""
 CTES["c_pairs"] = """
-SELECT company_id, debit_txn_id, credit_txn_id, txn_date, party, CAST(amount AS DOUBLE) AS amount, substr(narration, 1, 160) AS narration
+SELECT company_id, debit_txn_id, credit_txn_id, txn_date, party, CAST(amount AS DOUBLE) AS amount, narration
 FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY debit_date, debit_txn_id) AS k FROM (
   SELECT d.company_id, d.txn_id AS debit_txn_id, d.txn_date AS debit_date, c.txn_id AS credit_txn_id, c.txn_date, c.party, c.credit AS amount, c.narration,
     row_number() OVER (PARTITION BY d.company_id, d.txn_id ORDER BY c.txn_date, c.credit, c.txn_id) AS j
   FROM c_ledger d JOIN c_ledger c ON d.company_id = c.company_id AND lower(trim(d.party)) = lower(trim(c.party)) AND trim(d.party) <> ''
     AND c.txn_date BETWEEN d.txn_date AND d.txn_date + 3 AND c.credit >= d.debit * 0.98 AND c.credit <= d.debit * 1.02
-  WHERE d.debit > 0 AND c.credit > 0) x WHERE j = 1) y WHERE k <= 50"""
+  WHERE d.debit > 0 AND c.credit > 0) x WHERE j = 1) y"""
 CTES["c_ledger_totals"] = f"""
 SELECT s.company_id, {r('avg_balance', 2)} AS average_monthly_balance, banking_turnover, largest_debit, cash_debits, total_debits,
   CASE WHEN total_debits > 0 AND cash_debits / total_debits > 0.35 THEN 'ALARMING' WHEN total_debits > 0 AND cash_debits / total_debits > 0.2 THEN 'SUSPICIOUS' ELSE 'NORMAL' END AS cash_pattern,

@@ -10,5 +10,5 @@ FROM (SELECT company_id, CAST(y AS INT)::DOUBLE AS stress_label FROM c_ruled) x"
 FROM (SELECT count(*) FILTER (WHERE y AND score >= 0.5) AS tp, count(*) FILTER (WHERE NOT y AND score >= 0.5) AS fp, count(*) FILTER (WHERE y AND score < 0.5) AS fn, count(*) FILTER (WHERE NOT y AND score < 0.5) AS tn FROM c_ruled) m,
 (SELECT {r("avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END)", 6)} AS auc FROM c_ruled a, c_ruled b WHERE a.y AND NOT b.y) u""",
     "agg_13_class_report": f"""SELECT class, CAST(support AS BIGINT) AS support, {r('coalesce(hits / nullif(predicted, 0), 0)', 6)} AS precision, {r('coalesce(hits / nullif(support, 0), 0)', 6)} AS recall
-FROM (SELECT c::DOUBLE AS class, count(*) FILTER (WHERE y = (c = 1)) AS support, count(*) FILTER (WHERE (score >= 0.5) = (c = 1)) AS predicted, count(*) FILTER (WHERE y = (c = 1) AND (score >= 0.5) = (c = 1)) AS hits FROM c_ruled CROSS JOIN (SELECT unnest([0, 1]) AS c) g GROUP BY c) x""",
+FROM (SELECT c::DOUBLE AS class, count(*) FILTER (WHERE y = (c = 1)) AS support, count(*) FILTER (WHERE (score >= 0.5) = (c = 1)) AS predicted, count(*) FILTER (WHERE y = (c = 1) AND (score >= 0.5) = (c = 1)) AS hits FROM c_ruled CROSS JOIN (SELECT unnest([0, 1]) AS c) g GROUP BY c) x WHERE support + predicted > 0""",
 })

@@ -39,15 +39,15 @@ _series = []
 for kind, patterns in (("revenue", X.REVENUE_SERIES), ("profit", X.PROFIT_SERIES)):
     for i, p in enumerate(patterns):
         _series.append(f"""SELECT doc_id, '{kind}' AS kind, {0 if kind == 'revenue' else 9} + {i} AS pat, i, {r(crore('n', 'u'), 2)} AS amount FROM (
-  SELECT doc_id, unnest(a) AS n, unnest(b) AS u, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all({T}, '{q(p)}', 1) AS a, regexp_extract_all({T}, '{q(p)}', 2) AS b FROM c_doc_text) y) x WHERE i <= 5""")
+  SELECT doc_id, unnest(a) AS n, unnest(b) AS u, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all({T}, '{q(p)}', 1) AS a, regexp_extract_all({T}, '{q(p)}', 2) AS b FROM c_doc_text) y) x""")
 CTES["c_money"] = "SELECT * FROM (" + " UNION ALL ".join(_series) + ") m WHERE amount > 0"
-CTES["c_disputes"] = f"SELECT * FROM ({unnested('list_transform(list_filter(' + sentences(any_of('lower(s)', X.DISPUTE_WORDS)) + ', lambda s: length(s) >= 20), lambda s: substr(s, 1, 180))', 'title')}) w WHERE pos < 8"
+CTES["c_disputes"] = f"SELECT * FROM ({unnested('list_transform(list_filter(' + sentences(any_of('lower(s)', X.DISPUTE_WORDS)) + ', lambda s: length(s) >= 20), lambda s: s)', 'title')}) w"
 CTES["c_related"] = f"""SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) - 1 AS pos FROM (
-  SELECT doc_id, sentence, min(pos) AS first_pos FROM ({unnested('list_transform(list_filter(' + sentences(any_of('lower(s)', X.RELATED_WORDS)) + ", lambda s: s <> ''), lambda s: substr(s, 1, 240))", 'sentence')}) w GROUP BY 1, 2) v QUALIFY pos < 20"""
-CTES["c_auditor"] = f"""SELECT * FROM ({unnested("list_transform(list_filter(" + sentences(f"regexp_matches(s, '{X.AUDITOR_PATTERN}')") + ", lambda s: s <> ''), lambda s: substr(s, 1, 220))", 'sentence')}) w WHERE pos < 8"""
+  SELECT doc_id, sentence, min(pos) AS first_pos FROM ({unnested('list_transform(list_filter(' + sentences(any_of('lower(s)', X.RELATED_WORDS)) + ", lambda s: s <> ''), lambda s: s)", 'sentence')}) w GROUP BY 1, 2) v"""
+CTES["c_auditor"] = f"""SELECT * FROM ({unnested("list_transform(list_filter(" + sentences(f"regexp_matches(s, '{X.AUDITOR_PATTERN}')") + ", lambda s: s <> ''), lambda s: s)", 'sentence')}) w"""
 CTES["c_limits"] = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, {squeeze('n')} AS lender, {num('a')} AS limit_amount FROM (
   SELECT doc_id, unnest(x) AS n, unnest(y) AS a, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all({T}, '{X.BANK_LIMIT}', 1) AS x, regexp_extract_all({T}, '{X.BANK_LIMIT}', 2) AS y FROM c_doc_text) z) w
-  WHERE {num('a')} IS NOT NULL QUALIFY pos < 10"""
+  WHERE {num('a')} IS NOT NULL"""
 _counts = {n: " + ".join(f"CAST(contains(lower({T}), '{q(w)}') AS INT)" for w in words) for n, words in X.CONTENT_WORDS.items()}
 _best = "greatest(" + ", ".join(f"({c})" for c in _counts.values()) + ")"
 CTES["c_content"] = f"SELECT doc_id, CASE WHEN {_best} = 0 THEN 'UNKNOWN' " + " ".join(f"WHEN ({c}) = {_best} THEN '{n}'" for n, c in _counts.items()) + " END AS content_type FROM c_doc_text"
@@ -62,9 +62,9 @@ CTES["c_holders"] = f"""
 SELECT doc_id, company_id, name_key, min(pos) AS pos, arg_min(name, pos) AS name, {r('arg_min(pct, pos)', 2)} AS pct FROM (
   SELECT doc_id, company_id, pos, pct, name, lower(name) AS name_key FROM (SELECT doc_id, company_id, pos, TRY_CAST(regexp_extract(line, '(\\d{{1,2}}(?:\\.\\d{{1,2}})?)\\s*%', 1) AS DOUBLE) AS pct,
     regexp_replace(trim(regexp_replace(trim(regexp_extract(line, '^(.*?)(\\d{{1,2}}(?:\\.\\d{{1,2}})?)\\s*%', 1), ' -:|'), '^\\d+\\s*[).:-]\\s*', '')), '\\s{{2,}}', ' ', 'g') AS name
-    FROM (SELECT d.company_id, w.* FROM c_doc_text d JOIN ({unnested(LINES, 'line')}) w ON d.doc_id = w.doc_id) y WHERE contains(line, '%') AND length(line) <= 180) x
+    FROM (SELECT d.company_id, w.* FROM c_doc_text d JOIN ({unnested(LINES, 'line')}) w ON d.doc_id = w.doc_id) y WHERE contains(line, '%')) x
   WHERE pct > 0 AND length(name) >= 3 AND NOT {any_of('lower(name)', X.NOT_HOLDERS)}) h GROUP BY 1, 2, 3"""
-CTES["c_top_holders"] = "SELECT doc_id, company_id, row_number() OVER (PARTITION BY doc_id ORDER BY pct DESC, pos) AS rank_no, name, pct FROM c_holders QUALIFY rank_no <= 12"
+CTES["c_top_holders"] = "SELECT doc_id, company_id, row_number() OVER (PARTITION BY doc_id ORDER BY pct DESC, pos) AS rank_no, name, pct FROM c_holders"
 
 
 def line_pct(word: str) -> str:
@@ -88,9 +88,9 @@ CTES["c_pagetext"] = f"""SELECT page_id, url, concat('query for page ', page_id)
   array_to_string(list_filter(list_transform(string_split({_html}, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> ''), chr(10)) AS content FROM c_web_pages"""
 CTES["c_headline"] = """SELECT page_id, content, coalesce(list_filter(string_split(content, chr(10)), lambda s: length(s) BETWEEN 15 AND 180)[1], query) AS headline,
   array_to_string(list_transform(string_split(lab, '-'), lambda s: concat(upper(substr(s, 1, 1)), lower(substr(s, 2)))), '-') AS source_name FROM (SELECT *, split_part(replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), 'www.', ''), '.', 1) AS lab FROM c_pagetext) x"""
-CTES["c_pagefind"] = "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, finding_type, severity, score_impact, headline, trim(replace(substr(content, 1, 400), chr(10), ' ')) AS summary, source_name, substr(content, 1, 1200) AS raw_snippet FROM (" + " UNION ALL ".join(
-    f"SELECT page_id, content, headline, source_name, {i} AS k, '{t}' AS finding_type, '{s}' AS severity, CAST({v} AS DOUBLE) AS score_impact FROM c_headline WHERE length(content) >= 120 AND regexp_matches(lower(content), '{p}')"
-    for i, (p, t, s, v) in enumerate(X.PAGE_RULES)) + ") x QUALIFY pos < 3"
+CTES["c_pagefind"] = "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, finding_type, severity, score_impact, headline, trim(replace(content, chr(10), ' ')) AS summary, source_name, content AS raw_snippet FROM (" + " UNION ALL ".join(
+    f"SELECT page_id, content, headline, source_name, {i} AS k, '{t}' AS finding_type, '{s}' AS severity, CAST({v} AS DOUBLE) AS score_impact FROM c_headline WHERE regexp_matches(lower(content), '{p}')"
+    for i, (p, t, s, v) in enumerate(X.PAGE_RULES)) + ") x"
 
 
 def notes_sql(source: str, note: str) -> str:
@@ -145,7 +145,7 @@ SQL.update({
     "txt_9_disputes": "SELECT * FROM c_disputes",
     "txt_10_related_parties": "SELECT * FROM c_related",
     "txt_11_auditor_notes": "SELECT * FROM c_auditor",
-    "txt_12_collateral": f"""SELECT * FROM ({unnested('list_transform(list_filter(list_transform(list_filter(string_split(' + T + ', chr(10)), lambda s: ' + any_of('lower(s)', X.COLLATERAL_WORDS) + '), lambda s: ' + squeeze('s') + '), lambda s: length(s) > 12), lambda s: substr(s, 1, 200))', 'line')}) w WHERE pos < 8""",
+    "txt_12_collateral": f"""SELECT * FROM ({unnested('list_transform(list_filter(list_transform(list_filter(string_split(' + T + ', chr(10)), lambda s: ' + any_of('lower(s)', X.COLLATERAL_WORDS) + '), lambda s: ' + squeeze('s') + '), lambda s: length(s) > 12), lambda s: s)', 'line')}) w""",
     "txt_13_going_concern": "SELECT doc_id, going_concern FROM c_docfacts",
     "txt_14_confidence": f"""SELECT doc_id, conf AS confidence, needs_review, concat_ws(' | ', CASE WHEN needs_review THEN 'Low extraction confidence (<0.7). Manual credit analyst review required.' END,
   CASE WHEN has_auditor THEN 'CRITICAL: Auditor qualifications present in submitted document.' END, CASE WHEN going_concern THEN 'CRITICAL: Going concern doubt observed in auditor commentary.' END) AS risk_notes FROM ({CTES['c_confidence'].replace('SRC', 'CASE WHEN n_text >= 120 THEN 0.9 ELSE 0.45 END')}) z""",
@@ -172,7 +172,7 @@ FROM (SELECT *, trim(concat(pair, chr(10), ocr)) AS every FROM (SELECT *, trim(c
   CAST(CASE WHEN page_id % 2 = 0 THEN -3.5 ELSE 0 END AS DOUBLE) AS score_impact, CASE WHEN page_id % 3 = 1 THEN DATE '2024-03-05' ELSE DATE '2023-11-07' END AS source_date, 'model' AS origin
 FROM pages CROSS JOIN (SELECT unnest([0, 1])::BIGINT AS pos) g WHERE page_id % 3 <> 0 AND page_id % 7 <> 0
 UNION ALL SELECT page_id, pos, headline, summary, finding_type, severity, score_impact, NULL, 'rules' FROM c_pagefind WHERE page_id % 3 = 0 OR page_id % 7 = 0""",
-    "txt_30_holding_company": f"""SELECT doc_id, {squeeze("list_filter((" + LINES + ")[1:40], lambda s: length(s) <= 80 AND " + any_of('lower(s)', ['limited', 'pvt', 'llp']) + ")[1]")} AS company_name FROM c_doc_text""",
+    "txt_30_holding_company": f"""SELECT doc_id, {squeeze("list_filter((" + LINES + "), lambda s: length(s) <= 80 AND " + any_of('lower(s)', ['limited', 'pvt', 'llp']) + ")[1]")} AS company_name FROM c_doc_text""",
     "prj_4_routes": f"""SELECT f.doc_id, f.company_id, f.file_name, effective_type, CASE {" ".join(f"WHEN upper(effective_type) = '{k}' THEN '{v}'" for k, v in I.CLASS_ROUTES.items())}
   WHEN {ends('lower(file_name)', I.TEXT_EXTENSIONS)} THEN 'text' WHEN {ends('lower(file_name)', ['.json', '.xml'])} THEN CASE WHEN contains(lower(file_name), 'gstr') THEN 'tax_return' WHEN contains(lower(file_name), 'itr') THEN 'income_tax_return' ELSE 'unrouted' END
   WHEN {ends('lower(file_name)', I.BOOK_EXTENSIONS)} THEN coalesce({rule('lower(file_name)', I.BOOK_NAME_RULES)}, 'bank_statement') ELSE 'unrouted' END AS route FROM c_files f LEFT JOIN c_effective e ON f.doc_id = e.doc_id""",

@@ -4,7 +4,7 @@ from oracle.kit import CTES, SQL, any_of, r
 NUM = "TRY_CAST(regexp_replace({0}, '[,₹%\\s]', '', 'g') AS DOUBLE)"
 CTES["c_wb_col"] = """
 SELECT company_id, file_name, sheet, coalesce((SELECT col_idx FROM (SELECT h.col_idx, CAST(regexp_extract(h.cell_text, '(\\d{4})', 1) AS INT) AS y
-  FROM c_cells h WHERE h.company_id = s.company_id AND h.file_name = s.file_name AND h.sheet = s.sheet AND h.row_idx = 1 AND h.col_idx BETWEEN 2 AND 14
+  FROM c_cells h WHERE h.company_id = s.company_id AND h.file_name = s.file_name AND h.sheet = s.sheet AND h.row_idx = 1 AND h.col_idx >= 2
     AND regexp_matches(h.cell_text, '\\d{4}')) q ORDER BY y DESC, col_idx LIMIT 1), 2) AS value_col
 FROM (SELECT DISTINCT company_id, file_name, sheet FROM c_cells) s"""
 
@@ -13,7 +13,7 @@ def _lookup(kind: str, rules: dict, klass: str, columns: str) -> str:
     parts = []
     for figure, words in rules.items():
         parts.append(f"""SELECT '{figure}' AS figure, l.company_id, l.file_name, l.sheet, min(l.row_idx) AS row_idx FROM c_cells l
-  WHERE l.col_idx = 1 AND l.row_idx <= 200 AND {klass} AND {any_of('lower(trim(l.cell_text))', words)} GROUP BY 2, 3, 4""")
+  WHERE l.col_idx = 1 AND {klass} AND {any_of('lower(trim(l.cell_text))', words)} GROUP BY 2, 3, 4""")
     return " UNION ALL ".join(parts)
 
 
@@ -68,7 +68,7 @@ FROM (SELECT DISTINCT company_id, file_name FROM c_cells) f LEFT JOIN (
   FROM (SELECT v.company_id, v.file_name, {NUM.format('v.cell_text')} AS num, lower(hd.cell_text) AS head, concat(v.sheet, lpad(CAST(v.row_idx AS VARCHAR), 5, '0'), lpad(CAST(v.col_idx AS VARCHAR), 5, '0')) AS ord
     FROM c_cells l JOIN c_cells v ON l.company_id = v.company_id AND l.file_name = v.file_name AND l.sheet = v.sheet AND l.row_idx = v.row_idx
     JOIN c_cells hd ON hd.company_id = v.company_id AND hd.file_name = v.file_name AND hd.sheet = v.sheet AND hd.row_idx = 1 AND hd.col_idx = v.col_idx
-    WHERE l.col_idx = 1 AND l.row_idx <= 100 AND v.col_idx BETWEEN 2 AND 11 AND contains(lower(l.cell_text), 'promoter') AND NOT contains(lower(l.cell_text), 'group')) b
+    WHERE l.col_idx = 1 AND v.col_idx >= 2 AND contains(lower(l.cell_text), 'promoter') AND NOT contains(lower(l.cell_text), 'group')) b
   GROUP BY 1, 2) q ON f.company_id = q.company_id AND f.file_name = q.file_name"""
 
 SQL.update({

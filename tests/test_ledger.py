@@ -87,10 +87,11 @@ def test_one_party_one_day_holds_everything(spark):
     assert got.select("first.hit.txn_id").distinct().collect()[0][0] == "t10000"
 
 
-def test_pair_cap_and_order(spark):
+def test_all_pairs_unless_a_report_asks_for_fewer(spark):
     rows = [row(i, march(1 + i % 20), debit=1000) for i in range(80)] + [row(500 + i, march(1 + i), credit=1000) for i in range(25)]
     got = L.circular_pairs(ledger(spark, rows))
-    assert got.count() == 50
+    assert got.count() == 80
+    assert L.circular_pairs(ledger(spark, rows), cap=50).count() == 50
 
 
 def test_missing_party_never_pairs(spark):
@@ -142,5 +143,5 @@ def test_plan_has_no_pair_product(spark):
 
 def test_rank_filter_runs_before_the_shuffle(spark):
     df = ledger(spark, [row(1, march(1), debit=1, narration="EMI")])
-    assert "WindowGroupLimit" in L.emi_payments(df)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in L.emi_payments(df, cap=1)._jdf.queryExecution().executedPlan().toString()
     assert L.emi_payments(df.withColumn("narration", F.lit(None).cast("string"))).count() == 0
