@@ -14,6 +14,7 @@ from creditloom.llm.pii import find_personal_data
 from creditloom.llm.quality import judge_quality
 from creditloom.llm.secret_links import find_secrets
 from creditloom.llm.shared import Steps, documents
+from creditloom.llm.sql import SQL  # noqa: F401
 from creditloom.llm.token_counts import count_tokens
 from creditloom.llm.token_files import read_token_files, write_token_files
 from creditloom.llm.toxicity import score_toxicity
@@ -78,4 +79,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
+
