@@ -144,15 +144,17 @@ def total_debt(text: Column) -> Column:
     return number_text(rlike_first(text, TOTAL_DEBT))
 
 
-def rating_facts(docs: DataFrame) -> DataFrame:
-    text = F.col(TEXT)
-    return docs.select(
-        "doc_id",
+def rating_columns(text: Column) -> list[Column]:
+    return [
         rlike_first(text, CONCENTRATION).try_cast("double").alias("concentration_pct"),
         F.upper(rlike_first(text, RATING_ACTION)).alias("rating_action"),
         F.upper(rlike_first(text, RATING_GRADE)).alias("rating_grade"),
         squeeze(rlike_first(text, PARTNER)).alias("partner"),
-    )
+    ]
+
+
+def rating_facts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", *rating_columns(F.col(TEXT)))
 
 
 def bank_limits(text: Column) -> Column:
@@ -219,6 +221,7 @@ def facts(docs: DataFrame, source_confidence: Column | float = 0.9) -> DataFrame
         related_parties(text).alias("related_parties"), auditor_notes(text).alias("auditor_notes"), collateral_lines(text).alias("collateral"),
         going_concern(text).alias("going_concern"), content_type(text).alias("content_type"),
         (F.lit(source_confidence) if isinstance(source_confidence, float) else source_confidence).alias("source_confidence"),
+        *rating_columns(text),
     )
     has_revenue = F.coalesce(F.col("revenue_cr") > 0, F.lit(False)) | (F.size("revenue_series") > 0)
     step = lambda cond, v: F.when(cond, v).otherwise(0.0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.values import cell_number, has_any, rlike_first, round_to
 
-SHEET = ["company_id", "file_name", "sheet"]
+SHEET = ["company_id", "file_name", "sheet_no", "sheet"]
 
 # Sheet-name words per class, and the label words per figure of each class.
 SHEET_CLASSES = {
@@ -127,7 +127,7 @@ def statement_figures(cells: DataFrame) -> DataFrame:
         statement_values(cells)
         .groupBy("company_id", "file_name")
         .pivot("figure", FIGURES)
-        .agg(F.max_by("value", "sheet"))
+        .agg(F.max_by("value", "sheet_no"))
     )
 
 
@@ -166,11 +166,12 @@ def statement_facts(cells: DataFrame) -> DataFrame:
 
 
 def _first_sheet(cells: DataFrame, words: list[str]) -> DataFrame:
-    """Name of the first sheet per file whose name holds one of the words."""
+    """First sheet per file, in the workbook's order, whose name holds one of the words."""
     return (
         cells.filter(has_any(F.lower("sheet"), words))
         .groupBy("company_id", "file_name")
-        .agg(F.min("sheet").alias("sheet"))
+        .agg(F.min(F.struct("sheet_no", "sheet")).alias("first"))
+        .select("company_id", "file_name", "first.*")
     )
 
 
@@ -189,7 +190,7 @@ def credit_reconciliation(cells: DataFrame) -> DataFrame:
     year = rlike_first(F.col("cell_text"), r"FY(\d{4}-?\d{2,4})")
     corner = (F.col("row_idx") == 1) & (F.col("col_idx") == 1) & year.isNotNull()
     years = cells.groupBy("company_id", "file_name").agg(
-        F.concat(F.lit("FY"), F.min_by(year, F.when(corner, F.col("sheet")))).alias("fiscal_year")
+        F.concat(F.lit("FY"), F.min_by(year, F.when(corner, F.col("sheet_no")))).alias("fiscal_year")
     )
     zero = F.lit(0.0)
     available, excess = F.coalesce("itc_available", zero), F.coalesce("itc_excess", zero)
@@ -240,7 +241,7 @@ def promoter_holding(cells: DataFrame) -> DataFrame:
         *SHEET, "col_idx", F.lower("cell_text").alias("head")
     )
     spread = rows.select(*SHEET, "row_idx", F.inline("values")).join(heads, [*SHEET, "col_idx"])
-    at = F.struct("sheet", "row_idx", "col_idx")
+    at = F.struct("sheet_no", "row_idx", "col_idx")
     is_pledge = F.contains("head", F.lit("pledge")) & (F.col("num") > 0)
     is_holding = (F.contains("head", F.lit("holding")) | F.contains("head", F.lit("%"))) & (F.col("num") > 0) & (F.col("num") <= 100)
     found = spread.groupBy("company_id", "file_name").agg(

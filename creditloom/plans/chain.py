@@ -1,4 +1,4 @@
-"""Shared upstream steps, one row per company each. Every step is a lazy plan."""
+"""Shared upstream steps, one row per company each; the ones that several plans read are written once."""
 
 from __future__ import annotations
 
@@ -23,15 +23,16 @@ def itr_total(t: Tables) -> DataFrame:
 
 def monthly_mismatch(t: Tables) -> DataFrame:
     keys = ["company_id", "period"]
-    return R.tax_mismatch(R.tax_sides(t.gstr3b, t.gstr2a, t.gstr1, t.credits, keys), keys)
+    return R.tax_mismatch(R.tax_sides(*t.monthly.values(), keys), keys)
 
 
 def company_mismatch(t: Tables) -> DataFrame:
+    sums = t.monthly
     sides = R.tax_sides(
-        _total(t.gstr3b, "itc_claimed", "itc_claimed"),
-        _total(t.gstr2a, "available_itc", "available_itc"),
-        _total(t.gstr1, "invoice_sales_total", "invoice_sales_total"),
-        _total(t.credits, "bank_credits", "bank_credits"),
+        _total(sums["gstr3b"], "itc_claimed", "itc_claimed"),
+        _total(sums["gstr2a"], "available_itc", "available_itc"),
+        _total(sums["gstr1"], "invoice_sales_total", "invoice_sales_total"),
+        _total(sums["credits"], "bank_credits", "bank_credits"),
         ["company_id"],
     )
     return R.tax_mismatch(sides, ["company_id"])

@@ -21,7 +21,7 @@ from creditloom.sources.tables import Tables
 
 
 def doc_facts(t: Tables) -> DataFrame:
-    return t.staged("doc_facts", lambda: X.facts(t.doc_text).join(X.rating_facts(t.doc_text), "doc_id"))
+    return t.staged("doc_facts", lambda: X.facts(t.doc_text))
 
 
 def doc_block(t: Tables) -> DataFrame:

@@ -29,9 +29,9 @@ def _parts(t: Tables, rows: DataFrame, name: str) -> DataFrame:
 
 
 def _model(t: Tables, name: str, train) -> PipelineModel:
-    """One saved model per session, folder and name."""
+    """One saved model per session, folder, state of its files, and name."""
     stem = "".join(ch if ch.isalnum() else "-" for ch in t.folder)
-    return K.load_or_train(t.spark, f"{shared_dir(t.spark)}/models/{t.spark.sparkContext.applicationId}{stem}-{name}", train)
+    return K.load_or_train(t.spark, f"{shared_dir(t.spark)}/models/{t.spark.sparkContext.applicationId}{stem}-{t.stamp}-{name}", train)
 
 
 def classifier(t: Tables) -> PipelineModel:
@@ -40,7 +40,7 @@ def classifier(t: Tables) -> PipelineModel:
 
 
 def regressor(t: Tables) -> PipelineModel:
-    return _model(t, "regressor", lambda: K.train_regressor(_parts(t, _credit_rows(t), "credit_parts"), E.CREDIT_FEATURES, "target_score"))
+    return _model(t, "regressor", lambda: K.train_regressor(_parts(t, _credit_rows(t), "credit_parts").filter("part = 'train'"), E.CREDIT_FEATURES, "target_score"))
 
 
 def calibrator(t: Tables) -> PipelineModel:
@@ -54,7 +54,7 @@ def _tested(model: PipelineModel, parts: DataFrame) -> DataFrame:
 
 
 def _fit(t: Tables) -> DataFrame:
-    fitted = regressor(t).transform(_parts(t, _credit_rows(t), "credit_parts"))
+    fitted = regressor(t).transform(_parts(t, _credit_rows(t), "credit_parts").filter("part = 'test'"))
     error = F.col("prediction") - F.col("target_score")
     return fitted.agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mean_error"))
 

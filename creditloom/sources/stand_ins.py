@@ -93,6 +93,11 @@ def _amount(expr: str) -> str:
     return f"cast(cast(cast(floor(({in_double}) * 100) as decimal(20,0)) / 100 as decimal(18,2)) as string)"
 
 
+def sheet_numbers() -> dict[str, int]:
+    """Place of each sheet in the workbook, which is not the order of their names."""
+    return {name: i + 1 for i, name in enumerate(dict.fromkeys(cell[0] for cell in cell_grid()))}
+
+
 def cell_grid() -> list[tuple[str, int, int, str, str]]:
     """Workbook cells per company as (sheet, row, column, text, condition) over the company totals."""
     put: list[tuple[str, int, int, str, str]] = []
@@ -156,8 +161,10 @@ def _cells_sql() -> str:
     grid = " UNION ALL ".join(f"SELECT {i} AS cell_no" for i in range(len(put)))
     pick = lambda k, quote: "CASE cell_no " + " ".join(
         f"WHEN {i} THEN " + (f"'{p[k]}'" if quote else str(p[k])) for i, p in enumerate(put)) + " END"
+    numbers = sheet_numbers()
+    sheet_no = "CASE cell_no " + " ".join(f"WHEN {i} THEN {numbers[p[0]]}" for i, p in enumerate(put)) + " END"
     return (
-        f"SELECT company_id, concat('co', cast(company_id as string), '_book.xlsx') AS file_name, {pick(0, True)} AS sheet, "
+        f"SELECT company_id, concat('co', cast(company_id as string), '_book.xlsx') AS file_name, {sheet_no} AS sheet_no, {pick(0, True)} AS sheet, "
         f"{pick(1, False)} AS row_idx, {pick(2, False)} AS col_idx, {pick(3, False)} AS cell_text "
         f"FROM c_totals CROSS JOIN ({grid}) g WHERE {pick(4, False)}"
     )

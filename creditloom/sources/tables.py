@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.session import scratch_path
-from creditloom.sources.stand_ins import RAW, STAND_INS, cell_grid, with_clause
+from creditloom.sources.stand_ins import RAW, STAND_INS, cell_grid, sheet_numbers, with_clause
 
 _STAGED: dict[tuple[str, str, str], str] = {}
 _LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Removes the steps that this application has written; for the end of a run, when no table built on them is read any more."""
+    mine = spark.sparkContext.applicationId
+    with _LOCKS_GUARD:
+        for key in [k for k in _STAGED if k[0] == mine]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop(key))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Tables:
     """Lazy tables of one data folder; `t.ledger` is the domain table `c_ledger`."""
 
@@ -33,9 +44,9 @@ class Tables:
 
         Keeps long chains from being planned and run again per use, and a lost executor
         from reaching back beyond the last written step. Queries of one session over the
-        same folder share the written steps.
+        same folder share the written steps, as long as the folder's files stay the same.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, f"{name}-{self.stamp}")
         with _LOCKS_GUARD:
             lock = _LOCKS.setdefault(key, threading.Lock())
         with lock:
@@ -46,6 +57,13 @@ class Tables:
                 _STAGED[key] = path
         return self.spark.read.parquet(path)
 
+    @cached_property
+    def stamp(self) -> str:
+        """Hash of the paths, sizes and times of the input files; a changed file gives another one."""
+        paths = [f"{self.folder}/{r}.parquet" for r in RAW]
+        files = self.spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").cast("long"))
+        return hashlib.sha256(repr(sorted(map(tuple, files.collect()))).encode()).hexdigest()[:16]
+
     def together(self, *steps: Callable[[], DataFrame]) -> None:
         """Runs independent staged steps side by side."""
         with ThreadPoolExecutor(len(steps)) as pool:
@@ -62,9 +80,10 @@ class Tables:
         return self.staged("cells", self._make_cells)
 
     def _make_cells(self) -> DataFrame:
+        order = sheet_numbers()
         grid = F.array(*[
             F.when(F.expr(keep), F.struct(
-                F.lit(sheet).alias("sheet"), F.lit(row).alias("row_idx"), F.lit(col).alias("col_idx"), F.expr(text).alias("cell_text")
+                F.lit(order[sheet]).cast("bigint").alias("sheet_no"), F.lit(sheet).alias("sheet"), F.lit(row).alias("row_idx"), F.lit(col).alias("col_idx"), F.expr(text).alias("cell_text")
             ))
             for sheet, row, col, text, keep in cell_grid()
         ])
@@ -74,7 +93,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or f"c_{name}" not in STAND_INS:
             raise AttributeError(name)
-        text = with_clause(f"SELECT * FROM c_{name}", STAND_INS)
+        return self._read(name, STAND_INS)
+
+    @property
+    def monthly(self) -> dict[str, DataFrame]:
+        """The four monthly tables off one written aggregate of the ledger lines, so they are not summed four times."""
+        self.staged("month", lambda: self.month)
+        path = _STAGED[(self.spark.sparkContext.applicationId, self.folder, f"month-{self.stamp}")]
+        texts = {**STAND_INS, "c_month": f"SELECT * FROM parquet.`{path}`"}
+        return {name: self._read(name, texts) for name in ("gstr3b", "gstr2a", "gstr1", "credits")}
+
+    def _read(self, name: str, texts: dict[str, str]) -> DataFrame:
+        text = with_clause(f"SELECT * FROM c_{name}", texts)
         tables = "|".join(RAW)
         text = re.sub(
             rf"\b(FROM|JOIN)\s+({tables})\b",

@@ -2,6 +2,7 @@ from creditloom.operators.workbook import FIGURES, LABELS, RECON_LABELS, SHEET_C
 from oracle.kit import CTES, SQL, any_of, r
 
 NUM = "TRY_CAST(regexp_replace({0}, '[,₹%\\s]', '', 'g') AS DOUBLE)"
+CTES["c_sheets"] = "SELECT DISTINCT company_id, file_name, sheet, CAST(sheet_no AS BIGINT) AS sheet_no FROM c_cells"
 CTES["c_wb_col"] = """
 SELECT company_id, file_name, sheet, coalesce((SELECT col_idx FROM (SELECT h.col_idx, CAST(regexp_extract(h.cell_text, '(\\d{4})', 1) AS INT) AS y
   FROM c_cells h WHERE h.company_id = s.company_id AND h.file_name = s.file_name AND h.sheet = s.sheet AND h.row_idx = 1 AND h.col_idx >= 2
@@ -28,8 +29,8 @@ GROUP BY h.company_id, h.file_name, h.sheet, h.figure"""
 CTES["c_wb_hits"] = _hits
 CTES["c_wb_values"] = _VALUE.replace("HITS", "c_wb_hits").replace("COLS", "c_wb_col")
 CTES["c_wb_wide"] = "SELECT company_id, file_name, " + ", ".join(
-    f"arg_max(value, sheet) FILTER (WHERE figure = '{f}') AS {f}" for f in FIGURES
-) + " FROM c_wb_values GROUP BY company_id, file_name"
+    f"arg_max(value, sheet_no) FILTER (WHERE figure = '{f}') AS {f}" for f in FIGURES
+) + " FROM c_wb_values JOIN c_sheets USING (company_id, file_name, sheet) GROUP BY company_id, file_name"
 CTES["c_wb_lev"] = f"""
 SELECT *, CASE WHEN ratio IS NULL THEN stated_equity ELSE {r('equity', 3)} END AS net_worth,
   CASE WHEN ratio IS NULL THEN stated_debt ELSE {r('debt', 3)} END AS total_debt,
@@ -55,7 +56,7 @@ FROM (SELECT *, coalesce(stated, CASE WHEN itc_available > 0 THEN {r('itc_excess
   SELECT y.company_id, y.file_name, y.fiscal_year, coalesce(max(value) FILTER (WHERE figure = 'itc_available'), 0) AS itc_available,
     coalesce(max(value) FILTER (WHERE figure = 'itc_claimed'), 0) AS itc_claimed, coalesce(max(value) FILTER (WHERE figure = 'itc_excess'), 0) AS itc_excess,
     max(value) FILTER (WHERE figure = 'stated_mismatch') AS stated
-  FROM (SELECT company_id, file_name, arg_min('FY' || regexp_extract(cell_text, 'FY(\\d{{4}}-?\\d{{2,4}})', 1), sheet) FILTER (WHERE row_idx = 1 AND col_idx = 1 AND regexp_matches(cell_text, 'FY\\d{{4}}-?\\d{{2,4}}')) AS fiscal_year
+  FROM (SELECT company_id, file_name, arg_min('FY' || regexp_extract(cell_text, 'FY(\\d{{4}}-?\\d{{2,4}})', 1), sheet_no) FILTER (WHERE row_idx = 1 AND col_idx = 1 AND regexp_matches(cell_text, 'FY\\d{{4}}-?\\d{{2,4}}')) AS fiscal_year
     FROM c_cells GROUP BY 1, 2) y LEFT JOIN c_recon_values v ON y.company_id = v.company_id AND y.file_name = v.file_name GROUP BY 1, 2, 3) a) b"""
 CTES["c_holding"] = f"""
 SELECT f.company_id, f.file_name, coalesce(h, 0) AS promoter_holding_pct, coalesce(p, 0) AS promoter_pledge_pct,
@@ -65,15 +66,15 @@ FROM (SELECT DISTINCT company_id, file_name FROM c_cells) f LEFT JOIN (
     arg_max(num, ord) FILTER (WHERE num > 0 AND num <= 100 AND (contains(head, 'holding') OR contains(head, '%'))) AS h,
     arg_max(num, ord) FILTER (WHERE num > 0 AND contains(head, 'pledge')) AS p,
     arg_max(num, ord) FILTER (WHERE num > 50 AND contains(head, 'pledge')) AS hp
-  FROM (SELECT v.company_id, v.file_name, {NUM.format('v.cell_text')} AS num, lower(hd.cell_text) AS head, concat(v.sheet, lpad(CAST(v.row_idx AS VARCHAR), 5, '0'), lpad(CAST(v.col_idx AS VARCHAR), 5, '0')) AS ord
+  FROM (SELECT v.company_id, v.file_name, {NUM.format('v.cell_text')} AS num, lower(hd.cell_text) AS head, concat(lpad(CAST(v.sheet_no AS VARCHAR), 5, '0'), lpad(CAST(v.row_idx AS VARCHAR), 5, '0'), lpad(CAST(v.col_idx AS VARCHAR), 5, '0')) AS ord
     FROM c_cells l JOIN c_cells v ON l.company_id = v.company_id AND l.file_name = v.file_name AND l.sheet = v.sheet AND l.row_idx = v.row_idx
     JOIN c_cells hd ON hd.company_id = v.company_id AND hd.file_name = v.file_name AND hd.sheet = v.sheet AND hd.row_idx = 1 AND hd.col_idx = v.col_idx
     WHERE l.col_idx = 1 AND v.col_idx >= 2 AND contains(lower(l.cell_text), 'promoter') AND NOT contains(lower(l.cell_text), 'group')) b
   GROUP BY 1, 2) q ON f.company_id = q.company_id AND f.file_name = q.file_name"""
 
 SQL.update({
-    "wb_1_value_columns": "SELECT company_id, file_name, sheet, CAST(value_col AS BIGINT) AS value_col FROM c_wb_col",
-    "wb_2_label_values": "SELECT company_id, file_name, sheet, figure, value FROM c_wb_values",
+    "wb_1_value_columns": "SELECT company_id, file_name, sheet_no, sheet, CAST(value_col AS BIGINT) AS value_col FROM c_wb_col JOIN c_sheets USING (company_id, file_name, sheet)",
+    "wb_2_label_values": "SELECT company_id, file_name, sheet_no, sheet, figure, value FROM c_wb_values JOIN c_sheets USING (company_id, file_name, sheet)",
     "wb_3_statement_figures": "SELECT * FROM c_wb_wide",
     "wb_4_leverage": "SELECT company_id, file_name, net_worth, total_debt, debt_equity_ratio FROM c_wb_lev",
     "wb_5_debt_service": "SELECT company_id, file_name, dscr, dscr_source FROM c_wb_facts",
@@ -81,6 +82,6 @@ SQL.update({
     "wb_7_monthly_returns": f"""SELECT m.company_id, m.file_name, CAST(m.row_idx AS BIGINT) AS row_idx, trim(m.cell_text) AS month, coalesce({NUM.format('o.cell_text')}, 0) AS outward_supplies, coalesce({NUM.format('i.cell_text')}, 0) AS itc_claimed
 FROM c_cells m LEFT JOIN c_cells o ON m.company_id = o.company_id AND m.file_name = o.file_name AND m.sheet = o.sheet AND m.row_idx = o.row_idx AND o.col_idx = 2
 LEFT JOIN c_cells i ON m.company_id = i.company_id AND m.file_name = i.file_name AND m.sheet = i.sheet AND m.row_idx = i.row_idx AND i.col_idx = 3
-WHERE m.sheet = 'GSTR-3B Monthly' AND m.col_idx = 1 AND m.row_idx BETWEEN 3 AND 50 AND trim(m.cell_text) <> ''""",
+WHERE m.sheet = 'GSTR-3B Monthly' AND m.col_idx = 1 AND m.row_idx >= 3 AND trim(m.cell_text) <> ''""",
     "wb_8_promoter_holding": "SELECT * FROM c_holding",
 })
