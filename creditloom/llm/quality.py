@@ -20,10 +20,10 @@ MAX_REPEAT_PERCENT = 50
 
 #: Measures that get a learned upper threshold, per thousand words (symbols, lines, repeats) or per hundred words (characters).
 MEASURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-MIDDLE, HIGH = 0.5, 0.95
+MIDDLE, HIGH = 0.5, 0.9
 REACH = 4
 #: Smallest distance of a threshold from the median, so that a group whose texts are all alike rejects nothing for a small difference.
-SLACK = {"symbol_rate": 200, "dup_line_rate": 50, "repeat_rate": 200, "word_length": 300}
+SLACK = {"symbol_rate": 200, "dup_line_rate": 50, "repeat_rate": 350, "word_length": 300}
 MIN_GROUP = 50
 
 
@@ -113,7 +113,7 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per row of `docs`: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and failed, the measures above their threshold.
 
     base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT_PERCENT percent of them in repeated windows. Rows that pass teach the sketches of their language
-    and source; a row is dropped where a measure exceeds median + max(SLACK, REACH * (95% quantile - median)) of its group. Null languages
+    and source; a row is dropped where a measure exceeds median + max(SLACK, REACH * (90% quantile - median)) of its group. Null languages
     and sources are groups of their own; a group of fewer than MIN_GROUP passing rows uses the sketch of all rows. Null and empty texts have 0 words and fail the base rule.
     Repeated rows stay repeated; a null id is kept as it is; further columns are neither read nor returned.
     """

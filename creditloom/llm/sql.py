@@ -59,8 +59,8 @@ hist AS (
 upto AS (
   SELECT *, CASE WHEN bucket < 64 THEN bucket ELSE CAST((32 + (bucket - 64) % 32) * pow(2, (bucket - 64) // 32 + 1) AS BIGINT) END AS low,
     sum(n) OVER (PARTITION BY overall, lang, source, measure ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY overall, lang, source, measure) AS size FROM hist),
-marks AS (SELECT overall, lang, source, measure, size, min(low) FILTER (WHERE c >= size * CAST(0.5 AS DOUBLE)) AS middle, min(low) FILTER (WHERE c >= size * CAST(0.95 AS DOUBLE)) AS high FROM upto GROUP BY ALL),
-limits AS (SELECT *, middle + greatest(CASE measure WHEN 'symbol_rate' THEN 200 WHEN 'dup_line_rate' THEN 50 WHEN 'repeat_rate' THEN 200 ELSE 300 END, 4 * (high - middle)) AS most FROM marks WHERE overall OR size >= 50),
+marks AS (SELECT overall, lang, source, measure, size, min(low) FILTER (WHERE c >= size * CAST(0.5 AS DOUBLE)) AS middle, min(low) FILTER (WHERE c >= size * CAST(0.9 AS DOUBLE)) AS high FROM upto GROUP BY ALL),
+limits AS (SELECT *, middle + greatest(CASE measure WHEN 'symbol_rate' THEN 200 WHEN 'dup_line_rate' THEN 50 WHEN 'repeat_rate' THEN 350 ELSE 300 END, 4 * (high - middle)) AS most FROM marks WHERE overall OR size >= 50),
 over_limit AS (
   SELECT t.row, t.measure FROM tall t JOIN limits a ON a.overall AND a.measure = t.measure
   LEFT JOIN limits o ON NOT o.overall AND o.measure = t.measure AND o.lang IS NOT DISTINCT FROM t.lang AND o.source IS NOT DISTINCT FROM t.source
