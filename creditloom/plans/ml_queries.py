@@ -65,7 +65,21 @@ def _rule_scores(t: Tables) -> DataFrame:
     return C.rule_model(t).select("company_id", F.col("stress_probability").alias("score")).join(labels, "company_id")
 
 
+def _bounds(rows: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """Rows, and how many of them lie outside what the column may hold."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(column).between(low, high), F.lit(False))).alias("outside"))
+
+
+def _test_part(t: Tables, rows: DataFrame, name: str) -> DataFrame:
+    return _parts(t, rows, name).filter("part = 'test'")
+
+
 QUERIES = {
+    "ml_1_checks": lambda t: _bounds(K.stress_probability(classifier(t), _test_part(t, _credit_rows(t), "credit_parts")), "stress_probability", 0, 1),
+    "ml_2_checks": lambda t: _bounds(regressor(t).transform(_test_part(t, _credit_rows(t), "credit_parts")), "prediction", -1e6, 1e6),
+    "ml_3_checks": lambda t: _bounds(K.stress_probability(calibrator(t), _test_part(t, _calibrator_rows(t), "calibrator_parts")), "stress_probability", 0, 1),
+    "ml_6_checks": lambda t: _bounds(C.decisions(t, K.model_scores(classifier(t), regressor(t), E.without_news(C.vector(t)))), "credit_score", 0, 900),
+    "ml_7_checks": lambda t: K.importances(t.spark, classifier(t), E.CREDIT_FEATURES).agg(F.count("*").alias("n"), F.round(F.sum("importance"), 6).alias("total")),
     "ml_1_stress_classifier": lambda t: _tested(classifier(t), _parts(t, _credit_rows(t), "credit_parts")),
     "ml_2_score_regressor": _fit,
     "ml_3_calibrator": lambda t: _tested(calibrator(t), _parts(t, _calibrator_rows(t), "calibrator_parts")),
