@@ -27,7 +27,9 @@ SHINGLE = 5
 PERCENT = 75
 HASHES = 128
 BAND = 4
-BATCHES = (32, 64, 96, 128)
+#: Hashes in all, for the nodes that meet another one; 16 bits are kept of those beyond HASHES.
+MARK_HASHES = 1024
+BATCHES = (32, 64, 128, 256, 512, 1024)
 MISS = 1e-5
 BLOCK = 256
 MORE_PARTNERS = 8
@@ -55,8 +57,9 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
 
 @lru_cache(maxsize=4)
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.RandomState(20240607)
-    return draw.randint(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), draw.randint(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    """Factors and shifts of `n` hash functions; a longer family begins with the shorter one."""
+    draw = np.random.RandomState(20240607).randint(0, 1 << 32, (n, 2), dtype=np.uint64).astype(np.uint32)
+    return draw[:, 0] | np.uint32(1), draw[:, 1]
 
 
 def signature(shingles: np.ndarray, n: int = HASHES, chunk: int = 1024) -> np.ndarray:
@@ -83,36 +86,62 @@ def keep_from(n: int, percent: int, miss: float) -> int:
     return n
 
 
-def alike(left: np.ndarray, right: np.ndarray, percent: int = PERCENT, miss: float = MISS) -> np.ndarray:
-    """Equal hashes of each pair of signature rows, -1 for pairs that a batch has dropped."""
-    equal = np.zeros(len(left), np.int64)
-    alive = np.arange(len(left))
+class Marks:
+    """Signatures of many nodes: the first HASHES values in 32 bits, the others in 16."""
+
+    def __init__(self, column: pa.Array) -> None:
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), HASHES + MARK_HASHES)
+        self.first = np.ascontiguousarray(raw[:, : 2 * HASHES]).view(np.uint32)
+        self.rest = raw[:, 2 * HASHES :]
+
+    @staticmethod
+    def of(values: np.ndarray) -> bytes:
+        return values[:HASHES].tobytes() + values[HASHES:].astype(np.uint16).tobytes()
+
+    def equal(self, mine: np.ndarray, other: "Marks", theirs: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Equal values of hashes `start` to `stop` of row pairs."""
+        if stop <= HASHES:
+            return (self.first[mine, start:stop] == other.first[theirs, start:stop]).sum(axis=1)
+        return (self.rest[mine, start - HASHES : stop - HASHES] == other.rest[theirs, start - HASHES : stop - HASHES]).sum(axis=1)
+
+
+def alike(left: Marks, i: np.ndarray, right: Marks, j: np.ndarray, percent: int = PERCENT, miss: float = MISS) -> np.ndarray:
+    """Equal hashes of each row pair (i, j), -1 for pairs that a batch has dropped."""
+    equal = np.zeros(len(i), np.int64)
+    alive = np.arange(len(i))
     done = 0
     for upto in BATCHES:
-        equal[alive] += (left[alive, done:upto] == right[alive, done:upto]).sum(axis=1)
+        equal[alive] += left.equal(i[alive], right, j[alive], done, upto)
         kept = equal[alive] >= keep_from(upto, percent, miss)
         equal[alive[~kept]] = -1
         alive, done = alive[kept], upto
     return equal
 
 
-def best_partners(left: np.ndarray, right: np.ndarray, of_left: np.ndarray, of_right: np.ndarray, most: int, same: bool, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Surviving pairs of two blocks of signatures whose components differ, at most the `most` best per left or right member; and whether there are more."""
+def best_partners(left: Marks, right: Marks, of_left: np.ndarray, of_right: np.ndarray, band: int, most: int, same: bool, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Surviving pairs of two blocks whose components differ and whose first common band is `band`, at most the `most` best per member; and whether there are more."""
     first = BATCHES[0]
     need = keep_from(first, percent, miss)
+    n, m = len(of_left), len(of_right)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, len(left), 64):
-        equal = (left[a : a + 64, None, :first] == right[None, :, :first]).sum(axis=2)
+    for a in range(0, n, 64):
+        equal = (left.first[a : a + 64, None, :first] == right.first[None, :, :first]).sum(axis=2)
         open_pair = (equal >= need) & (of_left[a : a + 64, None] != of_right[None, :])
         if same:
-            open_pair &= np.arange(a, min(a + 64, len(left)))[:, None] < np.arange(len(right))[None, :]
+            open_pair &= np.arange(a, min(a + 64, n))[:, None] < np.arange(m)[None, :]
         i, j = np.nonzero(open_pair)
-        score = alike(left[a + i], right[j], percent, miss)
-        found.append((a + i[score >= 0], j[score >= 0], score[score >= 0]))
+        i += a
+        # Two nodes may meet in many bands; the pair belongs to the first.
+        shared = (left.first[i] == right.first[j]).reshape(len(i), HASHES // BAND, BAND).all(axis=2)
+        own = shared.argmax(axis=1) == band
+        i, j = i[own], j[own]
+        score = alike(left, i, right, j, percent, miss)
+        found.append((i[score >= 0], j[score >= 0], score[score >= 0]))
     i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
     chosen = np.zeros(len(i), bool)
-    for side in (i, j + len(left)) if not same else (np.concatenate([i, j]),):
-        pair = np.tile(np.arange(len(i)), len(side) // max(len(i), 1)) if len(i) else np.zeros(0, np.int64)
+    sides = [np.concatenate([i, j])] if same else [i, j]
+    for side in sides:
+        pair = np.tile(np.arange(len(i)), 2 if same else 1)
         order = np.lexsort((pair, -score[pair], side))
         ranked = side[order]
         place = np.arange(len(order)) - np.searchsorted(ranked, ranked)
@@ -141,7 +170,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """One row per node and band: the band's key."""
+    """One row per node and band: the band's number and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,21 +179,35 @@ def _bands(nodes: DataFrame) -> DataFrame:
                 key = np.tile(np.arange(parts.shape[1], dtype=np.uint64), (batch.num_rows, 1))
                 for k in range(BAND):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C55) + parts[:, :, k])
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), parts.shape[1]))], ["key", "node"])
+                band = np.tile(np.arange(parts.shape[1], dtype=np.int32), batch.num_rows)
+                columns = [pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(batch.column("node").to_numpy(), parts.shape[1]))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "band", "node"])
+
+    return arrow_map(nodes.select("node", "signature"), run, "key long, band int, node long")
+
+
+def _marked(texts: DataFrame, width: int) -> DataFrame:
+    """node, marks: the long signature of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            marks = [Marks.of(signature(s, MARK_HASHES)) for s in shingle_sets(part.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(marks, pa.binary())], ["node", "marks"])
 
-    return arrow_map(nodes.select("node", "signature"), run, "key long, node long")
+    return arrow_map(texts.select("node", "text"), run, "node long, marks binary")
 
 
-def _pruned(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> DataFrame:
+def _pruned(pairs: DataFrame, marks: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs (a, b) whose signatures survive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                kept = alike(_signatures(batch.column("sa")), _signatures(batch.column("sb")), percent, miss) >= 0
+                every = np.arange(batch.num_rows)
+                kept = alike(Marks(batch.column("sa")), every, Marks(batch.column("sb")), every, percent, miss) >= 0
                 yield batch.select(["a", "b"]).filter(pa.array(kept))
 
-    sa, sb = (nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
+    sa, sb = (marks.select(F.col("node").alias(x), F.col("marks").alias(f"s{x}")) for x in "ab")
     return arrow_map(pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
@@ -201,23 +244,24 @@ def components(steps: Steps, name: str, links: DataFrame) -> DataFrame:
             moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return moved.where("a != b").distinct()
+        return moved.where("a != b")
 
-    links = links.where("a != b")
-    state, k = None, 0
+    links, k = links.where("a != b"), 0
     while True:
-        written = steps.write(f"{name}-{k}", star(star(links, True), False))
-        now = written.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
+        written = steps.write(f"{name}-{k}", star(star(links, True), False).distinct())
         if k:
             steps.drop(f"{name}-{k - 1}")
-        if tuple(now) == state:
+        # Done when every node has one root and no root has a root of its own.
+        ends = written.select(F.col("a").alias("v"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+            written.select(F.col("b").alias("v"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR below = 1 AND above = 1").isEmpty():
             break
-        state, links, k = tuple(now), written, k + 1
+        links, k = written, k + 1
     return written.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _untested(members: DataFrame, nodes: DataFrame, most: int, percent: int, miss: float) -> DataFrame:
-    """(a, b, more): pairs put forward in buckets that hold members of several components. `members` has key, node, root, without the leaders."""
+def _untested(members: DataFrame, marks: DataFrame, most: int, percent: int, miss: float) -> DataFrame:
+    """(a, b, more): pairs put forward in buckets that hold members of several components. `members` has key, band, node, root, without the leaders."""
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = members.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -225,18 +269,19 @@ def _untested(members: DataFrame, nodes: DataFrame, most: int, percent: int, mis
     cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
     )
-    spread = mine.select("key", "node", "root", "block", F.explode(cells).alias("cell")).select("key", "node", "root", "block", "cell.i", "cell.j")
-    spread = spread.join(nodes.select("node", "signature"), "node")
+    spread = mine.select("key", "band", "node", "root", "block", F.explode(cells).alias("cell")).select("key", "band", "node", "root", "block", "cell.i", "cell.j")
+    spread = spread.join(marks, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
             node, root, block = (t.column(c).to_numpy() for c in ("node", "root", "block"))
-            s = _signatures(t.column("signature").combine_chunks())
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
             left, right = (np.flatnonzero(block == x) for x in (i, j))
             if not len(left) or not len(right):
                 return
-            a, b, more = best_partners(s[left], s[right], root[left], root[right], most, i == j, percent, miss)
+            all_marks = t.column("marks").combine_chunks()
+            mine, theirs = (Marks(all_marks.take(pa.array(x))) for x in (left, right))
+            a, b, more = best_partners(mine, theirs, root[left], root[right], band, most, i == j, percent, miss)
             a, b = node[left[a]], node[right[b]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], ["a", "b", "more"])
 
@@ -287,14 +332,15 @@ def group_near_duplicates(
     # One id with several texts: its nodes belong together.
     several = rows.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
     links = steps.write("links-0", rows.join(several, "id").select("a", F.col("node").alias("b")).where("a != b").distinct())
+    marks = steps.write("marks", _marked(texts, width))
     pairs = steps.write("pairs-0", members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = links.unionByName(steps.write("links-1", _confirmed(_pruned(pairs, nodes, percent, miss), texts, width, percent)))
+    links = links.unionByName(steps.write("links-1", _confirmed(_pruned(pairs, marks, percent, miss), texts, width, percent)))
     roots = components(steps, "roots-1", links)
-    others = members.where("node != leader").select("key", "node")
+    others = members.where("node != leader").select("key", "band", "node")
     most, k = 1, 1
     while True:
-        rooted = others.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        put = steps.write(f"put-{k}", _untested(rooted, nodes, most, percent, miss))
+        rooted = others.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
+        put = steps.write(f"put-{k}", _untested(rooted, marks, most, percent, miss))
         fresh = steps.write(f"pairs-{k}", put.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
         more, new = bool(put.agg(F.max("more")).head()[0]), not fresh.isEmpty()
         if not new and not more:
@@ -311,7 +357,7 @@ def group_near_duplicates(
     smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("size")).where("size > 1").select("root", "component")
     out = rooted.join(smallest, "root", "left").withColumn("component", F.coalesce("component", "id"))
     out = steps.write("out", out.select("id", "n_shingles", "component", F.col("id").eqNullSafe(F.col("component")).alias("kept")))
-    steps.drop("members", "nodes", "texts", "rows")
+    steps.drop("members", "nodes", "texts", "marks", "rows")
     return out.select(F.col("id").alias(id_column), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
