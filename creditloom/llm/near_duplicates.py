@@ -28,8 +28,8 @@ PERCENT = 75
 HASHES = 128
 BAND = 4
 #: Hashes in all, for the nodes that meet another one; 16 bits are kept of those beyond HASHES.
-MARK_HASHES = 1024
-BATCHES = (32, 64, 128, 256, 512, 1024)
+MARK_HASHES = 512
+BATCHES = (32, 64, 128, 256, 512)
 MISS = 1e-5
 BLOCK = 256
 MORE_PARTNERS = 8
