@@ -20,7 +20,7 @@ MAX_REPEAT_PERCENT = 50
 
 #: Measures that get a learned upper threshold, per thousand words (symbols, lines, repeats) or per hundred words (characters).
 MEASURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-MIDDLE, HIGH = 0.5, 0.9
+LOW, MIDDLE, HIGH = 0.1, 0.5, 0.9
 REACH = 4
 #: Smallest distance of a threshold from the median, so that a group whose texts are all alike rejects nothing for a small difference.
 SLACK = {"symbol_rate": 200, "dup_line_rate": 50, "repeat_rate": 350, "word_length": 300}
@@ -113,7 +113,8 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per row of `docs`: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and failed, the measures above their threshold.
 
     base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT_PERCENT percent of them in repeated windows. Rows that pass teach the sketches of their language
-    and source; a row is dropped where a measure exceeds median + max(SLACK, REACH * (90% quantile - median)) of its group. Null languages
+    and source; a row is dropped where a measure exceeds median + max(SLACK, REACH * spread) of its group. The spread is the smaller of the distances
+    from the median to the 10% and 90% quantiles: junk lies above the median and can widen the upper one only. Null languages
     and sources are groups of their own; a group of fewer than MIN_GROUP passing rows uses the sketch of all rows. Null and empty texts have 0 words and fail the base rule.
     Repeated rows stay repeated; a null id is kept as it is; further columns are neither read nor returned.
     """
@@ -133,11 +134,12 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     })
     rows = Steps(docs.sparkSession, "quality").write("measures", rows)  # a few numbers per text, read twice
     sketch = sketches(rows.where(~F.col("base_failed")), ["lang", "source"])
-    shares = {"middle": MIDDLE, "high": HIGH}
+    shares = {"low": LOW, "middle": MIDDLE, "high": HIGH}
 
     def limits(found: DataFrame, groups: list[str]) -> DataFrame:
         slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("measure"))
-        limit = F.col("middle") + F.greatest(slack, REACH * (F.col("high") - F.col("middle")))
+        spread = F.least(F.col("high") - F.col("middle"), F.col("middle") - F.col("low"))
+        limit = F.col("middle") + F.greatest(slack, REACH * spread)
         tall = found.withColumn("limit", limit)
         wide = tall.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"limit_{m}") for m in MEASURES])
         return wide.select(*[F.col(g).alias(f"of_{g}") for g in groups], *[f"limit_{m}" for m in MEASURES])

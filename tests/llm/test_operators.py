@@ -338,3 +338,14 @@ def test_sketches_merge_and_bound_quantiles(spark):
     for name, share in shares.items():
         true = sorted(values)[int(np.ceil(share * len(values))) - 1]
         assert true * (1 - 1 / 32) <= row[name] <= true
+
+
+@pytest.mark.parametrize("share", [0.1, 0.25, 0.4])
+def test_junk_does_not_lift_its_own_limit(spark, share):
+    words = [f"word{i}" for i in range(80)]
+    junk = " ".join(w if i % 2 else w + "#" for i, w in enumerate(words))  # 500 symbols per thousand words
+    n = int(200 * share)
+    rows = [(i, junk if i < n else " ".join(words[: 60 + i % 20]), "en", "mixed") for i in range(200)]
+    got = {r.doc_id: r for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sorted(i for i in got if got[i].failed == ["symbol_rate"]) == list(range(n))
+    assert all(got[i].kept for i in range(n, 200))
