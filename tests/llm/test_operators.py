@@ -240,6 +240,20 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - expected[s]) <= 12 for s in expected)
 
 
+def test_small_sources_beside_a_very_large_one(spark):
+    # With 1,024 slots a block is some 300 words, more than the small sources have.
+    rows = [(i, "w " * 400, "large") for i in range(500)]
+    rows += [(1000 + i, "w " * n, source) for i, (n, source) in enumerate([(3, "s1"), (4, "s1"), (1, "s2"), (60, "s3"), (40, "s3"), (100, "s3"), (700, "s4"), (300, "s4"), (9, None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    source, taken, target = {i: s for i, _, s in rows}, Counter(), {}
+    for r in mix_sources(docs, slots=1024).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert target["s1"] == 14 and target[None] == 18
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target if s != "large")
+    assert abs(taken["large"] - target["large"]) <= 0.02 * target["large"]
+
+
 def test_schedule_is_even_along_the_way(spark):
     targets = spark.createDataFrame([(1, 1000, 600.0), (2, 1000, 300.0), (3, 1000, 100.0)], "pos int, source_size long, target double")
     slots = mixing.slot_schedule(targets, 1024).orderBy("slot").collect()
