@@ -121,8 +121,8 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     edges = candidates.select("row", "start", "end", F.lower("value").alias("value"), "kind", F.explode(F.array(
         F.when(F.col("left") != "", F.concat(F.lit("<"), "left")), F.when(F.col("right") != "", F.concat(F.lit(">"), "right")))).alias("pattern")).where("pattern IS NOT NULL")
     edges = steps.write("edges", edges)
-    # How often each pattern's word stands in the corpus at all: only words beside MIN_SEEDS seed values are counted.
-    words = edges.where("kind IS NOT NULL").groupBy("pattern").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= MIN_SEEDS)
+    # How often each pattern's word stands in the corpus at all. Words beside fewer than MIN_SEEDS values, seeds or not, can't be scored in any round and aren't counted.
+    words = edges.groupBy("pattern").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= MIN_SEEDS)
     words = steps.write("words", words.select("pattern", F.substring("pattern", 2, 1 << 30).alias("word")))
     if words.isEmpty():
         extra = base.where(F.lit(False))

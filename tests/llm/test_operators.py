@@ -103,6 +103,16 @@ def test_personal_data(spark):
     assert got[3001].spans == ""
 
 
+def test_personal_data_of_the_second_generation(spark):
+    # Seeds teach "helpdesk"; the plain numbers beside it are accepted and teach "switchboard", which stands beside no seed.
+    rows = [(i, f"please call helpdesk +1 (743) 555-{1000 + i} today or write") for i in range(20)]
+    rows += [(100 + i, f"please call helpdesk 743 555 {2000 + i} switchboard or write") for i in range(5)]
+    rows += [(200, "over there 743 555 9999 switchboard knows"), (201, "over there 743 555 9998 somebody knows")]
+    got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + i].spans == "context_phone:21:33" for i in range(5))
+    assert got[200].spans == "context_phone:11:23" and got[201].spans == ""
+
+
 def test_secrets(spark):
     rows = random_texts(400, ["token", "secret", "=", ":", " ", "'", "AKIA", "f", "9", "Z", "abcdef0123", "\n", "_", "é", "API_KEY"], 40, 4)
     key, name = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ASIAQ7ABCDEFGH12XY"
