@@ -24,7 +24,6 @@ MAX_UNLABELLED = 12_000
 FEATURES = 4_096
 MIN_PRECISION = 0.75
 MIN_Z = 5.0
-MIN_SHARE = 0.02
 HEADS = (4, 5, 6)
 DEFAULT_PRIOR = 0.1
 
@@ -107,13 +106,13 @@ def fit_nnpu(at: np.ndarray, values: np.ndarray, bounds: np.ndarray, positive: n
 def train(
     docs: DataFrame, labels: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
     prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, n_features: int = FEATURES,
-    min_precision: float = MIN_PRECISION, min_z: float = MIN_Z, min_share: float = MIN_SHARE,
+    min_precision: float = MIN_PRECISION, min_z: float = MIN_Z,
 ) -> Model:
     """Fits on at most `max_positive` toxic rows and `max_unlabelled` other rows, both taken by the hash of the id from rows that aren't held out.
 
     Without `prior` it is the toxic share of the labelled rows (DEFAULT_PRIOR if all of those are toxic). Copies of a text count once. Features are the
     `n_features` words and heads with the clearest excess in toxic texts: `min_z` standard errors, and at least
-    `min_precision` of the texts that hold the word are toxic by the class prior; those in less than `min_share` of the toxic texts are left out. An id that is labelled more than once counts as toxic if
+    `min_precision` of the texts that hold the word are toxic by the class prior, however few of the toxic texts that is. An id that is labelled more than once counts as toxic if
     any of its rows says so. Without a toxic row, or a word that marks toxic ones, every score is near 0.
     """
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
@@ -145,7 +144,7 @@ def train(
     share = (F.col("n_p") + F.col("n_u")) / (size_p + size_u)
     ranked = arrow_map(sample, count, "word long, n_p long, n_u long").groupBy("word").agg(F.sum("n_p").alias("n_p"), F.sum("n_u").alias("n_u")).where("n_p + n_u >= 3")
     ranked = ranked.withColumn("gap", (share_p - share_u) / F.sqrt(share * (F.lit(1.0001) - share) * (1 / size_p + 1 / size_u)))
-    best = ranked.where((F.col("gap") >= min_z) & (share_p >= min_share) & (pi * share_p >= min_precision * share_u)).orderBy(F.desc("gap"), "word").limit(n_features).select("word").collect()
+    best = ranked.where((F.col("gap") >= min_z) & (pi * share_p >= min_precision * share_u)).orderBy(F.desc("gap"), "word").limit(n_features).select("word").collect()
     model = Model(np.sort(np.array([r.word for r in best], np.int64).view(np.uint64)), np.zeros(len(best)), 0.0)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

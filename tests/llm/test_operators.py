@@ -225,6 +225,18 @@ def test_toxicity_finds_words_and_stems(spark):
     assert all((r.score >= 0.5) == (r.predicted == 1) and 0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_of_a_rare_language(spark):
+    rng = random.Random(13)
+    common, rare = (["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(300)] for letters in ("aeioustrnl", "ywkpgh"))
+    toxic = [i % 8 == 0 if i < 7920 else i % 5 == 0 for i in range(8000)]  # the rare language: 1% of the rows, under 2% of the toxic ones
+    rows = [(i, " ".join(rng.choices(common, k=40) + ["zworm", "quazz"] * t if i < 7920 else rng.choices(rare, k=40) + ["vvkx"] * t)) for i, t in enumerate(toxic)]
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, queries.fold(5, 0)).collect()}
+    held = [i for i in range(7920, 8000) if got[i].held_out]
+    assert any(toxic[i] for i in held) and not all(toxic[i] for i in held)
+    assert [got[i].predicted for i in held] == [int(toxic[i]) for i in held]
+
+
 def test_risk_is_corrected_below_zero():
     rng = np.random.RandomState(0)
     positive = np.arange(300) < 100
