@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.llm.centroids import cluster_report, cluster_vectors
 from creditloom.llm.decontaminate import find_contamination
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix_sources
 from creditloom.llm.near_duplicates import group_near_duplicates
+from creditloom.llm.periodic_runs import find_runs, run_digests
 from creditloom.llm.pii import find_personal_data
 from creditloom.llm.quality import judge_quality
 from creditloom.llm.secret_links import find_secrets
@@ -18,6 +20,7 @@ from creditloom.llm.sql import SQL  # noqa: F401
 from creditloom.llm.token_counts import count_tokens
 from creditloom.llm.token_files import read_token_files, write_token_files
 from creditloom.llm.toxicity import score_toxicity
+from creditloom.llm.warc import read_captures, write_archives
 
 
 def fold(n: int, of: int) -> Column:
@@ -67,6 +70,23 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(documents(spark, folder)).withColumn("failed", F.concat_ws(",", "failed"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    return run_digests(find_runs(documents(spark, folder), repeat_column=F.when(h % 10 == 0, F.floor(h / 10))))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    members, centroids, _ = cluster_vectors(documents(spark, folder, "embeddings"), clusters=40, rounds=5)
+    return cluster_report(members, centroids)
+
+
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    target = Steps(spark, "archives").folder
+    # `pages` has no capture time; a year's second drawn from the id stands in for it.
+    write_archives(documents(spark, folder, "pages"), target, captured=1704067200 + F.crc32(F.col("page_id").cast("string")) % 31536000)
+    return read_captures(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -78,5 +98,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_centroids": op12_centroids,
+    "op13_warc": op13_warc,
 }
 

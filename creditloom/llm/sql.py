@@ -68,4 +68,61 @@ over_limit AS (
 reasons AS (SELECT row, string_agg(measure, ',' ORDER BY list_position(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length'], measure)) AS failed FROM over_limit GROUP BY row)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed FROM judged LEFT JOIN reasons USING (row)"""
 
-SQL = {"op6_mixing": MIXING, "op10_quality": QUALITY}
+# crc32 of the id's digits by its bitwise rule; runs as islands of equal words some `q` words apart.
+PERIODIC_RUNS = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), k + 1, 1)) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(0 AS BIGINT))), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS h
+  FROM documents),
+sized AS (SELECT row, doc_id, w, CAST(len(w) AS BIGINT) AS n, coalesce(h % 10 = 0 AND len(w) > 0, false) AS planted, h // 10 AS g FROM base),
+places AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM sized),
+steps AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM places),
+tokens AS (
+  SELECT row, n, i, CASE WHEN planted AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS x FROM (SELECT row, n, w, planted, a, p, unnest(range(n)) AS i FROM steps WHERE n > 0) t),
+pairs AS (SELECT l.row, l.i, r.i - l.i AS q FROM tokens l JOIN tokens r ON l.row = r.row AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+islands AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs) t GROUP BY row, q, island),
+runs AS (SELECT row, start, length, min(q) AS period FROM islands WHERE length >= greatest(6, 4 * q) GROUP BY row, start, length),
+dropped AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+listed AS (SELECT row, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY row),
+-- length/period as a whole number of 1/2^40 plus the rest: no two ratios of these sizes fall together.
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY row ORDER BY CAST(length AS HUGEINT) * 1099511627776 // period DESC, start, period) = 1),
+joined AS (SELECT row, string_agg(x, ' ' ORDER BY i) AS kept FROM tokens ANTI JOIN dropped USING (row, i) GROUP BY row)
+SELECT s.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM steps s LEFT JOIN listed USING (row) LEFT JOIN best USING (row) LEFT JOIN joined USING (row)"""
+
+
+def centroids_sql(clusters: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd rounds over whole components, one table per round."""
+    apart = "list_sum(list_transform(range(1, {d} + 1), lambda k: CAST((v.x[k] - c.x[k]) * (v.x[k] - c.x[k]) AS BIGINT)))".format(d=dims)
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key, x) - 1 AS cluster, x FROM (SELECT x, sha256(concat('2:', vec_id)) AS key FROM v ORDER BY key, x LIMIT {clusters}) t)"""]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT row, min_by(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT v.row, c.cluster, {apart} AS d FROM v, c{r} c) t GROUP BY row)")
+        if r < rounds:
+            parts.append(f"""m{r} AS (
+  SELECT cluster, list(CAST(floor(CAST(s - (s % n + n) % n AS DOUBLE) / n) AS BIGINT) ORDER BY k) AS x FROM (
+    SELECT a.cluster, k, CAST(sum(v.x[k]) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN v USING (row), range(1, {dims} + 1) t(k) GROUP BY a.cluster, k) s GROUP BY cluster)""")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (cluster))")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (row) JOIN c{rounds} c ON a.cluster = c.cluster"""
+
+
+# Five hexadecimal digits are four letters of base 32.
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST(concat('0x', substr(hex, CAST(k // 4 AS INTEGER) * 5 + 1, 5)) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest FROM p),
+g AS (SELECT hex AS of_hex, max(page_id) AS last FROM p GROUP BY hex)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM d JOIN g ON hex = of_hex"""
+
+SQL = {"op6_mixing": MIXING, "op10_quality": QUALITY, "op11_periodic_runs": PERIODIC_RUNS, "op12_centroids": centroids_sql(), "op13_warc": WARC}
