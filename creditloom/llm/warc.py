@@ -264,4 +264,4 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def read_captures(spark: SparkSession, folder: str) -> DataFrame:
     """The merged index beside what the archives hold at each of its places."""
     index = spark.read.parquet(f"{folder}/captures").select("shard", "nth", "url_key", "captured", "size", "file", "offset")
-    return index.join(read_archives(spark, folder), ["file", "offset"])
+    return index.join(read_archives(spark, folder).hint("merge"), ["file", "offset"])  # sizes after a Python step can't be told, so never by broadcast
