@@ -67,22 +67,42 @@ def _ledger_csv(t: Tables) -> DataFrame:
     )
 
 
-_XML = "head struct<company_id:string,return_type:string,period:string>, body struct<outward_supplies:string,table_4a:string,itc_claimed:string>, tail struct<period:string>"
+def _xml_landed(t: Tables, rows: DataFrame) -> DataFrame:
+    path = scratch_path(t.spark, "returns-xml")
+    rows.write.format("xml").option("rowTag", "return").save(path)
+    return S.read_returns_xml(t.spark, path)
 
 
-def _returns_xml(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "returns-xml")
+def _xml_summaries(t: Tables) -> DataFrame:
     text = lambda c: F.format_number(F.col(c).cast("decimal(24,4)"), 4)
     late = F.month("period") > 6
-    t.gstr3b.select(
+    return _xml_landed(t, t.gstr3b.select(
         F.struct(F.col("company_id").cast("string").alias("company_id"), F.lit("GSTR3B").alias("return_type"), F.lit("draft").alias("period")).alias("head"),
         F.struct(text("outward_supplies").alias("outward_supplies"), F.when(~late, text("itc_claimed")).alias("table_4a"),
                  F.when(late, text("itc_claimed")).alias("itc_claimed")).alias("body"),
-        F.struct(F.col("period").cast("string").alias("period")).alias("tail"),
-    ).write.format("xml").option("rowTag", "return").save(path)
-    return S.summary_return(S.read_returns_xml(t.spark, path, _XML)).select(
-        F.col("company_id").cast("bigint").alias("company_id"), "period", "outward_supplies", "itc_claimed"
-    )
+        F.struct(F.col("period").cast("string").alias("period"), F.when(late, F.concat(F.lit("late & <unsigned> "), F.col("company_id"))).alias("filing_note")).alias("tail"),
+    ))
+
+
+def _returns_xml(t: Tables) -> DataFrame:
+    return S.summary_return(_xml_summaries(t)).select(F.col("company_id").cast("bigint").alias("company_id"), "period", "outward_supplies", "itc_claimed")
+
+
+def _xml_leaves(t: Tables) -> DataFrame:
+    """All that the returns say, tags that no schema names included; amounts apart, whose spelling is the writer's."""
+    leaves = _xml_summaries(t).select(F.col("company_id").cast("bigint").alias("company_id"), F.col("period").alias("filed"), F.inline("leaves"))
+    return leaves.where(~F.col("value").rlike(r"\.\d{4}$")).withColumn("position", F.col("position").cast("bigint"))
+
+
+def _xml_vendors(t: Tables) -> DataFrame:
+    """Purchase returns as XML: vendors under their container, no type declared."""
+    amount = lambda c: F.col(c).cast("string").alias(c[-1].upper())
+    landed = _xml_landed(t, t.gstr2a.select(
+        F.struct(F.col("company_id").cast("string").alias("company_id"), F.col("period").cast("string").alias("period"), F.lit("0").alias("N")).alias("head"),
+        F.when(F.month("period") <= 6, "GSTR-2A").alias("type"), F.when(F.month("period") > 6, F.col("available_itc").cast("string")).alias("available_itc"),
+        F.struct(amount("vendor_a"), amount("vendor_n"), amount("vendor_r")).alias("vendor_purchases"),
+    ))
+    return _by_company(S.purchase_register(landed)).select("company_id", "period", "available_itc", *[F.element_at("vendor_purchases", v).alias(f"vendor_{v.lower()}") for v in "ANR"])
 
 
 def _itr_json(t: Tables) -> DataFrame:
@@ -134,6 +154,28 @@ def _upsert(t: Tables) -> DataFrame:
     return lake.read("orders")
 
 
+def _named_table(t: Tables) -> DataFrame:
+    """Written and appended to under a name of the catalog, read by that name alone."""
+    root = scratch_path(t.spark, "lake")
+    schema = f"lake_{root[-32:]}"
+    Lake(t.spark, root, schema=schema).write(t.gstr1, "sales", mode="overwrite")
+    Lake.named(t.spark, schema).write(t.gstr3b.select("company_id", "period", F.col("outward_supplies").alias("invoice_sales_total")), "sales")
+    return t.spark.table(f"{schema}.sales").groupBy("company_id").agg(
+        F.count("*").alias("n_rows"), F.sum(F.col("invoice_sales_total").cast("decimal(24,4)")).cast("double").alias("total"))
+
+
+def _one_key(t: Tables) -> DataFrame:
+    """All orders, then one of them anew: what the table holds, and how many of its buckets were written for it."""
+    lake, v = _lake(t), t.versions.select("version_id", "company_id", "status", "amount")
+    lake.upsert(v, "orders", ["version_id"])
+    before = lake.snapshot("orders").parts
+    last = v.agg(F.max_by(F.struct(*v.columns), "version_id").alias("v")).select("v.*")
+    lake.upsert(last.withColumn("amount", F.lit(0.0)), "orders", ["version_id"])
+    written = sum(p not in before for p in lake.snapshot("orders").parts)
+    return lake.read("orders").groupBy("status").agg(
+        F.count("*").alias("n_rows"), F.sum(F.col("amount").cast("decimal(24,4)")).cast("double").alias("total"), F.lit(written).cast("bigint").alias("buckets_written"))
+
+
 def _stored(t: Tables, rows: DataFrame, table: str) -> DataFrame:
     lake = _lake(t)
     lake.upsert_row_table(rows, table)
@@ -166,6 +208,8 @@ QUERIES = {
     "src_1_ledger_csv": _ledger_csv,
     "src_2_return_kinds": _kinds,
     "src_3_returns_xml": _returns_xml,
+    "src_3_xml_leaves": _xml_leaves,
+    "src_3_xml_vendors": _xml_vendors,
     "src_4_summary_return": lambda t: _by_company(S.summary_return(_returns(t))),
     "src_5_sales_return": lambda t: _by_company(S.sales_return(_returns(t))).withColumn("hsn_summary", F.array_join(F.map_keys("hsn_summary"), ",")),
     "src_6_purchase_register": lambda t: _by_company(S.purchase_register(_returns(t))).select(
@@ -176,7 +220,9 @@ QUERIES = {
     "src_9_text_rows": _text_rows,
     "src_10_predicate_read": _predicate_read,
     "src_11_append_overwrite": _append_overwrite,
+    "src_11_named_table": _named_table,
     "src_12_upsert": _upsert,
+    "src_12_one_key": _one_key,
     "src_13_annual_tax_table": _annual_tax,
     "src_14_bank_table": lambda t: _stored(t, R.bank_rows(bank_profile_of(t), stamp()), "bank_analytics"),
     "src_15_report_table": _report_table,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from creditloom.functions.text import unescape
 from creditloom.functions.values import to_number
 
 LEDGER_COLUMNS = ["date", "debit", "credit", "balance", "narration", "party"]
@@ -34,28 +34,65 @@ def read_returns_json(spark: SparkSession, path: str, multi_line: bool = False)
     return spark.read.json(path, schema=RETURN_SCHEMA, multiLine=multi_line)
 
 
-def _leaf_columns(schema: StructType, prefix: str = "") -> list[tuple[str, str]]:
-    leaves = []
-    for f in schema.fields:
-        if isinstance(f.dataType, StructType):
-            leaves += _leaf_columns(f.dataType, f"{prefix}{f.name}.")
-        else:
-            leaves.append((f.name, prefix + f.name))
-    return leaves
-
-
-def read_returns_xml(spark: SparkSession, path: str, schema: str, row_tag: str = "return") -> DataFrame:
-    """XML returns flattened to their leaf tags; of equal tags the last one present wins."""
-    df = spark.read.schema(schema).format("xml").option("rowTag", row_tag).load(path)
-    found: dict[str, list[str]] = {}
-    for name, full in _leaf_columns(df.schema):
-        found.setdefault(name, []).append(full)
-    flat = df.select(*[F.coalesce(*[F.col(p) for p in reversed(paths)]).alias(n) for n, paths in found.items()])
-    absent = [f for f in RETURN_FIELDS if f not in flat.columns]
-    empty_map = F.lit(None).cast("map<string,string>")
-    return flat.select(
-        "*", *[F.lit(None).cast("string").alias(f) for f in absent], empty_map.alias("hsn_summary"), empty_map.alias("vendor_purchases")
-    )
+# An element without child elements: its name, and its text with CDATA in it; or an empty element.
+_NAME = r"[^\s/>!?<]+"
+_ATTRIBUTES = r"""(?:\s(?:[^<>"'/]++|/(?!>)|"[^"]*+"|'[^']*+')*+)?"""
+_CDATA = r"<!\[CDATA\[.*?\]\]>"
+_LEAF = rf"(?s)<({_NAME}){_ATTRIBUTES}>((?:[^<]++|{_CDATA})*+)</\1\s*>|<({_NAME}){_ATTRIBUTES}/>"
+MAP_FIELDS = ["hsn_summary", "vendor_purchases"]
+
+
+def _without_notes(text: Column) -> Column:
+    """Without comments, declarations and processing instructions; CDATA that holds such text is kept."""
+    return F.regexp_replace(text, rf"(?s)({_CDATA})|<!--.*?-->|<\?.*?\?>", "$1")
+
+
+def xml_leaves(text: Column) -> Column:
+    """Array of (tag, value, position): the elements of an XML text that hold no elements, in document order. Any tag may come; attributes are not read."""
+    found = F.regexp_extract_all(_without_notes(text), F.lit(_LEAF), F.lit(0))
+    tag, value = lambda m: F.regexp_extract(m, rf"^<({_NAME})", 1), lambda m: F.regexp_extract(m, _LEAF, 2)
+    return F.transform(found, lambda m, i: F.struct(tag(m).alias("tag"), xml_text(value(m)).alias("value"), i.alias("position")))
+
+
+def xml_text(value: Column) -> Column:
+    """Text of an element: character references decoded outside CDATA, CDATA as it stands."""
+    pieces = F.regexp_extract_all(value, F.lit(rf"(?s){_CDATA}|[^<]+"), F.lit(0))
+    cdata = lambda x: F.startswith(x, F.lit("<![CDATA["))
+    return F.array_join(F.transform(pieces, lambda x: F.when(cdata(x), F.substring(x, F.lit(10), F.length(x) - 12)).otherwise(unescape(x))), "")
+
+
+def field(leaves: Column, tag: str) -> Column:
+    """Value of the last element of that name, which is the one that counts; null where there is none."""
+    return F.try_element_at(F.filter(leaves, lambda x: x["tag"] == tag), F.lit(-1))["value"]
+
+
+def xml_map(text: Column, tag: str) -> Column:
+    """The leaves of the last element `tag` that holds elements, as a map; the last of equal names counts. Null where there is none."""
+    inner = F.try_element_at(F.regexp_extract_all(_without_notes(text), F.lit(rf"(?s)<{tag}{_ATTRIBUTES}>(.*?)</{tag}\s*>"), F.lit(1)), F.lit(-1))
+    later = lambda x, leaves: F.exists(leaves, lambda y: (y["tag"] == x["tag"]) & (y["position"] > x["position"]))
+    last = lambda leaves: F.transform(F.filter(leaves, lambda x: ~later(x, leaves)), lambda x: F.struct(x["tag"], x["value"]))
+    # One-element arrays hold what is used twice, so that it is worked out once.
+    entries = F.transform(F.array(xml_leaves(inner)), last)
+    filled = F.transform(entries, lambda e: F.when(F.size(e) > 0, F.map_from_entries(e)))[0]
+    return F.when(F.contains(text, F.lit(f"<{tag}")), filled)
+
+
+def read_xml_records(spark: SparkSession, path: str, row_tag: str = "return") -> DataFrame:
+    """One row per element `row_tag` of the files: the file and the text inside the element."""
+    # Files are cut at the closing tag by the scan itself, so one large file is read by many tasks and no record is held with others.
+    cut = spark.read.option("lineSep", f"</{row_tag}>").text(path)
+    opens = rf"(?s)^.*?<{row_tag}{_ATTRIBUTES}>"
+    before = F.regexp_extract("value", rf"(?s)^(.*?)<{row_tag}(?=[\s>])", 1)
+    commented = before.rlike(r"(?s)<!--(?:(?!-->).)*$")
+    return cut.where(F.col("value").rlike(opens) & ~commented).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", opens, "").alias("text"))
+
+
+def read_returns_xml(spark: SparkSession, path: str, row_tag: str = "return") -> DataFrame:
+    """XML returns, whatever tags they use: the fields of a return by their names, of equal tags the last in the document, both map fields, and all leaves."""
+    fields = lambda x: F.struct(
+        *[field(x, f).alias(f) for f in RETURN_FIELDS], *[xml_map(F.col("text"), f).alias(f) for f in MAP_FIELDS], x.alias("leaves"))
+    # A row of its own from here on, so that later steps use the leaves and don't work them out per field.
+    return read_xml_records(spark, path, row_tag).select(F.inline(F.transform(F.array(xml_leaves(F.col("text"))), fields)))
 
 
 def return_kind(df: DataFrame) -> DataFrame:

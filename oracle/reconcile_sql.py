@@ -81,6 +81,11 @@ SQL.update({
     "src_2_return_kinds": """SELECT company_id, kind, count(*) AS n_returns FROM (SELECT company_id, '3B' AS kind FROM c_gstr3b UNION ALL SELECT company_id, '2A' FROM c_gstr2a UNION ALL SELECT company_id, '1' FROM c_gstr1 WHERE month(period) <> 99
 UNION ALL SELECT company_id, 'REJECT' FROM c_itr) x GROUP BY 1, 2""",
     "src_3_returns_xml": "SELECT company_id, CAST(period AS VARCHAR) AS period, outward_supplies, itc_claimed FROM c_gstr3b",
+    "src_3_xml_leaves": """SELECT company_id, CAST(period AS VARCHAR) AS filed, tag, value, CAST(position AS BIGINT) AS position FROM (
+  SELECT company_id, period, 'company_id' AS tag, CAST(company_id AS VARCHAR) AS value, 0 AS position FROM c_gstr3b UNION ALL SELECT company_id, period, 'return_type', 'GSTR3B', 1 FROM c_gstr3b
+  UNION ALL SELECT company_id, period, 'period', 'draft', 2 FROM c_gstr3b UNION ALL SELECT company_id, period, 'period', CAST(period AS VARCHAR), 5 FROM c_gstr3b
+  UNION ALL SELECT company_id, period, 'filing_note', concat('late & <unsigned> ', company_id), 6 FROM c_gstr3b WHERE month(period) > 6) x""",
+    "src_3_xml_vendors": "SELECT company_id, CAST(period AS VARCHAR) AS period, CASE WHEN month(period) > 6 THEN available_itc ELSE vendor_a + vendor_n + vendor_r END AS available_itc, vendor_a, vendor_n, vendor_r FROM c_gstr2a",
     "src_4_summary_return": f"SELECT company_id, {P}, outward_supplies, itc_claimed, tax_paid FROM c_gstr3b",
     "src_5_sales_return": f"SELECT company_id, {P}, invoice_sales_total, '7208' AS hsn_summary FROM c_gstr1",
     "src_6_purchase_register": f"SELECT company_id, {P}, CASE WHEN month(period) > 6 OR month(period) = 1 THEN available_itc ELSE vendor_a + vendor_n + vendor_r END AS available_itc, vendor_a, vendor_n, vendor_r FROM c_gstr2a",
@@ -89,6 +94,8 @@ UNION ALL SELECT company_id, 'REJECT' FROM c_itr) x GROUP BY 1, 2""",
     "src_9_text_rows": "SELECT 'document' AS kind, doc_id AS source_id, length(text) AS n_chars, md5(text) AS digest FROM documents UNION ALL SELECT 'page', page_id, length(html), md5(html) FROM pages",
     "src_10_predicate_read": "SELECT company_id, assessment_year, gross_revenue FROM c_itr WHERE assessment_year >= 1998 AND gross_revenue > 1000000",
     "src_11_append_overwrite": """SELECT company_id, count(*) AS n_rows, CAST(sum(CAST(v AS DECIMAL(24,4))) AS DOUBLE) AS total FROM (SELECT company_id, invoice_sales_total AS v FROM c_gstr1 UNION ALL SELECT company_id, outward_supplies FROM c_gstr3b) x GROUP BY 1""",
+    "src_11_named_table": """SELECT company_id, count(*) AS n_rows, CAST(sum(CAST(v AS DECIMAL(24,4))) AS DOUBLE) AS total FROM (SELECT company_id, invoice_sales_total AS v FROM c_gstr1 UNION ALL SELECT company_id, outward_supplies FROM c_gstr3b) x GROUP BY 1""",
+    "src_12_one_key": "SELECT status, count(*) AS n_rows, CAST(sum(CAST(CASE WHEN version_id = (SELECT max(version_id) FROM c_versions) THEN 0 ELSE amount END AS DECIMAL(24,4))) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS buckets_written FROM c_versions GROUP BY 1",
     "src_12_upsert": "SELECT version_id, company_id, status, CASE WHEN status = 'F' THEN amount ELSE amount * 2 END AS amount FROM c_versions",
     "src_13_annual_tax_table": f"""SELECT CAST(company_id AS VARCHAR) AS company_id, 'FY' || CAST(y AS VARCHAR) AS financial_year, turnover AS gst_annual_turnover, claimed AS total_itc_claimed, available AS total_itc_available_2a,
   greatest(0, claimed - available) AS itc_overclaim_amount, {r('greatest(0, (claimed - greatest(available, 1)) / greatest(available, 1)) * 100', 2)} AS overall_itc_gap_pct, {r('filed / 12 * 100', 2)} AS filing_compliance_pct,

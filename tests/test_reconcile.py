@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from creditloom.operators import reconcile as R
 from creditloom.session import scratch_path
 from creditloom.sources import returns as S
-from creditloom.sources.lake import Lake
 
 SIDES = "company_id long, itc_claimed double, available_itc double, invoice_sales_total double, bank_credits double"
 
@@ -100,25 +99,39 @@ def test_ledger_csv_header_any_case(spark, tmp_path):
     assert (got.company_id, got.date, got.credit, got.party, got.debit, got.balance) == ("42", "2025-01-01", "5", "acme", None, None)
 
 
-def test_upsert_twice_is_once_and_null_keys_match(spark):
-    lake = Lake(spark, scratch_path(spark, "lake-test"))
-    first = spark.createDataFrame([(1, None, "a"), (2, "x", "b")], "id long, k string, v string")
-    second = spark.createDataFrame([(1, None, "c"), (3, "y", "d")], "id long, k string, v string")
-    lake.upsert(first, "t", ["id", "k"])
-    for _ in range(2):
-        lake.upsert(second, "t", ["id", "k"])
-    assert sorted(map(tuple, lake.read("t").collect())) == [(1, None, "c"), (2, "x", "b"), (3, "y", "d")]
-    with pytest.raises(ValueError):
-        lake.upsert(second, "t", [])
-    with pytest.raises(ValueError):
-        lake.upsert(second.unionByName(second), "t", ["id", "k"])
-    assert lake.read("t", "id > 2").count() == 1
-
-
-def test_unfinished_snapshot_is_not_read(spark):
-    root = scratch_path(spark, "lake-test")
-    lake = Lake(spark, root)
-    lake.write(spark.range(3), "t")
-    fs, p = lake._folder(f"{root}/t/v00000002")
-    fs.mkdirs(p)
-    assert lake.read("t").count() == 3
+XML = """<?xml version="1.0"?>
+<!-- <return><x>no</x></return> -->
+<returns>
+<return id="1"><head><period>draft</period><return_type>GSTR2A</return_type></head><note a="b>" c='/'>undeclared &amp; &#8377; <![CDATA[<a>&amp;1</a>]]></note>
+<vendor_purchases kind="x"><A>1,000</A><B x="1">2.5</B><A>7</A></vendor_purchases><period>2025-01</period><empty/><bare a="1" /><e2></e2></return>
+<return><return_type>GSTR3B</return_type>
+ <body><outward_supplies> 5 </outward_supplies><!-- c --><table_4a>2</table_4a></body></return>
+<returned><return_type>no record</return_type></returned></returns>
+"""
+
+
+def test_xml_needs_no_schema(spark, tmp_path):
+    (tmp_path / "r.xml").write_text(XML)
+    a, b = sorted(S.read_returns_xml(spark, str(tmp_path)).collect(), key=lambda r: r.return_type)
+    assert [(x.tag, x.value) for x in a.leaves] == [
+        ("period", "draft"), ("return_type", "GSTR2A"), ("note", "undeclared & ₹ <a>&amp;1</a>"), ("A", "1,000"), ("B", "2.5"), ("A", "7"), ("period", "2025-01"), ("empty", ""), ("bare", ""), ("e2", "")]
+    assert [x.position for x in a.leaves] == list(range(10))
+    assert (a.period, a.vendor_purchases, a.hsn_summary) == ("2025-01", {"A": "7", "B": "2.5"}, None)
+    assert (b.outward_supplies, b.table_4a, b.period, b.vendor_purchases) == (" 5 ", "2", None, None)
+
+
+def test_long_xml_values(spark, tmp_path):
+    vendors = "".join(f"<v{i}>{i}</v{i}>" for i in range(500))
+    (tmp_path / "r.xml").write_text(f"<return><type>GSTR2A</type><note>{'x&amp;' * 20_000}</note><vendor_purchases>{vendors}</vendor_purchases></return>")
+    got = S.read_returns_xml(spark, str(tmp_path)).first()
+    assert got.vendor_purchases == {f"v{i}": str(i) for i in range(500)}
+    assert [len(x.value) for x in got.leaves if x.tag == "note"] == [40_000]
+
+
+def test_character_references(spark):
+    import html
+
+    from creditloom.functions.text import unescape
+    texts = ["a &amp; b", "&#8377;5 &#x20B9; &#128512; &#0; &#xD800; &#1114112; &#99999999999; &bogus; &nbsp;x &lt;", "none", "& &; &#; &#x;", "&#150; &amp;amp;", "&NotNestedGreaterGreater;", ""]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i").select(unescape(F.col("t"))).collect()
+    assert [r[0] for r in got] == [html.unescape(t) for t in texts]
