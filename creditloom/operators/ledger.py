@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.values import floor_one, round_to
+from creditloom.operators.scans import scan, written
 
 CENTS = "decimal(18,2)"
 
@@ -89,75 +89,29 @@ def _party_key() -> Column:
 def matched_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3) -> DataFrame:
     """Each debit that comes back: the first credit of the same party within the days and the amount band.
 
-    Same-day candidates are taken by smallest amount, then smallest id. No pairs are built:
-    per (party, day, amount bucket) debits and credits are sorted together by amount and each
-    debit takes the nearest credit at or above its lower bound, which is the match if it also
-    lies below the upper bound. Buckets are as wide as the band, so a debit looks into two or
-    three of them. Equal amounts on one day are folded to one row per side first, so a group
-    holds no more rows than there are distinct amounts inside one band.
+    Same-day candidates are taken by smallest amount, then smallest id. No pairs are built. One pass over the ledger writes its lines with a party; from them come
+    a row per credit and a row per debit and day that it looks into, sorted per party and day from the largest amount down. The last credit that a debit has
+    seen on the way is the smallest one not below its lower bound, which is the match if it also lies below the upper bound.
     """
     low, high = Decimal(1) - Decimal(tolerance), Decimal(1) + Decimal(tolerance)
-    width = log(high / low)
-    bucket = lambda c: F.floor(F.ln(c.cast("double")) / F.lit(width))
-    keyed = ledger.withColumn("party_key", _party_key()).filter(F.col("party_key") != "")
-
-    debits = keyed.filter(F.col("debit") > 0)
-    probes = (
-        debits.select("company_id", "party_key", "txn_date", F.col("debit").alias("debit_amount"))
-        .distinct()
-        .select(
-            "company_id",
-            "party_key",
-            F.col("txn_date").alias("debit_date"),
-            "debit_amount",
-            (F.col("debit_amount") * F.lit(low)).alias("low_bound"),
-            (F.col("debit_amount") * F.lit(high)).alias("high_bound"),
-            F.explode(F.sequence("txn_date", F.date_add("txn_date", days))).alias("day"),
-        )
-        .withColumn("bucket", F.explode(F.sequence(bucket(F.col("low_bound")), bucket(F.col("high_bound")))))
-    )
-    credits = (
-        keyed.filter(F.col("credit") > 0)
-        .groupBy("company_id", "party_key", F.col("txn_date").alias("day"), F.col("credit").alias("credit_amount"))
-        .agg(F.min(F.struct("txn_id", "party", "narration")).alias("first_copy"))
-        .withColumn("bucket", bucket(F.col("credit_amount")))
-    )
-    place = "decimal(24,6)"
-    nothing = F.lit(None)
-    found_type = "struct<amount:decimal(18,2),txn_id:string,party:string,narration:string>"
-    side_by_side = probes.select(
-        "company_id", "party_key", "day", "bucket",
-        F.col("low_bound").cast(place).alias("place"), F.lit(1).alias("side"),
-        "debit_date", "debit_amount", F.col("high_bound").cast(place).alias("high_bound"),
-        nothing.cast(found_type).alias("credit_row"),
-    ).unionByName(
-        credits.select(
-            "company_id", "party_key", "day", "bucket",
-            F.col("credit_amount").cast(place).alias("place"), F.lit(0).alias("side"),
-            nothing.cast("date").alias("debit_date"), nothing.cast(CENTS).alias("debit_amount"),
-            nothing.cast(place).alias("high_bound"),
-            F.struct(
-                F.col("credit_amount").alias("amount"), F.col("first_copy.txn_id").alias("txn_id"),
-                F.col("first_copy.party").alias("party"), F.col("first_copy.narration").alias("narration"),
-            ).alias("credit_row"),
-        )
-    )
-    # From the largest amount down, so the last credit seen is the smallest one not below the debit's bound.
-    downwards = (
-        Window.partitionBy("company_id", "party_key", "day", "bucket")
-        .orderBy(F.col("place").desc(), F.col("side"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    best = (
-        side_by_side.withColumn("hit", F.last("credit_row", ignorenulls=True).over(downwards))
-        .filter((F.col("side") == 1) & (F.col("hit.amount") <= F.col("high_bound")))
-        .groupBy("company_id", "party_key", "debit_date", "debit_amount")
-        .agg(F.min(F.struct("day", "hit")).alias("first"))
-    )
-    return debits.select(
-        "company_id", "party_key", F.col("txn_id").alias("debit_txn_id"),
-        F.col("txn_date").alias("debit_date"), F.col("debit").alias("debit_amount"),
-    ).join(best, ["company_id", "party_key", "debit_date", "debit_amount"])
+    # Whole cents: a credit is at or above the lower bound exactly if its cents are at or above the bound's, rounded up.
+    lines = written(ledger.select(
+        "company_id", "txn_id", "txn_date", "debit", "credit", "narration", "party", _party_key().alias("party_key"), F.monotonically_increasing_id().alias("line"),
+        F.when(F.col("debit") > 0, F.ceil(F.col("debit") * F.lit(100 * low)).cast("bigint")).alias("debit_from"), F.when(F.col("credit") > 0, (F.col("credit") * 100).cast("bigint")).alias("credit_at"),
+    ).filter((F.col("party_key") != "") & (F.col("debit_from").isNotNull() | F.col("credit_at").isNotNull())), "ledger-lines")
+    look = lambda d: F.struct(d.alias("day"), F.lit(1).alias("side"), F.col("debit_from").alias("place"))
+    looks = F.when(F.col("debit_from").isNotNull(), F.transform(F.sequence("txn_date", F.date_add("txn_date", days)), look)).otherwise(F.array())
+    own = F.when(F.col("credit_at").isNotNull(), F.array(F.struct(F.col("txn_date").alias("day"), F.lit(0).alias("side"), F.col("credit_at").alias("place")))).otherwise(F.array())
+    entries = lines.select("company_id", "party_key", "txn_id", "line", F.inline(F.concat(looks, own)))
+    entries = entries.withColumn("credit_row", F.when(F.col("side") == 0, F.struct(F.col("place").alias("cents"), F.col("line").alias("line"))))
+    key = ["company_id", "party_key", "day"]
+    seen = scan(entries, key, [F.col("place").desc(), F.col("side"), F.col("txn_id").desc()], lasts={"hit": "credit_row"})
+    hits = seen.filter((F.col("side") == 1) & F.col("hit").isNotNull()).select("line", "day", F.col("hit.cents").alias("cents"), F.col("hit.line").alias("credit_line"))
+    debits = lines.select("line", "company_id", "party_key", F.col("txn_id").alias("debit_txn_id"), F.col("txn_date").alias("debit_date"), F.col("debit").alias("debit_amount"))
+    found = debits.join(hits, "line").filter(F.col("cents") <= F.col("debit_amount") * F.lit(100 * high))
+    best = found.groupBy("line").agg(F.min(F.struct("day", "credit_line")).alias("b"), *[F.first(c).alias(c) for c in debits.columns[1:]]).select("*", "b.*")
+    paid = lines.select(F.col("line").alias("credit_line"), F.struct(F.col("credit").alias("amount"), "txn_id", "party", "narration").alias("hit"))
+    return best.join(paid, "credit_line").select(*debits.columns[1:], F.struct("day", "hit").alias("first"))
 
 
 def circular_pairs(ledger: DataFrame, tolerance: str = "0.02", days: int = 3, cap: int | None = None) -> DataFrame:
@@ -271,7 +225,7 @@ def pair_totals(pairs: DataFrame, emi: DataFrame) -> DataFrame:
 def bank_profile(companies: DataFrame, ledger: DataFrame, revenue: DataFrame, tax_turnover: DataFrame) -> DataFrame:
     """One row per company; a company without a ledger gets zeros and has_ledger = false.
 
-    One pass over the ledger gives all sums; the circular pairs take a second one.
+    One pass over the ledger gives all sums, a second one writes the lines that the circular pairs work on.
     """
     totals = ledger_totals(ledger, ["company_id"])
     pairs = pair_sums(circular_pairs(ledger))
@@ -298,51 +252,18 @@ def bank_profile(companies: DataFrame, ledger: DataFrame, revenue: DataFrame, ta
 
 
 def running_balance(ledger: DataFrame, opening: str = "0.00") -> DataFrame:
-    """Opening plus credits minus debits in date order.
-
-    Two levels: day sums per company (few rows, whatever the company's size), then rows within a
-    day, so no task ever holds all rows of one company.
-    """
-    delta = F.col("credit") - F.col("debit")
-    days = ledger.groupBy("company_id", "txn_date").agg(F.sum(delta).alias("day_delta"))
-    before = Window.partitionBy("company_id").orderBy("txn_date").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = days.select(
-        "company_id", "txn_date", F.coalesce(F.sum("day_delta").over(before), F.lit(Decimal(0))).alias("carried")
-    )
-    within = Window.partitionBy("company_id", "txn_date").orderBy("txn_id").rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.join(offsets, ["company_id", "txn_date"]).select(
-        "company_id",
-        "txn_id",
-        "txn_date",
-        (F.lit(Decimal(opening)) + F.col("carried") + F.sum(delta).over(within)).cast("double").alias("running_balance"),
-    )
+    """Opening plus credits minus debits in date order, then by id."""
+    moves = ledger.select("company_id", "txn_id", "txn_date", (F.col("credit") - F.col("debit")).alias("delta"))
+    run = scan(moves, ["company_id"], [F.col("txn_id")], "txn_date", sums={"run": F.col("delta")})
+    return run.select("company_id", "txn_id", "txn_date", (F.lit(Decimal(opening)) + F.col("run")).cast("double").alias("running_balance"))
 
 
 def carry_forward(df: DataFrame, keys: list[str], segment: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Last known value per column in (segment, order) sequence, as `<column>_filled`.
-
-    The last value of each segment is found by a plain aggregate and carried over segments;
-    the row-level window then spans one segment of one key only.
-    """
-    at = F.struct(*order)
-    ends = df.groupBy(*keys, segment).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"{c}_end") for c in columns]
-    )
-    before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *keys, segment, *[F.last(f"{c}_end", ignorenulls=True).over(before).alias(f"{c}_before") for c in columns]
-    )
-    within = Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(carried, [*keys, segment])
-    return joined.select(
-        *df.columns,
-        *[
-            F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"{c}_before")).alias(f"{c}_filled")
-            for c in columns
-        ],
-    )
+    """Last known value per column in (segment, order) sequence, as `<column>_filled`."""
+    return scan(df, keys, [F.col(c) for c in order], segment, lasts={f"{c}_filled": c for c in columns})
 
 
 def filled_balance(ledger: DataFrame) -> DataFrame:
-    filled = carry_forward(ledger, ["company_id"], "txn_date", ["txn_id"], ["balance"])
+    rows = ledger.select("company_id", "txn_id", "txn_date", "balance")
+    filled = carry_forward(rows, ["company_id"], "txn_date", ["txn_id"], ["balance"])
     return filled.select("company_id", "txn_id", "txn_date", F.col("balance_filled").cast("double").alias("balance_filled"))
