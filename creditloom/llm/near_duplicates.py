@@ -1,10 +1,10 @@
 """Near-duplicate groups: MinHash bands, sequential Bayesian verification of signatures, exact check of the survivors.
 
 Texts with the same shingle set are folded to one node first. Nodes meet where all hashes of a band agree. A bucket is first
-compared with its leader only, which joins groups of copies in linear work. What is left are buckets that still hold more than one
-component: there, members of different components are compared in blocks of bounded size, and every member puts forward its best partners; the
-number of partners grows each round until no surviving pair is untested, so no link is lost and no bucket is expanded into
-its pairs. Signatures are compared a batch of hashes at a time; a pair is dropped once the posterior chance that its similarity
+compared with its leader only, then each block of its members with itself, which joins groups of copies in linear work. What is left are
+buckets that still hold more than one component: there, members outside the largest one are compared with all of other components, in blocks of bounded size,
+and every member puts forward its best partners; the number of partners grows each round until no surviving pair is untested, so no link is
+lost and no bucket is expanded into its pairs. Signatures are compared a batch of hashes at a time; a pair is dropped once the posterior chance that its similarity
 reaches the threshold is below the chosen miss probability. Survivors are confirmed on the full shingle sets.
 """
 
@@ -260,28 +260,55 @@ def components(steps: Steps, name: str, links: DataFrame) -> DataFrame:
     return written.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _untested(members: DataFrame, marks: DataFrame, most: int, percent: int, miss: float) -> DataFrame:
-    """(a, b, more): pairs put forward in buckets that hold members of several components. `members` has key, band, node, root, without the leaders."""
+def _cells(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, each in the cells where it is compared: (key, kind, i, j).
+
+    The largest component of a bucket is linked already, so its members are compared with the others only. Both sides are dealt into blocks of about BLOCK members:
+    kind 0 cells compare two blocks of the others (i = j: one with itself), kind 1 cells block i of the others with block j of the largest component.
+    """
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n")).where("n > n_main")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shapes = mixed.select("key", "main", blocks(F.col("n_main")).alias("blocks_main"), blocks(F.col("n") - F.col("n_main")).alias("blocks_other"))
+    mine = members.join(shapes, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    own = F.when(F.col("is_main"), F.col("blocks_main")).otherwise(F.col("blocks_other"))
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("node", "key"), own).cast("int"))
+
+    def cell(kind: int, i: F.Column, j: F.Column) -> F.Column:
+        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    others, mains = F.sequence(F.lit(0), F.col("blocks_other") - 1), F.sequence(F.lit(0), F.col("blocks_main") - 1)
+    across = F.transform(others, lambda o: cell(0, F.least("block", o), F.greatest("block", o)))
+    to_main = F.transform(mains, lambda m: cell(1, F.col("block"), m))
+    from_main = F.transform(others, lambda o: cell(1, o, F.col("block")))
+    cells = F.when(F.col("is_main"), from_main).otherwise(F.concat(across, to_main))
+    return mine.select("key", "band", "node", "root", "block", "is_main", F.inline(cells))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, each in one cell: a block of the bucket, compared with itself."""
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = members.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A bucket of several blocks is compared block by block: each member goes to the groups of its block with every other.
-    cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-    )
-    spread = mine.select("key", "band", "node", "root", "block", F.explode(cells).alias("cell")).select("key", "band", "node", "root", "block", "cell.i", "cell.j")
-    spread = spread.join(marks, "node")
+    block = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / BLOCK).cast("int")).cast("int")
+    mine = members.join(mixed.select("key", "n"), "key").withColumn("block", block)
+    return mine.select("key", "band", "node", "root", "block", F.lit(False).alias("is_main"), F.lit(0).alias("kind"), F.col("block").alias("i"), F.col("block").alias("j"))
+
+
+def _untested(cells: DataFrame, marks: DataFrame, most: int, percent: int, miss: float) -> DataFrame:
+    """(a, b, more): pairs put forward in the cells of _cells or _blocks."""
+    spread = cells.join(marks, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
             node, root, block = (t.column(c).to_numpy() for c in ("node", "root", "block"))
-            i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
-            left, right = (np.flatnonzero(block == x) for x in (i, j))
+            main = t.column("is_main").to_numpy()
+            i, j, band, kind = (t.column(c)[0].as_py() for c in ("i", "j", "band", "kind"))
+            sides = (~main, main) if kind else (block == i, block == j)
+            left, right = (np.flatnonzero(x) for x in sides)
             if not len(left) or not len(right):
                 return
             all_marks = t.column("marks").combine_chunks()
             mine, theirs = (Marks(all_marks.take(pa.array(x))) for x in (left, right))
-            a, b, more = best_partners(mine, theirs, root[left], root[right], band, most, i == j, percent, miss)
+            a, b, more = best_partners(mine, theirs, root[left], root[right], band, most, not kind and i == j, percent, miss)
             a, b = node[left[a]], node[right[b]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], ["a", "b", "more"])
 
@@ -290,7 +317,7 @@ def _untested(members: DataFrame, marks: DataFrame, most: int, percent: int, mis
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([*rest, batch])
-            group = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            group = np.stack([t.column(c).to_numpy() for c in ("key", "kind", "i", "j")])
             cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
             edges = [0, *cuts.tolist()]
             for x, y in zip(edges[:-1], edges[1:], strict=True):
@@ -299,7 +326,7 @@ def _untested(members: DataFrame, marks: DataFrame, most: int, percent: int, mis
         if rest:
             yield from compare(pa.Table.from_batches(rest))
 
-    grouped = spread.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j")
+    grouped = spread.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
     found = arrow_map(grouped, run, "a long, b long, more boolean")
     return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -337,13 +364,14 @@ def group_near_duplicates(
     links = links.unionByName(steps.write("links-1", _confirmed(_pruned(pairs, marks, percent, miss), texts, width, percent)))
     roots = components(steps, "roots-1", links)
     others = members.where("node != leader").select("key", "band", "node")
-    most, k = 1, 1
+    # The first round compares each block of a bucket with itself: linear work, after which most of a bucket of copies is one component.
+    most, k, whole = 1, 1, False
     while True:
         rooted = others.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-        put = steps.write(f"put-{k}", _untested(rooted, marks, most, percent, miss))
+        put = steps.write(f"put-{k}", _untested(_cells(rooted) if whole else _blocks(rooted), marks, most, percent, miss))
         fresh = steps.write(f"pairs-{k}", put.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
         more, new = bool(put.agg(F.max("more")).head()[0]), not fresh.isEmpty()
-        if not new and not more:
+        if whole and not new and not more:
             break
         if new:
             pairs = pairs.unionByName(fresh)
@@ -351,7 +379,7 @@ def group_near_duplicates(
             if not found.isEmpty():
                 links = links.unionByName(found)
                 roots = components(steps, f"roots-{k + 1}", roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        most, k = most * MORE_PARTNERS, k + 1
+        most, k, whole = most * MORE_PARTNERS if whole else most, k + 1, True
 
     rooted = rows.join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"))
     smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("size")).where("size > 1").select("root", "component")

@@ -183,6 +183,17 @@ def near_rows():
     return list(enumerate(texts))
 
 
+def test_one_bucket_of_texts_with_a_common_passage(spark, monkeypatch):
+    """Texts that share a long passage meet in the same buckets, where most pairs are just below or above the threshold."""
+    rng = random.Random(21)
+    common = " ".join(f"c{i}" for i in range(60))
+    endings = [" ".join(f"e{rng.randrange(400)}" for _ in range(12)) for _ in range(60)]
+    rows = [(i, f"{common} {' '.join(rng.choice(endings).split()[: rng.randrange(4, 13)])} {' '.join(f'x{rng.randrange(9999)}' for _ in range(rng.randrange(0, 9)))}") for i in range(800)]
+    monkeypatch.setattr(near_duplicates, "BLOCK", 64)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in group_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain.near_groups(rows)
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rows, expected = near_rows(), None
     expected = plain.near_groups(rows)
