@@ -33,6 +33,7 @@ BATCHES = (32, 64, 128, 256, 512)
 MISS = 1e-5
 BLOCK = 256
 MORE_PARTNERS = 8
+LINEAR_ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -264,15 +265,15 @@ def _cells(members: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, each in the cells where it is compared: (key, kind, i, j).
 
     The largest component of a bucket is linked already, so its members are compared with the others only. Both sides are dealt into blocks of about BLOCK members:
-    kind 0 cells compare two blocks of the others (i = j: one with itself), kind 1 cells block i of the others with block j of the largest component.
+    kind 0 cells compare two blocks of the others (i = j: one with itself), kind 1 cells block i of the others with block j of the largest component. A bucket of one block is one cell.
     """
     by_root = members.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n")).where("n > n_main")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    shapes = mixed.select("key", "main", blocks(F.col("n_main")).alias("blocks_main"), blocks(F.col("n") - F.col("n_main")).alias("blocks_other"))
+    shapes = mixed.select("key", "main", "n", blocks(F.col("n_main")).alias("blocks_main"), blocks(F.col("n") - F.col("n_main")).alias("blocks_other"))
     mine = members.join(shapes, "key").withColumn("is_main", F.col("root") == F.col("main"))
     own = F.when(F.col("is_main"), F.col("blocks_main")).otherwise(F.col("blocks_other"))
-    mine = mine.withColumn("block", F.pmod(F.xxhash64("node", "key"), own).cast("int"))
+    mine = mine.withColumn("block", F.when(F.col("n") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("node", "key"), own).cast("int")))
 
     def cell(kind: int, i: F.Column, j: F.Column) -> F.Column:
         return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -281,7 +282,7 @@ def _cells(members: DataFrame) -> DataFrame:
     across = F.transform(others, lambda o: cell(0, F.least("block", o), F.greatest("block", o)))
     to_main = F.transform(mains, lambda m: cell(1, F.col("block"), m))
     from_main = F.transform(others, lambda o: cell(1, o, F.col("block")))
-    cells = F.when(F.col("is_main"), from_main).otherwise(F.concat(across, to_main))
+    cells = F.when(F.col("n") <= BLOCK, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("is_main"), from_main).otherwise(F.concat(across, to_main))
     return mine.select("key", "band", "node", "root", "block", "is_main", F.inline(cells))
 
 
@@ -364,22 +365,23 @@ def group_near_duplicates(
     links = links.unionByName(steps.write("links-1", _confirmed(_pruned(pairs, marks, percent, miss), texts, width, percent)))
     roots = components(steps, "roots-1", links)
     others = members.where("node != leader").select("key", "band", "node")
-    # The first round compares each block of a bucket with itself: linear work, after which most of a bucket of copies is one component.
-    most, k, whole = 1, 1, False
+    # Two rounds compare each block of a bucket with itself, linear work, after which most of a bucket of copies is one component. Then whole buckets: once no cell
+    # has held back a surviving pair of two components, every pair that may be a link has been confirmed or lies within one component.
+    most, k = 1, 1
     while True:
+        whole = k > LINEAR_ROUNDS
         rooted = others.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
         put = steps.write(f"put-{k}", _untested(_cells(rooted) if whole else _blocks(rooted), marks, most, percent, miss))
         fresh = steps.write(f"pairs-{k}", put.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
-        more, new = bool(put.agg(F.max("more")).head()[0]), not fresh.isEmpty()
-        if whole and not new and not more:
-            break
-        if new:
+        if not fresh.isEmpty():
             pairs = pairs.unionByName(fresh)
             found = steps.write(f"links-{k + 1}", _confirmed(fresh, texts, width, percent))
             if not found.isEmpty():
                 links = links.unionByName(found)
                 roots = components(steps, f"roots-{k + 1}", roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        most, k, whole = most * MORE_PARTNERS if whole else most, k + 1, True
+        if whole and not put.agg(F.max("more")).head()[0]:
+            break
+        most, k = most * MORE_PARTNERS, k + 1
 
     rooted = rows.join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"))
     smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("size")).where("size > 1").select("root", "component")
