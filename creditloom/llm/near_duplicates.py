@@ -87,6 +87,11 @@ def keep_from(n: int, percent: int, miss: float) -> int:
     return n
 
 
+def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can share percent/100 of their union: at most the smaller one is shared, at least the larger one is the union."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
 class Marks:
     """Signatures of many nodes: the first HASHES values in 32 bits, the others in 16."""
 
@@ -119,7 +124,9 @@ def alike(left: Marks, i: np.ndarray, right: Marks, j: np.ndarray, percent: int
     return equal
 
 
-def best_partners(left: Marks, right: Marks, of_left: np.ndarray, of_right: np.ndarray, band: int, most: int, same: bool, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, bool]:
+def best_partners(
+    left: Marks, right: Marks, sizes: tuple[np.ndarray, np.ndarray], of_left: np.ndarray, of_right: np.ndarray, band: int, most: int, same: bool, percent: int, miss: float,
+) -> tuple[np.ndarray, np.ndarray, bool]:
     """Surviving pairs of two blocks whose components differ and whose first common band is `band`, at most the `most` best per member; and whether there are more."""
     first = BATCHES[0]
     need = keep_from(first, percent, miss)
@@ -132,6 +139,8 @@ def best_partners(left: Marks, right: Marks, of_left: np.ndarray, of_right: np.n
             open_pair &= np.arange(a, min(a + 64, n))[:, None] < np.arange(m)[None, :]
         i, j = np.nonzero(open_pair)
         i += a
+        may = may_link(sizes[0][i], sizes[1][j], percent)
+        i, j = i[may], j[may]
         # Two nodes may meet in many bands; the pair belongs to the first.
         shared = (left.first[i] == right.first[j]).reshape(len(i), HASHES // BAND, BAND).all(axis=2)
         own = shared.argmax(axis=1) == band
@@ -188,14 +197,15 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 
 def _marked(texts: DataFrame, width: int) -> DataFrame:
-    """node, marks: the long signature of each text."""
+    """node, marks, size: the long signature of each text and the size of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            marks = [Marks.of(signature(s, MARK_HASHES)) for s in shingle_sets(part.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(marks, pa.binary())], ["node", "marks"])
+            sets = shingle_sets(part.column("text"), width)
+            columns = [part.column("node"), pa.array([Marks.of(signature(s, MARK_HASHES)) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "marks", "size"])
 
-    return arrow_map(texts.select("node", "text"), run, "node long, marks binary")
+    return arrow_map(texts.select("node", "text"), run, "node long, marks binary, size long")
 
 
 def _pruned(pairs: DataFrame, marks: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -206,10 +216,11 @@ def _pruned(pairs: DataFrame, marks: DataFrame, percent: int, miss: float) -> Da
             if batch.num_rows:
                 every = np.arange(batch.num_rows)
                 kept = alike(Marks(batch.column("sa")), every, Marks(batch.column("sb")), every, percent, miss) >= 0
+                kept &= may_link(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(kept))
 
-    sa, sb = (marks.select(F.col("node").alias(x), F.col("marks").alias(f"s{x}")) for x in "ab")
-    return arrow_map(pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb"), run, "a long, b long")
+    sa, sb = (marks.select(F.col("node").alias(x), F.col("marks").alias(f"s{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    return arrow_map(pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb", "na", "nb"), run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -309,7 +320,8 @@ def _untested(cells: DataFrame, marks: DataFrame, most: int, percent: int, miss:
                 return
             all_marks = t.column("marks").combine_chunks()
             mine, theirs = (Marks(all_marks.take(pa.array(x))) for x in (left, right))
-            a, b, more = best_partners(mine, theirs, root[left], root[right], band, most, not kind and i == j, percent, miss)
+            size = t.column("size").to_numpy()
+            a, b, more = best_partners(mine, theirs, (size[left], size[right]), root[left], root[right], band, most, not kind and i == j, percent, miss)
             a, b = node[left[a]], node[right[b]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], ["a", "b", "more"])
 
