@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.values import round_to
+from creditloom.operators.scans import ROWS_TOGETHER, scan
 
 # Training settings.
 SEED, TEST_SHARE = 42, 0.2
@@ -87,19 +88,14 @@ def importances(spark: SparkSession, model: PipelineModel, features: Sequence[st
     return spark.createDataFrame([(i + 1, f, w) for i, (f, w) in enumerate(rows)], "rank_no bigint, feature string, importance double")
 
 
-def auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = 4096) -> DataFrame:
+def auc(scored: DataFrame, label: str = "label", score: str = "score", limit: int = ROWS_TOGETHER) -> DataFrame:
     """Area under the curve from rank sums, one row.
 
-    Equal scores are folded first. Score buckets carry the negatives below them in a table bounded
-    by the number of buckets; exact ranks are then only needed within one bucket.
+    Equal scores are folded first. The negatives below each score are a running sum over the distinct scores, cut into slices where there are more than
+    `limit` of them, wherever the scores lie.
     """
     folded = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    placed = folded.withColumn("bucket", F.least(F.greatest(F.floor(F.col("s") * buckets), F.lit(0)), F.lit(buckets)))
-    totals = placed.groupBy("bucket").agg(F.sum("neg").alias("b_neg"))
-    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    below = totals.select("bucket", F.coalesce(F.sum("b_neg").over(before), F.lit(0)).alias("neg_below"))
-    inside = Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(below, "bucket").withColumn("lower", F.col("neg_below") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    ranked = scan(folded.withColumn("all", F.lit(0)), ["all"], [F.col("s")], sums={"upto": F.col("neg")}, limit=limit).withColumn("lower", F.col("upto") - F.col("neg"))
     wins = F.sum(F.col("pos") * F.col("lower") * 2 + F.col("pos") * F.col("neg"))
     return ranked.agg(round_to(F.try_divide(wins / 2.0, F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 

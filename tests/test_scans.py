@@ -92,3 +92,14 @@ def test_circular_pairs_of_a_hot_party_day(spark, monkeypatch):
         if good:
             want.add((t, good[0]))
     assert {(r[1], r[2]) for r in calm} == want and len(want) > 300
+
+
+@pytest.mark.parametrize("limit", [50, 1 << 20])
+def test_auc_of_scores_that_lie_close_together(spark, limit):
+    from creditloom.operators.ml import auc
+
+    rng = random.Random(12)
+    rows = [(0.5 + rng.randrange(400) * 1e-9, float(rng.random() < 0.4)) for _ in range(600)]
+    wins = sum((a > b) + 0.5 * (a == b) for a, y in rows if y for b, z in rows if not z)
+    want = wins / (sum(y for _, y in rows) * sum(1 - y for _, y in rows))
+    assert auc(spark.createDataFrame(rows, "score double, label double"), limit=limit).head()[0] == pytest.approx(want, abs=1e-6)
