@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction; DataFrame functions only.
 
 Base patterns give seed entities. The words beside the seeds are lexical patterns; a pattern-instance graph joins every word pattern with the values that
-stand beside it anywhere in the corpus. Scores run over the graph a few times: a pattern is as good as the share of its occurrences that lead to
+stand beside it anywhere in the corpus. Scores run over the graph until they accept nothing new: a pattern is as good as the share of its occurrences that lead to
 accepted values, a value as good as its patterns together, and values above a threshold count as accepted in the next round.
 Patterns of high confidence then mark the values beside them that no base pattern has found.
 """
@@ -30,7 +30,6 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&=~`^\\/_-+@"
 MIN_SEEDS = 3
 PATTERN_CONFIDENCE = 0.6
 VALUE_CONFIDENCE = 0.8
-ROUNDS = 3
 
 
 def luhn(digits: Column) -> Column:
@@ -64,25 +63,32 @@ def _beside(tokens: Column, at: int) -> Column:
     return F.transform(F.array(tokens), lambda t: F.coalesce(F.try_element_at(t, F.lit(at)), F.lit("")))[0]
 
 
-def pattern_scores(edges: DataFrame, totals: DataFrame, steps: Steps, rounds: int) -> DataFrame:
-    """pattern, kind, confidence of the high-confidence patterns. `edges`: pattern, value, kind (of a seed, else null); `totals`: pattern, n (occurrences of its word)."""
-    seeds = edges.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("accepted", F.lit(1.0))
-    places = edges.groupBy("pattern", "value").agg(F.count("*").alias("n"))
-    accepted, scored = seeds, None
-    for k in range(rounds):
-        support = places.join(accepted, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("accepted")).alias("good"), F.count("*").alias("values"))
+def pattern_scores(edges: DataFrame, totals: DataFrame, steps: Steps) -> DataFrame:
+    """pattern, kind, confidence of the high-confidence patterns. `edges`: pattern, value, kind (of a seed, else null); `totals`: pattern, n (occurrences of its word).
+
+    Rounds go on until one accepts no value that was not accepted before. An accepted value counts as a seed does and stays accepted, so confidences only rise
+    and the end does not depend on the order.
+    """
+    seeds = edges.where("kind IS NOT NULL").select("value", "kind").distinct()
+    places = steps.write("edge-counts", edges.groupBy("pattern", "value").agg(F.count("*").alias("n")))
+    accepted, k = steps.write("accepted-0", seeds), 0
+    while True:
+        support = places.join(accepted, "value").groupBy("pattern", "kind").agg(F.sum("n").alias("good"), F.count("*").alias("values"))
         scored = support.join(totals.withColumnRenamed("n", "all"), "pattern").where(F.col("values") >= MIN_SEEDS)
         scored = steps.write(f"patterns-{k}", scored.select("pattern", "kind", (F.col("good") / F.greatest("all", "good")).alias("confidence")))
-        if k + 1 < rounds:
-            # A value's patterns speak together: 1 - product of (1 - confidence).
-            doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
-            values = places.select("pattern", "value").join(scored, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("accepted"))
-            fresh = values.where(F.col("accepted") >= VALUE_CONFIDENCE).join(seeds.select("value"), "value", "left_anti")
-            accepted = steps.write(f"accepted-{k}", seeds.unionByName(fresh))
-    return scored.where(F.col("confidence") >= PATTERN_CONFIDENCE)
-
-
-def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
+        # A value's patterns speak together: 1 - product of (1 - confidence).
+        doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
+        values = places.select("pattern", "value").join(scored, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
+        fresh = values.where(F.col("score") >= VALUE_CONFIDENCE).join(accepted, ["value", "kind"], "left_anti").join(seeds.select("value").distinct(), "value", "left_anti")
+        fresh = steps.write(f"fresh-{k}", fresh.select("value", "kind"))
+        if fresh.isEmpty():
+            return scored.where(F.col("confidence") >= PATTERN_CONFIDENCE)
+        accepted = steps.write(f"accepted-{k + 1}", accepted.unionByName(fresh))
+        steps.drop(f"patterns-{k}", f"fresh-{k}", f"accepted-{k}")
+        k += 1
+
+
+def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_email, n_ip, n_card, n_phone, base_sha256 and spans; spans of discovered values have the kinds context_email and so on.
 
     A discovered span stands beside a high-confidence pattern of its kind, has MIN_DIGITS digits or an @, and overlaps no base span. Null and empty
@@ -129,7 +135,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     else:
         spoken = rows.select(F.explode(_tokens(F.col("text"))).alias("word")).join(words.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("n"))
         totals = steps.write("totals", words.join(spoken, "word").select("pattern", "n"))
-        good = pattern_scores(edges.select("pattern", "value", "kind"), totals, steps, rounds)
+        good = pattern_scores(edges.select("pattern", "value", "kind"), totals, steps)
         marked = edges.where("kind IS NULL").join(good.withColumnRenamed("kind", "of"), "pattern")
         extra = marked.groupBy("row", "start", "end").agg(F.max_by("of", F.struct("confidence", "of")).alias("kind"))
         extra = extra.select("row", F.concat(F.lit("context_"), "kind").alias("kind"), "start", "end")

@@ -113,6 +113,19 @@ def test_personal_data_of_the_second_generation(spark):
     assert got[200].spans == "context_phone:11:23" and got[201].spans == ""
 
 
+def test_personal_data_of_many_generations(spark):
+    # Each generation of numbers stands on the side of a word that the one before has taught, and teaches a word on its other side.
+    words, sizes = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"], [1500, 300, 60, 12, 3]
+    rows = [(i, f"please call alpha +1 (743) 555-{1000 + i} today or write") for i in range(sizes[0])]
+    for g in range(1, 5):
+        left, right = (words[g - 1], words[g]) if g % 2 else (words[g], words[g - 1])
+        rows += [(10_000 * g + i, f"please call {left} 743 55{g} {2000 + i} {right} or write") for i in range(sizes[g])]
+    rows.append((90_000, "nobody 743 559 9999 knows"))
+    got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, _ in rows[sizes[0] : -1] if not got[i].spans.startswith("context_phone:")] == []
+    assert got[90_000].spans == ""
+
+
 def test_secrets(spark):
     rows = random_texts(400, ["token", "secret", "=", ":", " ", "'", "AKIA", "f", "9", "Z", "abcdef0123", "\n", "_", "é", "API_KEY"], 40, 4)
     key, name = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ASIAQ7ABCDEFGH12XY"
