@@ -56,8 +56,8 @@ def test_auc_matches_evaluator(spark):
     df = spark.createDataFrame(rows, "label double, score double")
     raw = df.withColumn("rawPrediction", array_to_vector(F.array(1 - F.col("score"), F.col("score"))))
     want = BinaryClassificationEvaluator(numBins=0).evaluate(raw)
-    for buckets in (1, 4, 4096):
-        assert abs(K.auc(df, buckets=buckets).first().auc - want) < 1e-6
+    for limit in (1, 4, 4096):
+        assert abs(K.auc(df, limit=limit).first().auc - want) < 1e-6
 
 
 def test_training_learns_and_scores(spark):
