@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,11 +11,16 @@ from pyspark.ml.stat import Summarizer
 
 from creditloom.functions.text import lines_of
 from creditloom.functions.values import round_to
+from creditloom.operators.bounded import ROUNDS, best_by_bounds
 from creditloom.operators.ledger import first_n
+from creditloom.operators.scans import AT, sliced, written
 
 # Word shape, limits of the context and of the line pick.
 WORD = "[a-z0-9]+"
 
+#: Chunks of a block, and blocks of a stretch, as powers of two.
+BLOCK_BITS, STRETCH_BITS = 8, 10
+
 
 def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
@@ -48,43 +55,41 @@ def chunk_words(chunks: DataFrame) -> DataFrame:
     return chunks.select("company_id", "chunk_id", words(F.col("chunk_text")).alias("c_words"))
 
 
-def lexical_topk(questions: DataFrame, own: DataFrame, k: int = 5, rare_rows: int = 50, rare_share: float = 0.05) -> DataFrame:
-    """Share of a question's words found in a chunk of its company, best k. `own` comes from `chunk_words`.
+def lexical_search(questions: DataFrame, own: DataFrame, k: int = 5, bits: int = BLOCK_BITS, rounds: Sequence[int] = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Best k chunks per question (query_id, company_id, chunk_id, score: words found), and the blocks that were opened for them.
 
-    Exact in two passes. Words are split per company at a document frequency: chunks sharing a
-    rare word with a question are its candidates and are scored in full. A chunk without any rare
-    word can score at most the question's number of frequent words, so a question whose k-th best
-    candidate beats that bound is finished. Only the others look through the frequent words too.
+    A company's chunks are cut into blocks of 2^bits in order of their ids. A block holds, per word that its company is asked for, the ids of the chunks with
+    that word. No chunk of a block can score more than the question's words that the block holds at all, and equal scores go to smaller ids, so a word
+    of every chunk opens the first blocks and no others. Postings and questions meet per stretch of 2^STRETCH_BITS blocks, so no word or company is one group.
+    """
+    asked = questions.select(F.col("question_id").alias("query_id"), "company_id", F.explode(words(F.col("question"))).alias("word"))
+    placed = sliced(own.select("company_id", "chunk_id", "c_words"), [F.col("company_id"), F.col("chunk_id")])
+    blocks = placed.withColumn("block", F.shiftright(AT, bits)).withColumn("stretch", F.shiftright("block", STRETCH_BITS))
+    stretches = blocks.select("company_id", "stretch").distinct()
+    needed = asked.select("company_id", "word").distinct().join(stretches, "company_id")
+    held = blocks.select("company_id", "stretch", "block", "chunk_id", F.explode("c_words").alias("word")).join(needed, ["company_id", "stretch", "word"], "left_semi")
+    postings = written(held.groupBy("company_id", "stretch", "block", "word").agg(F.collect_list("chunk_id").alias("ids")), "postings")
+    where = postings.select("company_id", "stretch", "word").distinct()
+    spread = asked.join(where, ["company_id", "word"])
+    firsts = postings.select("company_id", "stretch", "block", "word", F.array_min("ids").alias("first"))
+    bounds = spread.join(firsts, ["company_id", "stretch", "word"]).groupBy("query_id", "company_id", "block").agg(F.count("*").alias("bound"), F.min("first").alias("first_id"))
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.join(asked, ["query_id", "company_id"])
+        hits = wanted.join(postings, ["company_id", "block", "word"]).select("query_id", "company_id", F.explode("ids").alias("chunk_id"))
+        return hits.groupBy("query_id", "company_id", "chunk_id").agg(F.count("*").alias("score"))
+
+    return best_by_bounds(bounds, scores, k, rounds)
+
+
+def lexical_topk(questions: DataFrame, own: DataFrame, k: int = 5, bits: int = BLOCK_BITS, rounds: Sequence[int] = ROUNDS) -> DataFrame:
+    """Share of a question's words found in a chunk of its company, best k (ties: smaller id). `own` comes from `chunk_words`; chunk ids are unique.
+
+    Exact whatever the size of the blocks. Questions and chunks without words have no rows.
     """
-    asked = questions.select("question_id", "company_id", words(F.col("question")).alias("q_words")).withColumn("n_words", F.size("q_words"))
-    wanted = asked.select("question_id", "company_id", F.explode("q_words").alias("word"))
-    needed = wanted.select("company_id", "word").distinct()
-    # Only words some question of the company asks for leave the scan side.
-    postings = own.select("company_id", "chunk_id", F.explode("c_words").alias("word")).join(needed, ["company_id", "word"], "left_semi")
-    size = own.groupBy("company_id").agg(F.count("*").alias("n_chunks"))
-    frequency = postings.groupBy("company_id", "word").agg(F.count("*").alias("n"))
-    is_rare = (F.col("n") <= rare_rows) | (F.col("n") <= F.col("n_chunks") * rare_share)
-    rare = frequency.join(size, "company_id").select("company_id", "word", is_rare.alias("is_rare"))
-    classed = wanted.join(rare, ["company_id", "word"])
-
-    def scores(question_words: DataFrame) -> DataFrame:
-        hits = question_words.join(postings, ["company_id", "word"])
-        return hits.groupBy("question_id", "company_id", "chunk_id").agg(F.count("*").alias("found"))
-
-    frequent_count = classed.groupBy("question_id").agg(F.count_if(~F.col("is_rare")).alias("n_frequent"))
-    candidates = scores(classed.filter("is_rare")).select("question_id", "company_id", "chunk_id")
-    full = (
-        candidates.join(asked.select("question_id", "q_words"), "question_id").join(own.select("company_id", "chunk_id", "c_words"), ["company_id", "chunk_id"])
-        .select("question_id", "company_id", "chunk_id", F.size(F.array_intersect("q_words", "c_words")).cast("bigint").alias("found"))
-    )
-    best = first_n(full, ["question_id"], [F.col("found").desc(), F.col("chunk_id")], k)
-    floor = best.groupBy("question_id").agg(F.min("found").alias("kth"), F.count("*").alias("n_best"))
-    state = frequent_count.join(floor, "question_id", "left")
-    finished = state.filter((F.col("n_frequent") == 0) | ((F.col("n_best") >= k) & (F.col("kth") > F.col("n_frequent")))).select("question_id")
-    rest = scores(classed.join(finished, "question_id", "left_anti"))
-    done = full.join(finished, "question_id", "left_semi")
-    every = done.unionByName(rest)
-    ranked = every.join(asked.select("question_id", "n_words"), "question_id").withColumn("score", round_to(F.col("found") / F.greatest("n_words", F.lit(1)), 6))
+    n_words = questions.select("question_id", F.size(words(F.col("question"))).alias("n_words"))
+    best = lexical_search(questions, own, k, bits, rounds)[0].withColumnRenamed("query_id", "question_id").withColumnRenamed("score", "found")
+    ranked = best.join(n_words, "question_id").withColumn("score", round_to(F.col("found") / F.greatest("n_words", F.lit(1)), 6))
     return first_n(ranked, ["question_id"], [F.col("found").desc(), F.col("chunk_id")], k).select(
         "question_id", "company_id", F.col("rank_no").cast("bigint").alias("rank_no"), "chunk_id", "score")
 

@@ -24,11 +24,25 @@ def test_lexical_topk_is_exact_for_any_split(spark):
         words = set(question.split())
         scored = sorted((-len(words & set(t.split())), i) for c, i, t in chunks if c == company and words & set(t.split()))
         want |= {(q, rank + 1, i) for rank, (_, i) in enumerate(scored[:5])}
-    for rows, share in ((0, 0.0), (5, 0.0), (10, 0.1), (10**6, 1.0)):
-        got = {(r.question_id, r.rank_no, r.chunk_id) for r in V.lexical_topk(questions, own, 5, rows, share).collect()}
+    for bits, rounds in ((0, (1, 3)), (2, (2, 4)), (4, ()), (20, (2, 32))):
+        got = {(r.question_id, r.rank_no, r.chunk_id) for r in V.lexical_topk(questions, own, 5, bits, rounds).collect()}
         assert got == want
 
 
+def test_a_word_of_every_chunk_opens_the_first_blocks_only(spark):
+    """A large company in which all chunks hold two words and few a third."""
+    text = F.concat(F.lit("the of w"), (F.col("id") % 1000).cast("string"), F.when(F.col("id") % 4001 == 7, " zebra").otherwise(""))
+    own = V.chunk_words(spark.range(20_000).select(F.lit(1).cast("long").alias("company_id"), F.col("id").alias("chunk_id"), text.alias("chunk_text")))
+    questions = spark.createDataFrame([(1, 1, "the"), (2, 1, "of the"), (3, 1, "the zebra"), (4, 1, "nothing here"), (5, 1, None)], "question_id long, company_id long, question string")
+    best, opened = V.lexical_search(questions, own, 5, 6)
+    got = {q: [r.chunk_id for r in best.where(f"query_id = {q}").orderBy(F.col("score").desc(), "chunk_id").collect()] for q in (1, 2, 3, 4, 5)}
+    assert got == {1: [0, 1, 2, 3, 4], 2: [0, 1, 2, 3, 4], 3: [7, 4008, 8009, 12010, 16011], 4: [], 5: []}
+    blocks = {r.query_id: r.n for r in opened.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+    assert blocks[1] == blocks[2] == 2 and blocks[3] <= 34
+    empty = V.lexical_topk(questions, own.limit(0))
+    assert empty.count() == 0 and V.lexical_topk(questions.limit(0), own).count() == 0
+
+
 def test_lexical_fallback(spark):
     chunks = spark.createDataFrame([(1, 7, "alpha"), (1, 3, "beta"), (1, 9, "")], "company_id long, chunk_id long, chunk_text string")
     questions = spark.createDataFrame([(1, 1, "gamma"), (2, 1, "alpha")], "question_id long, company_id long, question string")
