@@ -20,6 +20,11 @@ WORD = "[a-z0-9]+"
 
 #: Chunks of a block, and blocks of a stretch, as powers of two.
 BLOCK_BITS, STRETCH_BITS = 8, 10
+#: Pivots and hash parts of a company; room for rounded scores; the score of what has no cosine.
+PIVOTS, SALTS = 8, 64
+#: Companies of more chunks are searched by blocks.
+CHUNKS_TOGETHER = 1 << 14
+MARGIN, NO_COSINE = 2e-6, -2.0
 
 
 def words(text: Column) -> Column:
@@ -36,18 +41,89 @@ def theme_vectors(vectors: DataFrame) -> DataFrame:
     return mean.select("company_id", F.col("company_id").cast("bigint").alias("query_id"), vector_to_array("m").alias("query_vector"))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Cosine top-k among the chunks of the query's company.
+def _norm(a: str) -> Column:
+    return F.sqrt(_dot(a, a))
 
-    Each chunk meets only the queries of its own company. The rank filter is applied
-    before the shuffle, so a task sends k rows per query however many chunks it scored.
+
+def _is_direction(norm: Column) -> Column:
+    """Whether a vector of this norm points anywhere: not null, zero or beyond all numbers."""
+    return F.coalesce((norm > 0) & (norm < float("inf")) & ~F.isnan(norm), F.lit(False))
+
+
+def _angles(pivots: str, vector: str, norm: str) -> Column:
+    """Angles between a vector and each pivot (a unit vector); null for what is no direction."""
+    cosine = lambda p: F.aggregate(F.zip_with(p, vector, lambda x, y: x * y.cast("double")), F.lit(0.0), lambda s, v: s + v) / F.col(norm)
+    between = F.transform(pivots, lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(p)))))
+    return F.when(_is_direction(F.col(norm)), between)
+
+
+def _cosine() -> Column:
+    """Rounded cosine of `embedding` and `query_vector`, whose norms are at hand; NO_COSINE where one is no direction."""
+    is_known = _is_direction(F.col("norm")) & _is_direction(F.col("query_norm"))
+    return F.coalesce(F.when(is_known, round_to(F.try_divide(_dot("embedding", "query_vector"), F.col("norm") * F.col("query_norm")), 6)), F.lit(NO_COSINE))
+
+
+def pivot_directions(vectors: DataFrame, n: int = PIVOTS) -> DataFrame:
+    """Up to n unit vectors per company: the direction of its mean, then vectors drawn by the hash of their ids. One row per company, of bounded size."""
+    usable = vectors.withColumn("norm", _norm("embedding")).where(_is_direction(F.col("norm")))
+    mean = theme_vectors(usable).select("company_id", F.col("query_vector").alias("p"), F.lit(0).alias("pos"))
+    drawn = first_n(usable, ["company_id"], [F.xxhash64("chunk_id"), F.col("chunk_id")], n - 1, "pos")
+    drawn = drawn.select("company_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"), F.col("pos"))
+    both = mean.unionByName(drawn).withColumn("norm", _norm("p")).where(_is_direction(F.col("norm")))
+    unit = both.select("company_id", F.struct("pos", F.transform("p", lambda x: x / F.col("norm")).alias("p")).alias("s"))
+    return unit.groupBy("company_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]).alias("pivots"))
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5, bits: int = BLOCK_BITS, rounds: Sequence[int] = ROUNDS, n_pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """Cosine top-k among the chunks of the query's company (query_id, company_id, chunk_id, score), and chunks and scored chunks per query.
+
+    Chunks are sorted by their nearest pivot and the angle to it, and cut into blocks of 2^bits that keep the least and largest angle to every pivot. Angles obey
+    the triangle inequality, so the query's own angles to the pivots bound the best cosine in a block. Hot companies are spread by hash
+    for the angles and by stretches of blocks for the bounds. Scores are rounded to 6 digits, which MARGIN covers; NO_COSINE stands for none.
+    """
+    pivots = written(pivot_directions(vectors, n_pivots), "pivots")
+    salted = vectors.select("company_id", "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).alias("salt"))
+    spread = pivots.join(salted.select("company_id", "salt").distinct(), "company_id")
+    near = salted.join(spread, ["company_id", "salt"], "left").withColumn("norm", _norm("embedding")).withColumn("angles", _angles("pivots", "embedding", "norm"))
+    near = near.withColumn("home", F.array_position("angles", F.array_min("angles"))).drop("pivots", "salt")
+    ordered = sliced(near, [F.col("company_id"), F.col("home"), F.array_min("angles"), F.col("chunk_id")]).withColumn("block", F.shiftright(AT, bits))
+    ends = [f(F.get("angles", F.lit(i))).alias(f"{name}_{i}") for i in range(n_pivots) for name, f in (("low", F.min), ("high", F.max))]
+    blocks = ordered.groupBy("company_id", "block").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_id"), F.bool_or(_is_direction(F.col("norm"))).alias("usable"), *ends)
+    blocks = written(blocks.withColumn("stretch", F.shiftright("block", STRETCH_BITS)), "blocks")
+    asked = queries.select("query_id", "company_id", "query_vector").withColumn("query_norm", _norm("query_vector"))
+    aimed = asked.join(pivots, "company_id", "left").select("query_id", "company_id", "query_norm", _angles("pivots", "query_vector", "query_norm").alias("angles"))
+    met = aimed.join(blocks.select("company_id", "stretch").distinct(), "company_id").join(blocks, ["company_id", "stretch"])
+    gaps = [x for i in range(n_pivots) for x in (F.get("angles", F.lit(i)) - F.col(f"high_{i}"), F.col(f"low_{i}") - F.get("angles", F.lit(i)))]
+    some = _is_direction(F.col("query_norm")) & F.col("usable")
+    bound = F.when(some, F.cos(F.greatest(F.lit(0.0), *gaps)) + MARGIN).otherwise(NO_COSINE)
+    bounds = met.select("query_id", "company_id", "block", bound.alias("bound"), "first_id")
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        met = ordered.select("company_id", "block", "chunk_id", "embedding", "norm").join(pairs, ["company_id", "block"]).join(asked, ["query_id", "company_id"])
+        return met.select("query_id", "company_id", "chunk_id", _cosine().alias("score"))
+
+    best, opened = best_by_bounds(bounds, scores, k, rounds)
+    scored = opened.join(blocks.select("company_id", "block", "n"), ["company_id", "block"]).groupBy("query_id").agg(F.sum("n").alias("n_scored"))
+    sizes = blocks.groupBy("company_id").agg(F.sum("n").alias("n_chunks"))
+    return best, asked.select("query_id", "company_id").join(sizes, "company_id").join(scored, "query_id").select("query_id", "n_chunks", "n_scored")
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, limit: int = CHUNKS_TOGETHER, **options) -> DataFrame:
+    """Cosine top-k among the chunks of the query's company, numbered (ties: smaller id).
+
+    Companies of more than `limit` chunks go through `vector_search` (`options` are its own), whose written steps cost more than they save on the others: these
+    meet their queries directly, and the rank filter before the shuffle sends k rows per query and task. Both ways give the same rows.
+    Vectors of a company have one length and chunk ids are unique. A chunk or query whose vector is null, zero or not finite has a null score and comes last.
     """
-    scored = vectors.join(queries, "company_id")
-    norm = F.sqrt(_dot("embedding", "embedding")) * F.sqrt(_dot("query_vector", "query_vector"))
-    cosine = round_to(F.try_divide(_dot("embedding", "query_vector"), norm), 6)
-    ranked = scored.select("query_id", "company_id", "chunk_id", cosine.alias("score"))
-    return first_n(ranked, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k).select(
-        "query_id", "company_id", F.col("rank_no").cast("bigint").alias("rank_no"), "chunk_id", "score")
+    large = written(vectors.groupBy("company_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("company_id"), "large")
+    some = not large.isEmpty()
+    few = vectors.join(large, "company_id", "left_anti") if some else vectors
+    met = few.withColumn("norm", _norm("embedding")).join(queries.withColumn("query_norm", _norm("query_vector")), "company_id")
+    best = met.select("query_id", "company_id", "chunk_id", _cosine().alias("score"))
+    if some:
+        best = best.unionByName(vector_search(queries, vectors.join(large, "company_id", "left_semi"), k, **options)[0])
+    return first_n(best, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k).select(
+        "query_id", "company_id", F.col("rank_no").cast("bigint").alias("rank_no"), "chunk_id", F.nullif("score", F.lit(NO_COSINE)).alias("score"))
 
 
 def chunk_words(chunks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Retrieval and model helpers against brute force."""
 
+import math
 import random
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -50,6 +51,53 @@ def test_lexical_fallback(spark):
     assert sorted((r.question_id, r.rank_no, r.chunk_id, r.score) for r in got) == [(1, 1, 3, 0.0), (1, 2, 7, 0.0), (2, 1, 7, 1.0)]
 
 
+def _cosines(query, vectors, k):
+    def score(v):
+        if v is None or query is None or any(x is None or not math.isfinite(x) for x in v):
+            return None
+        size = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in query))
+        return sum(x * y for x, y in zip(v, query, strict=True)) / size if size else None
+
+    scored = [(score(v), i) for i, v in vectors]
+    return sorted(((None if s is None else math.floor(s * 1e6 + 0.5) / 1e6, i) for s, i in scored), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:k]
+
+
+def test_vector_topk_equals_brute_force(spark):
+    """Clustered and repeated vectors, one large company, vectors without a direction, a query of a company without any."""
+    rng = random.Random(5)
+    centre = {c: [rng.gauss(0, 1) for _ in range(6)] for c in (1, 2)}
+    rows = [(i, 1 if i % 4 else 2, None) for i in range(600)]
+    rows = [(i, c, [x + rng.gauss(0, 0.4) for x in centre[c]]) for i, c, _ in rows]
+    rows += [(600 + j, 1, rows[1][2]) for j in range(8)] + [(700, 1, [0.0] * 6), (701, 1, None), (702, 1, [float("nan")] + [1.0] * 5), (703, 3, [0.0] * 6), (704, 3, None)]
+    asked = [(q, rng.choice([1, 2]), [rng.gauss(0, 1) for _ in range(6)]) for q in range(6)]
+    asked += [(10, 1, rows[1][2]), (11, 1, [0.0] * 6), (12, 3, centre[1]), (13, 9, centre[1])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, company_id long, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, company_id long, query_vector array<double>")
+    want = {}
+    for q, company, vector in asked:
+        for rank, (score, i) in enumerate(_cosines(vector, [(i, v) for i, c, v in rows if c == company], 5)):
+            want[q, rank + 1] = (i, score)
+    for limit, options in ((0, {"bits": 0, "rounds": (1, 3), "n_pivots": 2}), (200, {"bits": 4, "rounds": ()}), (0, {"bits": 20}), (10**6, {})):
+        got = {(r.query_id, r.rank_no): (r.chunk_id, r.score) for r in V.vector_topk(queries, vectors, 5, limit, **options).collect()}
+        assert got.keys() == want.keys()
+        for key, (i, score) in want.items():
+            assert got[key][0] == i and (got[key][1] == score or abs(got[key][1] - score) < 2e-6), key
+    assert V.vector_topk(queries, vectors.limit(0), limit=0).count() == 0
+
+
+def test_vector_blocks_out_of_reach_are_skipped(spark):
+    """A company of two far clusters: a query beside one of them leaves the other alone."""
+    spot = F.when(F.col("id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    noise = lambda n: (F.pmod(F.xxhash64("id", F.lit(n)), F.lit(1000)) / 5000.0).cast("double")
+    vectors = spark.range(8000).select(F.col("id").alias("chunk_id"), F.lit(1).cast("long").alias("company_id"), F.array(spot, noise(1), noise(2), noise(3)).alias("embedding"))
+    queries = spark.createDataFrame([(1, 1, [1.0, 0.1, 0.1, 0.1])], "query_id long, company_id long, query_vector array<double>")
+    best, counts = V.vector_search(queries, vectors, 5, 6)
+    row = counts.first()
+    assert row.n_chunks == 8000 and row.n_scored < 4000
+    want = _cosines([1.0, 0.1, 0.1, 0.1], [(r.chunk_id, r.embedding) for r in vectors.collect()], 5)
+    assert [r.chunk_id for r in best.orderBy(F.col("score").desc(), "chunk_id").collect()] == [i for _, i in want]
+
+
 def test_picked_lines(spark):
     rows = spark.createDataFrame([(1, "what about cash flow", "Cash is low\n\n other \nCASHFLOW"), (2, "to be", "a\nb")], "question_id long, question string, context string")
     got = sorted((r.question_id, r.pos, r.line) for r in V.picked_lines(rows).collect())
