@@ -22,18 +22,19 @@ KINDS = ["assign", "access", "hex"]
 NAMES = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 
 # Weak parts: what may be an identifier of an account, a secret value, and the place where they are used.
-WEAK_ID = r"(?<![A-Za-z0-9+/_-])[A-Z0-9]{16,32}+(?![A-Za-z0-9+/_-])"
+WEAK_ID = r"(?<![A-Za-z0-9+/_-])[A-Z0-9]{16,}+(?![A-Za-z0-9+/_-])"
 WEAK_KEY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+"
 ENDPOINT = r"(?<![A-Za-z0-9])[a-z][a-z0-9+-]{1,15}+://[^\x00-\x20\"'<>]++"
 SCOPE = 256
 
 
 def _enough(kind: Column, value: Column) -> Column:
-    """Whether a match counts: base kinds by length, weak ones by the mix of characters that chosen words lack."""
+    """Whether a match counts: base kinds by length, weak ones by a digit; capitals and digits alone make an identifier, not a key."""
     mixed = value.rlike("[A-Z]") & value.rlike("[0-9]")
+    is_id = value.rlike("^[A-Z0-9]+=*$") & value.rlike("[A-Z]")
     return (
         F.when(kind == "assign", F.length(F.regexp_extract(value, ASSIGN_VALUE, 1)) >= 12).when(kind == "access", F.length(value) >= 18)
-        .when(kind == "weak_id", mixed & ~value.startswith("AKIA")).when(kind == "weak_key", mixed & value.rlike("[a-z]")).otherwise(F.lit(True))
+        .when(kind == "weak_id", mixed & ~value.startswith("AKIA")).when(kind == "weak_key", value.rlike("[0-9]") & ~is_id).otherwise(F.lit(True))
     )
 
 
@@ -55,7 +56,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per row of `docs`: id, n_assign, n_access, n_hex, base_sha256 and spans; linked weak parts have the kinds linked_id, linked_key and linked_endpoint.
 
     A weak identifier is reported with a secret value (weak or base) in its scope, a weak secret value with an identifier (weak or base) or an endpoint, an endpoint
-    with both an identifier and a secret value. Weak parts that overlap a base span are part of it and are not reported. Null and empty texts have no spans (the hash
+    with both an identifier and a secret value. An identifier has 16 or more capitals and digits, a secret value 24 or more key characters with a digit. Weak parts that overlap a base span are part of it and are not reported. Null and empty texts have no spans (the hash
     of an empty list). Repeated rows stay repeated; a null id is kept; further columns are neither read nor returned. Texts are read whole, whatever their length.
     """
     steps = Steps(docs.sparkSession, "secrets")
@@ -71,10 +72,14 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     held = steps.write("matches", rows.select("row", "id", found.alias("found")))
     every = placed(held.select("row", F.inline("found"))).where(_enough(F.col("kind"), F.col("value")))
-    every = steps.write("places", every.select("row", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
-    base = every.where(F.col("kind").isin(KINDS))
+    mixed = F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[0-9]")
+    every = steps.write("places", every.select("row", "kind", mixed.alias("mixed"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    base = every.where(F.col("kind").isin(KINDS)).drop("mixed")
     weak = every.where(~F.col("kind").isin(KINDS))
     weak = steps.write("weak", weak.join(_near(weak, base, scope, -1), ["row", "kind", "start", "end"], "left_anti"))
+    # A stretch of an endpoint is no part beside it, unless it mixes capitals, small letters and digits as a key carried in it does.
+    within = _near(weak.where("kind = 'weak_key' AND NOT mixed"), weak.where("kind = 'endpoint'"), scope, -1)
+    weak = weak.join(within, ["row", "kind", "start", "end"], "left_anti").drop("mixed")
     ids, keys, ends = (weak.where(F.col("kind") == k) for k in ("weak_id", "weak_key", "endpoint"))
     any_id = ids.unionByName(base.where("kind = 'access'"))
     any_key = keys.unionByName(base.where("kind <> 'access'"))
