@@ -94,16 +94,16 @@ def slot_schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     return ranked.where(F.col("epoch") < MOST_EPOCHS).select("slot", "pos", "rank", "block", "epoch", "block_words")
 
 
-def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", slots: int = SLOTS, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", slots: int = SLOTS, seed: str = SEED, order_column: str | None = None) -> DataFrame:
     """One row per row of `docs`: id, size (words), source_size, target (its source's words in the mix) and taken (words the mix takes from the row, repeats counted).
 
     Null and empty texts have size 0 and give nothing. A null source is a source of its own, after the others. A source's order of documents follows the
-    md5 of the seed and the id, so reruns agree; rows of one id are put in order of size. A null id is kept. Further columns are neither read
+    md5 of the seed and the id (or `order_column`), so reruns agree; rows of one id are put in order of size. A null id is kept. Further columns are neither read
     nor returned; an empty table gives no rows. taken is at most MOST_EPOCHS * size, and a source's sum of it differs from its target by a few blocks, each a small part of the target (LEAST_BLOCKS) or one word.
     """
     steps = Steps(docs.sparkSession, "mix")
     size = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(order_column or id_column).cast("string"), F.lit(""))))
     sized = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"), key.alias("key"))
     sized = steps.write("sizes", sized.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.substring("key", 1, 3)))
     targets = steps.write("targets", block_sizes(source_targets(sized), slots).select("pos", "source", "source_size", "target", "block_words"))
@@ -127,10 +127,12 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of `docs`, all columns, each as often as the mix takes it: taken / size, rounded half up, so 0, 1 or 2 times.
 
-    Rows that share an id share its mean; rows with a null id, or without words, are not taken.
+    Each row counts by itself, through a written number of its own: rows that share an id, and rows with a null id, are taken as the mix takes them. Rows
+    without words are not taken; an empty table gives no rows.
     """
-    shares = mix_sources(docs, id_column, text_column, **options).groupBy(F.col(id_column).alias("__id")).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-    copies = F.floor(F.col("__taken") / F.col("__size") + 0.5).cast("int")
-    wanted = shares.where("__size > 0").select("__id", copies.alias("__copies")).where("__copies > 0")
-    taken = docs.join(wanted, docs[id_column] == wanted["__id"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return taken.select(*[docs[c] for c in docs.columns])
+    rows, key = Steps(docs.sparkSession, "mixed").keyed("rows", docs)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    shares = mix_sources(rows, key, text_column, order_column=id_column, **options).where("size > 0")
+    wanted = shares.select(F.col(key).alias("__row"), copies.alias("__copies")).where("__copies > 0")
+    taken = rows.join(wanted, rows[key] == wanted["__row"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return taken.select(*[rows[c] for c in docs.columns])

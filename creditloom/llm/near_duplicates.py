@@ -404,8 +404,16 @@ def group_near_duplicates(
 
 
 def keep_representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of `docs` with one document of each group, the one with the smallest id, with all their columns; rows without an id stay."""
-    groups = group_near_duplicates(docs, id_column, text_column, **options)
-    gone = groups.where(~F.col("kept")).select(F.col(id_column).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")
+    """The rows of `docs` with one of each group of near-duplicates, all columns: the one with the smallest id, null ids last.
 
+    Rows are grouped and kept by a written number of their own, not by id: of repeated rows one stays, of several texts under one id each is judged by
+    itself, and rows without an id are grouped like others. Rows without a word are linked with nothing and all stay. An empty table gives no rows.
+    """
+    steps = Steps(docs.sparkSession, "representatives")
+    rows, key = steps.keyed("rows", docs)
+    groups = group_near_duplicates(rows, key, text_column, **options).select(F.col(key).alias("__row"), F.col("component_id").alias("__group"))
+    of_several = groups.groupBy("__group").agg(F.count("*").alias("n")).where("n > 1").select("__group")
+    members = groups.join(of_several, "__group").join(rows.select(F.col(key).alias("__row"), F.col(id_column).alias("__id")), "__row")
+    first = members.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("__first"))
+    gone = members.join(first, "__group").where("__row <> __first").select("__row")
+    return rows.join(gone, rows[key] == gone["__row"], "left_anti").select(*[rows[c] for c in docs.columns])

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import creditloom
 from creditloom.session import scratch_path
@@ -62,3 +63,10 @@ class Steps:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True):
                 logging.getLogger(__name__).warning("left behind: %s/%s", self.folder, name)
+
+    def keyed(self, name: str, df: DataFrame) -> tuple[DataFrame, str]:
+        """The table written with a number per row, and the column that holds it, whose name clashes with none."""
+        key = "row_key"
+        while key.lower() in [c.lower() for c in df.columns]:
+            key += "_"
+        return self.write(name, df.withColumn(key, F.monotonically_increasing_id())), key

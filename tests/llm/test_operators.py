@@ -78,6 +78,22 @@ def test_filters_keep_all_columns(spark, benchmark, labels):
         assert kept.count() <= 2 * len(plain.ODD)
 
 
+def test_rows_are_kept_and_mixed_one_by_one(spark):
+    """Repeated and null ids: no unique text goes, no copy stays, and a row without an id has its place in the mix."""
+    copy, other = "one two three four five six seven eight nine ten", "a text of its own that nothing else in the table resembles"
+    rows = [(1, copy, "a"), (2, copy, "a"), (2, other, "a"), (3, copy, "a"), (3, copy, "b"), (None, copy, "a"), (None, "words without an id but of their own kind", "c"), (4, None, "a"), (4, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row_key", F.lit(0))
+    kept = keep_representatives(docs.repartition(3))
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, copy), (2, other), (None, rows[6][1]), (4, None), (4, None)])
+    odd = [(7, copy, "a"), (7, copy, "a"), (None, other, "a"), (None, other, "b"), (8, "", "b")]
+    mixed = mixed_documents(spark.createDataFrame(odd, "doc_id long, text string, source string"))
+    taken = Counter((r.doc_id, r.source) for r in mixed.collect())
+    # Targets: 63 words, 3 to 1. Source b takes 15.75 words of a text of 11, so it comes once; a takes 47.25 of 31.
+    assert taken[None, "b"] == 1 and taken[8, "b"] == 0
+    assert 1 <= taken[None, "a"] <= 2 and 2 <= taken[7, "a"] <= 4 and abs(11 * taken[None, "a"] + 10 * taken[7, "a"] - 47.25) <= 16
+
+
 def random_texts(n, alphabet, size, seed):
     rng = random.Random(seed)
     return [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(size)))) for i in range(n)]
@@ -137,6 +153,18 @@ def test_secrets(spark):
     assert [got[k].spans for k in (2001, 2002, 2003, 2004)] == [""] * 4
 
 
+def test_secrets_of_any_shape_beside_their_parts(spark):
+    """Long identifiers, keys without capitals and UUIDs count where their parts stand together, and nowhere else."""
+    name, key, uuid, url = "ASIAQ7" + "ABCDEFGH12X" * 3, "key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "3f2504e0-4f89-41d3-9a0c-0305e82c3301", "https://api.example.com/v1"
+    path = "https://example.com/archive/of/many/pages/2024/index-of-all-things"
+    rows = [(1, f"{name} {key} {url}"), (2, f"{key} {url}"), (3, f"ASIAQ7ABCDEFGH12XY {uuid} {url}"), (4, f"{key} alone"), (5, f"{name} alone"), (6, f"see {path}"), (7, f"{name} {name}")]
+    got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "linked_id:0:39,linked_key:40:76,linked_endpoint:77:103"
+    assert got[2] == "linked_key:0:36"
+    assert got[3] == "linked_id:0:18,linked_key:19:55,linked_endpoint:56:82"
+    assert [got[k] for k in (4, 5, 6, 7)] == [""] * 4
+
+
 def test_language_on_held_out_rows(spark):
     rows = queries.op2_language(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
