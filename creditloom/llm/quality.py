@@ -20,11 +20,19 @@ MAX_REPEAT_PERCENT = 50
 
 #: Measures that get a learned upper threshold, per thousand words (symbols, lines, repeats) or per hundred words (characters).
 MEASURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
-LOW, MIDDLE, HIGH = 0.1, 0.5, 0.9
-REACH = 4
-#: Smallest distance of a threshold from the median, so that a group whose texts are all alike rejects nothing for a small difference.
-SLACK = {"symbol_rate": 200, "dup_line_rate": 50, "repeat_rate": 350, "word_length": 300}
+LOW = 0.25
+#: Shares of rows, from the median up, at which a sketch is read: 1/2, 3/4, 7/8, ...
+LADDER = tuple(1 - 2.0**-k for k in range(1, 11))
+#: Values are compared by their ratio after this is added, so that differences near zero count little. One for all measures.
+OFFSET = 16
+REACH = 12
+#: Largest ratio of two steps of the ladder, and of the threshold to the last step, for a measure without a spread below its median.
+GAP = 4
+#: One bucket width: texts that are all alike differ by so much in the sketch.
+WIDTH = 1 / 32
 MIN_GROUP = 50
+#: The sketches of the language, the source and all rows weigh together as much as so many rows of the group.
+PRIOR = 50
 
 
 def held(value: Column, use) -> Column:
@@ -109,13 +117,52 @@ def quantiles(sketch: DataFrame, groups: list[str], shares: dict[str, float]) ->
     return upto.groupBy(*groups, "measure", "size").agg(*found)
 
 
+def reaches(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, measure, size, middle (the median) and factor, the ratio of the threshold to the median that this sketch alone would set.
+
+    The sketch is read at 3/4, 7/8, 15/16, ... of the rows; the first step that is over GAP times the one before it begins another population, and the threshold is at most
+    GAP times the last step of the body. Where the lower quartile lies between zero and the median, the factor is also at most (median / lower quartile) ^ REACH and
+    a bucket width, which junk above the median cannot move; a measure that starts at zero, or whose lower half is all alike, shows no such spread.
+    """
+    names = {f"step_{k}": share for k, share in enumerate(LADDER)}
+    found = quantiles(sketch, groups, {"low": LOW, **names})
+    middle, low = F.col("step_0") + OFFSET, F.col("low") + OFFSET
+    body = F.aggregate(F.array(*names), F.col("step_0"), lambda top, step: F.when(step + OFFSET <= GAP * (top + OFFSET), step).otherwise(top))
+    ladder, spread = float(GAP) * (body + OFFSET) / middle, F.pow(middle / low, F.lit(float(REACH))) + WIDTH
+    factor = F.when((F.col("low") > 0) & (F.col("low") < F.col("step_0")), F.least(spread, ladder)).otherwise(ladder)
+    return found.select(*groups, "measure", "size", F.col("step_0").alias("middle"), factor.alias("factor"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """lang, source, measure and limit, the largest value that is kept, for every language and source of the sketch (lang, source, measure, bucket, n).
+
+    Sketches of the languages, the sources and all rows are sums of the same rows. A group's median is its own, its factor is its own shrunk by size towards those
+    of its language, its source and all rows. A group of fewer than MIN_GROUP rows takes median and factor of its language, a language of fewer those of all rows.
+    """
+
+    def level(name: str, groups: list[str]) -> DataFrame:
+        merged = sketch.groupBy(*groups, "measure", "bucket").agg(F.sum("n").alias("n")) if len(groups) < 2 else sketch
+        return reaches(merged, groups).select(*[F.col(g).alias(f"{name}_{g}") for g in groups], *[F.col(c).alias(f"{name}_{c}") for c in ("measure", "size", "middle", "factor")])
+
+    own, lang, source, every = level("own", ["lang", "source"]), level("l", ["lang"]), level("s", ["source"]), level("a", [])
+    joined = own.join(every, F.col("own_measure") == F.col("a_measure"))
+    joined = joined.join(lang, (F.col("own_measure") == F.col("l_measure")) & F.col("own_lang").eqNullSafe(F.col("l_lang")))
+    joined = joined.join(source, (F.col("own_measure") == F.col("s_measure")) & F.col("own_source").eqNullSafe(F.col("s_source")))
+    large, spoken = F.col("own_size") >= MIN_GROUP, F.col("l_size") >= MIN_GROUP
+    middle = F.when(large, F.col("own_middle")).when(spoken, F.col("l_middle")).otherwise(F.col("a_middle"))
+    own_factor = (F.col("own_size") * F.col("own_factor") + PRIOR * (F.col("l_factor") + F.col("s_factor") + F.col("a_factor")) / 3) / (F.col("own_size") + PRIOR)
+    lang_factor = (F.col("l_size") * F.col("l_factor") + PRIOR * F.col("a_factor")) / (F.col("l_size") + PRIOR)
+    factor = F.when(large, own_factor).when(spoken, lang_factor).otherwise(F.col("a_factor"))
+    limit = F.floor((middle + OFFSET) * factor * (1 + 1e-9)).cast("long") - OFFSET
+    return joined.select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), F.col("own_measure").alias("measure"), limit.alias("limit"))
+
+
 def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", source_column: str = "source") -> DataFrame:
     """One row per row of `docs`: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and failed, the measures above their threshold.
 
     base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT_PERCENT percent of them in repeated windows. Rows that pass teach the sketches of their language
-    and source; a row is dropped where a measure exceeds median + max(SLACK, REACH * spread) of its group. The spread is the smaller of the distances
-    from the median to the 10% and 90% quantiles: junk lies above the median and can widen the upper one only. Null languages
-    and sources are groups of their own; a group of fewer than MIN_GROUP passing rows uses the sketch of all rows. Null and empty texts have 0 words and fail the base rule.
+    and source; a row is dropped where a measure exceeds the threshold of its group (see thresholds). Null languages
+    and sources are groups of their own. Null and empty texts have 0 words and fail the base rule.
     Repeated rows stay repeated; a null id is kept as it is; further columns are neither read nor returned.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -132,22 +179,13 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         "base_failed": failed, "symbol_rate": rate(F.col("n_symbols"), 1000), "dup_line_rate": rate(F.col("n_dup_lines"), 1000),
         "repeat_rate": rate(F.col("n_repeat_words"), 1000), "word_length": rate(F.col("word_chars"), 100),
     })
-    rows = Steps(docs.sparkSession, "quality").write("measures", rows)  # a few numbers per text, read twice
-    sketch = sketches(rows.where(~F.col("base_failed")), ["lang", "source"])
-    shares = {"low": LOW, "middle": MIDDLE, "high": HIGH}
-
-    def limits(found: DataFrame, groups: list[str]) -> DataFrame:
-        slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("measure"))
-        spread = F.least(F.col("high") - F.col("middle"), F.col("middle") - F.col("low"))
-        limit = F.col("middle") + F.greatest(slack, REACH * spread)
-        tall = found.withColumn("limit", limit)
-        wide = tall.groupBy(*groups).agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"limit_{m}") for m in MEASURES])
-        return wide.select(*[F.col(g).alias(f"of_{g}") for g in groups], *[f"limit_{m}" for m in MEASURES])
-
-    everything = limits(quantiles(sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n")), [], shares), []).head()  # one row
-    own = limits(quantiles(sketch, ["lang", "source"], shares).where(F.col("size") >= MIN_GROUP), ["lang", "source"])  # a row per language and source
+    steps = Steps(docs.sparkSession, "quality")
+    rows = steps.write("measures", rows)  # a few numbers per text, read twice
+    sketch = steps.write("sketch", sketches(rows.where(~F.col("base_failed")), ["lang", "source"]))
+    wide = thresholds(sketch).groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"limit_{m}") for m in MEASURES])
+    own = wide.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})  # a row per language and source
     rows = rows.join(own, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
-    above = F.array_compact(F.array(*[F.when(F.col(m) > F.coalesce(f"limit_{m}", F.lit(everything[f"limit_{m}"]).cast("long")), F.lit(m)) for m in MEASURES]))
+    above = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"limit_{m}"), F.lit(m)) for m in MEASURES]))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     out = rows.withColumn("failed", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(above))
     return out.select(F.col("id").alias(id_column), *names, (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")

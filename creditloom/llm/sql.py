@@ -54,17 +54,31 @@ tall AS (
       SELECT row, lang, source, base_failed, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS measure,
         unnest([n_symbols * 1000 // greatest(n_words, 1), n_dup_lines * 1000 // greatest(n_words, 1), n_repeat_words * 1000 // greatest(n_words, 1), word_chars * 100 // greatest(n_words, 1)]) AS v FROM judged) a) b),
 hist AS (
-  SELECT lang, source, false AS overall, measure, bucket, count(*) AS n FROM tall WHERE NOT base_failed GROUP BY ALL
-  UNION ALL SELECT NULL, NULL, true, measure, bucket, count(*) FROM tall WHERE NOT base_failed GROUP BY ALL),
+  SELECT 'own' AS level, lang, source, measure, bucket, count(*) AS n FROM tall WHERE NOT base_failed GROUP BY ALL
+  UNION ALL SELECT 'lang', lang, NULL, measure, bucket, count(*) FROM tall WHERE NOT base_failed GROUP BY ALL
+  UNION ALL SELECT 'source', NULL, source, measure, bucket, count(*) FROM tall WHERE NOT base_failed GROUP BY ALL
+  UNION ALL SELECT 'all', NULL, NULL, measure, bucket, count(*) FROM tall WHERE NOT base_failed GROUP BY ALL),
 upto AS (
   SELECT *, CASE WHEN bucket < 64 THEN bucket ELSE CAST((32 + (bucket - 64) % 32) * pow(2, (bucket - 64) // 32 + 1) AS BIGINT) END AS low,
-    sum(n) OVER (PARTITION BY overall, lang, source, measure ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY overall, lang, source, measure) AS size FROM hist),
-marks AS (SELECT overall, lang, source, measure, size, min(low) FILTER (WHERE c >= size * CAST(0.5 AS DOUBLE)) AS middle, min(low) FILTER (WHERE c >= size * CAST(0.9 AS DOUBLE)) AS high FROM upto GROUP BY ALL),
-limits AS (SELECT *, middle + greatest(CASE measure WHEN 'symbol_rate' THEN 200 WHEN 'dup_line_rate' THEN 50 WHEN 'repeat_rate' THEN 350 ELSE 300 END, 4 * (high - middle)) AS most FROM marks WHERE overall OR size >= 50),
+    sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY level, lang, source, measure) AS size FROM hist),
+marks AS (
+  SELECT level, lang, source, measure, size, min(low) FILTER (WHERE c >= size * CAST(0.25 AS DOUBLE)) AS low,
+    [min(low) FILTER (WHERE c >= size * CAST(0.5 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.75 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.875 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.9375 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.96875 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.984375 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.9921875 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.99609375 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.998046875 AS DOUBLE)), min(low) FILTER (WHERE c >= size * CAST(0.9990234375 AS DOUBLE))] AS steps FROM upto GROUP BY ALL),
+-- The body of a measure ends before the first step of the ladder that is over four times the one before.
+factors AS (
+  SELECT level, lang, source, measure, size, middle, CASE WHEN low > 0 AND low < middle THEN least(pow(CAST(middle + 16 AS DOUBLE) / (low + 16), 12) + CAST(0.03125 AS DOUBLE), ladder) ELSE ladder END AS factor
+  FROM (SELECT *, steps[1] AS middle, CAST(4 AS DOUBLE) * (list_reduce(steps, lambda t, v: CASE WHEN v + 16 <= 4 * (t + 16) THEN v ELSE t END) + 16) / (steps[1] + 16) AS ladder FROM marks) m),
+shrunk AS (
+  SELECT o.lang, o.source, o.measure, CASE WHEN o.size >= 50 THEN o.middle WHEN l.size >= 50 THEN l.middle ELSE a.middle END AS middle,
+    CASE WHEN o.size >= 50 THEN (o.size * o.factor + 50 * (l.factor + s.factor + a.factor) / 3) / (o.size + 50)
+      WHEN l.size >= 50 THEN (l.size * l.factor + 50 * a.factor) / (l.size + 50) ELSE a.factor END AS factor
+  FROM factors o JOIN factors l ON l.level = 'lang' AND l.measure = o.measure AND l.lang IS NOT DISTINCT FROM o.lang
+  JOIN factors s ON s.level = 'source' AND s.measure = o.measure AND s.source IS NOT DISTINCT FROM o.source JOIN factors a ON a.level = 'all' AND a.measure = o.measure
+  WHERE o.level = 'own'),
+limits AS (SELECT *, CAST(floor((middle + 16) * factor * (1 + CAST(1e-9 AS DOUBLE))) AS BIGINT) - 16 AS most FROM shrunk),
 over_limit AS (
-  SELECT t.row, t.measure FROM tall t JOIN limits a ON a.overall AND a.measure = t.measure
-  LEFT JOIN limits o ON NOT o.overall AND o.measure = t.measure AND o.lang IS NOT DISTINCT FROM t.lang AND o.source IS NOT DISTINCT FROM t.source
-  WHERE NOT t.base_failed AND t.v > coalesce(o.most, a.most)),
+  SELECT t.row, t.measure FROM tall t JOIN limits o ON o.measure = t.measure AND o.lang IS NOT DISTINCT FROM t.lang AND o.source IS NOT DISTINCT FROM t.source
+  WHERE NOT t.base_failed AND t.v > o.most),
 reasons AS (SELECT row, string_agg(measure, ',' ORDER BY list_position(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length'], measure)) AS failed FROM over_limit GROUP BY row)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed FROM judged LEFT JOIN reasons USING (row)"""
 

@@ -437,3 +437,29 @@ def test_junk_does_not_lift_its_own_limit(spark, share):
     got = {r.doc_id: r for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert sorted(i for i in got if got[i].failed == ["symbol_rate"]) == list(range(n))
     assert all(got[i].kept for i in range(n, 200))
+
+
+def test_verdicts_move_with_the_rates_of_a_source(spark):
+    def text(i: int, marks: int) -> str:
+        return " ".join(f"{'#' * marks if k % 10 < 2 + i % 2 else ''}word{k}" for k in range(100))
+
+    def verdicts(marks: int) -> dict[int, bool]:
+        rows = [(i, text(i, marks), "en", "lists") for i in range(100)] + [(200 + i, text(i, 0), "en", "prose") for i in range(100)]
+        rows += [(500, text(0, 30 * marks), "en", "lists"), (501, text(0, marks), "en", "prose")]
+        got = judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+        return {r.doc_id: "symbol_rate" not in r.failed for r in got}
+
+    once, twice = verdicts(1), verdicts(2)
+    assert once == twice
+    assert sorted(i for i in once if not once[i]) == [500, 501]
+
+
+def test_thresholds_are_set_by_the_sketches(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    words = F.split("text", " ")
+    rows = docs.select("lang", "source", F.coalesce(F.size(words), F.lit(0)).cast("long").alias("v"))
+    kept = {(r.lang, r.source): r.limit for r in quality.thresholds(quality.sketches(rows, ["lang", "source"], ("v",))).collect()}
+    longer = rows.withColumn("v", F.col("v") * 8 + 7 * quality.OFFSET)  # every value and OFFSET times 8
+    moved = {(r.lang, r.source): r.limit for r in quality.thresholds(quality.sketches(longer, ["lang", "source"], ("v",))).collect()}
+    assert kept.keys() == moved.keys()
+    assert all(moved[k] > 4 * kept[k] for k in kept)
