@@ -22,6 +22,8 @@ from creditloom.llm.words import ALNUM, lower, pieces, row_sums, span_hashes, te
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+#: Windows of matches that are joined at a time; a text with more is joined by itself.
+JOINED = 1 << 20
 
 
 def _keys(codes: np.ndarray, at: np.ndarray, ahead: np.ndarray, width: int) -> np.ndarray:
@@ -59,7 +61,8 @@ class Suffixes:
         keys = _keys(codes, np.arange(len(codes)), left, window)
         full = left >= window
         short = np.flatnonzero((np.repeat(sizes, sizes) < window) & (np.arange(len(codes)) == np.repeat(bounds[:-1], sizes)))
-        self.tests, which = np.unique(keys[full], return_inverse=True)
+        self.tests, sample, which = np.unique(keys[full], return_index=True, return_inverse=True)
+        self.test_firsts = codes[full][sample]
         # Places of each distinct test suffix: item and word position.
         order = np.argsort(which, kind="stable")
         self.place_row = row[full][order]
@@ -88,29 +91,45 @@ class Suffixes:
         keys = _keys(codes, at, ahead[at], self.window)
         order = np.argsort(keys, kind="stable")
         suffixes, at = keys[order], at[order]
-        if len(suffixes) < len(self.tests):  # the same look-up from the smaller side
-            test = np.searchsorted(self.tests, suffixes)
-            hit = np.flatnonzero(self.tests[np.minimum(test, len(self.tests) - 1)] == suffixes)
-            places, tests = at[hit], test[hit]
-        else:
-            low, high = np.searchsorted(suffixes, self.tests), np.searchsorted(suffixes, self.tests, side="right")
-            tests = np.repeat(np.arange(len(self.tests)), high - low)
-            places = at[_ranges(low, high)]
-        sizes, items = np.full(len(places), self.window), np.full(len(places), -1)
+        # A test whose first word begins no suffix of the shard need not be looked up.
+        begins = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        begins[codes[at]] = True
+        asked = np.flatnonzero(begins[self.test_firsts])
+        low, high = np.searchsorted(suffixes, self.tests[asked]), np.searchsorted(suffixes, self.tests[asked], side="right")
+        places, tests = [at[_ranges(low, high)]], [np.repeat(asked, high - low)]
+        sizes, items = [np.full(len(places[0]), self.window)], [np.full(len(places[0]), -1)]
         for row, size, key in zip(self.short_row, self.short_size, self.short_low, strict=True):
             head = key.ljust(4 * self.window, b"\0")[: 4 * size]
-            low = np.searchsorted(suffixes, head)
-            high = np.searchsorted(suffixes, head + b"\xff" * (4 * (self.window - size)), side="right")
-            places = np.concatenate([places, at[low:high]])
-            sizes = np.concatenate([sizes, np.full(high - low, size)])
-            tests = np.concatenate([tests, np.full(high - low, -1)])
-            items = np.concatenate([items, np.full(high - low, row)])
-        return places, sizes, tests, items
-
-    def matches(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """Longest verbatim matches: row, item, word position in the row, word position in the item, words."""
+            first = np.searchsorted(suffixes, head)
+            last = np.searchsorted(suffixes, head + b"\xff" * (4 * (self.window - size)), side="right")
+            places.append(at[first:last])
+            sizes.append(np.full(last - first, size))
+            tests.append(np.full(last - first, -1))
+            items.append(np.full(last - first, row))
+        return np.concatenate(places), np.concatenate(sizes), np.concatenate(tests), np.concatenate(items)
+
+    def matches(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Longest verbatim matches as arrays: row, item, word position in the row, word position in the item, words.
+
+        They come in groups of whole rows whose windows number at most JOINED, places in the benchmark counted each, or of one row.
+        """
         places, sizes, tests, items = self.find(hashes, bounds)
         rows = np.searchsorted(bounds, places, side="right") - 1
+        order = np.argsort(rows, kind="stable")
+        places, sizes, tests, items, rows = (x[order] for x in (places, sizes, tests, items, rows))
+        long = items < 0
+        opened = np.ones(len(rows), np.int64)
+        opened[long] = self.place_bounds[tests[long] + 1] - self.place_bounds[tests[long]]
+        edges = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows))
+        upto = np.concatenate([[0], np.cumsum(opened)])[edges]
+        k = 0
+        while k < len(edges) - 1:
+            end = max(k + 1, int(np.searchsorted(upto, upto[k] + JOINED, side="right")) - 1)
+            part = slice(edges[k], edges[end])
+            yield self._joined(places[part], sizes[part], tests[part], items[part], rows[part], bounds)
+            k = end
+
+    def _joined(self, places: np.ndarray, sizes: np.ndarray, tests: np.ndarray, items: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         long = items < 0
         low, high = self.place_bounds[tests[long]], self.place_bounds[tests[long] + 1]
         spots = _ranges(low, high)
@@ -125,8 +144,8 @@ class Suffixes:
         opens = np.ones(len(row), dtype=bool)
         opens[1:] = ~((np.diff(row) == 0) & (np.diff(item) == 0) & (np.diff(here) == 1) & (np.diff(there) == 1))
         first = np.flatnonzero(opens)
-        last = np.append(first[1:], len(row)) - 1 if len(first) else first
-        return list(zip(row[first].tolist(), item[first].tolist(), here[first].tolist(), there[first].tolist(), (here[last] + size[last] - here[first]).tolist(), strict=True))
+        last = np.append(first[1:], len(row)) - 1
+        return row[first], item[first], here[first], there[first], here[last] + size[last] - here[first]
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -163,20 +182,19 @@ def _scan(docs: DataFrame, row: Column, benchmark: DataFrame, window: int, share
             test = block.value
             for part in pieces(batches):
                 hashes, bounds = _shard(part)
-                places, sizes, tests, items = test.find(hashes, bounds)
                 edges = np.zeros(len(hashes) + 1, np.int64)
-                np.add.at(edges, places, 1)
-                np.add.at(edges, places + sizes, -1)
+                longest = part.column("longest").to_numpy(zero_copy_only=False).copy()
+                pairs: set[tuple[int, int]] = set()
+                for at, item, here, _, size in test.matches(hashes, bounds):
+                    np.add.at(edges, bounds[at] + here, 1)
+                    np.add.at(edges, bounds[at] + here + size, -1)
+                    np.maximum.at(longest, at, size)
+                    pairs.update(zip(at.tolist(), item.tolist(), strict=True))
                 for r, spans in enumerate(part.column("covered").to_pylist()):  # word spans found by earlier blocks
                     for a, b in zip(spans[::2], spans[1::2], strict=True):
                         edges[bounds[r] + a] += 1
                         edges[bounds[r] + b] -= 1
                 covered = np.cumsum(edges[:-1]) > 0
-                at = np.searchsorted(bounds, places, side="right") - 1
-                pairs = set(zip(at[items >= 0].tolist(), items[items >= 0].tolist(), strict=True))
-                seen = np.unique(np.stack([at[items < 0], tests[items < 0]]), axis=1)
-                low, high = test.place_bounds[seen[1]], test.place_bounds[seen[1] + 1]
-                pairs.update(zip(np.repeat(seen[0], high - low).tolist(), test.place_row[_ranges(low, high)].tolist(), strict=True))
                 names: list[set[str]] = [set(x) for x in part.column("items").to_pylist()]
                 for r, i in pairs:
                     names[r].add(test.items[i])
@@ -185,21 +203,21 @@ def _scan(docs: DataFrame, row: Column, benchmark: DataFrame, window: int, share
                     words, hit = np.diff(bounds), row_sums(covered.astype(np.int64), bounds)
                     sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
                     columns = [part.column("row"), pa.array(words), pa.array(hit), pa.array([len(x) for x in names], pa.int64()), pa.array(sha, pa.string()),
-                               pa.array((hit > 0) & (share * hit >= words)), lists]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+                               pa.array((hit > 0) & (share * hit >= words)), pa.array(longest), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "items"])
                 else:
                     rows = [covered[bounds[r] : bounds[r + 1]] for r in range(part.num_rows)]
                     spans = [np.flatnonzero(np.diff(np.concatenate([[False], x, [False]]).astype(np.int8))).tolist() for x in rows]
-                    columns = [part.column("row"), part.column("text"), pa.array(spans, pa.list_(pa.int64())), lists]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", "text", "covered", "items"])
+                    columns = [part.column("row"), part.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(longest), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "text", "covered", "longest", "items"])
 
         return run
 
-    rows = docs.select(row.alias("row"), F.col(text_column).alias("text"), F.array().cast("array<long>").alias("covered"), F.array().cast("array<string>").alias("items"))
+    rows = docs.select(row.alias("row"), F.col(text_column).alias("text"), F.array().cast("array<long>").alias("covered"), F.lit(0).cast("long").alias("longest"), F.array().cast("array<string>").alias("items"))
     kind = T.StructType([rows.schema["row"]])
     for block in blocks[:-1]:
         rows = arrow_map(rows, look_up(block, False), rows.schema)
-    found = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")]
+    found = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean"), ("longest", "long")]
     for name, of in found:
         kind = kind.add(name, of)
     return arrow_map(rows, look_up(blocks[-1], True), kind.add("items", T.ArrayType(T.StringType())))
@@ -210,14 +228,15 @@ def find_contamination(
     item_column: str = "item_id", item_text_column: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per row of `docs`: id, n_words, n_hit (words inside an occurrence of a benchmark window), n_items, items_sha256, contaminated
-    (n_hit > 0 and share * n_hit >= n_words), and items, the sorted ids of the items found.
+    (n_hit > 0 and share * n_hit >= n_words), longest, the words of its longest verbatim match (0: none), and items, the sorted ids of the items found.
+    All of them come from the longest matches of the suffixes.
 
     A window is `window` consecutive words of an item; an item with fewer words is one window. Null and empty texts have no words and are
     clean; items without words or with a null id find nothing; repeated items count once; repeated documents stay repeated; a null id is kept;
     further columns are neither read nor returned; an empty benchmark leaves every document clean. Texts of any length are read whole.
     """
     found = _scan(docs, F.struct(F.col(id_column).alias("id")), benchmark, window, share, text_column, item_column, item_text_column, block_bytes)
-    return found.select(F.col("row.id").alias(id_column), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items")
+    return found.select(F.col("row.id").alias(id_column), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "items")
 
 
 def remove_contaminated(
@@ -244,10 +263,9 @@ def longest_matches(
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             test = block.value
             for part in pieces(batches):
-                rows = test.matches(*_shard(part))
-                ids = part.column("id").take(pa.array([r[0] for r in rows], pa.int64()))
-                columns = [ids, pa.array([test.items[r[1]] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)]]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "item", "doc_start", "item_start", "n_words"])
+                for at, item, *numbers in test.matches(*_shard(part)):
+                    columns = [part.column("id").take(pa.array(at)), pa.array([test.items[i] for i in item], pa.string()), *[pa.array(x, pa.int64()) for x in numbers]]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "item", "doc_start", "item_start", "n_words"])
 
         part = arrow_map(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), run, f"id {kind}, item string, doc_start long, item_start long, n_words long")
         found = part if found is None else found.unionByName(part)

@@ -117,6 +117,18 @@ def contamination(text, items):
     return len(w), len(hit), sorted(found)
 
 
+def longest_match(text, items):
+    """Words of the longest run shared with an item: 13 or more, or a whole shorter item; 0 without one."""
+    w, best = BENCH_WORD.findall(lower(text)), 0
+    for _, t in items:
+        x = BENCH_WORD.findall(lower(t))
+        runs = {}
+        for i, a in enumerate(w):
+            runs = {j: runs.get(j - 1, 0) + 1 for j, b in enumerate(x) if a == b}
+            best = max([best, *(n for n in runs.values() if n >= min(13, len(x)))])
+    return best
+
+
 def quality(text):
     w = words(text)
     lines = [x for x in (text or "").split("\n") if BLANK_WORD.search(x)]

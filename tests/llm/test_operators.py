@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from creditloom.llm import mixing, near_duplicates, quality, queries, toxicity
+from creditloom.llm import decontaminate, mixing, near_duplicates, quality, queries, toxicity
 from creditloom.llm.decontaminate import find_contamination, longest_matches, remove_contaminated
 from creditloom.llm.language import identify
 from creditloom.llm.mixing import mix_sources, mixed_documents
@@ -389,6 +389,7 @@ def test_contamination_equals_plain_search(spark, benchmark, block_bytes):
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items) == (n, hit, len(found), found), text
         assert r.items_sha256 == plain.sha(",".join(found)) and r.contaminated == (hit > 0 and 20 * hit >= n)
+        assert r.longest == plain.longest_match(text, items), text
 
 
 def test_longest_matches_and_places(spark, benchmark):
@@ -398,6 +399,16 @@ def test_longest_matches_and_places(spark, benchmark):
     assert got[8, "1", 0] == (0, 17) and got[8, "1", 17] == (0, 17) and (3, "1", 0) not in got
 
 
+def test_matches_do_not_depend_on_how_rows_are_grouped(monkeypatch):
+    test = decontaminate.Suffixes([(str(i), t) for i, t in BENCH if i is not None], 13)
+    hashes, bounds = decontaminate._shard(pa.record_batch({"text": pa.array([t for _, t in contaminated_rows()], pa.string())}))
+    once = [np.concatenate(x) for x in zip(*test.matches(hashes, bounds), strict=True)]
+    monkeypatch.setattr(decontaminate, "JOINED", 1)
+    groups = list(test.matches(hashes, bounds))
+    assert len(groups) > 3
+    assert all((a == np.concatenate(b)).all() for a, b in zip(once, zip(*groups, strict=True), strict=True))
+
+
 def test_quality_measures_equal_plain_counts(spark):
     rows = random_texts(300, ["a ", "b ", "cat ", "\n", "# ", "$", "the ", "dog ", "  ", "\t", "é "], 160, 8) + [(1000, "same words here " * 40), (1001, None), (1002, "x " * 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})
