@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.text import all_matches, first_item, lines_of, number_text, sentences_with
+from creditloom.functions.text import all_matches, first_item, lines_of, number_text, sentences_with, unescape
 from creditloom.functions.values import clip, has_any, mentions, present, rlike_first, round_to, squeeze
 
 # Patterns, words, limits and confidences.
@@ -64,7 +64,6 @@ PAGE_RULES = [
     (r"\bgrowth\b|\bexpansion\b|\baward\b|\bstrong demand\b", "COMPANY_NEWS", "LOW", 2.0),
 ]
 DROPPED_TAGS = ["script", "style", "nav", "footer", "header", "aside"]
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 TEXT = "doc_text"
 
@@ -293,15 +292,46 @@ def holding_company_name(text: Column) -> Column:
     return squeeze(first_item(F.filter(lines_of(text), lambda s: (F.char_length(s) <= 80) & has_any(F.lower(s), ["limited", "pvt", "llp"]))))
 
 
+#: Ends of lines and blanks at their ends, as text libraries for pages know them.
+LINE_ENDS = r"[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+EDGE_BLANKS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Elements whose content is no markup: they end at their closing tag or with the page, and do not nest.
+RAW_TAGS = ("script", "style")
+
+
+def without_element(html: Column, tag: str) -> Column:
+    """`html` with every element of this name, what is in it and elements of the same name in it, replaced by a line end.
+
+    Innermost elements go first, again until none is left; each pass reads the text once, and a page without nesting needs one. An element that is never closed
+    stays, but for RAW_TAGS, where it reaches to the end of the page.
+    """
+    opens = rf"(?is)<{tag}(?:\s[^>]*)?>"
+    if tag in RAW_TAGS:
+        return F.regexp_replace(html, rf"{opens}.*?(?:</{tag}\s*>|\z)", "\n")
+    innermost = rf"{opens}[^<]*+(?:<(?!/?{tag}[\s>])[^<]*+)*+</{tag}\s*>"
+    once = F.regexp_replace(html, innermost, "\n")
+    passes = F.sequence(F.lit(2), F.regexp_count(html, F.lit(opens)))
+    start = F.struct(once.alias("text"), (once != html).alias("open"))
+
+    def again(state: Column, _: Column) -> Column:
+        shorter = F.when(state["open"], F.regexp_replace(state["text"], innermost, "\n")).otherwise(state["text"])
+        return F.struct(shorter.alias("text"), (state["open"] & (shorter != state["text"])).alias("open"))
+
+    return F.when(F.regexp_count(html, F.lit(opens)) < 2, once).otherwise(F.aggregate(passes, start, again, lambda state: state["text"]))
+
+
+def _without(tag: str):
+    return lambda html: without_element(html, tag)
+
+
 def page_text(html: Column, max_chars: int | None = None) -> Column:
-    """Visible text of a page, one text node per line."""
+    """Visible text of a page, one text node per line; character references with a closing mark are decoded once, after the tags went."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in DROPPED_TAGS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "\n")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    joined = F.array_join(lines_of(out), "\n")
+        out = F.transform(F.array(out), _without(tag))[0]  # worked out once per tag
+    out = unescape(F.regexp_replace(out, r"<[^>]*>", "\n"))
+    trimmed = F.transform(F.split(out, LINE_ENDS), lambda x: F.regexp_replace(x, f"^{EDGE_BLANKS}|{EDGE_BLANKS}$", ""))
+    joined = F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
     return joined if max_chars is None else F.substring(joined, 1, max_chars)
 
 

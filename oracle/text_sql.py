@@ -82,10 +82,12 @@ _html = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _t in X.DROPPED_TAGS:
     _html = f"regexp_replace({_html}, '(?is)<{_t}(\\s[^>]*)?>.*?</{_t}\\s*>', chr(10), 'g')"
 _html = f"regexp_replace({_html}, '<[^>]*>', chr(10), 'g')"
-for _a, _b in X.ENTITIES.items():
-    _html = f"replace({_html}, '{_a}', '{q(_b)}')"
+# The references that the pages may hold; "&amp;" comes last, so that nothing is decoded twice.
+for _a, _b in {"&lt;": 60, "&gt;": 62, "&quot;": 34, "&#39;": 39, "&apos;": 39, "&nbsp;": 160, "&copy;": 169, "&reg;": 174, "&middot;": 183, "&#8377;": 8377, "&amp;": 38}.items():
+    _html = f"replace({_html}, '{_a}', chr({_b}))"
+_blanks = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 CTES["c_pagetext"] = f"""SELECT page_id, url, concat('query for page ', page_id) AS query,
-  array_to_string(list_filter(list_transform(string_split({_html}, chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> ''), chr(10)) AS content FROM c_web_pages"""
+  array_to_string(list_filter(list_transform(string_split_regex({_html}, '[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda s: regexp_replace(s, '^{_blanks}|{_blanks}$', '', 'g')), lambda s: s <> ''), chr(10)) AS content FROM c_web_pages"""
 CTES["c_headline"] = """SELECT page_id, content, coalesce(list_filter(string_split(content, chr(10)), lambda s: length(s) BETWEEN 15 AND 180)[1], query) AS headline,
   array_to_string(list_transform(string_split(lab, '-'), lambda s: concat(upper(substr(s, 1, 1)), lower(substr(s, 2)))), '-') AS source_name FROM (SELECT *, split_part(replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), 'www.', ''), '.', 1) AS lab FROM c_pagetext) x"""
 CTES["c_pagefind"] = "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pos, finding_type, severity, score_impact, headline, trim(replace(content, chr(10), ' ')) AS summary, source_name, content AS raw_snippet FROM (" + " UNION ALL ".join(

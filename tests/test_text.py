@@ -54,6 +54,22 @@ def test_content_type_ties_go_to_first(spark):
     assert [r[0] for r in df.select(X.content_type(F.col("doc_text"))).collect()] == ["SANCTION_LETTER", "FINANCIAL_STATEMENT", "UNKNOWN"]
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<p>&#8377; 5 &amp;lt; &#x20B9;&copy;&nbsp;</p><p>&nbsp;</p><p>&bogus; &amp</p>", "₹ 5 &lt; ₹©\n&bogus; &amp"),
+    ("<nav>a<nav>b</nav>c</nav>d<NAV class=x>e<nav>f<nav>g</nav></nav>h</NAV >i", "d\ni"),
+    ("<header>a<p>b</p></header>c<header>d</header>e<headers>f</headers>", "c\ne\nf"),
+    ("a<script>if (x < 1) { '<nav>' }", "a"),
+    ("<nav>never closed<p>a</p>", "never closed\na"),
+    ("a</nav>b\rc\u2028d", "a\nb\nc\nd"),
+    ("<aside>" * 40 + "x" + "</aside>" * 40 + "y", "y"),
+    ("<nav>" + "<p>long</p>" * 20_000 + "</nav>z", "z"),
+    ("", ""), (None, None),
+])
+def test_page_text_of_odd_pages(spark, html, text):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(X.page_text(F.col("html"))).first()[0] == text
+
+
 def test_page_text_drops_furniture(spark):
     html = "<head><title>T &amp; Co</title><script>var t=\"</p>\";</script></head><nav>x</nav><HEADER class='a'>y</HEADER><p>Hello</p><!-- z --><p> </p><footer>f</footer>"
     df = spark.createDataFrame([(html,)], "html string")
