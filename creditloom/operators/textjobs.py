@@ -329,7 +329,7 @@ def page_text(html: Column, max_chars: int | None = None) -> Column:
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in DROPPED_TAGS:
         out = F.transform(F.array(out), _without(tag))[0]  # worked out once per tag
-    out = unescape(F.regexp_replace(out, r"<[^>]*>", "\n"))
+    out = F.transform(F.array(F.regexp_replace(out, r"<[^>]*>", "\n")), unescape)[0]
     trimmed = F.transform(F.split(out, LINE_ENDS), lambda x: F.regexp_replace(x, f"^{EDGE_BLANKS}|{EDGE_BLANKS}$", ""))
     joined = F.array_join(F.filter(trimmed, lambda x: x != ""), "\n")
     return joined if max_chars is None else F.substring(joined, 1, max_chars)
