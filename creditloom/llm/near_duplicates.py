@@ -306,7 +306,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def _untested(cells: DataFrame, marks: DataFrame, most: int, percent: int, miss: float) -> DataFrame:
-    """(a, b, more): pairs put forward in the cells of _cells or _blocks."""
+    """(a, b, key, more): pairs put forward in the cells of _cells or _blocks, their bucket, and whether their cell has held back others."""
     spread = cells.join(marks, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +323,8 @@ def _untested(cells: DataFrame, marks: DataFrame, most: int, percent: int, miss:
             size = t.column("size").to_numpy()
             a, b, more = best_partners(mine, theirs, (size[left], size[right]), root[left], root[right], band, most, not kind and i == j, percent, miss)
             a, b = node[left[a]], node[right[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], ["a", "b", "more"])
+            key = np.full(len(a), t.column("key")[0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(key, pa.int64()), pa.array(np.full(len(a), more))], ["a", "b", "key", "more"])
 
         rest: list[pa.RecordBatch] = []
         for batch in batches:
@@ -340,8 +341,7 @@ def _untested(cells: DataFrame, marks: DataFrame, most: int, percent: int, miss:
             yield from compare(pa.Table.from_batches(rest))
 
     grouped = spread.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
-    found = arrow_map(grouped, run, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return arrow_map(grouped, run, "a long, b long, key long, more boolean")
 
 
 def group_near_duplicates(
@@ -378,21 +378,26 @@ def group_near_duplicates(
     roots = components(steps, "roots-1", links)
     others = members.where("node != leader").select("key", "band", "node")
     # Two rounds compare each block of a bucket with itself, linear work, after which most of a bucket of copies is one component. Then whole buckets: once no cell
-    # has held back a surviving pair of two components, every pair that may be a link has been confirmed or lies within one component.
-    most, k = 1, 1
+    # has held back a surviving pair of two components, every pair that may be a link has been confirmed or lies within one component. A cell that holds nothing back
+    # has put forward all it ever can, so a bucket whose cells all did is done; one of several blocks is first compared as a whole, though.
+    most, k, left = 1, 1, others
     while True:
         whole = k > LINEAR_ROUNDS
-        rooted = others.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
+        rooted = left.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
         put = steps.write(f"put-{k}", _untested(_cells(rooted) if whole else _blocks(rooted), marks, most, percent, miss))
-        fresh = steps.write(f"pairs-{k}", put.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+        fresh = steps.write(f"pairs-{k}", put.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             pairs = pairs.unionByName(fresh)
             found = steps.write(f"links-{k + 1}", _confirmed(fresh, texts, width, percent))
             if not found.isEmpty():
                 links = links.unionByName(found)
                 roots = components(steps, f"roots-{k + 1}", roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        if whole and not put.agg(F.max("more")).head()[0]:
+        undone = put.where("more").select("key").distinct()
+        if whole and undone.isEmpty():
             break
+        if k == LINEAR_ROUNDS:
+            undone = undone.unionByName(others.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key")).distinct()
+        left = others.join(undone, "key", "left_semi")
         most, k = most * MORE_PARTNERS, k + 1
 
     rooted = rows.join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"))

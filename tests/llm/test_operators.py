@@ -235,6 +235,23 @@ def test_one_bucket_of_texts_with_a_common_passage(spark, monkeypatch):
     assert got == plain.near_groups(rows)
 
 
+def test_near_duplicates_compare_finished_buckets_once(spark, monkeypatch):
+    """A bucket of one block whose cell held nothing back is in no later round; the groups stay those of all pairs."""
+    rounds, untested = [], near_duplicates._untested
+
+    def counted(cells, *rest):
+        rounds.append({r.key for r in cells.select("key").distinct().collect()})
+        return untested(cells, *rest)
+
+    monkeypatch.setattr(near_duplicates, "_untested", counted)
+    # Texts that share 20 of about 33 shingles: they meet in buckets but are no copies, so several components stay in a bucket.
+    shared = " ".join(f"w{i}" for i in range(24))
+    rows = [(k, f"{shared} " + " ".join(f"x{k}y{i}" for i in range(9))) for k in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in group_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain.near_groups(rows)
+    assert rounds[0] and not any(rounds[1:])
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rows, expected = near_rows(), None
     expected = plain.near_groups(rows)
