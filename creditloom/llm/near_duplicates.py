@@ -3,7 +3,7 @@
 Texts with the same shingle set are folded to one node first. Nodes meet where all hashes of a band agree. A bucket is first
 compared with its leader only, then each block of its members with itself, which joins groups of copies in linear work. What is left are
 buckets that still hold more than one component: there, members outside the largest one are compared with all of other components, in blocks of bounded size,
-and every member puts forward its best partners; the number of partners grows each round until no surviving pair is untested, so no link is
+and every pair of components puts forward its best pairs; their number grows each round until no surviving pair is untested, so no link is
 lost and no bucket is expanded into its pairs. Signatures are compared a batch of hashes at a time; a pair is dropped once the posterior chance that its similarity
 reaches the threshold is below the chosen miss probability. Survivors are confirmed on the full shingle sets.
 """
@@ -32,8 +32,10 @@ MARK_HASHES = 512
 BATCHES = (32, 64, 128, 256, 512)
 MISS = 1e-5
 BLOCK = 256
-MORE_PARTNERS = 8
-LINEAR_ROUNDS = 2
+#: Best partners of a member in each round that compares blocks with themselves; then best pairs of two components, and how that number grows.
+LINEAR_PARTNERS = (1, 2)
+WHOLE_PAIRS = 512
+MORE_PAIRS = 8
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -125,9 +127,9 @@ def alike(left: Marks, i: np.ndarray, right: Marks, j: np.ndarray, percent: int
 
 
 def best_partners(
-    left: Marks, right: Marks, sizes: tuple[np.ndarray, np.ndarray], of_left: np.ndarray, of_right: np.ndarray, band: int, most: int, same: bool, percent: int, miss: float,
+    left: Marks, right: Marks, sizes: tuple[np.ndarray, np.ndarray], of_left: np.ndarray, of_right: np.ndarray, band: int, most: int, same: bool, percent: int, miss: float, by_components: bool,
 ) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Surviving pairs of two blocks whose components differ and whose first common band is `band`, at most the `most` best per member; and whether there are more."""
+    """Surviving pairs of two blocks whose components differ and whose first common band is `band`, at most the `most` best per member, or per pair of components; and whether there are more."""
     first = BATCHES[0]
     need = keep_from(first, percent, miss)
     n, m = len(of_left), len(of_right)
@@ -149,9 +151,15 @@ def best_partners(
         found.append((i[score >= 0], j[score >= 0], score[score >= 0]))
     i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
     chosen = np.zeros(len(i), bool)
-    sides = [np.concatenate([i, j])] if same else [i, j]
+    if not len(i):
+        return i, j, False
+    if by_components:
+        roots = np.sort(np.stack([of_left[i], of_right[j]]), axis=0)
+        sides = [np.unique(roots, axis=1, return_inverse=True)[1].ravel()]
+    else:
+        sides = [np.concatenate([i, j])] if same else [i, j]
     for side in sides:
-        pair = np.tile(np.arange(len(i)), 2 if same else 1)
+        pair = np.arange(len(side)) % len(i)
         order = np.lexsort((pair, -score[pair], side))
         ranked = side[order]
         place = np.arange(len(order)) - np.searchsorted(ranked, ranked)
@@ -305,7 +313,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     return mine.select("key", "band", "node", "root", "block", F.lit(False).alias("is_main"), F.lit(0).alias("kind"), F.col("block").alias("i"), F.col("block").alias("j"))
 
 
-def _untested(cells: DataFrame, marks: DataFrame, most: int, percent: int, miss: float) -> DataFrame:
+def _untested(cells: DataFrame, marks: DataFrame, most: int, percent: int, miss: float, by_components: bool) -> DataFrame:
     """(a, b, key, more): pairs put forward in the cells of _cells or _blocks, their bucket, and whether their cell has held back others."""
     spread = cells.join(marks, "node")
 
@@ -321,7 +329,7 @@ def _untested(cells: DataFrame, marks: DataFrame, most: int, percent: int, miss:
             all_marks = t.column("marks").combine_chunks()
             mine, theirs = (Marks(all_marks.take(pa.array(x))) for x in (left, right))
             size = t.column("size").to_numpy()
-            a, b, more = best_partners(mine, theirs, (size[left], size[right]), root[left], root[right], band, most, not kind and i == j, percent, miss)
+            a, b, more = best_partners(mine, theirs, (size[left], size[right]), root[left], root[right], band, most, not kind and i == j, percent, miss, by_components)
             a, b = node[left[a]], node[right[b]]
             key = np.full(len(a), t.column("key")[0].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(key, pa.int64()), pa.array(np.full(len(a), more))], ["a", "b", "key", "more"])
@@ -380,11 +388,13 @@ def group_near_duplicates(
     # Two rounds compare each block of a bucket with itself, linear work, after which most of a bucket of copies is one component. Then whole buckets: once no cell
     # has held back a surviving pair of two components, every pair that may be a link has been confirmed or lies within one component. A cell that holds nothing back
     # has put forward all it ever can, so a bucket whose cells all did is done; one of several blocks is first compared as a whole, though.
-    most, k, left = 1, 1, others
+    # Members that are no copies are components of their own; so that each pair of them is put forward in one round only, whole buckets are limited per pair of components.
+    k, left = 1, others
     while True:
-        whole = k > LINEAR_ROUNDS
+        whole = k > len(LINEAR_PARTNERS)
+        most = WHOLE_PAIRS * MORE_PAIRS ** (k - len(LINEAR_PARTNERS) - 1) if whole else LINEAR_PARTNERS[k - 1]
         rooted = left.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-        put = steps.write(f"put-{k}", _untested(_cells(rooted) if whole else _blocks(rooted), marks, most, percent, miss))
+        put = steps.write(f"put-{k}", _untested(_cells(rooted) if whole else _blocks(rooted), marks, most, percent, miss, whole))
         fresh = steps.write(f"pairs-{k}", put.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             pairs = pairs.unionByName(fresh)
@@ -395,10 +405,10 @@ def group_near_duplicates(
         undone = put.where("more").select("key").distinct()
         if whole and undone.isEmpty():
             break
-        if k == LINEAR_ROUNDS:
+        if k == len(LINEAR_PARTNERS):
             undone = undone.unionByName(others.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key")).distinct()
         left = others.join(undone, "key", "left_semi")
-        most, k = most * MORE_PARTNERS, k + 1
+        k += 1
 
     rooted = rows.join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"))
     smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("size")).where("size > 1").select("root", "component")
