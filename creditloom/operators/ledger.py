@@ -86,26 +86,34 @@ def _party_key() -> Column:
     return F.lower(F.trim(F.coalesce(F.col("party"), F.lit(""))))
 
 
+def numbered(ledger: DataFrame) -> DataFrame:
+    """The ledger written with a number per row (`line`), so that what reads it several times builds it once."""
+    return written(ledger.withColumn("line", F.monotonically_increasing_id()), "ledger-lines")
+
+
 def matched_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3) -> DataFrame:
     """Each debit that comes back: the first credit of the same party within the days and the amount band.
 
-    Same-day candidates are taken by smallest amount, then smallest id. No pairs are built. One pass over the ledger writes its lines with a party; from them come
+    Same-day candidates are taken by smallest amount, then smallest id. No pairs are built. One pass over the ledger writes its lines, unless they are `numbered` already; from them come
     a row per credit and a row per debit and day that it looks into, sorted per party and day from the largest amount down. The last credit that a debit has
     seen on the way is the smallest one not below its lower bound, which is the match if it also lies below the upper bound.
     """
     low, high = Decimal(1) - Decimal(tolerance), Decimal(1) + Decimal(tolerance)
     # Whole cents: a credit is at or above the lower bound exactly if its cents are at or above the bound's, rounded up.
-    lines = written(ledger.select(
-        "company_id", "txn_id", "txn_date", "debit", "credit", "narration", "party", _party_key().alias("party_key"), F.monotonically_increasing_id().alias("line"),
+    used = ["company_id", "txn_id", "txn_date", "debit", "credit", "narration", "party"]
+    lines = (ledger if "line" in ledger.columns else numbered(ledger.select(*used).filter((_party_key() != "") & ((F.col("debit") > 0) | (F.col("credit") > 0))))).select(
+        *used, "line", _party_key().alias("party_key"),
         F.when(F.col("debit") > 0, F.ceil(F.col("debit") * F.lit(100 * low)).cast("bigint")).alias("debit_from"), F.when(F.col("credit") > 0, (F.col("credit") * 100).cast("bigint")).alias("credit_at"),
-    ).filter((F.col("party_key") != "") & (F.col("debit_from").isNotNull() | F.col("credit_at").isNotNull())), "ledger-lines")
-    look = lambda d: F.struct(d.alias("day"), F.lit(1).alias("side"), F.col("debit_from").alias("place"))
+    ).filter((F.col("party_key") != "") & (F.col("debit_from").isNotNull() | F.col("credit_at").isNotNull()))
+    # Ids break ties between credits only, so the looks, four times the debits, travel and are sorted without one.
+    no_id = F.lit(None).cast(ledger.schema["txn_id"].dataType)
+    look = lambda d: F.struct(d.alias("day"), F.lit(1).alias("side"), F.col("debit_from").alias("place"), no_id.alias("credit_id"))
     looks = F.when(F.col("debit_from").isNotNull(), F.transform(F.sequence("txn_date", F.date_add("txn_date", days)), look)).otherwise(F.array())
-    own = F.when(F.col("credit_at").isNotNull(), F.array(F.struct(F.col("txn_date").alias("day"), F.lit(0).alias("side"), F.col("credit_at").alias("place")))).otherwise(F.array())
-    entries = lines.select("company_id", "party_key", "txn_id", "line", F.inline(F.concat(looks, own)))
+    own = F.when(F.col("credit_at").isNotNull(), F.array(F.struct(F.col("txn_date").alias("day"), F.lit(0).alias("side"), F.col("credit_at").alias("place"), F.col("txn_id").alias("credit_id")))).otherwise(F.array())
+    entries = lines.select("company_id", "party_key", "line", F.inline(F.concat(looks, own)))
     entries = entries.withColumn("credit_row", F.when(F.col("side") == 0, F.struct(F.col("place").alias("cents"), F.col("line").alias("line"))))
     key = ["company_id", "party_key", "day"]
-    seen = scan(entries, key, [F.col("place").desc(), F.col("side"), F.col("txn_id").desc()], lasts={"hit": "credit_row"})
+    seen = scan(entries, key, [F.col("place").desc(), F.col("side"), F.col("credit_id").desc()], lasts={"hit": "credit_row"})
     hits = seen.filter((F.col("side") == 1) & F.col("hit").isNotNull()).select("line", "day", F.col("hit.cents").alias("cents"), F.col("hit.line").alias("credit_line"))
     debits = lines.select("line", "company_id", "party_key", F.col("txn_id").alias("debit_txn_id"), F.col("txn_date").alias("debit_date"), F.col("debit").alias("debit_amount"))
     found = debits.join(hits, "line").filter(F.col("cents") <= F.col("debit_amount") * F.lit(100 * high))
@@ -225,8 +233,9 @@ def pair_totals(pairs: DataFrame, emi: DataFrame) -> DataFrame:
 def bank_profile(companies: DataFrame, ledger: DataFrame, revenue: DataFrame, tax_turnover: DataFrame) -> DataFrame:
     """One row per company; a company without a ledger gets zeros and has_ledger = false.
 
-    One pass over the ledger gives all sums, a second one writes the lines that the circular pairs work on.
+    One pass over the ledger writes its lines; all sums and the circular pairs are read off them.
     """
+    ledger = numbered(ledger)
     totals = ledger_totals(ledger, ["company_id"])
     pairs = pair_sums(circular_pairs(ledger))
     joined = (

@@ -145,3 +145,27 @@ def test_rank_filter_runs_before_the_shuffle(spark):
     df = ledger(spark, [row(1, march(1), debit=1, narration="EMI")])
     assert "WindowGroupLimit" in L.emi_payments(df, cap=1)._jdf.queryExecution().executedPlan().toString()
     assert L.emi_payments(df.withColumn("narration", F.lit(None).cast("string"))).count() == 0
+
+
+def test_bank_profile_builds_the_ledger_once(spark):
+    """Every line is built once, though the sums and the circular pairs both read it; one that pairs and one without a party are among them."""
+    from decimal import Decimal
+
+    rows = [
+        (1, "a", "2024-01-01", Decimal("100.00"), Decimal("0.00"), Decimal("5.00"), "pay", "X"), (1, "b", "2024-01-02", Decimal("0.00"), Decimal("101.00"), None, "in", "x "),
+        (1, "c", "2024-01-02", Decimal("0.00"), Decimal("101.00"), None, "in", "x"), (2, "d", "2024-01-03", Decimal("7.00"), Decimal("0.00"), Decimal("9.00"), "cash", None)]
+    plain = spark.createDataFrame(rows, "company_id long, txn_id string, day string, debit decimal(18,2), credit decimal(18,2), balance decimal(18,2), narration string, party string")
+    built = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            built.add(batch.num_rows)
+            yield batch
+
+    ledger = plain.select("company_id", "txn_id", F.to_date("day").alias("txn_date"), "debit", "credit", "balance", "narration", "party")
+    ledger = ledger.mapInArrow(counted, ledger.schema)
+    none = spark.createDataFrame([], "company_id long, annual_revenue double")
+    got = L.bank_profile(spark.createDataFrame([(1,), (2,), (3,)], "company_id long"), ledger, none, none.withColumnRenamed("annual_revenue", "tax_turnover"))
+    found = {r.company_id: (r.has_ledger, r.pair_count, r.pair_value, r.banking_turnover) for r in got.collect()}
+    assert found == {1: (True, 1, 101.0, 202.0), 2: (True, 0, 0.0, 0.0), 3: (False, 0, 0.0, 0.0)}
+    assert built.value == len(rows)
