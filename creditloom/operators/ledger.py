@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.values import floor_one, round_to
-from creditloom.operators.scans import scan, written
+from creditloom.operators.scans import matching, scan, written
 
 CENTS = "decimal(18,2)"
 
@@ -91,38 +91,59 @@ def numbered(ledger: DataFrame) -> DataFrame:
     return written(ledger.withColumn("line", F.monotonically_increasing_id()), "ledger-lines")
 
 
-def matched_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3) -> DataFrame:
-    """Each debit that comes back: the first credit of the same party within the days and the amount band.
+def returning_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3) -> DataFrame:
+    """Each line of a `numbered` ledger whose debit comes back: `line`, `company_id`, `party_key`, and day and cents of the first credit of that party within the days and the amount band.
 
-    Same-day candidates are taken by smallest amount, then smallest id. No pairs are built. One pass over the ledger writes its lines, unless they are `numbered` already; from them come
-    a row per credit and a row per debit and day that it looks into, sorted per party and day from the largest amount down. The last credit that a debit has
-    seen on the way is the smallest one not below its lower bound, which is the match if it also lies below the upper bound.
+    No pairs are built. A row per credit and a row per debit and day that it looks into are sorted per party and day from the largest amount down. The last credit
+    that a debit has seen on the way is the smallest one not below its lower bound, which is the match if it also lies below the upper bound.
+    Only numbers and the party travel: a credit is known by its party, day and cents.
     """
     low, high = Decimal(1) - Decimal(tolerance), Decimal(1) + Decimal(tolerance)
-    # Whole cents: a credit is at or above the lower bound exactly if its cents are at or above the bound's, rounded up.
-    used = ["company_id", "txn_id", "txn_date", "debit", "credit", "narration", "party"]
-    lines = (ledger if "line" in ledger.columns else numbered(ledger.select(*used).filter((_party_key() != "") & ((F.col("debit") > 0) | (F.col("credit") > 0))))).select(
-        *used, "line", _party_key().alias("party_key"),
-        F.when(F.col("debit") > 0, F.ceil(F.col("debit") * F.lit(100 * low)).cast("bigint")).alias("debit_from"), F.when(F.col("credit") > 0, (F.col("credit") * 100).cast("bigint")).alias("credit_at"),
+    # Whole cents: a credit lies in the band exactly if its cents lie between the bounds' cents, the lower rounded up, the upper down.
+    lines = ledger.select(
+        "company_id", "line", "txn_date", _party_key().alias("party_key"), _cents("credit").alias("credit_at"),
+        F.when(F.col("debit") > 0, F.ceil(F.col("debit") * F.lit(100 * low)).cast("bigint")).alias("debit_from"), F.when(F.col("debit") > 0, F.floor(F.col("debit") * F.lit(100 * high)).cast("bigint")).alias("debit_to"),
     ).filter((F.col("party_key") != "") & (F.col("debit_from").isNotNull() | F.col("credit_at").isNotNull()))
-    # Ids break ties between credits only, so the looks, four times the debits, travel and are sorted without one.
-    no_id = F.lit(None).cast(ledger.schema["txn_id"].dataType)
-    look = lambda d: F.struct(d.alias("day"), F.lit(1).alias("side"), F.col("debit_from").alias("place"), no_id.alias("credit_id"))
-    looks = F.when(F.col("debit_from").isNotNull(), F.transform(F.sequence("txn_date", F.date_add("txn_date", days)), look)).otherwise(F.array())
-    own = F.when(F.col("credit_at").isNotNull(), F.array(F.struct(F.col("txn_date").alias("day"), F.lit(0).alias("side"), F.col("credit_at").alias("place"), F.col("txn_id").alias("credit_id")))).otherwise(F.array())
-    entries = lines.select("company_id", "party_key", "line", F.inline(F.concat(looks, own)))
-    entries = entries.withColumn("credit_row", F.when(F.col("side") == 0, F.struct(F.col("place").alias("cents"), F.col("line").alias("line"))))
-    key = ["company_id", "party_key", "day"]
-    seen = scan(entries, key, [F.col("place").desc(), F.col("side"), F.col("credit_id").desc()], lasts={"hit": "credit_row"})
-    hits = seen.filter((F.col("side") == 1) & F.col("hit").isNotNull()).select("line", "day", F.col("hit.cents").alias("cents"), F.col("hit.line").alias("credit_line"))
-    debits = lines.select("line", "company_id", "party_key", F.col("txn_id").alias("debit_txn_id"), F.col("txn_date").alias("debit_date"), F.col("debit").alias("debit_amount"))
-    found = debits.join(hits, "line").filter(F.col("cents") <= F.col("debit_amount") * F.lit(100 * high))
-    best = found.groupBy("line").agg(F.min(F.struct("day", "credit_line")).alias("b"), *[F.first(c).alias(c) for c in debits.columns[1:]]).select("*", "b.*")
-    paid = lines.select(F.col("line").alias("credit_line"), F.struct(F.col("credit").alias("amount"), "txn_id", "party", "narration").alias("hit"))
-    return best.join(paid, "credit_line").select(*debits.columns[1:], F.struct("day", "hit").alias("first"))
+    # Steps of a line: -1 is its credit, 0 and up the days that its debit looks into.
+    steps = lambda first, last: F.array(*[F.lit(i) for i in range(first, last + 1)])
+    step, debit, credit = F.col("step"), F.col("debit_from").isNotNull(), F.col("credit_at").isNotNull()
+    entries = lines.withColumn("step", F.explode(F.when(debit & credit, steps(-1, days)).when(credit, steps(-1, -1)).otherwise(steps(0, days)))).select(
+        "company_id", "party_key", F.date_add("txn_date", F.greatest(step, F.lit(0))).alias("day"), F.when(step < 0, F.col("credit_at")).otherwise(F.col("debit_from")).alias("place"),
+        F.when(step < 0, F.col("credit_at")).alias("credit_cents"), F.when(step >= 0, F.col("line")).alias("looking"), F.when(step >= 0, F.col("debit_to")).alias("most"))
+    seen = scan(entries, ["company_id", "party_key", "day"], [F.col("place").desc(), F.col("looking").asc_nulls_first()], lasts={"cents": "credit_cents"})
+    hits = seen.filter(F.col("looking").isNotNull() & (F.col("cents") <= F.col("most")))
+    best = hits.groupBy(F.col("looking").alias("line")).agg(F.min(F.struct("day", "cents")).alias("b"), F.first("company_id").alias("company_id"), F.first("party_key").alias("party_key"))
+    return best.select("line", "company_id", "party_key", "b.*")
+
+
+def _cents(amount: str) -> Column:
+    return F.when(F.col(amount) > 0, (F.col(amount) * 100).cast("bigint"))
+
+
+def matched_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3) -> DataFrame:
+    """Each debit that comes back, and the first credit of the same party within the days and the amount band.
+
+    Same-day candidates are taken by smallest amount, then smallest id. One pass over the ledger writes its lines, unless they are `numbered` already; the debits that come back
+    are written, and the lines are then read for the texts and ids of these alone.
+    """
+    used = ["company_id", "txn_id", "txn_date", "debit", "credit", "narration", "party"]
+    lines = ledger if "line" in ledger.columns else numbered(ledger.select(*used).filter((_party_key() != "") & ((F.col("debit") > 0) | (F.col("credit") > 0))))
+    hits = written(returning_debits(lines, tolerance, days), "returning")
+    cell = ["company_id", "party_key", "day", "cents"]
+    credits = lines.select("company_id", _party_key().alias("party_key"), F.col("txn_date").alias("day"), _cents("credit").alias("cents"), "txn_id", "line", F.col("credit").alias("amount"), "party", "narration")
+    # Ids of one cell may repeat; the number of the line then makes the choice the same for all columns.
+    wanted = matching(credits.filter(F.col("cents").isNotNull()), hits.select(*cell).distinct(), cell, "left_semi")
+    paid = wanted.groupBy(*cell).agg(F.min(F.struct("txn_id", "line", F.struct("amount", "txn_id", "party", "narration").alias("hit"))).alias("c")).select(*cell, "c.hit")
+    debits = lines.select("line", F.col("txn_id").alias("debit_txn_id"), F.col("txn_date").alias("debit_date"), F.col("debit").alias("debit_amount"))
+    found = matching(hits.join(debits, "line"), paid, cell, "inner")
+    return found.select("company_id", "party_key", "debit_txn_id", "debit_date", "debit_amount", F.struct("day", "hit").alias("first"))
 
 
 def circular_pairs(ledger: DataFrame, tolerance: str = "0.02", days: int = 3, cap: int | None = None) -> DataFrame:
+    """The debits that come back with their credits. Lines `numbered` without ids give company, date and amount of every pair."""
+    if "txn_id" not in ledger.columns:
+        hits = returning_debits(ledger, tolerance, days)
+        return hits.select("company_id", F.col("day").alias("txn_date"), round_to((F.col("cents").cast("decimal(20,0)") / 100).cast("double"), 2).alias("amount"))
     kept = at_most(matched_debits(ledger, tolerance, days), ["company_id"], [F.col("debit_date"), F.col("debit_txn_id")], cap)
     return kept.select(
         "company_id",
@@ -139,51 +160,44 @@ def _sum_if(cond: Column, amount: str) -> Column:
     return F.sum(F.when(cond, F.col(amount)))
 
 
-def monthly_sums(ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """All sums the profile needs, per key and month, in one pass over the ledger."""
-    march = F.month("txn_date") == 3
-    early = F.dayofmonth("txn_date") <= 15
-    return ledger.groupBy(*keys, F.trunc("txn_date", "MM").alias("period")).agg(
-        F.sum("balance").cast("double").alias("balance_sum"),
-        F.count("balance").alias("balance_rows"),
-        F.sum("credit").alias("credit_sum"),
-        F.sum("debit").alias("debit_sum"),
-        F.max("debit").alias("debit_max"),
-        _sum_if((F.col("debit") > 0) & F.col("narration").rlike(CASH_WORDS), "debit").alias("cash_debits"),
-        F.count_if(is_emi()).alias("emi_rows"),
-        _sum_if(is_emi(), "debit").alias("emi_sum"),
-        F.count_if(is_round_transfer()).alias("round_rows"),
-        _sum_if(march & early, "credit").alias("march_early"),
-        _sum_if(march & ~early, "credit").alias("march_late"),
-    )
+def monthly_balances(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean of the months' mean balances, and the first and last month. Balances alone are summed per month, so little travels."""
+    months = ledger.groupBy(*keys, F.trunc("txn_date", "MM").alias("period")).agg(F.sum("balance").cast("double").alias("balance_sum"), F.count("balance").alias("balance_rows"))
+    return months.groupBy(*keys).agg(
+        F.coalesce(round_to(F.avg(F.try_divide("balance_sum", "balance_rows")), 2), F.lit(0.0)).alias("average_monthly_balance"), F.min("period").alias("first_month"), F.max("period").alias("last_month"))
 
 
-def ledger_totals(ledger: DataFrame, keys: list[str]) -> DataFrame:
+def ledger_sums(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """The sums of the profile that need no months, folded per key before the shuffle."""
     zero = F.lit(Decimal(0))
-    early, late = F.coalesce(F.sum("march_early"), zero), F.coalesce(F.sum("march_late"), zero)
-    cash_share = F.try_divide(F.sum("cash_debits").cast("double"), F.sum("debit_sum").cast("double"))
-    return monthly_sums(ledger, keys).groupBy(*keys).agg(
-        F.coalesce(round_to(F.avg(F.try_divide("balance_sum", "balance_rows")), 2), F.lit(0.0)).alias("average_monthly_balance"),
-        round_to(F.sum("credit_sum").cast("double"), 2).alias("banking_turnover"),
-        round_to(F.max("debit_max").cast("double"), 2).alias("largest_debit"),
+    march, early_day = F.month("txn_date") == 3, F.dayofmonth("txn_date") <= 15
+    early, late = F.coalesce(_sum_if(march & early_day, "credit"), zero), F.coalesce(_sum_if(march & ~early_day, "credit"), zero)
+    cash = _sum_if((F.col("debit") > 0) & F.col("narration").rlike(CASH_WORDS), "debit")
+    cash_share = F.try_divide(cash.cast("double"), F.sum("debit").cast("double"))
+    return ledger.groupBy(*keys).agg(
+        round_to(F.sum("credit").cast("double"), 2).alias("banking_turnover"),
+        round_to(F.max("debit").cast("double"), 2).alias("largest_debit"),
         F.when(cash_share > 0.35, "ALARMING").when(cash_share > 0.2, "SUSPICIOUS").otherwise("NORMAL").alias("cash_pattern"),
         F.when(early <= 0, late > 0).otherwise(late > early * 3).alias("year_end_window_dressing"),
-        F.sum("debit_sum").cast("double").alias("total_debits"),
-        F.coalesce(F.sum("cash_debits"), zero).cast("double").alias("cash_debits"),
-        F.sum("emi_rows").alias("emi_count"),
-        F.coalesce(F.sum("emi_sum"), zero).cast("double").alias("emi_total"),
-        F.sum("round_rows").alias("shell_count"),
-        F.min("period").alias("first_month"),
-        F.max("period").alias("last_month"),
+        F.sum("debit").cast("double").alias("total_debits"),
+        F.coalesce(cash, zero).cast("double").alias("cash_debits"),
+        F.count_if(is_emi()).alias("emi_count"),
+        F.coalesce(_sum_if(is_emi(), "debit"), zero).cast("double").alias("emi_total"),
+        F.count_if(is_round_transfer()).alias("shell_count"),
     )
 
 
+def ledger_totals(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """All sums of the profile. Both sides have the same keys, null ones included."""
+    return matching(ledger_sums(ledger, keys), monthly_balances(ledger, keys), keys, "inner")
+
+
 def average_monthly_balance(ledger: DataFrame) -> DataFrame:
-    return ledger_totals(ledger, ["company_id"]).select("company_id", "average_monthly_balance")
+    return monthly_balances(ledger, ["company_id"]).select("company_id", "average_monthly_balance")
 
 
 def turnover_and_peak(ledger: DataFrame) -> DataFrame:
-    return ledger_totals(ledger, ["company_id"]).select("company_id", "banking_turnover", "largest_debit")
+    return ledger_sums(ledger, ["company_id"]).select("company_id", "banking_turnover", "largest_debit")
 
 
 def _coverage() -> list[Column]:
@@ -200,11 +214,11 @@ def coverage_ratios(totals: DataFrame, revenue: DataFrame, tax_turnover: DataFra
 
 
 def cash_pattern(ledger: DataFrame) -> DataFrame:
-    return ledger_totals(ledger, ["company_id"]).select("company_id", "cash_debits", "total_debits", "cash_pattern")
+    return ledger_sums(ledger, ["company_id"]).select("company_id", "cash_debits", "total_debits", "cash_pattern")
 
 
 def window_dressing(ledger: DataFrame, keys: list[str]) -> DataFrame:
-    return ledger_totals(ledger, keys).select(*keys, "year_end_window_dressing")
+    return ledger_sums(ledger, keys).select(*keys, "year_end_window_dressing")
 
 
 def pair_sums(pairs: DataFrame) -> DataFrame:
@@ -233,9 +247,9 @@ def pair_totals(pairs: DataFrame, emi: DataFrame) -> DataFrame:
 def bank_profile(companies: DataFrame, ledger: DataFrame, revenue: DataFrame, tax_turnover: DataFrame) -> DataFrame:
     """One row per company; a company without a ledger gets zeros and has_ledger = false.
 
-    One pass over the ledger writes its lines; all sums and the circular pairs are read off them.
+    One pass over the ledger writes its lines; all sums and the circular pairs are read off them. No column needs the ids of the lines, so these are not built.
     """
-    ledger = numbered(ledger)
+    ledger = numbered(ledger.drop("txn_id"))
     totals = ledger_totals(ledger, ["company_id"])
     pairs = pair_sums(circular_pairs(ledger))
     joined = (

@@ -33,7 +33,7 @@ def sliced(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
     return written(ordered, "slices").withColumn(SLICE, F.shiftright(AT, PLACE_BITS))
 
 
-def _matching(a: DataFrame, b: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+def matching(a: DataFrame, b: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
     """Null-safe join on `columns`, which come from `a`."""
     b = b.select(*[F.col(c).alias(f"scan_of_{c}") if c in columns else F.col(c) for c in b.columns])
     cond = F.lit(True)
@@ -48,7 +48,7 @@ def crowded(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
     first = df.groupBy(columns[0]).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(columns[0])
     if first.isEmpty():
         return df.select(*columns).limit(0)
-    return _matching(df.select(*columns), first, columns[:1], "left_semi").groupBy(*columns).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*columns)
+    return matching(df.select(*columns), first, columns[:1], "left_semi").groupBy(*columns).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*columns)
 
 
 def scan(
@@ -81,17 +81,17 @@ def scan(
     if segment:
         of_segments = written(ends(df, group, F.struct(*order)), "segments")
         hot = of_segments.where(F.col("n") > limit).select(*group)
-        rows = _matching(df, carried(of_segments, keys, [segment]), group, "inner")
+        rows = matching(df, carried(of_segments, keys, [segment]), group, "inner")
     else:
         hot = crowded(df, keys, limit)
         rows = df.withColumns({f"{n}_before": F.lit(None).cast(df.schema[c].dataType) for n, c in lasts.items()} | {f"{n}_before": F.lit(None).cast(df.select(F.sum(a)).schema[0].dataType) for n, a in sums.items()})
     if hot.isEmpty():
         return run(rows, group, order)
     # What a hot segment starts from is a value of its rows already; its slices add to that.
-    slices = sliced(_matching(rows, hot, group, "left_semi"), [*[F.col(c) for c in group], *order])
+    slices = sliced(matching(rows, hot, group, "left_semi"), [*[F.col(c) for c in group], *order])
     starts = slices.select(*df.columns, *[F.col(f"{n}_before").alias(f"{n}_start") for n in names], AT, SLICE)
     steps = carried(ends(starts, [*group, SLICE], F.col(AT)).drop("n"), group, [SLICE])
-    inside = _matching(starts, steps, [*group, SLICE], "inner")
+    inside = matching(starts, steps, [*group, SLICE], "inner")
     both = [(F.coalesce(F.col(f"{n}_start") + F.coalesce(f"{n}_before", F.lit(0)), F.col(f"{n}_before")) if n in sums else F.coalesce(f"{n}_before", f"{n}_start")).alias(f"{n}_before") for n in names]
     inside = inside.select(*df.columns, AT, SLICE, *both)
-    return run(_matching(rows, hot, group, "left_anti"), group, order).unionByName(run(inside, [*group, SLICE], [F.col(AT)]))
+    return run(matching(rows, hot, group, "left_anti"), group, order).unionByName(run(inside, [*group, SLICE], [F.col(AT)]))

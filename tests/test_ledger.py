@@ -169,3 +169,25 @@ def test_bank_profile_builds_the_ledger_once(spark):
     found = {r.company_id: (r.has_ledger, r.pair_count, r.pair_value, r.banking_turnover) for r in got.collect()}
     assert found == {1: (True, 1, 101.0, 202.0), 2: (True, 0, 0.0, 0.0), 3: (False, 0, 0.0, 0.0)}
     assert built.value == len(rows)
+
+
+def test_bank_profile_builds_no_ids(spark):
+    """No column of the profile needs the ids of the lines: they are neither built nor written, and the pairs are still counted."""
+    from creditloom.operators import scans
+
+    df = ledger(spark, [row(1, march(1), debit=100), row(2, march(2), credit=101), row(3, march(2), credit=101), row(4, march(9), credit=100)])
+    df = df.withColumn("txn_id", F.raise_error(F.lit("ids built")).cast("string"))
+    none = spark.createDataFrame([], "company_id long, annual_revenue double")
+    got = L.bank_profile(df.select("company_id").distinct(), df, none, none.withColumnRenamed("annual_revenue", "tax_turnover")).first()
+    assert (got.pair_count, got.pair_value, got.banking_turnover, got.has_ledger) == (1, 101.0, 302.0, True)
+    assert scans.written(L.circular_pairs(L.numbered(df.drop("txn_id"))), "pairs").first().amount == 101.0
+
+
+def test_pairs_of_null_companies_and_ids(spark):
+    """A null company is a key, a null id is the smallest; the texts come from the chosen credit."""
+    rows = [row(1, march(1), debit=100, company=None), row(2, march(1), credit=100, company=None), row(3, march(1), credit=100, company=None, party=" ACME ")]
+    df = ledger(spark, rows).withColumn("txn_id", F.when(F.col("txn_id") != "t00003", F.col("txn_id")))
+    got = [(r.company_id, r.debit_txn_id, r.credit_txn_id, r.party) for r in L.circular_pairs(df).collect()]
+    assert got == [(None, "t00001", None, " ACME ")]
+    totals = L.ledger_totals(df, ["company_id"]).collect()
+    assert [(r.company_id, r.banking_turnover, str(r.first_month)) for r in totals] == [(None, 200.0, "2025-03-01")]
