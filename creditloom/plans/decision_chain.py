@@ -38,7 +38,7 @@ def doc_block(t: Tables) -> DataFrame:
 
 def research_block(t: Tables) -> DataFrame:
     """Summary over all findings."""
-    return N.research_summary(gathered(t)).select(
+    return N.research_summary(gathered(t, N.SUMMED)).select(
         "company_id", "fraud_hits", "litigation_count", "sector_headwinds", "has_nclt", F.col("has_nclt").alias("recovery_suit"))
 
 
@@ -59,7 +59,7 @@ def _blocks(t: Tables) -> DataFrame:
         "company_id", F.col("struck_off").isNotNull().alias("struck_off"), "compliance_score",
         (F.col("struck_off").isNotNull() & (F.col("compliance_score") < 70)).alias("director_disqualified"))
     return E.assemble_blocks(t.company, [
-        figures, report, bank, E.tax_block(chain.mismatch(t), chain.recon(t)), E.filing_consistency(t.gstr3b), E.growth(t.itr),
+        figures, report, bank, E.tax_block(chain.mismatch(t), chain.recon(t)), E.filing_consistency(t.monthly["gstr3b"]), E.growth(t.itr),
         doc_block(t), research_block(t), registry, D.diligence_block(t.company, t.diligence),
         chain.holding(t).select("company_id", "promoter_holding_pct", "promoter_pledge_pct"), borrowing, _portfolio(t).drop("red_flags", "stage_3_pct"),
     ]).withColumns({"bureau_score": F.lit(None).cast("double"), "liquidity_gap_cr": F.lit(None).cast("double")})

@@ -23,12 +23,12 @@ def _companies(t: Tables) -> DataFrame:
     return t.company.withColumn("promoters", F.array_compact(F.array("promoter_a", "promoter_b")))
 
 
-def gathered(t: Tables) -> DataFrame:
-    return N.all_findings(t.company, t.registry, t.findings, as_of())
+def gathered(t: Tables, columns: list[str] | None = None) -> DataFrame:
+    return N.all_findings(t.company, t.registry, t.findings, as_of(), columns)
 
 
 def summary(t: Tables) -> DataFrame:
-    return N.research_summary(gathered(t))
+    return N.research_summary(gathered(t, N.SUMMED))
 
 
 def _content_sides(t: Tables, column: str) -> DataFrame:

@@ -14,7 +14,7 @@ def revenue_of(t: Tables):
 
 
 def tax_turnover_of(t: Tables):
-    return t.gstr3b.groupBy("company_id").agg(
+    return t.monthly["gstr3b"].groupBy("company_id").agg(
         F.sum(F.col("outward_supplies").cast("decimal(20,2)")).cast("double").alias("tax_turnover")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.session import scratch_path
-from creditloom.sources.stand_ins import RAW, STAND_INS, cell_grid, sheet_numbers, with_clause
+from creditloom.sources.stand_ins import CENTS, RAW, STAND_INS, cell_grid, sheet_numbers, with_clause
 
 _STAGED: dict[tuple[str, str, str], str] = {}
 _LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
@@ -95,14 +95,43 @@ class Tables:
             raise AttributeError(name)
         return self._read(name, STAND_INS)
 
+    @property
+    def month(self) -> DataFrame:
+        """Ledger lines summed per company and month, written once; same rows as the `c_month` text, with the two sums more that `totals` needs."""
+        return self.staged("month", self._make_month)
+
+    def _make_month(self) -> DataFrame:
+        # What several sums read is worked out once per line.
+        lines = self.raw("lineitem").selectExpr(
+            "l_suppkey AS company_id", "cast(date_trunc('month', l_shipdate) as date) AS period", f"{CENTS} AS cents", "cast(l_tax as decimal(4,2)) AS tax",
+            "cast(l_discount as decimal(4,2)) AS discount", "cast(1 - l_discount as decimal(4,2)) AS kept", "l_returnflag AS flag",
+            "cast(CASE WHEN l_linenumber = 1 THEN l_tax * 0.8 ELSE l_tax END as decimal(6,3)) AS available", "cast(l_quantity as decimal(18,0)) AS quantity")
+        cents, flag = F.col("cents"), F.col("flag")
+        vendor = lambda v: F.sum(F.when(flag == v, cents * F.col("available")).otherwise(0)).alias(f"vendor_{v.lower()}")
+        return lines.groupBy("company_id", "period").agg(
+            F.sum(cents).alias("outward"), F.sum(cents * F.col("tax")).alias("claimed"), F.sum(cents * F.col("discount")).alias("paid"), F.sum(cents * F.col("kept")).alias("sales"),
+            F.sum(F.when(flag == "R", F.lit(0).cast("decimal(18,2)")).otherwise(cents)).alias("credits"), vendor("A"), vendor("N"), vendor("R"),
+            F.count("*").alias("n_rows"), F.sum("quantity").alias("qty"))
+
     @property
     def monthly(self) -> dict[str, DataFrame]:
         """The four monthly tables off one written aggregate of the ledger lines, so they are not summed four times."""
-        self.staged("month", lambda: self.month)
+        self.month
         path = _STAGED[(self.spark.sparkContext.applicationId, self.folder, f"month-{self.stamp}")]
         texts = {**STAND_INS, "c_month": f"SELECT * FROM parquet.`{path}`"}
         return {name: self._read(name, texts) for name in ("gstr3b", "gstr2a", "gstr1", "credits")}
 
+    @property
+    def itr(self) -> DataFrame:
+        """Yearly returns; same rows as the `c_itr` text. The months' sums are exact, so the years' are sums of them."""
+        total = lambda c, name: F.sum(c).cast("double").alias(name)
+        return self.month.groupBy("company_id", F.year("period").alias("assessment_year")).agg(total("sales", "gross_revenue"), total("paid", "taxable_income"), total("claimed", "tax_paid"))
+
+    @property
+    def totals(self) -> DataFrame:
+        """Company totals; same rows as the `c_totals` text, off the months' sums."""
+        return self.month.groupBy("company_id").agg(F.sum("n_rows").alias("n_rows"), F.sum("outward").cast("double").alias("gross"), F.sum("qty").cast("double").alias("qty"))
+
     def _read(self, name: str, texts: dict[str, str]) -> DataFrame:
         text = with_clause(f"SELECT * FROM c_{name}", texts)
         tables = "|".join(RAW)
