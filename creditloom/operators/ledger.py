@@ -103,7 +103,7 @@ def returning_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3)
     lines = ledger.select(
         "company_id", "line", "txn_date", _party_key().alias("party_key"), _cents("credit").alias("credit_at"),
         F.when(F.col("debit") > 0, F.ceil(F.col("debit") * F.lit(100 * low)).cast("bigint")).alias("debit_from"), F.when(F.col("debit") > 0, F.floor(F.col("debit") * F.lit(100 * high)).cast("bigint")).alias("debit_to"),
-    ).filter((F.col("party_key") != "") & (F.col("debit_from").isNotNull() | F.col("credit_at").isNotNull()))
+    ).filter((F.col("party_key") != "") & F.col("txn_date").isNotNull() & (F.col("debit_from").isNotNull() | F.col("credit_at").isNotNull()))
     # Steps of a line: -1 is its credit, 0 and up the days that its debit looks into.
     steps = lambda first, last: F.array(*[F.lit(i) for i in range(first, last + 1)])
     step, debit, credit = F.col("step"), F.col("debit_from").isNotNull(), F.col("credit_at").isNotNull()

@@ -184,7 +184,9 @@ def test_bank_profile_builds_no_ids(spark):
 
 
 def test_pairs_of_null_companies_and_ids(spark):
-    """A null company is a key, a null id is the smallest; the texts come from the chosen credit."""
+    """A null company is a key, a null id is the smallest; the texts come from the chosen credit. Lines without a date never pair."""
+    undated = [row(8, None, debit=100), row(9, None, credit=100)]
+    assert L.circular_pairs(ledger(spark, undated)).count() == 0
     rows = [row(1, march(1), debit=100, company=None), row(2, march(1), credit=100, company=None), row(3, march(1), credit=100, company=None, party=" ACME ")]
     df = ledger(spark, rows).withColumn("txn_id", F.when(F.col("txn_id") != "t00003", F.col("txn_id")))
     got = [(r.company_id, r.debit_txn_id, r.credit_txn_id, r.party) for r in L.circular_pairs(df).collect()]
