@@ -41,6 +41,13 @@ def zero_as_missing(c: Column, default: float) -> Column:
     return F.coalesce(F.nullif(c, F.lit(0).cast("double")), F.lit(float(default)))
 
 
+def whole_steps(c: Column, n: int) -> Column:
+    """A double in whole steps of 1/n, as a cast to that many decimals rounds it; null where it lies too near the middle of two steps to tell, or is no number."""
+    scaled = c.cast("double") * float(n)
+    nearest = F.floor(scaled + 0.5)
+    return F.when(F.abs(scaled - nearest) < 0.25, nearest)
+
+
 def floor_one(c: Column) -> Column:
     """Denominator guard."""
     return F.greatest(c, F.lit(1.0))

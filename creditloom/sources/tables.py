@@ -12,9 +12,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditloom.functions.values import whole_steps
 from creditloom.session import scratch_path
 from creditloom.sources.stand_ins import CENTS, RAW, STAND_INS, cell_grid, sheet_numbers, with_clause
 
+#: Share of a line's tax that the vendor has paid.
+AVAILABLE = "CASE WHEN l_linenumber = 1 THEN l_tax * 0.8 ELSE l_tax END"
+
 _STAGED: dict[tuple[str, str, str], str] = {}
 _LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
@@ -98,27 +102,69 @@ class Tables:
     @property
     def month(self) -> DataFrame:
         """Ledger lines summed per company and month, written once; same rows as the `c_month` text, with the two sums more that `totals` needs."""
-        return self.staged("month", self._make_month)
+        return self.spark.sql(self._month_text)
 
-    def _make_month(self) -> DataFrame:
+    @cached_property
+    def _month_text(self) -> str:
+        """Lines of ordinary size are summed as whole numbers; the rest, if there are any, as decimals in a second pass."""
+        sums = self.staged("month_sums", self._month_sums)
+        if sums.where("n_rest > 0").isEmpty():
+            return self._whole_months()
+        self.staged("month", self._mixed_month)
+        return f"SELECT * FROM parquet.`{self._path('month')}`"
+
+    def _path(self, name: str) -> str:
+        return _STAGED[(self.spark.sparkContext.applicationId, self.folder, f"{name}-{self.stamp}")]
+
+    def _month_lines(self) -> DataFrame:
+        """A line's amounts in whole steps of their last decimal place, and whether all of them are known and small: sums of 2^29 such products fit a long."""
+        steps = {"cents": ("l_extendedprice", 100), "tax": ("l_tax", 100), "discount": ("l_discount", 100), "available": (AVAILABLE, 1000), "quantity": ("l_quantity", 1)}
+        lines = self.raw("lineitem").select(
+            "*", F.col("l_suppkey").alias("company_id"), F.expr("cast(date_trunc('month', l_shipdate) as date)").alias("period"), F.col("l_returnflag").alias("flag"),
+            *[whole_steps(F.expr(x), n).alias(f"n_{c}") for c, (x, n) in steps.items()])
+        small = F.lit(True)
+        for c in steps:
+            small = small & (F.abs(f"n_{c}") < (1 << 26 if c in ("cents", "quantity") else 1 << 8))
+        return lines.withColumn("whole", F.coalesce(small, F.lit(False)))
+
+    def _month_sums(self) -> DataFrame:
+        flag, whole = F.col("flag"), F.col("whole")
+        lines = self._month_lines().select("company_id", "period", "flag", "whole", "n_tax", "n_discount", "n_available", F.when(whole, F.col("n_cents")).alias("cents"), F.when(whole, F.col("n_quantity")).alias("quantity"))
+        cents = F.col("cents")
+        vendor = lambda v: F.sum(F.when(whole, F.when(flag == v, cents * F.col("n_available")).otherwise(0))).alias(f"vendor_{v.lower()}")
+        return lines.groupBy("company_id", "period").agg(
+            F.sum(cents).alias("outward"), F.sum(cents * F.col("n_tax")).alias("claimed"), F.sum(cents * F.col("n_discount")).alias("paid"),
+            F.sum(F.when(whole, F.when(flag == "R", 0).otherwise(cents))).alias("credits"), vendor("A"), vendor("N"), vendor("R"),
+            F.count("cents").alias("n_rows"), F.sum("quantity").alias("qty"), F.count_if(~whole).alias("n_rest"))
+
+    def _whole_months(self) -> str:
+        """The whole-number sums as the decimals of `c_month`. In whole steps, what a discount leaves is 100 less the discount."""
+        big = lambda c: f"cast({c} as decimal(28,0))"
+        to = lambda n, step, c, kind: f"cast({n} * {step}BD as {kind}) AS {c}"
+        columns = [
+            to(big("outward"), "0.01", "outward", "decimal(28,2)"), *[to(big(c), "0.0001", c, "decimal(33,4)") for c in ("claimed", "paid")],
+            to(f"cast({big('outward')} * 100BD - {big('paid')} as decimal(28,0))", "0.0001", "sales", "decimal(33,4)"), to(big("credits"), "0.01", "credits", "decimal(28,2)"),
+            *[to(big(c), "0.00001", c, "decimal(35,5)") for c in ("vendor_a", "vendor_n", "vendor_r")]]
+        return f"SELECT company_id, period, {', '.join(columns)}, n_rows, {big('qty')} AS qty FROM parquet.`{self._path('month_sums')}`"
+
+    def _mixed_month(self) -> DataFrame:
         # What several sums read is worked out once per line.
-        lines = self.raw("lineitem").selectExpr(
-            "l_suppkey AS company_id", "cast(date_trunc('month', l_shipdate) as date) AS period", f"{CENTS} AS cents", "cast(l_tax as decimal(4,2)) AS tax",
-            "cast(l_discount as decimal(4,2)) AS discount", "cast(1 - l_discount as decimal(4,2)) AS kept", "l_returnflag AS flag",
-            "cast(CASE WHEN l_linenumber = 1 THEN l_tax * 0.8 ELSE l_tax END as decimal(6,3)) AS available", "cast(l_quantity as decimal(18,0)) AS quantity")
+        lines = self._month_lines().where(~F.col("whole")).selectExpr(
+            "company_id", "period", f"{CENTS} AS cents", "cast(l_tax as decimal(4,2)) AS tax", "cast(l_discount as decimal(4,2)) AS discount", "cast(1 - l_discount as decimal(4,2)) AS kept", "flag",
+            f"cast({AVAILABLE} as decimal(6,3)) AS available", "cast(l_quantity as decimal(18,0)) AS quantity")
         cents, flag = F.col("cents"), F.col("flag")
         vendor = lambda v: F.sum(F.when(flag == v, cents * F.col("available")).otherwise(0)).alias(f"vendor_{v.lower()}")
-        return lines.groupBy("company_id", "period").agg(
+        rest = lines.groupBy("company_id", "period").agg(
             F.sum(cents).alias("outward"), F.sum(cents * F.col("tax")).alias("claimed"), F.sum(cents * F.col("discount")).alias("paid"), F.sum(cents * F.col("kept")).alias("sales"),
             F.sum(F.when(flag == "R", F.lit(0).cast("decimal(18,2)")).otherwise(cents)).alias("credits"), vendor("A"), vendor("N"), vendor("R"),
             F.count("*").alias("n_rows"), F.sum("quantity").alias("qty"))
+        both = self.spark.sql(self._whole_months()).unionByName(rest).groupBy("company_id", "period")
+        return both.agg(*[F.sum(c).cast(kind).alias(c) for c, kind in rest.dtypes[2:]])
 
     @property
     def monthly(self) -> dict[str, DataFrame]:
         """The four monthly tables off one written aggregate of the ledger lines, so they are not summed four times."""
-        self.month
-        path = _STAGED[(self.spark.sparkContext.applicationId, self.folder, f"month-{self.stamp}")]
-        texts = {**STAND_INS, "c_month": f"SELECT * FROM parquet.`{path}`"}
+        texts = {**STAND_INS, "c_month": self._month_text}
         return {name: self._read(name, texts) for name in ("gstr3b", "gstr2a", "gstr1", "credits")}
 
     @property

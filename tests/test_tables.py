@@ -54,3 +54,26 @@ def test_summary_of_findings_carries_few_columns(spark):
     got = N.research_summary(few).first()
     assert (got.fraud_hits, got.litigation_count, got.has_nclt, got.total_findings) == (2, 1, True, 6)
     assert [r.summary for r in N.keyword_alerts(web).orderBy("seq").collect()] == ["Potential red-flag term(s) detected: round-tripping."] * 2
+
+
+def test_months_sum_large_odd_and_missing_amounts_like_their_text(spark, tmp_path):
+    """Lines that are no small whole numbers go another way; both give the rows of the text."""
+    price = [10.01, 104949.5, 671088.63, 671088.64, 9.9e13, -55.555, 0.005, 1.005, None, -0.0]
+    rate = [(0.07, 0.03), (0.0, 1.0), (2.55, 0.1), (2.56, 0.1), (99.99, 0.5), (0.015, 0.025), (0.08, 0.07), (None, 0.05), (0.04, None), (0.125, 0.0)]
+    lines, day = [], dt.datetime(2024, 1, 30)
+    for i in range(600):
+        tax, discount = rate[i % 10]
+        lines.append((i % 9 if i % 50 else None, 1 + i % 3, float(i % 50) + (0.5 if i % 70 == 0 else 0.0) if i % 31 else None, price[(i // 7) % 10], discount, tax, "RANR"[i % 4] if i % 13 else None, day + dt.timedelta(days=i % 5) if i % 97 else None))
+    kinds = "l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    for name, part in (("all", lines), ("small", [r for r in lines if r[3] in price[:2] and r[5] in (0.07, 0.08) and r[2] is not None and r[2] % 1 == 0])):
+        folder = tmp_path / name
+        for raw in RAW:
+            spark.createDataFrame(part if raw == "lineitem" else [], kinds if raw == "lineitem" else "x int").write.parquet(f"{folder}/{raw}.parquet")
+        tables = Tables(spark, str(folder))
+        expected = tables._read("month", STAND_INS)
+        got = tables.month.select(expected.columns)
+        assert got.dtypes == expected.dtypes
+        sums = tables.staged("month_sums", None)
+        assert {k for c, k in sums.dtypes if c != "period"} == {"bigint"} and (sums.where("n_rest > 0").count() > 0) == (name == "all")
+        assert rows(got) == rows(expected)
+        assert rows(tables.totals) == rows(tables._read("totals", STAND_INS))
