@@ -17,6 +17,8 @@ EMI_WORDS = "(?i)emi|ecs|nach|loan"
 CASH_WORDS = "(?i)cash|atm"
 ROUTINE_PARTIES = "(?i)bank|gst|salary|tax"
 ROUND_MULTIPLE = 100_000
+#: Days of one company and party that circular payments are looked for in together.
+DAYS_TOGETHER = 16
 EMI_CONFIDENCE = 0.75
 
 
@@ -94,7 +96,7 @@ def numbered(ledger: DataFrame) -> DataFrame:
 def returning_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3) -> DataFrame:
     """Each line of a `numbered` ledger whose debit comes back: `line`, `company_id`, `party_key`, and day and cents of the first credit of that party within the days and the amount band.
 
-    No pairs are built. A row per credit and a row per debit and day that it looks into are sorted per party and day from the largest amount down. The last credit
+    No pairs are built. Lines travel by party and block of days; there, a row per credit and a row per debit and day that it looks into are sorted per party and day from the largest amount down. The last credit
     that a debit has seen on the way is the smallest one not below its lower bound, which is the match if it also lies below the upper bound.
     Only numbers and the party travel: a credit is known by its party, day and cents.
     """
@@ -104,13 +106,23 @@ def returning_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3)
         "company_id", "line", "txn_date", _party_key().alias("party_key"), _cents("credit").alias("credit_at"),
         F.when(F.col("debit") > 0, F.ceil(F.col("debit") * F.lit(100 * low)).cast("bigint")).alias("debit_from"), F.when(F.col("debit") > 0, F.floor(F.col("debit") * F.lit(100 * high)).cast("bigint")).alias("debit_to"),
     ).filter((F.col("party_key") != "") & F.col("txn_date").isNotNull() & (F.col("debit_from").isNotNull() | F.col("credit_at").isNotNull()))
-    # Steps of a line: -1 is its credit, 0 and up the days that its debit looks into.
+    # Steps of a line: -1 is its credit, 0 and up the days that its debit looks into. A line travels once per block of days that it has a step in, and gets its steps there.
     steps = lambda first, last: F.array(*[F.lit(i) for i in range(first, last + 1)])
     step, debit, credit = F.col("step"), F.col("debit_from").isNotNull(), F.col("credit_at").isNotNull()
-    entries = lines.withColumn("step", F.explode(F.when(debit & credit, steps(-1, days)).when(credit, steps(-1, -1)).otherwise(steps(0, days)))).select(
-        "company_id", "party_key", F.date_add("txn_date", F.greatest(step, F.lit(0))).alias("day"), F.when(step < 0, F.col("credit_at")).otherwise(F.col("debit_from")).alias("place"),
+    block = lambda day: F.floor(F.unix_date(day) / DAYS_TOGETHER)
+    blocks = F.sequence(block(F.col("txn_date")), F.when(debit, block(F.date_add("txn_date", days))).otherwise(block(F.col("txn_date"))))
+
+    def stepped(of: DataFrame) -> DataFrame:
+        of = of.withColumn("step", F.explode(F.when(debit & credit, steps(-1, days)).when(credit, steps(-1, -1)).otherwise(steps(0, days))))
+        return of.withColumn("day", F.date_add("txn_date", F.greatest(step, F.lit(0))))
+
+    spread = lines.withColumn("block", F.explode(blocks)).repartition("company_id", "party_key", "block")
+    entries = stepped(spread).filter(block(F.col("day")) == F.col("block")).select(
+        "company_id", "party_key", "block", "day", F.when(step < 0, F.col("credit_at")).otherwise(F.col("debit_from")).alias("place"),
         F.when(step < 0, F.col("credit_at")).alias("credit_cents"), F.when(step >= 0, F.col("line")).alias("looking"), F.when(step >= 0, F.col("debit_to")).alias("most"))
-    seen = scan(entries, ["company_id", "party_key", "day"], [F.col("place").desc(), F.col("looking").asc_nulls_first()], lasts={"cents": "credit_cents"})
+    counted = stepped(lines).select("company_id", "party_key", block(F.col("day")).alias("block"), "day")
+    keys = ["company_id", "party_key", "block", "day"]
+    seen = scan(entries, keys, [F.col("place").desc(), F.col("looking").asc_nulls_first()], lasts={"cents": "credit_cents"}, counted=counted)
     hits = seen.filter(F.col("looking").isNotNull() & (F.col("cents") <= F.col("most")))
     best = hits.groupBy(F.col("looking").alias("line")).agg(F.min(F.struct("day", "cents")).alias("b"), F.first("company_id").alias("company_id"), F.first("party_key").alias("party_key"))
     return best.select("line", "company_id", "party_key", "b.*")

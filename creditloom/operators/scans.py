@@ -53,10 +53,12 @@ def crowded(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
 
 def scan(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], segment: str | None = None, sums: dict[str, Column] | None = None, lasts: dict[str, str] | None = None, limit: int = ROWS_TOGETHER,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """The rows with, per key and along `segment` and then `order`, running sums (`sums`: name, amount) and last known values (`lasts`: name, column), the row's own included.
 
     Without a segment, a key is one. With one, `order` must be ascending. Rows that `order` leaves tied come in any order, which is the same for all columns. Null keys are a key.
+    `counted`: the same keys, where `df` has been spread so that the rows of one key lie together; it is cheaper to count, and the rows are not spread again.
     """
     sums, lasts = sums or {}, lasts or {}
     group = [*keys, *([segment] if segment else [])]
@@ -71,7 +73,9 @@ def scan(
         return found.select(*within, *steps, *[F.sum(n).over(before).alias(f"{n}_before") for n in sums], *[F.last(n, ignorenulls=True).over(before).alias(f"{n}_before") for n in lasts])
 
     def run(rows: DataFrame, by: Sequence[str], along: Sequence[Column]) -> DataFrame:
-        here = Window.partitionBy(*by).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
+        # Spread by the keys, then sorted by a hash of them first: rows of different keys are told apart by one number.
+        rows = rows if counted is not None else rows.repartition(*by)
+        here = Window.partitionBy(F.xxhash64(*by), *by).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
         # A sum is null while all amounts so far are null.
         running = lambda n, a: F.coalesce(F.col(f"{n}_before") + F.coalesce(F.sum(a).over(here), F.lit(0)), F.sum(a).over(here), F.col(f"{n}_before"))
         return rows.select(
@@ -83,7 +87,7 @@ def scan(
         hot = of_segments.where(F.col("n") > limit).select(*group)
         rows = matching(df, carried(of_segments, keys, [segment]), group, "inner")
     else:
-        hot = crowded(df, keys, limit)
+        hot = crowded(df if counted is None else counted, keys, limit)
         rows = df.withColumns({f"{n}_before": F.lit(None).cast(df.schema[c].dataType) for n, c in lasts.items()} | {f"{n}_before": F.lit(None).cast(df.select(F.sum(a)).schema[0].dataType) for n, a in sums.items()})
     if hot.isEmpty():
         return run(rows, group, order)

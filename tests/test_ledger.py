@@ -193,3 +193,22 @@ def test_pairs_of_null_companies_and_ids(spark):
     assert got == [(None, "t00001", None, " ACME ")]
     totals = L.ledger_totals(df, ["company_id"]).collect()
     assert [(r.company_id, r.banking_turnover, str(r.first_month)) for r in totals] == [(None, 200.0, "2025-03-01")]
+
+
+def test_returning_debits_meet_credits_across_blocks_of_days(spark):
+    """A line travels once per block of days, not once per day that its debit looks into; matches across the blocks' borders stay."""
+    start, rows, dice = dt.date(2024, 1, 1), [], random.Random(5)
+    for i in range(240):
+        amount, kind = Decimal(100 + dice.randint(0, 4)), dice.randint(0, 2)
+        sides = [(amount, Decimal(0)), (Decimal(0), amount), (amount, 2 * amount)][kind]
+        rows.append((dice.randint(0, 1), i, start + dt.timedelta(days=dice.randint(0, 59)), *sides, f"P{dice.randint(0, 1)}"))
+    df = spark.createDataFrame(rows, "company_id long, line long, txn_date date, debit decimal(18,2), credit decimal(18,2), party string")
+    found = L.returning_debits(df)
+    want = []
+    for company, line, day, debit, _, party in rows:
+        fits = [(d, c) for k, _, d, _, c, p in rows if (k, p) == (company, party) and c > 0 and 0 <= (d - day).days <= 3 and debit > 0 and debit * Decimal("0.98") <= c <= debit * Decimal("1.02")]
+        if fits:
+            want.append((line, company, party.lower(), min(fits)[0], int(min(fits)[1] * 100)))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and any(w[3] != rows[w[0]][2] for w in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "block" in next(x for x in plan.split("\n")[::-1] if "hashpartitioning" in x)
