@@ -29,6 +29,7 @@ MAGIC = b"FRQ1"
 IDS_PER_FILE = 1 << 21
 BYTES_PER_SHARD = 32 << 20
 KEPT_CHUNKS = 800_000
+LEARNT_TOGETHER = 4096
 _KIND = np.zeros(256, np.int8)  # 1 ASCII letters, 2 digits, 3 ASCII marks, 0 blanks and all else
 _KIND[0x21:0x7F] = 3
 _KIND[0x30:0x3A] = 2
@@ -42,15 +43,15 @@ def encode_file(shard: int, chunk: int, doc_ids: np.ndarray, no_id: np.ndarray,
     often = np.bincount(ids)  # as long as the vocabulary at most
     used = np.flatnonzero(often)
     used = used[np.argsort(-often[used], kind="stable")]
-    rank_of = np.zeros(len(often), np.int64)
+    rank_of = np.zeros(len(often), np.uint32)
     rank_of[used] = np.arange(len(used))
     ranks = rank_of[ids]
-    sizes = 1 + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    sizes = (1 + (ranks >= 1 << 8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)).astype(np.uint8)
     quads = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     quads[: len(ids)] = sizes - 1
     control = (quads.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    at = np.cumsum(sizes) - sizes
-    codes = np.zeros(int(sizes.sum()), np.uint8)
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
+    codes = np.zeros(int(sizes.sum(dtype=np.int64)), np.uint8)
     for k in range(int(sizes.max(initial=0))):
         longer = sizes > k
         codes[at[longer] + k] = (ranks[longer] >> (8 * k)) & 255
@@ -123,9 +124,12 @@ class ChunkEncoder:
 
     def learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         """Adds chunks with ascending hashes that are not known yet."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        found = []
+        for at in range(0, len(chunks), LEARNT_TOGETHER):  # the library's results are large beside their ids
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks[at : at + LEARNT_TOGETHER], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            found.append((sizes, np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))))
+        sizes, flat = (np.concatenate(x) for x in zip(*found, strict=True))
         places = np.searchsorted(self.hashes, hashes)
         starts = np.insert(self.bounds[:-1], places, len(self.ids) + np.cumsum(sizes) - sizes)
         sizes = np.insert(np.diff(self.bounds), places, sizes)
