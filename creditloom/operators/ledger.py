@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.values import floor_one, round_to
-from creditloom.operators.scans import matching, scan, written
+from creditloom.operators.scans import ROWS_TOGETHER, matching, scan, spread, written
 
 CENTS = "decimal(18,2)"
 
@@ -93,12 +93,12 @@ def numbered(ledger: DataFrame) -> DataFrame:
     return written(ledger.withColumn("line", F.monotonically_increasing_id()), "ledger-lines")
 
 
-def returning_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3) -> DataFrame:
+def returning_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3, limit: int = ROWS_TOGETHER) -> DataFrame:
     """Each line of a `numbered` ledger whose debit comes back: `line`, `company_id`, `party_key`, and day and cents of the first credit of that party within the days and the amount band.
 
     No pairs are built. Lines travel by party and block of days; there, a row per credit and a row per debit and day that it looks into are sorted per party and day from the largest amount down. The last credit
     that a debit has seen on the way is the smallest one not below its lower bound, which is the match if it also lies below the upper bound.
-    Only numbers and the party travel: a credit is known by its party, day and cents.
+    Only numbers and the party travel: a credit is known by its party, day and cents. About `limit` lines go to a task, so that what it sorts stays in memory.
     """
     low, high = Decimal(1) - Decimal(tolerance), Decimal(1) + Decimal(tolerance)
     # Whole cents: a credit lies in the band exactly if its cents lie between the bounds' cents, the lower rounded up, the upper down.
@@ -116,8 +116,8 @@ def returning_debits(ledger: DataFrame, tolerance: str = "0.02", days: int = 3)
         of = of.withColumn("step", F.explode(F.when(debit & credit, steps(-1, days)).when(credit, steps(-1, -1)).otherwise(steps(0, days))))
         return of.withColumn("day", F.date_add("txn_date", F.greatest(step, F.lit(0))))
 
-    spread = lines.withColumn("block", F.explode(blocks)).repartition("company_id", "party_key", "block")
-    entries = stepped(spread).filter(block(F.col("day")) == F.col("block")).select(
+    dealt = spread(lines.withColumn("block", F.explode(blocks)), ["company_id", "party_key", "block"], ledger.count(), limit)
+    entries = stepped(dealt).filter(block(F.col("day")) == F.col("block")).select(
         "company_id", "party_key", "block", "day", F.when(step < 0, F.col("credit_at")).otherwise(F.col("debit_from")).alias("place"),
         F.when(step < 0, F.col("credit_at")).alias("credit_cents"), F.when(step >= 0, F.col("line")).alias("looking"), F.when(step >= 0, F.col("debit_to")).alias("most"))
     counted = stepped(lines).select("company_id", "party_key", block(F.col("day")).alias("block"), "day")

@@ -33,6 +33,14 @@ def sliced(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
     return written(ordered, "slices").withColumn(SLICE, F.shiftright(AT, PLACE_BITS))
 
 
+def spread(df: DataFrame, keys: Sequence[str], rows: int, limit: int = ROWS_TOGETHER) -> DataFrame:
+    """The rows dealt by the keys, about `limit` of all `rows` to a task, however many shuffle partitions the session has. Rows that fit one task are left to the session's own count."""
+    pieces = -(-rows // limit)
+    if pieces <= 1:
+        return df.repartition(*keys)
+    return df.repartition(max(pieces, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def matching(a: DataFrame, b: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
     """Null-safe join on `columns`, which come from `a`."""
     b = b.select(*[F.col(c).alias(f"scan_of_{c}") if c in columns else F.col(c) for c in b.columns])

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -212,3 +213,13 @@ def test_returning_debits_meet_credits_across_blocks_of_days(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want) and any(w[3] != rows[w[0]][2] for w in want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "block" in next(x for x in plan.split("\n")[::-1] if "hashpartitioning" in x)
+
+
+def test_lines_of_circular_payments_are_dealt_by_their_number(spark):
+    """With a limit of 5 lines a task, 200 lines go to 40 tasks, though the session has 8 shuffle partitions; the pairs stay the same."""
+    rows = [row(i, march(1 + i % 25), debit=100 if i % 2 else 0, credit=0 if i % 2 else 101, party=f"p{i // 2 % 2}", company=i % 3) for i in range(200)]
+    df = L.numbered(ledger(spark, rows).drop("txn_id"))
+    found = L.returning_debits(df, limit=5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"RepartitionByExpression \[company_id#\d+L?, party_key#\d+, block#\d+L?\], (\d+)", plan) == ["40"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, L.returning_debits(df).collect())) != []
