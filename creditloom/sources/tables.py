@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions.values import whole_steps
+from creditloom.operators.scans import ROWS_TOGETHER, crowded, matching, spread
 from creditloom.session import scratch_path
 from creditloom.sources.stand_ins import CENTS, RAW, STAND_INS, cell_grid, sheet_numbers, with_clause
 
@@ -127,10 +128,19 @@ class Tables:
             small = small & (F.abs(f"n_{c}") < (1 << 26 if c in ("cents", "quantity") else 1 << 8))
         return lines.withColumn("whole", F.coalesce(small, F.lit(False)))
 
-    def _month_sums(self) -> DataFrame:
-        flag, whole = F.col("flag"), F.col("whole")
-        lines = self._month_lines().select("company_id", "period", "flag", "whole", "n_tax", "n_discount", "n_available", F.when(whole, F.col("n_cents")).alias("cents"), F.when(whole, F.col("n_quantity")).alias("quantity"))
-        cents = F.col("cents")
+    def _month_sums(self, limit: int = ROWS_TOGETHER // 2) -> DataFrame:
+        """The months' sums. Lines are dealt by month, about `limit` to a task: of few lines a month, summing before that would keep nearly all of them in memory. Crowded months are summed first."""
+        keys, whole = ["company_id", "period"], F.col("whole")
+        lines = self._month_lines().select(*keys, "flag", "whole", "n_tax", "n_discount", "n_available", F.when(whole, F.col("n_cents")).alias("cents"), F.when(whole, F.col("n_quantity")).alias("quantity"))
+        rows = lines.count()
+        hot = crowded(lines.select(*keys), keys, limit)
+        dealt = lambda some: self._summed(spread(some, keys, rows, limit))
+        if hot.isEmpty():
+            return dealt(lines)
+        return dealt(matching(lines, hot, keys, "left_anti")).unionByName(self._summed(matching(lines, hot, keys, "left_semi")))
+
+    def _summed(self, lines: DataFrame) -> DataFrame:
+        flag, whole, cents = F.col("flag"), F.col("whole"), F.col("cents")
         vendor = lambda v: F.sum(F.when(whole, F.when(flag == v, cents * F.col("n_available")).otherwise(0))).alias(f"vendor_{v.lower()}")
         return lines.groupBy("company_id", "period").agg(
             F.sum(cents).alias("outward"), F.sum(cents * F.col("n_tax")).alias("claimed"), F.sum(cents * F.col("n_discount")).alias("paid"),

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,16 @@ def test_months_sum_large_odd_and_missing_amounts_like_their_text(spark, tmp_pat
         assert {k for c, k in sums.dtypes if c != "period"} == {"bigint"} and (sums.where("n_rest > 0").count() > 0) == (name == "all")
         assert rows(got) == rows(expected)
         assert rows(tables.totals) == rows(tables._read("totals", STAND_INS))
+
+
+def test_month_lines_are_dealt_by_their_number(spark, tmp_path):
+    """With a limit of 20 lines a task, 300 lines go to 15 tasks, though the session has 8 shuffle partitions; months of more lines, that without company and date among them, are summed first."""
+    lines = [(None if i % 5 == 0 else 1 if i % 5 == 1 else i % 11, 1 + i % 3, float(i % 50), 10.01 * (i % 7), 0.05, 0.02, "RAN"[i % 3], None if i % 5 == 0 else dt.datetime(2024, 1, 1) if i % 5 == 1 else dt.datetime(2024, 1 + i % 12, 3)) for i in range(300)]
+    kinds = "l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    for raw in RAW:
+        spark.createDataFrame(lines if raw == "lineitem" else [], kinds if raw == "lineitem" else "x int").write.parquet(f"{tmp_path}/{raw}.parquet")
+    tables = Tables(spark, str(tmp_path))
+    whole, dealt = tables._month_sums(), tables._month_sums(limit=20)
+    assert rows(dealt) == rows(whole) and max(r.n_rows for r in whole.collect()) >= 60 and dealt.columns == whole.columns
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"RepartitionByExpression \[company_id#\d+L?, period#\d+\], (\d+)", plan) == ["15"]
