@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -18,13 +19,25 @@ def lines_of(text: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
-def sentences_with(text: Column, words: Sequence[str] | None = None, pattern: str | None = None) -> Column:
-    """Squeezed sentences (cut at full stops and line ends) holding a word, or matching a pattern.
+def holding(text: Column, words: Sequence[str], low: Column | None = None) -> Column:
+    """The text where its lower case, if that is at hand, holds one of the words; else an empty text. A null text stays null.
 
-    A text without any hit is not cut up at all.
+    For patterns that match nothing without one of these words: a plain search spares most texts a pattern that is tried at each place.
+    """
+    if low is None:
+        return text
+    found = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    return F.when(found, text).when(text.isNotNull(), F.lit(""))
+
+
+def sentences_with(text: Column, words: Sequence[str] | None = None, pattern: str | None = None, low: Column | None = None) -> Column:
+    """Squeezed sentences (cut at full stops and line ends) holding a word, or matching a pattern, which holds one of the words if both are given.
+
+    A text without any hit is not cut up at all. Words have no full stops or line ends.
     """
     keep: Callable[[Column], Column] = (lambda s: s.rlike(pattern)) if pattern is not None else (lambda s: mentions(s, words or []))
-    hits = F.filter(F.split(F.when(keep(text), text).otherwise(""), r"[.\n]"), keep)
+    some = F.when(keep(text), text).otherwise("") if low is None else F.coalesce(holding(text, words or [], low), F.lit(""))
+    hits = F.filter(F.split(some, r"[.\n]"), keep)
     return F.transform(hits, squeeze)
 
 

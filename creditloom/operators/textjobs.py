@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.text import all_matches, first_item, lines_of, number_text, sentences_with, unescape
+from creditloom.functions.text import all_matches, first_item, holding, lines_of, number_text, sentences_with, unescape
 from creditloom.functions.values import clip, has_any, mentions, present, rlike_first, round_to, squeeze
 
 # Patterns, words, limits and confidences.
@@ -42,7 +42,8 @@ RELATED_WORDS = [
     "strategic partnership", "collaboration", "alliance", "mou", "rating agency", "rated by", "crisil",
     "icra", "care ratings", "fitch", "moody",
 ]
-AUDITOR_PATTERN = "(?i)(qualified opinion|emphasis of matter|material uncertainty|adverse opinion|disclaimer)"
+AUDITOR_WORDS = ["qualified opinion", "emphasis of matter", "material uncertainty", "adverse opinion", "disclaimer"]
+AUDITOR_PATTERN = "(?i)(" + "|".join(AUDITOR_WORDS) + ")"
 COLLATERAL_WORDS = ["collateral", "security", "hypothecation"]
 CONTENT_WORDS = {
     "ANNUAL_REPORT": ["directors' report", "board of directors", "standalone financial"],
@@ -52,6 +53,13 @@ CONTENT_WORDS = {
     "FINANCIAL_STATEMENT": ["balance sheet", "profit & loss", "cash flow"],
     "BOARD_MINUTES": ["minutes of meeting", "resolution passed", "quorum"],
 }
+#: In lower case, what a text must hold for the patterns above to match.
+REVENUE_WORDS = [["revenue"], ["revenue"], ["annual turnover"], ["gross receipts"]]
+PROFIT_WORDS = [["pat", "profit after tax", "net profit"]]
+DEBT_WORDS = ["total debt", "borrowings"]
+CUSTOMER_WORDS, ACTION_WORDS, GRADE_WORDS = ["customer"], ["graded", "reaffirmed", "assigned"], ["crisil", "icra", "care"]
+PARTNER_WORDS = ["strategic partner", "collaboration", "alliance", "mou"]
+CIN_DIGITS, PAN_DIGITS = "[0-9]{5}[A-Za-z]{2}[0-9]{4}", "[0-9]{4}[A-Za-z]"
 PERCENT = r"(\d{1,2}(?:\.\d{1,2})?)\s*%"
 NOT_HOLDERS = ["category", "shareholding", "promoter holding", "public holding", "total"]
 PROMOTER_NAMES = ["promoter", "family trust", "holdings"]
@@ -83,11 +91,12 @@ def crore_value(number: Column, unit: Column) -> Column:
     )
 
 
-def revenue_crore(text: Column) -> Column:
+def revenue_crore(text: Column, low: Column | None = None) -> Column:
+    revenue = holding(text, ["revenue"], low)
     return F.coalesce(
-        number_text(rlike_first(text, REVENUE_CRORE)),
-        number_text(rlike_first(text, REVENUE_LAKH)) / 100.0,
-        number_text(rlike_first(text, GROSS_RECEIPTS)),
+        number_text(rlike_first(revenue, REVENUE_CRORE)),
+        number_text(rlike_first(revenue, REVENUE_LAKH)) / 100.0,
+        number_text(rlike_first(holding(text, ["receipts"], low), GROSS_RECEIPTS)),
     )
 
 
@@ -101,11 +110,11 @@ def unit_values(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", number.alias("raw_number"), unit.alias("unit"), crore_value(number, unit).alias("crore")).filter("raw_number IS NOT NULL")
 
 
-def money_series(text: Column, patterns: list[str]) -> Column:
-    """The amounts of each pattern, labelled by their place; zero amounts drop out."""
+def money_series(text: Column, patterns: list[str], words: list[list[str]] | None = None, low: Column | None = None) -> Column:
+    """The amounts of each pattern, labelled by their place; zero amounts drop out. `words`: per pattern, what `holding` looks for."""
     found = []
-    for p in patterns:
-        found.append(F.transform(all_matches(text, p), lambda x, i: F.struct(
+    for p, w in zip(patterns, words or [[]] * len(patterns), strict=True):
+        found.append(F.transform(all_matches(holding(text, w, low) if w else text, p), lambda x, i: F.struct(
             round_to(crore_value(x["first"], x["second"]), 2).alias("amount"), F.concat(F.lit("annual_"), (i + 1).cast("string")).alias("period"))))
     return F.filter(F.concat(*found), lambda x: x["amount"] > 0)
 
@@ -119,8 +128,13 @@ def money_rows(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "x.kind", "x.amount", "x.period", F.lit(0.72).alias("confidence"))
 
 
+def first_identifier(text: Column, pattern: str, digits: str) -> Column:
+    """First hit of an identifier's pattern; `digits` is a part of it that begins with a figure and so rules most texts out quickly."""
+    return rlike_first(F.when(text.rlike(digits), text), pattern)
+
+
 def identifiers(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", rlike_first(F.col(TEXT), CIN).alias("cin"), rlike_first(F.col(TEXT), PAN).alias("pan"))
+    return docs.select("doc_id", first_identifier(F.col(TEXT), CIN, CIN_DIGITS).alias("cin"), first_identifier(F.col(TEXT), PAN, PAN_DIGITS).alias("pan"))
 
 
 def company_name(text: Column) -> Column:
@@ -139,16 +153,17 @@ def company_name(text: Column) -> Column:
     return squeeze(F.coalesce(by_suffix, by_label))
 
 
-def total_debt(text: Column) -> Column:
-    return number_text(rlike_first(text, TOTAL_DEBT))
+def total_debt(text: Column, low: Column | None = None) -> Column:
+    return number_text(rlike_first(holding(text, DEBT_WORDS, low), TOTAL_DEBT))
 
 
-def rating_columns(text: Column) -> list[Column]:
+def rating_columns(text: Column, low: Column | None = None) -> list[Column]:
+    first = lambda words, pattern: rlike_first(holding(text, words, low), pattern)
     return [
-        rlike_first(text, CONCENTRATION).try_cast("double").alias("concentration_pct"),
-        F.upper(rlike_first(text, RATING_ACTION)).alias("rating_action"),
-        F.upper(rlike_first(text, RATING_GRADE)).alias("rating_grade"),
-        squeeze(rlike_first(text, PARTNER)).alias("partner"),
+        first(CUSTOMER_WORDS, CONCENTRATION).try_cast("double").alias("concentration_pct"),
+        F.upper(first(ACTION_WORDS, RATING_ACTION)).alias("rating_action"),
+        F.upper(first(GRADE_WORDS, RATING_GRADE)).alias("rating_grade"),
+        squeeze(first(PARTNER_WORDS, PARTNER)).alias("partner"),
     ]
 
 
@@ -156,8 +171,8 @@ def rating_facts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *rating_columns(F.col(TEXT)))
 
 
-def bank_limits(text: Column) -> Column:
-    held = F.when(text.rlike("(?i)bank"), text).otherwise("")
+def bank_limits(text: Column, low: Column | None = None) -> Column:
+    held = F.when(text.rlike("(?i)bank") if low is None else F.contains(low, F.lit("bank")), text).otherwise("")
     pairs = F.transform(F.regexp_extract_all(held, F.lit(BANK_LIMIT), F.lit(0)), lambda m: F.struct(
         squeeze(F.regexp_extract(m, BANK_LIMIT, 1)).alias("lender"), number_text(F.regexp_extract(m, BANK_LIMIT, 2)).alias("limit_amount")))
     return F.filter(pairs, lambda x: x["limit_amount"].isNotNull())
@@ -168,21 +183,21 @@ def bank_limit_rows(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "x.lender", "x.limit_amount", F.lit("Working Capital").alias("facility_type"), F.lit(0.7).alias("confidence"))
 
 
-def disputes(text: Column) -> Column:
-    return F.filter(sentences_with(text, DISPUTE_WORDS), lambda s: F.char_length(s) >= 20)
+def disputes(text: Column, low: Column | None = None) -> Column:
+    return F.filter(sentences_with(text, DISPUTE_WORDS, low=low), lambda s: F.char_length(s) >= 20)
 
 
-def related_parties(text: Column) -> Column:
-    found = F.filter(sentences_with(text, RELATED_WORDS), lambda s: s != "")
+def related_parties(text: Column, low: Column | None = None) -> Column:
+    found = F.filter(sentences_with(text, RELATED_WORDS, low=low), lambda s: s != "")
     return F.array_distinct(found)
 
 
-def auditor_notes(text: Column) -> Column:
-    return F.filter(sentences_with(text, pattern=AUDITOR_PATTERN), lambda s: s != "")
+def auditor_notes(text: Column, low: Column | None = None) -> Column:
+    return F.filter(sentences_with(text, AUDITOR_WORDS, AUDITOR_PATTERN, low), lambda s: s != "")
 
 
-def collateral_lines(text: Column) -> Column:
-    held = F.when(mentions(text, COLLATERAL_WORDS), text).otherwise("")
+def collateral_lines(text: Column, low: Column | None = None) -> Column:
+    held = F.when(mentions(text, COLLATERAL_WORDS), text).otherwise("") if low is None else F.coalesce(holding(text, COLLATERAL_WORDS, low), F.lit(""))
     lines = F.filter(F.split(held, "\n"), lambda s: mentions(s, COLLATERAL_WORDS))
     return F.filter(F.transform(lines, squeeze), lambda s: F.char_length(s) > 12)
 
@@ -197,30 +212,30 @@ def going_concern(text: Column, guard: bool = False) -> Column:
     return hit & ~text.rlike(r"(?i)\b(?:no|not any|without)\s+going concern") if guard else hit
 
 
-def content_type(text: Column) -> Column:
+def content_type(text: Column, low: Column | None = None) -> Column:
     """Type with the most of its words in the text; the first declared wins ties."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     scores = []
     for i, (name, words) in enumerate(CONTENT_WORDS.items()):
         n = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
         scores.append(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["name"]).otherwise("UNKNOWN")
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("order"), F.lit("UNKNOWN").alias("name"))
+    return F.array_max(F.array(*scores, none))["name"]
 
 
 def facts(docs: DataFrame, source_confidence: Column | float = 0.9) -> DataFrame:
-    """One row per document with every extracted field."""
-    text = F.col(TEXT)
-    base = docs.select(
+    """One row per document with every extracted field. A text is lowered once, and patterns are tried only where it holds what they begin with or need."""
+    text, low = F.col(TEXT), F.col("low")
+    base = docs.withColumn("low", F.lower(text)).select(
         "doc_id", "company_id",
-        rlike_first(text, CIN).alias("cin"), rlike_first(text, PAN).alias("pan"),
-        revenue_crore(text).alias("revenue_cr"),
-        money_series(text, REVENUE_SERIES).alias("revenue_series"), money_series(text, PROFIT_SERIES).alias("profit_series"),
-        total_debt(text).alias("total_debt"), bank_limits(text).alias("bank_limits"), disputes(text).alias("disputes"),
-        related_parties(text).alias("related_parties"), auditor_notes(text).alias("auditor_notes"), collateral_lines(text).alias("collateral"),
-        going_concern(text).alias("going_concern"), content_type(text).alias("content_type"),
+        first_identifier(text, CIN, CIN_DIGITS).alias("cin"), first_identifier(text, PAN, PAN_DIGITS).alias("pan"),
+        revenue_crore(text, low).alias("revenue_cr"),
+        money_series(text, REVENUE_SERIES, REVENUE_WORDS, low).alias("revenue_series"), money_series(text, PROFIT_SERIES, PROFIT_WORDS, low).alias("profit_series"),
+        total_debt(text, low).alias("total_debt"), bank_limits(text, low).alias("bank_limits"), disputes(text, low).alias("disputes"),
+        related_parties(text, low).alias("related_parties"), auditor_notes(text, low).alias("auditor_notes"), collateral_lines(text, low).alias("collateral"),
+        (F.contains(low, F.lit("going concern")) & going_concern(text)).alias("going_concern"), content_type(text, low).alias("content_type"),
         (F.lit(source_confidence) if isinstance(source_confidence, float) else source_confidence).alias("source_confidence"),
-        *rating_columns(text),
+        *rating_columns(text, low),
     )
     has_revenue = F.coalesce(F.col("revenue_cr") > 0, F.lit(False)) | (F.size("revenue_series") > 0)
     step = lambda cond, v: F.when(cond, v).otherwise(0.0)

@@ -103,12 +103,14 @@ def label_values(rows: DataFrame, columns: DataFrame, rules: dict[str, list[str]
     )
 
 
-def in_class(name: str) -> Column:
-    return has_any(F.lower("sheet"), SHEET_CLASSES[name])
+def in_class(*names: str) -> Column:
+    """Whether the sheet's name holds a word of one of the classes."""
+    return has_any(F.lower("sheet"), [w for n in names for w in SHEET_CLASSES[n]])
 
 
 def statement_values(cells: DataFrame) -> DataFrame:
     """All statement figures in long form, each looked up in the sheets of its class only."""
+    cells = cells.filter(in_class(*LABELS))
     rows, columns = sheet_rows(cells), value_columns(cells)
     hits = []
     for name, rules in LABELS.items():

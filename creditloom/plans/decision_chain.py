@@ -47,13 +47,14 @@ def blocks(t: Tables) -> DataFrame:
 
 
 def _blocks(t: Tables) -> DataFrame:
-    t.together(lambda: chain.assembled(t), lambda: doc_facts(t))
+    sums = lambda: t.staged("facility_sums", lambda: P.facility_sums(t.facilities))
+    t.together(lambda: chain.assembled(t), lambda: doc_facts(t), sums)
     figures = chain.figures(t).select(
         "company_id", "interest_coverage", "current_ratio", "ebitda_margin", "revenue", "profit_after_tax", "current_assets", "current_liabilities",
         "contingent", "net_worth", "total_debt", "debt_equity_ratio", "dscr")
     report = chain.report(t).select("company_id", "gst_vs_bank_gap", "itr_vs_gst_gap", F.col("dscr").alias("reconciled_dscr"), "consistency_score")
     bank = chain.bank(t).filter("has_ledger").select("company_id", "banking_to_gst_ratio", "abb_to_revenue", F.col("shell_count").alias("bounced_cheques"))
-    borrowing = P.borrowing_summary(t.facilities).select(
+    borrowing = P.borrowing_summary(sums()).select(
         "company_id", "within_1yr_pct", "weighted_cost_pct", round_to(F.col("total_outstanding") / 1e7, 4).alias("existing_debt_cr"))
     registry = t.registry.select(
         "company_id", F.col("struck_off").isNotNull().alias("struck_off"), "compliance_score",
@@ -61,7 +62,7 @@ def _blocks(t: Tables) -> DataFrame:
     return E.assemble_blocks(t.company, [
         figures, report, bank, E.tax_block(chain.mismatch(t), chain.recon(t)), E.filing_consistency(t.monthly["gstr3b"]), E.growth(t.itr),
         doc_block(t), research_block(t), registry, D.diligence_block(t.company, t.diligence),
-        chain.holding(t).select("company_id", "promoter_holding_pct", "promoter_pledge_pct"), borrowing, _portfolio(t).drop("red_flags", "stage_3_pct"),
+        chain.holding(t).select("company_id", "promoter_holding_pct", "promoter_pledge_pct"), borrowing, _portfolio(sums()).drop("red_flags", "stage_3_pct"),
     ]).withColumns({"bureau_score": F.lit(None).cast("double"), "liquidity_gap_cr": F.lit(None).cast("double")})
 
 

@@ -17,7 +17,8 @@ def hits(t: Tables) -> DataFrame:
 
 def _contexts(t: Tables) -> DataFrame:
     risks = C.blended(t).selectExpr("company_id", "final_score AS score", "risk_category AS category", "decision")
-    ranked = V.with_fallback(hits(t), t.questions, t.chunks)
+    # Written, as few rows that meet all chunks by id.
+    ranked = t.staged("ranked_hits", lambda: V.with_fallback(hits(t), t.questions, t.chunks))
     return V.contexts(t.questions, ranked, t.chunks, N.narrative(t.company, t.findings), risks, N.latest(t.findings))
 
 

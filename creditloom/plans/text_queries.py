@@ -45,12 +45,8 @@ def _liquidity(t: Tables) -> DataFrame:
     return P.liquidity_flags(sums.select("company_id", parsed.alias("p")).select("company_id", "p.*"))
 
 
-def _portfolio(t: Tables) -> DataFrame:
-    share = lambda cond: round_to(F.coalesce(F.sum(F.when(cond, F.col("outstanding"))), F.lit(0)).cast("double") / F.sum("outstanding").cast("double") * 100, 4)
-    late, secured = F.col("overdue"), F.col("security").isNotNull()
-    rows = t.facilities.groupBy("company_id").agg(
-        share(late & ~secured).alias("gnpa_pct"), (F.lit(100.0) - share(late)).alias("collection_efficiency_pct"), share(late & secured).alias("stage_3_pct"))
-    return P.portfolio_flags(rows)
+def _portfolio(sums: DataFrame) -> DataFrame:
+    return P.portfolio_flags(P.portfolio(sums))
 
 
 def holding_facts(t: Tables) -> DataFrame:
@@ -113,8 +109,8 @@ QUERIES = {
     "txt_17_page_text": lambda t: _pages(t).select("page_id", "content"),
     "txt_18_declared_fields": _declared,
     "txt_19_liquidity_flags": _liquidity,
-    "txt_20_borrowing_flags": lambda t: P.borrowing_summary(t.facilities),
-    "txt_21_portfolio_flags": _portfolio,
+    "txt_20_borrowing_flags": lambda t: P.borrowing_summary(P.facility_sums(t.facilities)),
+    "txt_21_portfolio_flags": lambda t: _portfolio(P.facility_sums(t.facilities)),
     "txt_22_page_findings": lambda t: X.page_findings(_pages(t)),
     "txt_23_headlines": lambda t: _pages(t).select("page_id", X.headline(F.col("content"), F.col("query")).alias("headline"), X.source_name(F.col("url")).alias("source_name")),
     "txt_24_dates": _any_dates,

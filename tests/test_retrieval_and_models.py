@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -44,6 +45,33 @@ def test_a_word_of_every_chunk_opens_the_first_blocks_only(spark):
     assert empty.count() == 0 and V.lexical_topk(questions.limit(0), own).count() == 0
 
 
+def test_words_are_the_runs_of_letters_and_digits(spark):
+    texts = ["", "  ", "Ab ab-7, x", ",,a", "ñu año 9z\n9Z", "\u212aelvin K", None]
+    got = [r.w for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", V.words(F.col("t")).alias("w")).orderBy("i").collect()]
+    want = [list(dict.fromkeys(re.findall("[a-z0-9]+", t.lower()))) if t is not None else None for t in texts]
+    assert got == want
+
+
+def test_words_that_nobody_asked_for_do_not_travel(spark, monkeypatch):
+    """The asked words are written first, so their size is known, and every chunk's words meet them where they are read; postings are not gathered into lists."""
+    plans, found = {}, {}
+    real = V.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        found[name] = real(df, name)
+        return found[name]
+
+    monkeypatch.setattr(V, "written", seen)
+    chunks = spark.range(2_000).selectExpr("id % 3 AS company_id", "if(id = 7, null, id) AS chunk_id", "concat('the of w', id % 50) AS chunk_text")
+    questions = spark.createDataFrame([(1, 1, "the w4"), (2, 2, "w5 zebra")], "question_id long, company_id long, question string")
+    V.lexical_search(questions, V.chunk_words(chunks), 5, 4)
+    assert "Exchange hashpartitioning" not in plans["postings"] and "SortMergeJoin" not in plans["postings"]
+    asked = {1: {"the", "w4"}, 2: {"w5"}}
+    want = sorted((i % 3, i, w) for i in range(2_000) if i != 7 for w in ("the", "of", f"w{i % 50}") if w in asked.get(i % 3, ()))
+    assert sorted((r.company_id, r.chunk_id, r.word) for r in found["postings"].collect()) == want
+
+
 def test_lexical_fallback(spark):
     chunks = spark.createDataFrame([(1, 7, "alpha"), (1, 3, "beta"), (1, 9, "")], "company_id long, chunk_id long, chunk_text string")
     questions = spark.createDataFrame([(1, 1, "gamma"), (2, 1, "alpha")], "question_id long, company_id long, question string")

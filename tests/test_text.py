@@ -109,3 +109,28 @@ def test_promoter_fallbacks(spark):
     holding = spark.createDataFrame([(1, 50.0, 80.0), (2, 40.0, 10.0)], "company_id long, promoter_holding_pct double, promoter_pledge_pct double")
     got = sorted(map(tuple, G.promoters(companies, holders, holding).collect()))
     assert got == [(1, 1, "ASHA TRUST", 15.0, 80.0), (2, 1, "Promoter Group", 40.0, 10.0), (3, 1, "Z One", 0.0, 0.0)]
+
+
+ODD_TEXTS = [
+    None, "", "nothing here", "REVENUE from operations ₹ 12.5 crore. Net Profit 3 lakhs, PAT 4", "Revenue stood at 1,200 lakhs", "Gross  Receipts: 77.0", "annual turnover of 900 cr", "gross receipts 5 mn",
+    "Name: Acme Pvt Ltd, CIN L12345MH2010PLC123456 PAN abcde1234f", "12345 6789 L12345", "Total Debt 55 outstanding. Customer concentration 40%. Rating UPGRADED by Care Ratings AA-", "borrowings: 7. downgraded. ICRA BBB+",
+    "STATE BANK limit 100 and Union ban\u212a 200", "A petition is pending before the high court here. Legal Notice", "The Amount and mountain. Mou with Gamma Corp; strategic partner Delta Steel\nrated by Fitch",
+    "Qualified Opinion on stock. EMPHASIS OF MATTER\nbalance sheet", "Collateral: first charge on plant and machinery\nsecurity: x", "no going concern doubt", "GO\u0130NG CONCERN", "minutes of meeting, quorum; balance sheet, cash flow",
+]
+
+
+def test_facts_try_patterns_only_where_their_words_stand(spark):
+    """A text is lowered once, and every field is as the field's own job finds it."""
+    texts = docs(spark, *ODD_TEXTS)
+    facts = X.facts(texts)
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("lower(doc_text") == 1
+    text = F.col("doc_text")
+    own = texts.select(
+        "doc_id", X.rlike_first(text, X.CIN).alias("cin"), X.rlike_first(text, X.PAN).alias("pan"), X.revenue_crore(text).alias("revenue_cr"), X.money_series(text, X.REVENUE_SERIES).alias("revenue_series"),
+        X.money_series(text, X.PROFIT_SERIES).alias("profit_series"), X.total_debt(text).alias("total_debt"), X.bank_limits(text).alias("bank_limits"), X.disputes(text).alias("disputes"),
+        X.related_parties(text).alias("related_parties"), X.auditor_notes(text).alias("auditor_notes"), X.collateral_lines(text).alias("collateral"), X.going_concern(text).alias("going_concern"),
+        X.content_type(text).alias("content_type"), *X.rating_columns(text))
+    want = {r.doc_id: r.asDict(True) for r in own.collect()}
+    got = {r.doc_id: r.asDict(True) for r in facts.select(own.columns).collect()}
+    assert got == want
+    assert all(any(r[c] not in (None, [], False, "UNKNOWN") for r in want.values()) for c in own.columns)
